@@ -9,6 +9,7 @@ WHERE = {
     "op2_lines": ("recallery.llm.lines", "op2_lines"),
     "op3_sharding": ("recallery.llm.sharding", "op3_sharding"),
     "op4_mixing": ("recallery.llm.mixing", "op4_mixing"),
+    "op5_pii": ("recallery.llm.pii", "op5_pii"),
     "op6_decontamination": ("recallery.llm.decontaminate", "op6_decontamination"),
 }
 
