@@ -11,6 +11,7 @@ WHERE = {
     "op4_mixing": ("recallery.llm.mixing", "op4_mixing"),
     "op5_pii": ("recallery.llm.pii", "op5_pii"),
     "op6_decontamination": ("recallery.llm.decontaminate", "op6_decontamination"),
+    "op7_toxicity": ("recallery.llm.toxicity", "op7_toxicity"),
     "op10_embeddings": ("recallery.llm.embeddings", "op10_embeddings"),
 }
 
@@ -78,6 +79,7 @@ SELECT doc_id, size, source_size::BIGINT AS source_size, target,
        CASE WHEN size > 0 THEN f1 * 32 + x1 % 32 * (g1 - f1) - f0 * 32 - x0 % 32 * (g0 - f0) ELSE 0 END::BIGINT AS taken FROM parts
 """,
     "op6_decontamination": """
+    "op7_toxicity": ("recallery.llm.toxicity", "op7_toxicity"),
     "op10_embeddings": ("recallery.llm.embeddings", "op10_embeddings"),
 WITH split AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS ws FROM documents
