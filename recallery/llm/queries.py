@@ -13,6 +13,7 @@ WHERE = {
     "op6_decontamination": ("recallery.llm.decontaminate", "op6_decontamination"),
     "op7_toxicity": ("recallery.llm.toxicity", "op7_toxicity"),
     "op8_quality": ("recallery.llm.quality", "op8_quality"),
+    "op9_jaccard": ("recallery.llm.jaccard", "op9_jaccard"),
     "op10_embeddings": ("recallery.llm.embeddings", "op10_embeddings"),
 }
 
@@ -82,6 +83,7 @@ SELECT doc_id, size, source_size::BIGINT AS source_size, target,
     "op6_decontamination": """
     "op7_toxicity": ("recallery.llm.toxicity", "op7_toxicity"),
     "op8_quality": ("recallery.llm.quality", "op8_quality"),
+    "op9_jaccard": ("recallery.llm.jaccard", "op9_jaccard"),
     "op10_embeddings": ("recallery.llm.embeddings", "op10_embeddings"),
 WITH split AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS ws FROM documents
