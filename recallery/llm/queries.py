@@ -6,6 +6,7 @@ import importlib
 
 #: query: (module, function), imported when the query is first called.
 WHERE = {
+    "op1_substrings": ("recallery.llm.substrings", "op1_substrings"),
     "op2_lines": ("recallery.llm.lines", "op2_lines"),
     "op3_sharding": ("recallery.llm.sharding", "op3_sharding"),
     "op4_mixing": ("recallery.llm.mixing", "op4_mixing"),
