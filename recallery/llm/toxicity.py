@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recallery.llm import kernels as K
 from recallery.llm.common import table
@@ -180,11 +181,7 @@ def filter_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """The documents that are not toxic, all columns kept; the model learns as ``op7_toxicity`` does."""
     train = ~held_out(F.col("doc_id"), 5, 0)
     model = fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), train)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_scorer(model, docs.columns), f"{fields}, `score` double").where("score < 0.5").drop("score") if "score" not in docs.columns else _beside(docs, model)
-
-
-def _beside(docs: DataFrame, model: Model) -> DataFrame:
-    renamed = docs.withColumnRenamed("score", "_score")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in renamed.schema)
-    return renamed.mapInArrow(_scorer(model, renamed.columns), f"{fields}, `score` double").where("score < 0.5").drop("score").withColumnRenamed("_score", "score")
+    named = docs.withColumnsRenamed({c: f"_{c}" for c in docs.columns if c not in ("doc_id", "text")})
+    schema = T.StructType([*named.schema.fields, T.StructField("score", T.DoubleType())])
+    kept = named.mapInArrow(_scorer(model, named.columns), schema).where("score < 0.5").drop("score")
+    return kept.toDF(*docs.columns)
