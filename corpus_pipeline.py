@@ -1 +1,90 @@
-STAGES = []
+"""From raw documents to shards of a training mix, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
+the columns of ``docs``. A stage's operator sees the named columns only, and what it
+decides is joined back by doc_id: broadcast below a checked number of rows, else shuffled.
+
+Edge cases: null and empty texts are never toxic, never similar and never contaminated;
+the mix takes no words from them, so they go there. Rows that repeat a doc_id are one
+document from the second stage on. Empty tables give empty tables. Rows without a
+doc_id pass the filters and are left out of the mix.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from recallery.llm.common import cut, table
+from recallery.llm.decontaminate import decontaminate
+from recallery.llm.jaccard import similar
+from recallery.llm.mixing import mix, sizes
+from recallery.llm.sharding import assign
+from recallery.llm.toxicity import filter_toxic
+
+#: Output shards, all of one weight, and rows of a table of ids up to which it is broadcast.
+SHARDS, BROADCAST_ROWS = 24, 400_000
+
+
+def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    fits = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(ids) if fits else ids, "doc_id", how)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return filter_toxic(spark, docs, sf_dir)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones, the one with the smallest doc_id."""
+    classes = cut(similar(docs.select("doc_id", "text")))
+    gone = classes.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = _by_id(docs, gone, "left_anti")
+    twice = cut(classes.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
+    if twice.isEmpty():
+        return kept.select(*docs.columns)
+    repeated = _by_id(kept, twice, "left_semi").dropDuplicates(["doc_id"])
+    return _by_id(kept, twice, "left_anti").unionByName(repeated).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that hold no window of a benchmark item."""
+    found = decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    gone = cut(found.where("contaminated and doc_id is not null").select("doc_id").distinct())
+    return _by_id(docs, gone, "left_anti").select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix in whole documents: each stands as often as its share of words taken says, 0 to 3
+    times, the fraction rounded by a fixed draw for its doc_id."""
+    taken = mix(sizes(docs.select("doc_id", "text", "source"))).where("doc_id is not null")
+    share = taken.groupBy("doc_id").agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("share"))
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit("round-0:"), F.col("doc_id").cast("string"))), 1, 8), 16, 10).cast("double") / float(2**32)
+    copies = cut(share.select("doc_id", F.floor(F.col("share") + draw).cast("int").alias("_copies")).where("_copies > 0"))
+    return _by_id(docs, copies, "inner").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with shard, and grown_shard for one more shard."""
+    return assign(docs, "doc_id", [1.0] * SHARDS)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", mixing),
+    ("sharding", sharding),
+]
+
+#: Learned scores and the classes of similar texts are beyond SQL.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = cut(docs)
+    return docs
