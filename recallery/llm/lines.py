@@ -19,6 +19,8 @@ from recallery.llm.common import cut, table
 
 #: Lines under the rolling hash, one boundary in so many lines, and lines of a chunk at least.
 ROLL, EVERY, LEAST = 2, 3, 2
+#: Rows of a table of document keys up to which a join broadcasts it.
+BROADCAST_ROWS = 400_000
 #: Constants of the rolling hash, a polynomial over 28-bit line hashes.
 BASE, MODULUS = 131, 1_000_003
 
@@ -28,9 +30,13 @@ def line_hash(line: Column) -> Column:
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """The same rows with key, n_lines (long) and chunks, an array of (n, body): lines of
-    each chunk in order and its lines joined by newlines; null for a null text."""
-    lines = docs.withColumns({"_lines": F.split("text", "\n", -1), "key": F.xxhash64(F.col("doc_id").cast("string"), "text")})
+    """The same rows with n_lines (long) and chunks, an array of the chunks in order,
+    each its lines joined by newlines; null for a null text.
+
+    Every line is written behind a newline and a mark, s where a chunk starts and c
+    elsewhere; so the text can be cut at newline and s, in one pass over it.
+    """
+    lines = docs.withColumn("_lines", F.split("text", "\n", -1))
     hashed = lines.withColumn("_h", F.transform("_lines", line_hash))
     # the rolling hash at line i is h[i] + BASE h[i-1] + ...; lines before the first count as 0
     rolled = F.col("_h")
@@ -38,36 +44,48 @@ def chunked(docs: DataFrame) -> DataFrame:
         earlier = F.concat(F.array_repeat(F.lit(0).cast("long"), j), F.col("_h"))
         weight = F.lit(BASE**j)
         rolled = F.zip_with(rolled, F.slice(earlier, 1, F.size("_h")), lambda x, y: x + y * weight)  # noqa: B023
-    last = F.size("_lines") - 1
-    ends = F.filter(F.transform(rolled, lambda r, i: F.when((r % MODULUS % EVERY == 0) | (i == last), i)), lambda i: i.isNotNull())
-    ended = hashed.withColumn("_ends", ends)
-    start = lambda i: F.when(i == 0, 0).otherwise(F.get("_ends", i - 1) + 1)
-    body = lambda end, i: F.struct((end - start(i) + 1).alias("n"), F.array_join(F.slice("_lines", start(i) + 1, end - start(i) + 1), "\n").alias("body"))
+    # a line starts a chunk where the line before it ends one
+    before = F.slice(F.concat(F.array(F.lit(0).cast("long")), rolled), 1, F.size("_h"))
+    marked = F.zip_with("_lines", before, lambda line, r: F.concat(F.when(r % MODULUS % EVERY == 0, "\ns").otherwise("\nc"), line))
+    whole = hashed.withColumn("_whole", F.substring(F.array_join(marked, ""), 3, 2**31 - 1))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long")
-    return ended.select(*docs.columns, "key", n.alias("n_lines"), F.transform("_ends", body).alias("chunks"))
+    return whole.select(*docs.columns, n.alias("n_lines"), F.transform(F.split("_whole", "\ns", -1), lambda c: F.replace(c, F.lit("\nc"), F.lit("\n"))).alias("chunks"))
+
+
+def _with(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """Documents joined with a table of keys: broadcast while that is below a checked number of rows, else shuffled."""
+    fits = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(found) if fits else found, "_key", how)
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """(key, chunk, n) of the chunks to remove."""
-    each = chunked(docs.select("doc_id", "text")).select("doc_id", "key", F.posexplode("chunks").alias("chunk", "_c"))
-    each = each.select("doc_id", "key", "chunk", "_c.n", "_c.body")
-    many = each.where((F.col("n") >= LEAST) & F.col("body").rlike(r"[^\s]")).withColumn("hash", F.xxhash64("body"))
-    counts = many.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1")
-    some = many.join(counts, "hash", "left_semi")
+    """(_key, chunk, n) of the chunks to remove. ``docs``: doc_id, text, _key."""
+
+    def bodies(rows: DataFrame) -> DataFrame:
+        each = chunked(rows).select(*[c for c in rows.columns if c != "text"], F.posexplode("chunks").alias("chunk", "body"))
+        many = each.withColumn("n", F.size(F.split("body", "\n", -1))).where((F.col("n") >= LEAST) & F.col("body").rlike(r"[^\s]"))
+        return many.withColumn("hash", F.xxhash64("body"))
+
+    # hashes first, without the bytes: only chunks whose hash repeats are compared
+    each = cut(bodies(docs).select("_key", "chunk", "hash"))
+    counts = each.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash")
+    asked = cut(each.join(counts, "hash", "left_semi").groupBy("_key").agg(F.collect_set("chunk").alias("asked")))
+    some = bodies(_with(docs, asked, "inner")).where(F.array_contains("asked", F.col("chunk")))
+    some = cut(some.select("doc_id", "_key", "chunk", "n", "hash", "body"))
     # the first occurrence of each byte string; hot strings shrink to a row for each task before they move
-    at = F.struct("doc_id", "key", "chunk")
+    at = F.struct("doc_id", "_key", "chunk")
     first = some.groupBy("hash", "body").agg(F.min(at).alias("first"))
     found = some.join(first, ["hash", "body"]).where(at > F.col("first"))
-    return found.select("key", "chunk", "n").distinct()
+    return found.select("_key", "chunk", "n").distinct()
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """All rows and columns of ``docs``, with kept_text, n_lines and n_removed."""
-    gone = cut(repeated(docs)).groupBy("key").agg(F.collect_set("chunk").alias("_gone"), F.sum("n").alias("_removed"))
-    joined = docs.withColumn("key", F.xxhash64(F.col("doc_id").cast("string"), "text")).join(gone, "key", "left").drop("key")
-    whole = chunked(joined)
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("string"), "text"))
+    gone = cut(repeated(keyed.select("doc_id", "text", "_key")).groupBy("_key").agg(F.collect_set("chunk").alias("_gone"), F.sum("n").alias("_removed")))
+    whole = chunked(_with(keyed, gone, "left"))
     left = F.filter("chunks", lambda _, i: ~F.array_contains("_gone", i))
-    kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda c: c["body"]), "\n"))
+    kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     return whole.select(*docs.columns, kept.alias("kept_text"), "n_lines", F.coalesce("_removed", F.lit(0)).cast("long").alias("n_removed"))
 
 
