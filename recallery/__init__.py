@@ -1,0 +1 @@
+"""Entity-aware retrieval and evaluation over long conversations, as Spark DataFrames."""
