@@ -41,9 +41,9 @@ DEPTH, GRAM = 20, 8
 #: Suffixes of one subtree, anchors packed at a time, and bytes of text for each bucket.
 GROUP, PACKED, BUCKET_BYTES = 200_000, 1_500_000, 16 << 20
 #: Stretches looked through for repeats before they are sent.
-LOCAL = 60_000
-#: Rows of a table of documents up to which a join broadcasts it.
-BROADCAST_ROWS = 400_000
+LOCAL = 120_000
+#: Runs to remove up to which their table is broadcast.
+BROADCAST_RUNS = 1_000_000
 
 
 def owners(h: np.ndarray, row: np.ndarray, depth: int = DEPTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -180,7 +180,12 @@ def _stretches(depth: int):
                 if i == j:
                     rows.append(one)
                 elif held[j][1:3] != one[1:3]:
-                    rows.append((*one[:4], None))
+                    last = rows[-1] if rows else None
+                    if last and last[4] is None and last[1] == one[1] and one[2] <= last[2] + last[3]:
+                        # a run goes on
+                        rows[-1] = (*last[:3], max(last[3], one[2] + one[3] - last[2]), None)
+                    else:
+                        rows.append((*one[:4], None))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["print", "doc_id", "start", "windows", "body"])
 
         for batch in batches:
@@ -282,7 +287,7 @@ def _trees(depth: int):
 
 
 def repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(doc_id, spans): runs of words to remove, as an array of (start, end), end exclusive; they may overlap."""
+    """(doc_id, starts, ends): runs of words to remove, in order, ends exclusive."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-size // BUCKET_BYTES))
     docs = docs.where("doc_id is not null")
@@ -298,19 +303,34 @@ def repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     grouped = sent.withColumn("bucket", F.pmod(F.shiftrightunsigned(key, 40), F.lit(groups)).cast("int"))
     grouped = grouped.repartition(groups, "bucket").sortWithinPartitions("bucket")
     found = grouped.mapInArrow(_trees(depth), "doc_id long, start int, end int")
-    return found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-
-
-def kept_words(text: str | None, spans: list[dict] | None) -> tuple[int, list[bytes]]:
-    """How many words a text has, and the words outside the spans."""
+    return found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")).mapInArrow(_merged, "doc_id long, starts array<int>, ends array<int>")
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Overlapping and touching spans of each document joined."""
+    for batch in batches:
+        rows: list[tuple[list[int], list[int]]] = []
+        for spans in batch.column("spans"):
+            starts: list[int] = []
+            ends: list[int] = []
+            for a, b in sorted((s["start"], s["end"]) for s in spans.as_py()):
+                if ends and a <= ends[-1]:
+                    ends[-1] = max(ends[-1], b)
+                else:
+                    starts.append(a)
+                    ends.append(b)
+            rows.append((starts, ends))
+        kind = pa.list_(pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], kind)], names=["doc_id", "starts", "ends"])
+
+
+def kept_words(text: str | None, starts: list[int] | None, ends: list[int] | None) -> tuple[int, list[bytes]]:
+    """How many words a text has, and the words outside the spans, which are in order and apart."""
     words = (text or "").encode().split()
-    if not spans:
-        return len(words), words
     out, done = [], 0
-    for s in sorted(spans, key=lambda s: (s["start"], s["end"])):
-        if s["start"] > done:
-            out += words[done : s["start"]]
-        done = max(done, s["end"])
+    for a, b in zip(starts or (), ends or (), strict=True):
+        out += words[done:a]
+        done = b
     return len(words), out + words[done:]
 
 
@@ -318,20 +338,20 @@ def dedup(docs: DataFrame, depth: int = DEPTH, texts: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row and, unless turned off, kept_text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spans = cut(repeats(docs, depth))
-    fits = spans.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    fits = (spans.agg(F.sum(F.size("starts") + 1)).first()[0] or 0) <= BROADCAST_RUNS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, gone in zip(batch.column("text"), batch.column("spans"), strict=True):
-                n, words = kept_words(text.as_py(), gone.as_py())
+            for text, starts, ends in zip(batch.column("text"), batch.column("starts"), batch.column("ends"), strict=True):
+                n, words = kept_words(text.as_py(), starts.as_py(), ends.as_py())
                 body = b" ".join(words)
                 rows.append((n, n - len(words), hashlib.sha256(body).hexdigest(), body.decode() if texts else None))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    joined = docs.join(F.broadcast(spans) if fits else spans, "doc_id", "left").select("doc_id", "text", "spans")
+    joined = docs.join(F.broadcast(spans) if fits else spans, "doc_id", "left").select("doc_id", "text", "starts", "ends")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
