@@ -87,15 +87,13 @@ def _swap(text: Column, pattern: str, by: Column) -> Column:
 def speak_as(text, speaker, previous) -> Column:
     """First-person words become the speaker, second-person words the previous speaker, whole words in any case."""
     out = _col(text)
-    for who, plain, owned in ((speaker, ("I", "me"), ("my", "mine")), (previous, ("you",), ("your", "yours"))):
-        name = trimmed(who)
-        by = literal(name)
-        own = F.concat(by, F.lit("'s"))
-        itself = "myself" if plain[0] == "I" else "yourself"
-        changed = out
-        for word, put in [(w, by) for w in plain] + [(w, own) for w in owned] + [(itself, by)]:
-            changed = _swap(changed, rf"(?iU)\b{word}\b", put)
-        out = F.when(blank(who), out).otherwise(changed)
+    for who, plain, owned, itself in ((speaker, ("I", "me"), ("my", "mine"), "myself"), (previous, ("you",), ("your", "yours"), "yourself")):
+        by = literal(trimmed(who))
+        # a match that is not to change is put back as it stands
+        name = F.when(blank(who), "$0").otherwise(by)
+        own = F.when(blank(who), "$0").otherwise(F.concat(by, F.lit("'s")))
+        for word, put in [(w, name) for w in plain] + [(w, own) for w in owned] + [(itself, name)]:
+            out = _swap(out, rf"(?iU)\b{word}\b", put)
     return out
 
 
@@ -122,40 +120,43 @@ def _month_start(anchor: Column, months: int) -> Column:
     return F.date_add(moved, F.least(F.dayofmonth(anchor), F.lit(28)) - 1)
 
 
+def _phrase_date(phrase: str, anchor: Column) -> Column | None:
+    """The date that one phrase names on the day ``anchor``; None for other phrases."""
+    if phrase in DAY_SHIFTS:
+        return F.date_add(anchor, DAY_SHIFTS[phrase])
+    if phrase == "next month":
+        return _month_start(anchor, 1)
+    if phrase in ("a year ago", "one year ago"):
+        return _month_start(anchor, -12)
+    return previous_weekday(anchor, phrase[5:]) if phrase[:5] == "last " and phrase[5:] in WEEKDAYS else None
+
+
 def time_word_date(word, anchor: Column) -> Column:
     """The date that a phrase names on the day ``anchor``; null for other phrases."""
     w = F.regexp_replace(trimmed(F.lower(_col(word))), SPACES, " ")
-    out = F.lit(None).cast("date")
-    for phrase, days in DAY_SHIFTS.items():
-        out = F.when(w == phrase, F.date_add(anchor, days)).otherwise(out)
-    out = F.when(w == "next month", _month_start(anchor, 1)).when(w.isin("a year ago", "one year ago"), _month_start(anchor, -12)).otherwise(out)
-    for day in WEEKDAYS:
-        out = F.when(w == f"last {day}", previous_weekday(anchor, day)).otherwise(out)
+    out = F.when(F.lit(False), F.lit(None).cast("date"))
+    for phrase in TIME_PHRASES:
+        out = out.when(w == phrase, _phrase_date(phrase, anchor))
     return out
 
 
-def date_words(text, date_time) -> Column:
-    """The text with every known phrase, longest first, replaced by the day it names."""
-    anchor, out = dialog_date(date_time), _col(text)
-    for phrase in sorted(TIME_PHRASES, key=lambda p: (-len(p), p)):
-        named = shown_date(time_word_date(F.lit(phrase), anchor))
-        out = F.when(named.isNull(), out).otherwise(_swap(out, rf"(?i)\b{phrase}\b", F.coalesce(named, F.lit(""))))
+def date_words(text, anchor: Column, words=TIME_PHRASES, loose: bool = False) -> Column:
+    """The text with every phrase, longest first, replaced by the day it names where it names one."""
+    out = _col(text)
+    for phrase in sorted({w.strip() for w in words if w.strip()}, key=lambda p: (-len(p), p)):
+        named = _phrase_date(" ".join(phrase.lower().split()), anchor)
+        if named is not None:
+            pattern = (r"\s+" if loose else " ").join(map(_quoted, phrase.split()))
+            out = _swap(out, rf"(?i)\b{pattern}\b", F.coalesce(shown_date(named), F.lit("$0")))
     return out
 
 
-def normalized(text, speaker, previous, date_time, words: list[str] | None = None) -> Column:
-    """Pronouns first, then dates. ``words`` replaces the known phrases by a list of one's own
-    (inner spaces of the text may then be of any length)."""
+def normalized(text, speaker, previous, date_time, words: list[str] | None = None, anchor: Column | None = None) -> Column:
+    """Pronouns first, then dates. ``words`` replaces the known phrases by a list of one's own (inner spaces of the
+    text may then be of any length). ``anchor`` is the date of ``date_time`` where it is at hand."""
+    day = dialog_date(date_time) if anchor is None else anchor
     spoken = speak_as(F.coalesce(_col(text), F.lit("")), speaker, previous)
-    if words is None:
-        dated = date_words(spoken, date_time)
-    else:
-        anchor, dated = dialog_date(date_time), spoken
-        for word in sorted({w.strip() for w in words if w.strip()}, key=lambda p: (-len(p), p)):
-            named = shown_date(time_word_date(F.lit(word), anchor))
-            pattern = r"(?i)\b" + r"\s+".join(map(_quoted, word.split())) + r"\b"
-            dated = F.when(named.isNull(), dated).otherwise(_swap(dated, pattern, F.coalesce(named, F.lit(""))))
-    return F.when(blank(date_time), spoken).otherwise(dated)
+    return date_words(spoken, day) if words is None else date_words(spoken, day, words, True)
 
 
 def _quoted(word: str) -> str:

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recallery.functions.text import entity_type, entity_value
 from recallery.schema import ENTITY_TYPES, ITEM
@@ -24,14 +25,20 @@ def rule_items(text: Column, least: int = LEAST_LENGTH) -> Column:
     return F.transform(picked, lambda t: F.struct(t.alias("value"), F.when(t.rlike("^(19|20)[0-9]{2}$"), "When").otherwise("What").alias("type")))
 
 
-def cleaned(items: Column) -> Column:
-    """Items with a legal type and a value; of equal values (in any case) the longest, else the
-    first; Who first, then longer values, then by lower case."""
-    shown = F.transform(items, lambda x, i: F.struct(entity_value(x["value"]).alias("value"), entity_type(x["type"]).alias("type"), i.alias("at")))
-    good = F.filter(shown, lambda x: x["type"].isNotNull() & (x["value"] != ""))
-    best = F.filter(good, lambda x: ~F.exists(good, lambda y: (F.lower(y["value"]) == F.lower(x["value"])) & ((F.length(y["value"]) > F.length(x["value"])) | ((F.length(y["value"]) == F.length(x["value"])) & (y["at"] < x["at"])))))
-    keyed = F.transform(best, lambda x: F.struct((x["type"] != "Who").alias("a"), (-F.length(x["value"])).alias("b"), F.lower(x["value"]).alias("c"), x["at"].alias("d"), x["value"].alias("value"), x["type"].alias("type")))
-    return F.transform(F.array_sort(keyed), lambda x: F.struct(x["value"].alias("value"), x["type"].alias("type")))
+def cleaned(df: DataFrame, column: str = "items") -> DataFrame:
+    """``column`` with items of a legal type and a value only; of equal values (in any case) the longest,
+    else the first; Who first, then longer values, then by lower case. Null becomes empty."""
+    given = F.coalesce(F.col(column), F.array().cast(ITEM))
+    shown = F.transform(given, lambda x, i: F.struct(entity_value(x["value"]).alias("value"), entity_type(x["type"]).alias("type"), i.alias("at")))
+    # ordered so that the item to keep of equal values comes first
+    ordered = F.array_sort(F.transform(shown, lambda x: F.struct(F.lower(x["value"]).alias("low"), (-F.length(x["value"])).alias("b"), x["at"].alias("at"), x["value"].alias("value"), x["type"].alias("type"))))
+    step = df.withColumn("_sorted", F.filter(ordered, lambda x: x["type"].isNotNull() & (x["value"] != "")))
+    # the item before each, so that a repeat shows
+    low = F.transform("_sorted", lambda x: x["low"])
+    step = step.withColumn("_before", F.concat(F.array(F.lit(None).cast("string")), low))
+    pairs = F.zip_with("_sorted", F.slice("_before", 1, F.size("_sorted")), lambda x, p: F.when(p.isNull() | (p != x["low"]), F.struct((x["type"] != "Who").alias("a"), x["b"].alias("b"), x["low"].alias("c"), x["value"].alias("value"), x["type"].alias("type"))))
+    step = step.withColumn("_best", F.array_sort(F.filter(pairs, lambda x: x.isNotNull())))
+    return step.withColumn(column, F.transform("_best", lambda x: F.struct(x["value"].alias("value"), x["type"].alias("type")))).drop("_sorted", "_before", "_best")
 
 
 # ------------------------------------------------------------ answers of models
@@ -93,7 +100,10 @@ def parse_answer(answer: str | None) -> list[tuple[str, str]]:
     return out
 
 
-@F.pandas_udf("struct<items:array<struct<value:string,type:string>>,error:string>")
+_ITEMS = T.ArrayType(T.StructType([T.StructField("value", T.StringType()), T.StructField("type", T.StringType())]))
+
+
+@F.pandas_udf(T.StructType([T.StructField("items", _ITEMS), T.StructField("error", T.StringType())]))
 def parsed(answers: pd.Series) -> pd.DataFrame:
     """Answers read by ``parse_answer``: the items, or the error."""
     rows = []

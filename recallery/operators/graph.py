@@ -28,8 +28,8 @@ def turns(dialog: DataFrame) -> DataFrame:
     named = dialog.where(~X.blank("dia_id")).withColumn("dia_id", X.trimmed("dia_id"))
     said = F.when(~X.blank("speaker"), X.trimmed("speaker"))
     before = W.partitionBy("sample_id", "session_num").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    out = named.withColumn("previous_speaker", F.last(said, ignorenulls=True).over(before))
-    return out.withColumn("text_normalized", X.normalized("text", F.col("speaker"), F.col("previous_speaker"), F.col("date_time")))
+    out = named.withColumns({"previous_speaker": F.last(said, ignorenulls=True).over(before), "_day": X.dialog_date("date_time")})
+    return out.withColumn("text_normalized", X.normalized("text", F.col("speaker"), F.col("previous_speaker"), F.col("date_time"), anchor=F.col("_day"))).drop("_day")
 
 
 def memories(spoken: DataFrame, on_duplicate: str = "first") -> DataFrame:
@@ -44,7 +44,7 @@ def extracted(spoken: DataFrame, extractor: Callable[[DataFrame, str], DataFrame
     """(sample_id, memory_id, order columns, key, value, type) of every entity of every turn. A turn
     without text and image has none; one whose extraction failed (null items) still has its speaker."""
     read = spoken.withColumn("_read", X.extraction_text("text_normalized", "query", "blip_caption")).where("_read <> ''")
-    found = extractor(read, "_read").withColumn("items", F.coalesce(cleaned(F.col("items")), F.array().cast("array<struct<value:string,type:string>>")))
+    found = cleaned(extractor(read, "_read"))
     listed = F.transform("items", lambda x: F.struct(X.entity_key(x["value"]).alias("key"), x["value"].alias("value"), x["type"].alias("type")))
     found = found.withColumn("items", listed)
     if add_speaker:
