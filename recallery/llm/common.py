@@ -3,6 +3,7 @@ the JVM, lineage cuts in the shared folder, and connected components."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,6 +51,12 @@ def drop(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(df: DataFrame) -> None:
+    """Let Spark delete shuffle files of queries that have ended; it does so when the driver's garbage goes."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each node reaches, over an edge list.
 

@@ -6,15 +6,16 @@ most the sum over the groups of the smaller count. An R-tree over the points (bo
 their upper corner and the range of set sizes) prunes by that bound; survivors are
 verified on the sets themselves.
 
-To spread the join, documents first fall into families: two sets that are similar enough
-share one of the first tokens under any common order (prefix filter), so documents with a
-shared prefix token and fitting sizes are tied together, by a few edges for each token and
-not by pairs. The order puts tokens known to be frequent last, so passages that many
-documents share tie nothing; any order is exact, a better one only makes families smaller.
-A family with more tokens than LIMIT is cut into blocks by set size, and each pair of
-blocks whose sizes fit is an R-tree join of its own, so no task holds an unbounded family.
-Equal sets are one class with one representative throughout. Within a task, pairs that
-verified links have joined already are not verified again: links only serve to join.
+To spread the join, documents first meet in blocks: two sets that are similar enough share
+one of the first tokens under any common order (prefix filter). The order puts tokens
+known to be frequent last; any order is exact, a better one only makes blocks smaller.
+Blocks of the same documents are one. An R-tree join of each block's points ties documents
+that the bound lets be similar into families, by a spanning forest and not by pairs. Then
+each family's sets are joined over an R-tree again and the survivors verified. A block or
+family beyond LIMIT is cut up, and each pair of its parts is a join of its own, so no
+task holds an unbounded group. Equal sets are one class with one representative
+throughout. Within a task, pairs that are joined already are not looked at again, since
+links only serve to join.
 
 Edge cases: null and empty texts and texts without words have an empty set, link with
 nothing and are their own component; texts of fewer than WORDS words have one shingle;
@@ -32,12 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallery.llm import kernels as K
-from recallery.llm.common import components, cut, table
+from recallery.llm.common import components, cut, drop, release, table
 
 #: Shingle length, and the similarity as a fraction.
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5
-#: Groups of the count vectors, points of a leaf and children of an inner node.
-GROUPS, LEAF, FAN = 64, 16, 16
+#: Least and most groups of a count vector; tokens to a group on average.
+LEAST_GROUPS, MOST_GROUPS, TO_GROUP = 16, 4096, 4
+#: Points of a leaf and children of an inner node; documents of a block that one task joins.
+LEAF, FAN, BLOCK = 16, 16, 2048
 #: Tokens of a family that one task holds; tokens counted at a time, and the most frequent ones known.
 LIMIT, COUNTED, KNOWN = 1 << 20, 1 << 22, 1 << 18
 #: A family list of up to so many rows is broadcast, a longer one shuffled.
@@ -80,14 +83,14 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(known: tuple[np.ndarray, np.ndarray]):
-    """doc_id, n, two 64-bit sums that identify the set, and its prefix tokens."""
+    """doc_id, n, two 64-bit sums that identify the set, its prefix tokens and its count vector."""
     tokens, counts = known
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
             for first, rows, r, s in K.shingle_sets(batch.column("text"), WORDS):
-                n = np.bincount(r, minlength=rows)
+                raw, n = s, np.bincount(r, minlength=rows)
                 ends = np.cumsum(n)
                 sums = []
                 for salt in (K.U(1), K.U(0x5DEECE66D)):
@@ -104,25 +107,96 @@ def _sets(known: tuple[np.ndarray, np.ndarray]):
                 rank = np.arange(len(s)) - np.repeat(ends - n, n)
                 prefix = s[rank < np.repeat(keep, n)].view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]), pa.int32()), pa.array(prefix))
-                yield pa.RecordBatch.from_arrays([ids.slice(first, rows), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), lists], names=["doc_id", "n", "k1", "k2", "prefix"])
+                size = groups_of(n)
+                base = np.cumsum(size) - size
+                place = base[r] + (K.mix(raw).astype(np.int64) & (size[r] - 1))
+                # a count of 255 stands for any larger one
+                vec = np.minimum(np.bincount(place, minlength=int(size.sum())), 255).astype(np.uint8)
+                at = np.append(base, size.sum()).astype(np.int64)
+                blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(vec.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([ids.slice(first, rows), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), lists, blobs], names=["doc_id", "n", "k1", "k2", "prefix", "vec"])
 
     return run
 
 
+def groups_of(n: np.ndarray) -> np.ndarray:
+    """Groups of the count vector of a set of n tokens: a power of two."""
+    wanted = np.clip(n / TO_GROUP, LEAST_GROUPS, MOST_GROUPS)
+    return (1 << np.round(np.log2(wanted)).astype(np.int64)).astype(np.int64)
+
+
 # ------------------------------------------------------------------- families
 
 
-def _families(reps: DataFrame) -> DataFrame:
-    """(doc_id, family) of the representatives that share a prefix token with another of fitting size."""
-    size = F.floor(F.log(F.col("n").cast("double")) / float(RATIO)).cast("int")
-    rows = reps.select("doc_id", size.alias("c"), F.explode("prefix").alias("token"))
+def _blocks(reps: DataFrame) -> DataFrame:
+    """(block, doc_id): documents that share a prefix token, blocks of the same documents once."""
+    rows = reps.select("doc_id", F.explode("prefix").alias("token"))
     # a token of one document ties nothing
     shared = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
-    tied = cut(rows.join(shared, "token"))
-    # fitting sizes lie in equal or neighbouring classes, which meet in one of two pairings
-    both = tied.select("doc_id", "token", F.explode(F.array(F.floor(F.col("c") / 2) * 2, F.floor((F.col("c") + 1) / 2) * 2 + 1)).alias("pair"))
-    low = both.groupBy("token", "pair").agg(F.min("doc_id").alias("low"))
-    edges = both.join(low, ["token", "pair"]).where("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct()
+    tied = cut(rows.join(shared, "token").distinct())
+    release(tied)
+    one, two = F.xxhash64("doc_id"), F.xxhash64("doc_id", F.lit(7))
+    sums = tied.groupBy("token").agg(F.count("*").alias("df"), F.bit_xor(one).alias("x1"), F.bit_xor(two).alias("x2"))
+    kept = sums.groupBy("df", "x1", "x2").agg(F.min("token").alias("token")).select("token", "df")
+    return cut(tied.join(kept, "token").select(F.col("token").alias("block"), "doc_id", "df"))
+
+
+def _bound_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of a spanning forest of what the count vectors of each block let be similar."""
+    for part in runs(batches, "task"):
+        if part.num_rows < 2:
+            continue
+        ids, n = part.column("doc_id").to_numpy(), part.column("n").to_numpy()
+        side = part.column("side").to_numpy()
+        vecs = [np.frombuffer(b, np.uint8) for b in part.column("vec").to_pylist()]
+        links = bound_forest(n, vecs, side if side.min() != side.max() else None)
+        if links:
+            a, b = np.array(links).T
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
+
+
+def fold(vec: np.ndarray, groups: int) -> np.ndarray:
+    """A count vector over fewer groups; a full count stands for any number."""
+    wide = np.where(vec == 255, 1 << 20, vec).astype(np.int32)
+    return wide.reshape(-1, groups).sum(0)
+
+
+def bound_forest(n: np.ndarray, vecs: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose bound on the overlap is high enough. Each size class is joined
+    with itself and the next larger one, over as many groups as its smallest sets have."""
+    level = np.floor(np.log(n) / RATIO).astype(int)
+    label, out = np.arange(len(n)), []
+    for c in np.unique(level):
+        own, both = np.flatnonzero(level == c), np.flatnonzero((level == c) | (level == c + 1))
+        if len(both) < 2:
+            continue
+        groups = int(groups_of(n[own]).min())
+        point = np.stack([fold(vecs[i], groups) for i in both])
+        tree = RTree(n[both], point)
+        for k in np.flatnonzero(level[both] == c):
+            q = both[k]
+            found = both[tree.search(int(n[q]), point[k])]
+            found = found[found != q]
+            if side is not None:
+                found = found[side[found] != side[q]]
+            for other in np.unique(label[found]):
+                if other != label[q]:
+                    r = found[label[found] == other]
+                    if len(r):
+                        out.append((int(q), int(r[0])))
+                        label[label == other] = label[q]
+    return out
+
+
+def _families(reps: DataFrame) -> DataFrame:
+    """(doc_id, family) of the representatives that may be similar to another."""
+    blocks = _blocks(reps)
+    parts = F.ceil(F.col("df") / BLOCK).cast("int")
+    dealt = blocks.withColumns({"k": parts, "i": F.pmod(F.xxhash64("doc_id"), parts).cast("int")})
+    pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.concat_ws("/", F.col("block"), F.least(j, F.col("i")), F.greatest(j, F.col("i"))))
+    named = dealt.select("doc_id", F.col("i").alias("side"), F.explode(pairs).alias("task"))
+    joined = named.join(reps.select("doc_id", "n", "vec"), "doc_id").select("task", "side", "doc_id", "n", "vec")
+    edges = cut(joined.repartition("task").sortWithinPartitions("task").mapInArrow(_bound_rows, "a long, b long"))
     return components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
 
 
@@ -198,8 +272,9 @@ def join(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[i
     """Links that join what the similarity joins (a spanning forest), as indexes into ``sets`` (sorted arrays).
     With sides, only pairs across them count."""
     size = np.array([len(s) for s in sets])
-    group = np.concatenate([K.mix(s) & K.U(GROUPS - 1) for s in sets]).astype(np.int64)
-    point = np.bincount(np.repeat(np.arange(len(sets)), size) * GROUPS + group, minlength=len(sets) * GROUPS).reshape(-1, GROUPS).astype(np.int32)
+    groups = min(256, int(groups_of(size).min()))
+    group = (K.mix(np.concatenate(sets)) & K.U(groups - 1)).astype(np.int64)
+    point = np.bincount(np.repeat(np.arange(len(sets)), size) * groups + group, minlength=len(sets) * groups).reshape(-1, groups).astype(np.int32)
     tree, label, out = RTree(size, point), np.arange(len(sets)), []
     for q in range(len(sets)):
         found = tree.search(int(size[q]), point[q])
@@ -247,7 +322,6 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 def _join_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in runs(batches, "task"):
-        # a lost executor may make a row stand twice in no case: the keys are unique here
         ids = part.column("doc_id").to_numpy()
         _, once = np.unique(ids, return_index=True)
         part, ids = part.take(once), ids[once]
@@ -268,20 +342,26 @@ def similar(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each row (see the module)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = frequent(docs)
-    sets = cut(docs.mapInArrow(_sets(known), "doc_id long, n long, k1 long, k2 long, prefix array<bigint>"))
+    whole = cut(docs.mapInArrow(_sets(known), "doc_id long, n long, k1 long, k2 long, prefix array<bigint>, vec binary"))
+    sets = cut(whole.select("doc_id", "n", "k1", "k2"))
     classes = cut(sets.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")))
-    reps = sets.join(classes.select(F.col("rep").alias("doc_id"), "n", "k1", "k2"), ["doc_id", "n", "k1", "k2"], "left_semi").dropDuplicates(["doc_id"])
+    # of rows that repeat a doc_id with other texts, one stands for the id
+    chosen = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.min(F.struct("n", "k1", "k2")).alias("s")).select("doc_id", "s.n", "s.k1", "s.k2")
+    reps = whole.join(chosen, ["doc_id", "n", "k1", "k2"], "left_semi")
     families = cut(_families(reps))
-    members = families.join(reps.select("doc_id", "n"), "doc_id")
+    members = families.join(chosen.select("doc_id", "n"), "doc_id")
     tasks = cut(_tasks(members))
+    drop(whole)
+    release(tasks)
     fits = tasks.count() <= BROADCAST_ROWS
     texts = docs.join(F.broadcast(tasks) if fits else tasks, "doc_id").select("doc_id", "tasks", "side", "text")
     held = texts.mapInArrow(_set_rows, "doc_id long, tasks array<string>, side string, tokens binary")
     dealt = held.select("doc_id", F.explode("tasks").alias("task"), "side", "tokens").repartition("task").sortWithinPartitions("task")
     links = cut(dealt.mapInArrow(_join_rows, "a long, b long"))
+    release(links)
     joined = components(links)
     named = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
-    out = sets.select("doc_id", "n", "k1", "k2").join(named, ["n", "k1", "k2"], "left")
+    out = sets.join(named, ["n", "k1", "k2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
