@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from recallery.functions import text as X
 from recallery.functions.porter import stemmed
 from recallery.schema import BM25_B, BM25_EPSILON, BM25_K1, MIN_REL_SCORE, TOP_K_PER_KEY
+from recallery.sources.scratch import settle
 
 
 def tokens(c: Column, profile: str = "plain") -> Column:
@@ -37,6 +38,8 @@ def index(docs: DataFrame, profile: str = "plain") -> Index:
     # the mean is over all distinct terms, negative values among them
     mean = idf.groupBy("sample_id").agg(F.avg("raw").alias("mean_idf"))
     terms = idf.join(mean, "sample_id").select("sample_id", "term", "df", "n", "avgdl", F.when(F.col("raw") < 0, BM25_EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+    # postings and statistics are read several times
+    each, terms = settle(each), settle(terms)
     keys = docs.select("sample_id", "doc", X.entity_key("key").alias("norm_key"))
     return Index(each, terms, keys)
 

@@ -13,6 +13,7 @@ from recallery.functions import text as X
 from recallery.operators import dense, lexical
 from recallery.operators.graph import Graph, degrees
 from recallery.schema import ENTITY_WEIGHT, MIN_REL_SCORE, NEIGHBOUR_SCALE, SEMANTIC_WEIGHT, TOP_K_PER_KEY, WHO_SCALE
+from recallery.sources.scratch import settle
 
 Q = ["sample_id", "qa"]
 
@@ -109,29 +110,36 @@ def rank(pool: DataFrame, k: int) -> DataFrame:
     return dense.top(pool, k, "score", "dia_id")
 
 
-def retrieve(graph: Graph, questions: DataFrame, keys: DataFrame, vectors: DataFrame, k: int = 8, variant: Variant = VARIANTS[1], profile: str = "plain") -> DataFrame:
+def seeded(graph: Graph, keys: DataFrame, profile: str = "plain") -> DataFrame:
+    """The seeds of all questions, kept for the steps and variants that read them again."""
+    return settle(seeds(graph, settle(entity_strength(graph, settle(matches(graph, keys, profile=profile))))))
+
+
+def retrieve(graph: Graph, questions: DataFrame, keys: DataFrame, vectors: DataFrame, k: int = 8, variant: Variant = VARIANTS[1], profile: str = "plain", seed: DataFrame | None = None) -> DataFrame:
     """The ranked memories of every question. ``questions``: sample_id, qa, qvec; ``keys``: sample_id, qa, qkey
-    (a question without keys has the full pool)."""
-    return rank(pool(graph, questions, keys, vectors, variant, profile), k)
+    (a question without keys has the full pool). ``seed``: from ``seeded``, where several variants run."""
+    return rank(pool(graph, questions, keys, vectors, variant, profile, seed), k)
 
 
-def pool(graph: Graph, questions: DataFrame, keys: DataFrame, vectors: DataFrame, variant: Variant, profile: str = "plain") -> DataFrame:
+def pool(graph: Graph, questions: DataFrame, keys: DataFrame, vectors: DataFrame, variant: Variant, profile: str = "plain", seed: DataFrame | None = None) -> DataFrame:
     if not variant.entities:
-        keys = keys.limit(0)
-    seed = seeds(graph, entity_strength(graph, matches(graph, keys, profile=profile)))
-    scores = expand(graph, seed) if variant.expand else seed.withColumn("e", F.col("seed"))
+        # no keys, no seeds: the whole pool by dense scores
+        seed = questions.sparkSession.createDataFrame([], "sample_id string, qa int, memory_id string, seed double")
+    elif seed is None:
+        seed = seeded(graph, keys, profile)
+    scores = settle(expand(graph, seed) if variant.expand else seed.withColumn("e", F.col("seed")))
     return fuse(graph, questions, scores, vectors, variant.we, variant.ws, variant.gate)
 
 
 def audit(graph: Graph, questions: DataFrame, keys: DataFrame, vectors: DataFrame, k: int = 8, variant: Variant = VARIANTS[1]) -> DataFrame:
     """One row for each question: keys, matched entities with their weights, gate, pool size and the ranked rows."""
     asked = question_keys(keys).groupBy(*Q).agg(F.array_sort(F.collect_list("qkey")).alias("keys"))
-    matched = matches(graph, keys)
-    strength = entity_strength(graph, matched)
+    strength = settle(entity_strength(graph, settle(matches(graph, keys))))
     listed = strength.groupBy(*Q).agg(F.array_sort(F.collect_list(F.struct((-F.round("match", 6)).alias("order"), "entity_id", "degree", F.round(M.degree_weight(F.col("degree")), 6).alias("weight"), "who_like"))).alias("m"))
     entities = listed.select(*Q, F.transform("m", lambda x: F.struct(x["entity_id"].alias("entity_id"), (-x["order"]).alias("match"), x["degree"].alias("degree"), x["weight"].alias("weight"), x["who_like"].alias("who_like"))).alias("entities"))
-    seed = seeds(graph, strength)
-    scored = fuse(graph, questions, expand(graph, seed) if variant.expand else seed.withColumn("e", F.col("seed")), vectors, variant.we, variant.ws, variant.gate)
+    seed = settle(seeds(graph, strength))
+    scores = settle(expand(graph, seed) if variant.expand else seed.withColumn("e", F.col("seed")))
+    scored = settle(fuse(graph, questions, scores, vectors, variant.we, variant.ws, variant.gate))
     size = scored.groupBy(*Q).agg(F.count("*").alias("pool"), F.max("gated").alias("gated"))
     rows = rank(scored, k).withColumn("via_sequence_only", (F.col("seed") <= 0) & (F.col("e") > 0))
     ranked = rows.groupBy(*Q).agg(F.array_sort(F.collect_list(F.struct("rank", "dia_id", F.round("score", 6).alias("score"), F.round("seed", 6).alias("seed"), F.round("e", 6).alias("expanded"), F.round("s", 6).alias("embedding"), "via_sequence_only"))).alias("rows"))

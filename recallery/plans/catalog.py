@@ -19,6 +19,7 @@ from recallery.operators import graph as G
 from recallery.operators import retrieve as R
 from recallery.plans import evaluate as E
 from recallery.schema import KS
+from recallery.sources.scratch import settle
 
 Q = ["sample_id", "qa"]
 TIME = "1:56 pm on 8 May, 2023"
@@ -38,8 +39,23 @@ def dialog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.col("conv_id").cast("string").alias("sample_id"), F.lit(1).alias("session_num"), F.lit(TIME).alias("date_time"), F.col("turn").cast("int").alias("pos"), F.concat(F.lit("D1:"), F.col("turn").cast("string")).alias("dia_id"), F.col("role").alias("speaker"), F.coalesce("text", none).alias("text"), none.alias("query"), none.alias("img_url"), none.alias("blip_caption"))
 
 
+#: Tables that many queries read, kept in the shared folder: (application, folder, name) -> table.
+_KEPT: dict[tuple, DataFrame] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """A table that is made once for a folder and written to the shared one."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _KEPT:
+        _KEPT[key] = settle(make())
+    return _KEPT[key]
+
+
 def graph(spark: SparkSession, sf_dir: str) -> G.Graph:
-    return G.build(dialog(spark, sf_dir))
+    spoken = lambda: kept(spark, sf_dir, "spoken", lambda: G.turns(dialog(spark, sf_dir)))
+    found = lambda: kept(spark, sf_dir, "found", lambda: G.extracted(spoken()))
+    memory = kept(spark, sf_dir, "memory", lambda: G.memories(spoken()))
+    return G.Graph(memory, kept(spark, sf_dir, "entity", lambda: G.entities(found())), kept(spark, sf_dir, "mention", lambda: G.mentions(found())), kept(spark, sf_dir, "edge", lambda: G.sequence_edges(memory)))
 
 
 def _vector(df: DataFrame, spark: SparkSession, sf_dir: str, number, name: str) -> DataFrame:
@@ -62,14 +78,15 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = questions(spark, sf_dir)
+    q = kept(spark, sf_dir, "questions", lambda: questions(spark, sf_dir))
     long = F.transform(extract.rule_items(F.col("question")), lambda x: x["value"])
     every = F.when(F.col("qa") % 2 == 0, F.concat(long, F.array(F.lit(" Assistant's")))).otherwise(long)
     return q.select(*Q, F.explode(every).alias("qkey"))
 
 
 def _parts(spark: SparkSession, sf_dir: str):
-    return graph(spark, sf_dir), questions(spark, sf_dir), keys(spark, sf_dir), vectors(spark, sf_dir)
+    q = kept(spark, sf_dir, "questions", lambda: questions(spark, sf_dir))
+    return graph(spark, sf_dir), q, keys(spark, sf_dir), kept(spark, sf_dir, "vectors", lambda: vectors(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- literal rows
@@ -226,8 +243,9 @@ def retrieve_audit(spark, sf_dir):
 def _rolled(spark, sf_dir):
     g, q, k, v = _parts(spark, sf_dir)
     out = None
+    seed = R.seeded(g, k)
     for variant in R.VARIANTS:
-        ranked = R.retrieve(g, q, k, v, 50, variant)
+        ranked = settle(R.retrieve(g, q, k, v, 50, variant, seed=seed))
         rows = E.at_cutoffs(q, E.retrieved(ranked)).join(_predicted(q, ranked), Q, "left")
         one = E.rollup(rows).select(F.lit(variant.name).alias("variant"), "*")
         out = one if out is None else out.unionByName(one)
@@ -259,7 +277,7 @@ def recall_hit_at_k(spark, sf_dir):
 
 def eval_rollup(spark, sf_dir):
     g, q, k, v = _parts(spark, sf_dir)
-    ranked = R.retrieve(g, q, k, v, 50)
+    ranked = settle(R.retrieve(g, q, k, v, 50))
     return E.rollup(E.at_cutoffs(q, E.retrieved(ranked)).join(_predicted(q, ranked), Q, "left"))
 
 
@@ -269,7 +287,7 @@ def publish_gate(spark, sf_dir):
 
 def paper_compare(spark, sf_dir):
     g, q, k, v = _parts(spark, sf_dir)
-    ranked = R.retrieve(g, q, k, v, 50)
+    ranked = settle(R.retrieve(g, q, k, v, 50))
     return E.against_anchors(spark, E.rollup(E.at_cutoffs(q, E.retrieved(ranked)).join(_predicted(q, ranked), Q, "left")))
 
 
