@@ -4,9 +4,11 @@ the JVM, lineage cuts in the shared folder, and connected components."""
 from __future__ import annotations
 
 import gc
+import itertools
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,19 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Rows of a batch that goes to a Python worker: texts of some thousand bytes make a few MB.
+BATCH_ROWS = 1000
+
+_cuts = itertools.count(1)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches between Spark and Python in MB, not tens of MB: they are held on both sides, for each core."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,7 +52,10 @@ def cut(df: DataFrame) -> DataFrame:
     and the loss of an executor costs nothing that was computed before."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/recallery/{uuid.uuid4().hex}"
+    small_batches(spark)
     df.write.parquet(path)
+    if next(_cuts) % 8 == 0:
+        release(df)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -52,8 +69,10 @@ def drop(df: DataFrame) -> None:
 
 
 def release(df: DataFrame) -> None:
-    """Let Spark delete shuffle files of queries that have ended; it does so when the driver's garbage goes."""
+    """Let Spark delete shuffle files of queries that have ended; it does so when the driver's garbage goes.
+    What Arrow and the JVM hold on the driver for those queries goes too."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     df.sparkSession.sparkContext._jvm.System.gc()
 
 

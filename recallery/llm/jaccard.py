@@ -42,7 +42,7 @@ LEAST_GROUPS, MOST_GROUPS, TO_GROUP = 16, 4096, 4
 #: Points of a leaf and children of an inner node; documents of a block that one task joins.
 LEAF, FAN, BLOCK = 16, 16, 2048
 #: Tokens of a family that one task holds; tokens counted at a time, and the most frequent ones known.
-LIMIT, COUNTED, KNOWN = 1 << 20, 1 << 22, 1 << 18
+LIMIT, COUNTED, KNOWN = 1 << 20, 1 << 21, 1 << 18
 #: A family list of up to so many rows is broadcast, a longer one shuffled.
 BROADCAST_ROWS = 400_000
 #: Ratio of neighbouring size classes: the similarity itself.

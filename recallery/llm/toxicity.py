@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recallery.llm import kernels as K
-from recallery.llm.common import table
+from recallery.llm.common import release, table
 
 MOST_POSITIVE, MOST_UNLABELLED = 4000, 8000
 #: Features kept, occurrences among the positives that one needs, epochs and step of the training.
@@ -93,10 +93,10 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
 
 
-def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = EPOCHS, step: float = STEP) -> tuple[np.ndarray, float]:
-    """Weights and intercept that minimise the non-negative PU risk with the sigmoid loss, by Adam."""
-    x = np.vstack([positive, unlabelled]).astype(np.float32)
-    n, m = len(positive), len(unlabelled)
+def nnpu(x: np.ndarray, n: int, prior: float, epochs: int = EPOCHS, step: float = STEP) -> tuple[np.ndarray, float]:
+    """Weights and intercept that minimise the non-negative PU risk with the sigmoid loss, by Adam.
+    ``x``: float32 rows, the first n of them positive, the others unlabelled."""
+    m = len(x) - n
     # one row for the bias; Adam's moments
     theta = np.zeros(x.shape[1] + 1)
     theta[-1] = -1.0
@@ -125,6 +125,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, prior: float | None =
     rows = sample(docs, labels, train).mapInArrow(_pack, "positive boolean, names binary").toArrow()
     mark = np.array(rows.column("positive").to_numpy(zero_copy_only=False), bool)
     packed = [np.frombuffer(b, np.uint32) for b in rows.column("names").to_pylist()]
+    order = np.argsort(~mark, kind="stable")
+    mark, packed = mark[order], [packed[i] for i in order]
     if not mark.any() or mark.all():
         return Model(np.zeros(0, np.uint32), np.zeros(0), -60.0 if not mark.any() else 60.0)
     if prior is None:
@@ -153,7 +155,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, prior: float | None =
     for i, p in enumerate(places):
         j = where[p]
         x[i, j[j >= 0]] = 1
-    weights, bias = nnpu(x[mark], x[~mark], prior)
+    weights, bias = nnpu(x, int(n), prior)
+    del rows, packed, places, x
+    release(docs)
     return Model(names[best], weights, bias)
 
 
