@@ -19,6 +19,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Rows of a batch that goes to a Python worker: texts of some thousand bytes make a few MB.
 BATCH_ROWS = 1000
 
+#: Edges of a file of an intermediate edge list, about.
+EDGES_OF_A_FILE = 100_000
+
 _cuts = itertools.count(1)
 
 
@@ -93,7 +96,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        after = cut(small.where("u <> v").distinct())
+        smaller = small.where("u <> v").distinct()
+        if seen:
+            # few edges need few files
+            smaller = smaller.coalesce(max(4, seen[0] // EDGES_OF_A_FILE + 1))
+        after = cut(smaller)
         drop(now)
         now = after
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

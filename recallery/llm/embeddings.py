@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recallery.llm import kernels as K
 from recallery.llm.common import components, cut, table
 
 COSINE = 0.9
@@ -229,7 +230,7 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     plan = {d: choose(n, d, cosine) for d, n in sizes.items()}
     kind = classes.schema["vec"].dataType.simpleString()
     named = classes.select(F.xxhash64("vec").alias("id"), "rep", "times", "d", "vec")
-    listed = cut(named.mapInArrow(_listing(plan), f"id long, rep long, times long, d int, vec {kind}, filters array<bigint>"))
+    listed = cut(named.mapInArrow(K.tidy(_listing(plan)), f"id long, rep long, times long, d int, vec {kind}, filters array<bigint>"))
     dealt = listed.select("*", F.explode("filters").alias("filter"))
     large = listed.select(F.explode("filters").alias("filter")).groupBy("filter").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
     large = large.select("filter", F.ceil(F.col("n") / BLOCK).cast("int").alias("k"))
@@ -238,7 +239,7 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least(o, F.col("chunk")).alias("i"), F.greatest(o, F.col("chunk")).alias("j")))
     split = split.select("id", "times", "d", "vec", "filters", "filter", "chunk", F.explode(pairs).alias("p")).select("id", "times", "d", "vec", "filters", "filter", "chunk", "p.i", "p.j")
     groups = split.repartition("filter", "i", "j").sortWithinPartitions("filter", "i", "j")
-    found = cut(groups.mapInArrow(_verify(cosine), "a long, b long, n long"))
+    found = cut(groups.mapInArrow(K.tidy(_verify(cosine)), "a long, b long, n long"))
     links = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links"))
     # back from classes to ids: the smallest id of each linked set
     edges = found.where("b is not null").select("a", "b")

@@ -75,7 +75,7 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Tokens that stand in many documents and their counts, sorted by token: the KNOWN most
     frequent ones at most. Every document is counted, and tokens that repeat within a few
     million others come up; which ones do affects only the speed."""
-    rows = docs.select("text").mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 2")
+    rows = docs.select("text").mapInArrow(K.tidy(_count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 2")
     top = rows.orderBy(F.desc("n"), "token").limit(KNOWN).toArrow()
     token, n = top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy()
     order = np.argsort(token)
@@ -196,7 +196,7 @@ def _families(reps: DataFrame) -> DataFrame:
     pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.concat_ws("/", F.col("block"), F.least(j, F.col("i")), F.greatest(j, F.col("i"))))
     named = dealt.select("doc_id", F.col("i").alias("side"), F.explode(pairs).alias("task"))
     joined = named.join(reps.select("doc_id", "n", "vec"), "doc_id").select("task", "side", "doc_id", "n", "vec")
-    edges = cut(joined.repartition("task").sortWithinPartitions("task").mapInArrow(_bound_rows, "a long, b long"))
+    edges = cut(joined.repartition("task").sortWithinPartitions("task").mapInArrow(K.tidy(_bound_rows), "a long, b long"))
     return components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
 
 
@@ -342,7 +342,7 @@ def similar(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each row (see the module)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = frequent(docs)
-    whole = cut(docs.mapInArrow(_sets(known), "doc_id long, n long, k1 long, k2 long, prefix array<bigint>, vec binary"))
+    whole = cut(docs.mapInArrow(K.tidy(_sets(known)), "doc_id long, n long, k1 long, k2 long, prefix array<bigint>, vec binary"))
     sets = cut(whole.select("doc_id", "n", "k1", "k2"))
     classes = cut(sets.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")))
     # of rows that repeat a doc_id with other texts, one stands for the id
@@ -355,9 +355,9 @@ def similar(docs: DataFrame) -> DataFrame:
     release(tasks)
     fits = tasks.count() <= BROADCAST_ROWS
     texts = docs.join(F.broadcast(tasks) if fits else tasks, "doc_id").select("doc_id", "tasks", "side", "text")
-    held = texts.mapInArrow(_set_rows, "doc_id long, tasks array<string>, side string, tokens binary")
+    held = texts.mapInArrow(K.tidy(_set_rows), "doc_id long, tasks array<string>, side string, tokens binary")
     dealt = held.select("doc_id", F.explode("tasks").alias("task"), "side", "tokens").repartition("task").sortWithinPartitions("task")
-    links = cut(dealt.mapInArrow(_join_rows, "a long, b long"))
+    links = cut(dealt.mapInArrow(K.tidy(_join_rows), "a long, b long"))
     release(links)
     joined = components(links)
     named = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))

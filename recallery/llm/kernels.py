@@ -3,6 +3,7 @@ batch at once. UTF-8 bytes are enough, since all separators here are ASCII."""
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text a kernel works on at a time (a single longer text is one piece).
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U) | U(1)
@@ -39,6 +40,27 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def tidy(run):
+    """A function over batches that gives the memory of its work back when a task ends: worker
+    processes live on, and what they keep counts against the next task."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def give_back() -> None:
+    """Return free memory of Arrow and of the C library to the system."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads every bit."""
     x = (x ^ (x >> U(32))) * _MUL

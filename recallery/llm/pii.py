@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from recallery.llm import kernels as K
 from recallery.llm.common import table
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
@@ -122,7 +123,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of each text."""
-    return docs.select("doc_id", "text").mapInArrow(_batches, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(K.tidy(_batches), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redact(text: str | None, spans: list[tuple[str, int, int]] | None = None) -> str | None:

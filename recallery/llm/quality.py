@@ -93,7 +93,7 @@ def _stat_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def statistics_of(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").mapInArrow(_stat_batches, "doc_id long, x array<double>")
+    return docs.select("doc_id", "text").mapInArrow(K.tidy(_stat_batches), "doc_id long, x array<double>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -148,7 +148,7 @@ def _merging(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sum(train: DataFrame, lift) -> np.ndarray | None:
-    parts = train.select("x", "y").mapInArrow(_summing(lift), "s binary").repartition(4).mapInArrow(_merging, "s binary")
+    parts = train.select("x", "y").mapInArrow(K.tidy(_summing(lift)), "s binary").repartition(4).mapInArrow(K.tidy(_merging), "s binary")
     rows = [np.frombuffer(r.s) for r in parts.collect()]  # at most 4, each of fixed size
     if not rows:
         return None
@@ -193,7 +193,7 @@ def fit(stats: DataFrame, labels: DataFrame, train: Column) -> Model:
             at = np.floor((np.clip(raw(_matrix(batch.column("x"))), -1, 2) + 1) / 3 * BINS)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), batch.column("y")], names=["bin", "y"])
 
-    counted = rows.mapInArrow(bins, "bin long, y double").groupBy("bin").agg(F.count("*").alias("n"), F.avg("y").alias("y")).orderBy("bin").collect()
+    counted = rows.mapInArrow(K.tidy(bins), "bin long, y double").groupBy("bin").agg(F.count("*").alias("n"), F.avg("y").alias("y")).orderBy("bin").collect()
     model.at = np.array([(r["bin"] + 0.5) / BINS * 3 - 1 for r in counted])
     model.value = isotonic(np.array([r["y"] for r in counted]), np.array([r["n"] for r in counted], float))
     return model
@@ -208,5 +208,5 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(_matrix(batch.column("x"))))], names=["doc_id", "score"])
 
-    scored = stats.mapInArrow(run, "doc_id long, score double")
+    scored = stats.mapInArrow(K.tidy(run), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))

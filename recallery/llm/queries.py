@@ -23,7 +23,57 @@ def queries() -> dict:
     return {name: getattr(importlib.import_module(module), function) for name, (module, function) in WHERE.items()}
 
 
+#: Components by reachability; the tables docs (id) and links (x, y, both ways) are to be given.
+_REACH = """reach(id, c) AS (SELECT id, id FROM docs UNION SELECT r.id, l.y FROM reach r JOIN links l ON r.c = l.x),
+comp AS (SELECT id, min(c) AS component_id FROM reach GROUP BY id)"""
+
 SQL = {
+    "op1_substrings": """
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), windows AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(ws[i : i + 19], ' ') ORDER BY doc_id, i) AS nth
+  FROM w, LATERAL (SELECT unnest(range(1, len(ws) - 18)) AS i)
+), gone AS (
+  SELECT DISTINCT doc_id, j AS i FROM windows, LATERAL (SELECT unnest(range(i, i + 20)) AS j) WHERE nth > 1
+), each AS (
+  SELECT doc_id, i, ws[i] AS word FROM w, LATERAL (SELECT unnest(range(1, len(ws) + 1)) AS i)
+), kept AS (
+  SELECT e.doc_id, count(g.i) AS n_removed, string_agg(word, ' ' ORDER BY e.i) FILTER (WHERE g.i IS NULL) AS text
+  FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY e.doc_id
+)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+""",
+    "op9_jaccard": f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS s FROM w, LATERAL (SELECT unnest(range(1, greatest(len(ws) - 3, 2))) AS i) WHERE len(ws) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY 1
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM pairs JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * o >= 80 * (a.n + b.n - o)
+), docs AS (
+  SELECT doc_id AS id FROM documents
+), {_REACH}
+SELECT id AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM comp LEFT JOIN sizes ON id = doc_id
+""",
+    "op10_embeddings": f"""
+WITH RECURSIVE good AS (
+  SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), unit AS (
+  SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM good
+), links AS (
+  SELECT a.id AS x, b.id AS y FROM unit a JOIN unit b ON a.id <> b.id AND len(a.v) = len(b.v) WHERE list_dot_product(a.v, b.v) >= 0.9
+), docs AS (
+  SELECT vec_id AS id FROM embeddings
+), {_REACH}
+SELECT id AS vec_id, (SELECT count(*) FROM links WHERE x = id) AS n_links, component_id, id = component_id AS kept FROM comp
+""",
     "op2_lines": """
 WITH lines AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM (SELECT DISTINCT doc_id, text FROM documents) WHERE text IS NOT NULL
@@ -82,10 +132,6 @@ SELECT doc_id, size, source_size::BIGINT AS source_size, target,
        CASE WHEN size > 0 THEN f1 * 32 + x1 % 32 * (g1 - f1) - f0 * 32 - x0 % 32 * (g0 - f0) ELSE 0 END::BIGINT AS taken FROM parts
 """,
     "op6_decontamination": """
-    "op7_toxicity": ("recallery.llm.toxicity", "op7_toxicity"),
-    "op8_quality": ("recallery.llm.quality", "op8_quality"),
-    "op9_jaccard": ("recallery.llm.jaccard", "op9_jaccard"),
-    "op10_embeddings": ("recallery.llm.embeddings", "op10_embeddings"),
 WITH split AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS ws FROM documents
 ), items AS (

@@ -291,19 +291,19 @@ def repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-size // BUCKET_BYTES))
     docs = docs.where("doc_id is not null")
-    packed = docs.mapInArrow(_anchors(depth, buckets), "bucket int, prints binary, docs binary, places binary")
+    packed = docs.mapInArrow(K.tidy(_anchors(depth, buckets)), "bucket int, prints binary, docs binary, places binary")
     # repeats known within a task (bucket -1) are dealt over all tasks
     to = F.when(F.col("bucket") < 0, F.xxhash64("docs")).otherwise(F.col("bucket").cast("long"))
     dealt = packed.withColumn("to", to).repartition(buckets, "to").sortWithinPartitions("bucket").drop("to")
-    wanted = dealt.mapInArrow(_shared, "doc_id long, place long").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    wanted = dealt.mapInArrow(K.tidy(_shared), "doc_id long, place long").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
     joined = docs.join(wanted, "doc_id").select("doc_id", "text", "places")
-    sent = joined.mapInArrow(_stretches(depth), _STRETCH)
+    sent = joined.mapInArrow(K.tidy(_stretches(depth)), _STRETCH)
     key = F.when(F.col("body").isNull(), F.xxhash64("doc_id")).otherwise(F.col("print"))
     groups = 4 * buckets
     grouped = sent.withColumn("bucket", F.pmod(F.shiftrightunsigned(key, 40), F.lit(groups)).cast("int"))
     grouped = grouped.repartition(groups, "bucket").sortWithinPartitions("bucket")
-    found = grouped.mapInArrow(_trees(depth), "doc_id long, start int, end int")
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")).mapInArrow(_merged, "doc_id long, starts array<int>, ends array<int>")
+    found = grouped.mapInArrow(K.tidy(_trees(depth)), "doc_id long, start int, end int")
+    return found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")).mapInArrow(K.tidy(_merged), "doc_id long, starts array<int>, ends array<int>")
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,7 +352,7 @@ def dedup(docs: DataFrame, depth: int = DEPTH, texts: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     joined = docs.join(F.broadcast(spans) if fits else spans, "doc_id", "left").select("doc_id", "text", "starts", "ends")
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return joined.mapInArrow(K.tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,7 +122,7 @@ def nnpu(x: np.ndarray, n: int, prior: float, epochs: int = EPOCHS, step: float
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, prior: float | None = None) -> Model:
     """A model from the rows for which ``train`` holds. Without a prior, the share of toxic rows among the labels is it."""
-    rows = sample(docs, labels, train).mapInArrow(_pack, "positive boolean, names binary").toArrow()
+    rows = sample(docs, labels, train).mapInArrow(K.tidy(_pack), "positive boolean, names binary").toArrow()
     mark = np.array(rows.column("positive").to_numpy(zero_copy_only=False), bool)
     packed = [np.frombuffer(b, np.uint32) for b in rows.column("names").to_pylist()]
     order = np.argsort(~mark, kind="stable")
@@ -171,7 +171,7 @@ def _scorer(model: Model, keep: list[str]):
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of each text."""
-    return docs.select("doc_id", "text").mapInArrow(_scorer(model, ["doc_id"]), "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(K.tidy(_scorer(model, ["doc_id"])), "doc_id long, score double")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,5 +187,5 @@ def filter_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     model = fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), train)
     named = docs.withColumnsRenamed({c: f"_{c}" for c in docs.columns if c not in ("doc_id", "text")})
     schema = T.StructType([*named.schema.fields, T.StructField("score", T.DoubleType())])
-    kept = named.mapInArrow(_scorer(model, named.columns), schema).where("score < 0.5").drop("score")
+    kept = named.mapInArrow(K.tidy(_scorer(model, named.columns)), schema).where("score < 0.5").drop("score")
     return kept.toDF(*docs.columns)
