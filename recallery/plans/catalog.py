@@ -20,6 +20,7 @@ from recallery.operators import retrieve as R
 from recallery.plans import evaluate as E
 from recallery.schema import KS
 from recallery.sources.scratch import settle
+from recallery.sources.ship import ship
 
 Q = ["sample_id", "qa"]
 TIME = "1:56 pm on 8 May, 2023"
@@ -27,6 +28,7 @@ LEAST = extract.LEAST_LENGTH
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -331,6 +333,7 @@ def cache_miss(spark, sf_dir):
 
 
 def llm_json_parse(spark, sf_dir):
+    ship(spark)
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(MODEL_ANSWERS)], "i int, answer string")
     p = rows.select("i", extract.parsed("answer").alias("p"))
     return p.select("i", F.array_join(F.transform("p.items", lambda x: F.concat_ws("/", x["value"], x["type"])), ";").alias("items"), F.col("p.error").isNotNull().alias("failed"))
