@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recallery.sources.ship import ship
+
 #: Separators of a plain word, as in the contracts: space and the controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -27,6 +29,7 @@ _cuts = itertools.count(1)
 
 def small_batches(spark: SparkSession) -> None:
     """Batches between Spark and Python in MB, not tens of MB: they are held on both sides, for each core."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
