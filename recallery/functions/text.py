@@ -151,6 +151,12 @@ def date_words(text, anchor: Column, words=TIME_PHRASES, loose: bool = False) ->
     return out
 
 
+def time_words(text) -> Column:
+    """The known phrases that stand in a text, as written in lower case, in the order of the list."""
+    low = F.lower(F.coalesce(_col(text), F.lit("")))
+    return F.array_compact(F.array(*(F.when(low.rlike(rf"\b{p}\b"), p) for p in TIME_PHRASES)))
+
+
 def normalized(text, speaker, previous, date_time, words: list[str] | None = None, anchor: Column | None = None) -> Column:
     """Pronouns first, then dates. ``words`` replaces the known phrases by a list of one's own (inner spaces of the
     text may then be of any length). ``anchor`` is the date of ``date_time`` where it is at hand."""

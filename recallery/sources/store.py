@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recallery.functions import text as X
 from recallery.operators.graph import Graph
+from recallery.schema import ENTITY, ITEM, MEMORY, MEMORY_EDGE, MENTION
 
 TABLES = ("memory", "entity", "mention", "memory_edge")
 
@@ -86,6 +87,43 @@ def to_json(graph: Graph) -> DataFrame:
     return out.select("sample_id", F.concat(F.lit("{"), body, F.lit("}")).alias("graph"))
 
 
+def from_json(df: DataFrame) -> Graph:
+    """The graph of rows (sample_id, graph) that ``to_json`` gave; other edge types raise when read."""
+    tables = {}
+    for name, schema in zip(TABLES, (MEMORY, ENTITY, MENTION, MEMORY_EDGE), strict=True):
+        body = schema.removeprefix("sample_id string, ")
+        read = F.from_json(F.get_json_object("graph", f"$.{name}"), f"array<struct<{', '.join(f.strip().replace(' ', ':', 1) for f in _fields(body))}>>")
+        one = df.select("sample_id", F.explode(read).alias("x")).select("sample_id", "x.*")
+        if name in ("mention", "memory_edge"):
+            legal = ("mentions",) if name == "mention" else ("next", "prev")
+            kind = F.when(F.col("edge_type").isin(*legal), F.col("edge_type")).otherwise(F.raise_error(F.lit("edge type not allowed")).cast("string"))
+            one = one.withColumns({"edge_type": kind, "weight": F.when(F.coalesce("weight", F.lit(0.0)) == 0, 1.0).otherwise(F.col("weight"))})
+        tables[name] = one
+    return Graph(**tables)
+
+
+def _fields(body: str) -> list[str]:
+    """The fields of a schema text, commas inside types left alone."""
+    out, depth = [""], 0
+    for ch in body:
+        depth += (ch == "<") - (ch == ">")
+        if ch == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += ch
+    return out
+
+
+def entity_cache(spark: SparkSession, path: str) -> Cache:
+    """Extracted items by extractor version, model and text digest."""
+    return Cache(spark, path, f"version string, model string, text_digest string, items {ITEM}", ["version", "model", "text_digest"])
+
+
+def embedding_cache(spark: SparkSession, path: str) -> Cache:
+    """Vectors by model, role, dimension and text digest, so that dimensions can't mix."""
+    return Cache(spark, path, "text_digest string, model string, role string, dim int, vec array<float>", ["text_digest", "model", "role", "dim"])
+
+
 class Cache:
     """A content-addressed table in Parquet: rows are added only for keys it lacks; a key is found once."""
 

@@ -227,3 +227,40 @@ def test_pending(spark):
     asked = spark.createDataFrame([("s", i, ["a"]) for i in range(1, 5)], "sample_id string, qa int, context_ids array<string>")
     stored = spark.createDataFrame([("s", 1, ["a"], "x", 1.0), ("s", 2, ["b"], "x", 1.0), ("s", 3, ["a"], " ", 1.0), ("s", 4, ["a"], "x", None)], "sample_id string, qa int, context_ids array<string>, prediction string, token_f1 double")
     assert sorted(r["qa"] for r in E.pending(asked, stored).collect()) == [2, 3, 4]
+
+
+def test_jobs(spark, tmp_path):
+    from recallery.plans import jobs
+
+    turns = [{"dia_id": f"D1:{i}", "speaker": "AB"[i % 2], "text": t} for i, t in enumerate(["the remarkable elephants", "nothing here", "remarkable weather today", "fine"], 1)]
+    qa = [{"question": "what is remarkable", "answer": "elephants", "evidence": ["D1:1"], "category": 1}, {"question": "fine", "answer": "fine", "evidence": [], "category": 5}]
+    (tmp_path / "d.json").write_text(json.dumps([{"sample_id": "s1", "conversation": {"session_1": turns, "session_1_date_time": "8 May 2023"}, "qa": qa}]))
+    g = jobs.build_graphs(spark, str(tmp_path / "d.json"), str(tmp_path / "g"))
+    assert store.from_json(store.to_json(g)).mention.count() == g.mention.count()
+    q = jobs.embed_questions(store.questions(store.samples(spark, str(tmp_path / "d.json"))))
+    keys = spark.createDataFrame([("s1", 1, "remarkable")], "sample_id string, qa int, qkey string")
+    v = jobs.embed_memories(g)
+    rows = jobs.run_variant(g, q, keys, v, R.VARIANTS[1])
+    first = rows.where("qa = 1 and k = 5").first()
+    assert first["hit"] and 0 < first["token_f1"] <= 1 and rows.count() == 8
+    kept = rows.where("k = 5").select("sample_id", "qa", "context_ids", F.lit("elephants").alias("prediction"), F.lit(1.0).alias("token_f1"))
+    again = jobs.run_variant(g, q, keys, v, R.VARIANTS[1], checkpoint=kept)
+    assert again.where("qa = 1 and k = 5").first()["token_f1"] == 1.0
+    rolled = jobs.ablation(g, q, keys, v, R.VARIANTS[:2])
+    assert "gate" in jobs.summarize(rolled)[0] and {r["variant"] for r in rolled.collect()} == {"A", "B"}
+    assert jobs.retrieve_all(g, q, keys, v).count() == 2
+    p = spark.createDataFrame([("s1", "fine", "fine", ["D1:4"])], "sample_id string, question string, prediction string, ids array<string>")
+    f1, cut = jobs.score_frozen(p, q)
+    assert f1.where("category is null").first()["token_f1_pct"] == 100.0 and cut.count() == 0  # no gold: left out
+    done = jobs.answer_again(q.withColumn("context", F.lit("elephants")), lambda: E.first_line_reader)
+    assert done.where("qa = 1").first()["token_f1"] == 1.0 and done.first()["gate"] == "full_writeup"
+    unit = spark.createDataFrame([("s1", '{"session_1": {"A": [["remarkable elephants", "D1:1"]]}}', None)], "sample_id string, observation string, session_summary string")
+    per, overall = jobs.run_units(q, unit, "observation", 5)
+    assert per.where("qa = 1").first()["hit"] and overall.where("category is null").first()["n"] == 2
+
+
+def test_time_word_detection(spark):
+    from recallery.functions.text import time_words
+
+    df = spark.createDataFrame([("Yesterday, LAST WEEKEND and todays",)], "t string")
+    assert df.select(time_words("t")).first()[0] == ["yesterday", "last weekend"]
