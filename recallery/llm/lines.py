@@ -8,6 +8,10 @@ only propose, the bytes decide.
 Edge cases: a null text stays null and has no lines; an empty text is one empty line;
 chunks of a single line and chunks of blank lines only are kept; repeated rows with one
 doc_id count as one document and get one result each; other columns are not used.
+
+Chunks miss repeats: a repeated line next to differing ones may stand in a chunk that
+differs, or alone in one. ``op2_lines_whole`` has no chunks: every LEAST lines in a row
+whose bytes occur earlier are removed, wherever they stand.
 """
 
 from __future__ import annotations
@@ -92,3 +96,50 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def _mask(at: Column) -> Column:
+    """Sorted distinct places as an array of booleans, true at each of them."""
+    before = F.slice(F.concat(F.array(F.lit(-1)), at), 1, F.size(at))
+    return F.flatten(F.zip_with(at, before, lambda x, y: F.concat(F.array_repeat(F.lit(False), x - y - 1), F.array(F.lit(True)))))
+
+
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """(_key, at): where a window of LEAST lines starts that occurs earlier. ``docs``: doc_id, text, _key."""
+
+    def bodies(rows: DataFrame) -> DataFrame:
+        lines = rows.withColumn("_lines", F.split("text", "\n", -1))
+        n = F.greatest(F.size("_lines") - LEAST + 1, F.lit(0))
+        joined = F.slice("_lines", 1, n)
+        for j in range(1, LEAST):
+            joined = F.zip_with(joined, F.slice("_lines", j + 1, n), lambda x, y: F.concat(x, F.lit("\n"), y))
+        each = lines.select(*[c for c in rows.columns if c != "text"], F.posexplode(joined).alias("at", "body"))
+        return each.where(F.col("body").rlike(r"[^\s]")).withColumn("hash", F.xxhash64("body"))
+
+    # as in repeated(): hashes first, then the bytes of windows whose hash repeats
+    each = cut(bodies(docs).select("_key", "at", "hash"))
+    counts = each.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").select("hash")
+    asked = each.join(counts, "hash", "left_semi").groupBy("_key").agg(F.sort_array(F.collect_set("at")).alias("ats"))
+    asked = cut(asked.select("_key", _mask(F.col("ats")).alias("asked")))
+    some = cut(bodies(_with(docs, asked, "inner")).where(F.get("asked", F.col("at"))).select("doc_id", "_key", "at", "hash", "body"))
+    # all but the first occurrence of each byte string; the places are matched by document, so no hot string meets in one task
+    first = some.groupBy("hash", "body").agg(F.min(F.struct("doc_id", "_key", "at")).alias("first")).select("first._key", "first.at")
+    return some.select("_key", "at").distinct().join(first, ["_key", "at"], "left_anti")
+
+
+def dedup_windows(docs: DataFrame) -> DataFrame:
+    """All rows and columns of ``docs``, with kept_text, n_lines and n_removed; by windows of lines, not chunks."""
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("string"), "text"))
+    lost = repeated_windows(keyed.select("doc_id", "text", "_key")).select("_key", F.explode(F.array(*[F.col("at") + j for j in range(LEAST)])).alias("at"))
+    lost = lost.groupBy("_key").agg(F.sort_array(F.collect_set("at")).alias("ats"))
+    gone = cut(lost.select("_key", _mask(F.col("ats")).alias("_gone"), F.size("ats").cast("long").alias("_removed")))
+    whole = _with(keyed, gone, "left").withColumn("_lines", F.split("text", "\n", -1))
+    left = F.filter("_lines", lambda _, i: ~F.coalesce(F.get("_gone", i), F.lit(False)))
+    kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long")
+    return whole.select(*docs.columns, kept.alias("kept_text"), n.alias("n_lines"), F.coalesce("_removed", F.lit(0)).cast("long").alias("n_removed"))
+
+
+def op2_lines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = dedup_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

@@ -8,6 +8,7 @@ import importlib
 WHERE = {
     "op1_substrings": ("recallery.llm.substrings", "op1_substrings"),
     "op2_lines": ("recallery.llm.lines", "op2_lines"),
+    "op2_lines_whole": ("recallery.llm.lines", "op2_lines_whole"),
     "op3_sharding": ("recallery.llm.sharding", "op3_sharding"),
     "op4_mixing": ("recallery.llm.mixing", "op4_mixing"),
     "op5_pii": ("recallery.llm.pii", "op5_pii"),

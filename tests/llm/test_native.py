@@ -62,6 +62,37 @@ def test_lines_repeated_rows(spark):
     assert len(got) == 2 and all(r["n_removed"] == 0 and r["key"] == "clash" for r in got)
 
 
+def loop_windows(texts):
+    """Every two lines in a row that stood before are removed."""
+    out, seen = [], set()
+    for t in texts:
+        if t is None:
+            out.append((None, 0, 0))
+            continue
+        ls, gone = t.split("\n"), set()
+        for i in range(len(ls) - 1):
+            body = "\n".join(ls[i : i + 2])
+            if body.strip() and body in seen:
+                gone |= {i, i + 1}
+            seen.add(body)
+        out.append(("\n".join(x for i, x in enumerate(ls) if i not in gone), len(ls), len(gone)))
+    return out
+
+
+def test_lines_whole(spark):
+    block = "\n".join(f"shared line {i}" for i in range(12))
+    texts = [f"one\n{block}\nend", None, "", f"two\n\n{block}\nother end", "\n\n\n", "\n\n\n", f"{block}", "x" * 30_000 + "\n" + block, "tie\ns\nc\n\nsc", "tie\ns\nc\n\nsc", "r\nr\nr\nr", "shared line 3\nshared line 4", "shared line 3\nshared line 5", "alone"]
+    df = frame(spark, texts)
+    got = {r["doc_id"]: (r["kept_text"], r["n_lines"], r["n_removed"]) for r in L.dedup_windows(df).collect()}
+    assert [got[i] for i in range(len(texts))] == loop_windows(texts)
+    # a passage between differing lines goes whole; by chunks its ends stay
+    assert got[3][2] == got[7][2] == 12 and got[11][2] == 2 and got[12][2] == 0
+    assert {r["doc_id"]: r["n_removed"] for r in L.dedup_lines(df).collect()}[3] < 12
+    twice = L.dedup_windows(df.union(df)).collect()
+    assert len(twice) == 2 * len(texts) and all((r["kept_text"], r["n_lines"], r["n_removed"]) == got[r["doc_id"]] and r["key"] == "clash" for r in twice)
+    assert L.dedup_windows(df.limit(0)).count() == 0
+
+
 # --------------------------------------------------------------------- sharding
 
 
