@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
 Every source's text is one stream of words, its documents in a seeded order. The
-streams are cut into blocks of equal length. Sainte-Lague apportionment (highest
+streams are cut into blocks of equal length, of one word where a source holds few
+blocks. Sainte-Lague apportionment (highest
 quotients target / (2k + 1)) gives each source an integer number of blocks for each
 output shard; it is house monotone, so the quotas of the shards are differences of
 allocations that only grow. Which blocks a source gives is a seeded systematic
@@ -24,6 +25,8 @@ from recallery.llm.common import table, words
 
 #: Words in a block, output shards, and how often a source may be repeated.
 BLOCK, SHARDS, REPEATS, SEED = 32, 16, 3, "mix-0"
+#: Sources below so many blocks are dealt in blocks of a word: a last block that is not full would weigh too much there.
+FINE = 64
 
 
 def targets(sources: DataFrame, repeats: int = REPEATS) -> DataFrame:
@@ -49,25 +52,41 @@ def targets(sources: DataFrame, repeats: int = REPEATS) -> DataFrame:
     return found.select("source", "n", "w", "rank", F.coalesce(F.least(share, most), most).alias("target"))
 
 
-def apportion(votes: DataFrame, block: int = BLOCK, shards: int = SHARDS) -> DataFrame:
+def apportion(votes: DataFrame, block: int = BLOCK, shards: int = SHARDS, fine: int = 0, repeats: int = REPEATS) -> DataFrame:
     """(source, shard, quota): blocks of each source in each output shard.
 
-    With a divisor a little above total / seats, rounding target / divisor gives
-    seats that the highest quotients certainly include, and at most about 1.5 seats
-    for each source remain; only the next few quotients of each source are ranked
-    for those. So no row is made for each seat, however many blocks there are.
+    Sources below ``fine`` blocks are apportioned among themselves, in blocks of a word.
+    No source gets more than ``repeats`` times its blocks; further seats go to the next
+    highest quotients. Two divisors around the exact one bracket the seats: rounding
+    target / divisor up to the limit differs from the exact quotient by half a seat at
+    most, so water levels as in targets() give them. What the larger divisor gives is
+    certain; only the quotients between both, about two for each source, are ranked.
+    So no row is made for each seat, however many blocks there are.
     """
-    whole = W.Window.orderBy(F.lit(0)).rowsBetween(W.Window.unboundedPreceding, W.Window.unboundedFollowing)
-    sized = votes.select("source", "rank", "target", F.sum("target").over(whole).alias("total"), F.count("*").over(whole).alias("count"))
-    houses = sized.withColumn("house", F.explode(F.sequence(F.lit(1), F.lit(shards))))
-    houses = houses.withColumn("seats", F.floor(F.col("total") / block * F.col("house") / shards + 0.5).cast("long"))
-    quota = F.when(F.col("total") > 0, F.col("target") / F.col("total") * F.col("seats")).otherwise(0.0)
-    sure = F.when(F.col("seats") >= F.col("count"), F.floor(quota / (1 + F.col("count") / F.col("seats")) + 0.5)).otherwise(0).cast("long")
-    more = F.when((F.col("total") > 0) & (F.col("target") > 0), F.least(F.ceil(quota * (1 + F.col("count") / (2 * F.greatest("seats", F.lit(1)))) - F.col("sure")) + 2, F.col("seats"))).otherwise(0)
-    based = houses.withColumn("quota", quota).withColumn("sure", sure).withColumn("more", more.cast("int"))
-    each = W.Window.partitionBy("house")
-    based = based.withColumn("left", F.col("seats") - F.sum("sure").over(each))
-    tried = based.where("more > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("more") - 1)).alias("k"))
+    unit = F.when(F.col("n") < block * fine, 1).otherwise(block)
+    whole = W.Window.partitionBy("unit")
+    sized = votes.select("source", "rank", "target", unit.alias("unit"), (F.ceil(F.col("n") / unit) * repeats).cast("long").alias("most"))
+    houses = sized.withColumn("total", F.sum("target").over(whole)).withColumn("house", F.explode(F.sequence(F.lit(1), F.lit(shards))))
+    houses = houses.withColumn("seats", F.floor(F.col("total") / F.col("unit") * F.col("house") / shards + 0.5).cast("long"))
+    each = W.Window.partitionBy("unit", "house")
+    asks = F.col("target") > 0
+
+    def bracket(rows: DataFrame, name: str, half: float) -> DataFrame:
+        """Seats at the level x where the sum of least(target x + half, most) over the sources is the number of seats."""
+        full = (F.col("most") - half) / F.when(asks, F.col("target"))
+        fills = each.orderBy(full.asc_nulls_last(), "rank")
+        before, onward = fills.rowsBetween(W.Window.unboundedPreceding, -1), fills.rowsBetween(W.Window.currentRow, W.Window.unboundedFollowing)
+        left = F.col("seats") - F.coalesce(F.sum(F.when(asks, F.col("most"))).over(before), F.lit(0)) - half * F.sum(asks.cast("long")).over(onward)
+        level = rows.withColumn("_x", F.when(asks, left / F.sum(F.when(asks, F.col("target"))).over(onward))).withColumn("_open", F.col("_x") < full)
+        level = level.withColumn("_at", F.first(F.when(F.col("_open"), F.col("_x")), ignorenulls=True).over(fills.rowsBetween(W.Window.unboundedPreceding, W.Window.unboundedFollowing)))
+        # a hair to the safe side, for rounding
+        got = F.floor(F.col("target") * F.col("_at") * (1 - half * 2e-9) + 0.5)
+        got = F.least(F.greatest(F.coalesce(got, F.col("most")), F.lit(0)), "most")
+        return level.withColumn(name, F.when(asks, got).otherwise(0).cast("long")).drop("_x", "_open", "_at")
+
+    based = bracket(bracket(houses, "sure", 0.5), "likely", -0.5)
+    based = based.withColumn("more", F.least(F.col("likely") - F.col("sure"), "seats").cast("int")).withColumn("left", F.col("seats") - F.sum("sure").over(each))
+    tried = based.where("more > 0 and left > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("more") - 1)).alias("k"))
     quotient = F.col("target") / (2 * (F.col("sure") + F.col("k")) + 1)
     ranked = tried.withColumn("place", F.row_number().over(each.orderBy(quotient.desc(), "rank")))
     extra = ranked.where("place <= left").groupBy("house", "rank").agg(F.count("*").alias("extra"))
@@ -89,11 +108,12 @@ def mix(sized: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: str =
     order = W.Window.partitionBy("_key").orderBy("_piece").rowsBetween(W.Window.unboundedPreceding, -1)
     starts = pieces.select("_key", "_piece", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("_start"))
     votes = targets(pieces.groupBy("_key").agg(F.first("source").alias("source"), F.sum("n").alias("n")))
-    quotas = apportion(votes, block, shards).groupBy("rank").agg(F.sum("quota").alias("q"))
+    quotas = apportion(votes, block, shards, FINE).groupBy("rank").agg(F.sum("quota").alias("q"))
     first = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce("source", F.lit("")))), 1, 8), 16, 10).cast("long")
-    blocks = F.greatest(F.ceil(F.col("n") / block), F.lit(1)).cast("long")
+    unit = F.when(F.col("n") < block * FINE, 1).otherwise(block).cast("long")
+    blocks = F.greatest(F.ceil(F.col("n") / unit), F.lit(1)).cast("long")
     key = F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("source")))
-    plan = votes.join(quotas, "rank").select(key.alias("_key"), F.col("n").alias("source_size"), "target", "q", blocks.alias("_blocks"), F.pmod(first, blocks).alias("_seed"))
+    plan = votes.join(quotas, "rank").select(key.alias("_key"), F.col("n").alias("source_size"), "target", "q", unit.alias("_unit"), blocks.alias("_blocks"), F.pmod(first, blocks).alias("_seed"))
     within = W.Window.partitionBy("_key", "_piece").orderBy("_h", "doc_id", "size")
     run = F.sum("size").over(within.rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)) - F.col("size")
     # the documents are already dealt by these keys, so only the short table of starts moves
@@ -103,8 +123,8 @@ def mix(sized: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: str =
         """Words that the choice takes of the first x: of the first b blocks it takes (b q + s) div blocks, from a seeded s."""
         wide = "decimal(19,0)"
         full = lambda b: F.call_function("div", b.cast(wide) * F.col("q").cast("decimal(18,0)") + F.col("_seed").cast("decimal(18,0)"), F.col("_blocks").cast(wide))
-        b = F.floor(x / F.lit(block)).cast("long")
-        return full(b) * block + F.pmod(x, F.lit(block)) * (full(b + 1) - full(b))
+        b = F.floor(x / F.col("_unit")).cast("long")
+        return full(b) * F.col("_unit") + F.pmod(x, F.col("_unit")) * (full(b + 1) - full(b))
 
     at = F.col("_start") + F.col("_run")
     taken = F.when(F.col("size") > 0, upto(at + F.col("size")) - upto(at)).otherwise(0)

@@ -187,6 +187,27 @@ def test_mix(spark):
     assert {r["taken"] for r in M.mix(df.withColumn("size", F.lit(0).cast("long"))).collect()} == {0}
 
 
+def test_mix_of_small_sources(spark):
+    rows = [(i, "big", 200) for i in range(1000)] + [(2000 + i, "m1", 9) for i in range(100)] + [(3000 + i, "m2", 10) for i in range(100)] + [(10_000 + i, f"s{i:05d}", 5) for i in range(2000)]
+    got = M.mix(spark.createDataFrame(rows, "doc_id long, source string, size long")).collect()
+    assert len(got) == len(rows) and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    by, target = {}, {}
+    for r in got:
+        by[r["source"]] = by.get(r["source"], 0) + r["taken"]
+        target[r["source"]] = r["target"]
+    assert all(abs(by[s] - target[s]) <= (3 * M.BLOCK if s == "big" else 1) for s in by)
+
+
+def test_seats_stop_at_the_limit(spark):
+    rows = [("full", 100, 0, 300.0)] + [(f"s{i}", 1 + i % 2, i + 1, 1.4) for i in range(1000)]
+    got = {}
+    for r in M.apportion(spark.createDataFrame(rows, "source string, n long, rank int, target double"), 1, 2).collect():
+        assert r["quota"] >= 0
+        got[r["source"]] = got.get(r["source"], 0) + r["quota"]
+    # by the highest quotients alone "full" gets 321 seats, beyond 3 times its words
+    assert got == {"full": 300} | {f"s{i}": 2 if i < 400 else 1 for i in range(1000)}
+
+
 def test_sizes(spark):
     assert [r["size"] for r in M.sizes(frame(spark, [None, "", " a b  c\t\x0bd ", "x"])).orderBy("doc_id").collect()] == [0, 0, 3, 1]
 
