@@ -198,8 +198,10 @@ def bm25_soft_match(spark, sf_dir):
 
 
 def bm25_porter(spark, sf_dir):
-    asked = load(spark, sf_dir, "benchmark").select(F.lit("en").alias("sample_id"), X.entity_key("text").alias("qkey")).where("qkey <> ''").distinct()
-    found = lexical.match_keys(lexical.index(_corpus(spark, sf_dir), "porter"), asked, profile="porter")
+    corpus = _corpus(spark, sf_dir)
+    # every key in every sample: the benchmark has no language of its own
+    asked = load(spark, sf_dir, "benchmark").select(X.entity_key("text").alias("qkey")).where("qkey <> ''").distinct().crossJoin(corpus.select("sample_id").distinct())
+    found = lexical.match_keys(lexical.index(corpus, "porter"), asked.select("sample_id", "qkey"), profile="porter")
     return found.select(X.digest("qkey").alias("qkey_digest"), "doc", F.round("score", 6).alias("score"))
 
 

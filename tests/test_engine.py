@@ -7,6 +7,7 @@ from recallery import schema
 from recallery.operators import dense, extract, lexical, units
 from recallery.operators import graph as G
 from recallery.operators import retrieve as R
+from recallery.plans import catalog
 from recallery.plans import evaluate as E
 from recallery.sources import store
 from recallery.streaming import incremental
@@ -264,3 +265,11 @@ def test_time_word_detection(spark):
 
     df = spark.createDataFrame([("Yesterday, LAST WEEKEND and todays",)], "t string")
     assert df.select(time_words("t")).first()[0] == ["yesterday", "last weekend"]
+
+
+def test_bm25_porter_asks_every_language(spark, tmp_path):
+    docs = [(1, "running horses jump fences", "en"), (2, "running horses jump fences", "fr"), (3, "other words stand here", "fr"), (4, "running horses jump fences", None), (5, "other words stand here", "en"), (6, "other words stand here", None), (7, "third of many", "en"), (8, "third of many", "fr"), (9, "third of many", None)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, "horse run")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = catalog.bm25_porter(spark, str(tmp_path)).collect()
+    assert {r["doc"]: r["score"] for r in got} == {"1": 1.0, "2": 1.0, "4": 1.0}
