@@ -5,13 +5,16 @@ from __future__ import annotations
 
 import gc
 import itertools
-import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recallery.llm.kernels import tidy
+from recallery.sources import scratch
 from recallery.sources.ship import ship
 
 #: Separators of a plain word, as in the contracts: space and the controls 9 to 13.
@@ -21,8 +24,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Rows of a batch that goes to a Python worker: texts of some thousand bytes make a few MB.
 BATCH_ROWS = 1000
 
-#: Edges of a file of an intermediate edge list, about.
-EDGES_OF_A_FILE = 100_000
+#: Edges of a file of an intermediate edge list, about; edges that a task joins at a time; share of the edges that makes a node a hub.
+EDGES_OF_A_FILE, EDGES_AT_ONCE, HUB_SHARE = 100_000, 1_000_000, 1000
 
 _cuts = itertools.count(1)
 
@@ -43,21 +46,11 @@ def words(text: Column, separators: str = SPACE) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), separators), lambda w: w != "")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="recallery-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write a table into the shared folder and read it back: its lineage ends there,
     and the loss of an executor costs nothing that was computed before."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/recallery/{uuid.uuid4().hex}"
+    path = f"{scratch.folder(spark)}/{uuid.uuid4().hex}"
     small_batches(spark)
     df.write.parquet(path)
     if next(_cuts) % 8 == 0:
@@ -82,34 +75,77 @@ def release(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A star (u, v), v the smallest node, for each set of nodes that a task's edges join, EDGES_AT_ONCE edges at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def out():
+        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        a, b, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+        while (label[a] != label[b]).any():
+            low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+            np.minimum.at(label, high, low)
+            while (label[label] != label).any():
+                label = label[label]
+        leaf = np.flatnonzero(label != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[leaf]), pa.array(nodes[label[leaf]])], names=["u", "v"])
+
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        size += batch.num_rows
+        if size > EDGES_AT_ONCE:
+            yield out()
+            held, size = [], 0
+    if size:
+        yield out()
+
+
+def _least(edges: DataFrame) -> tuple[DataFrame, int, bool]:
+    """(u, m, d): the smallest neighbour and the number of neighbours of each u, the number of edges, and whether the edges, given both ways, are stars around their smallest nodes."""
+    low = cut(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")))
+    told = low.agg(F.sum("d"), F.count_if(~((F.col("m") > F.col("u")) | (F.col("d") == 1)))).first()
+    return low, told[0] or 0, not told[1]
+
+
+def _to_least(edges: DataFrame, low: DataFrame, n: int) -> DataFrame:
+    """Edges (u, v) with m, the smallest neighbour of u. The m of hubs, nodes with more than a HUB_SHARE-th of
+    all edges and so at most HUB_SHARE of them, is broadcast, so their edges don't meet in one task."""
+    most = max(n // HUB_SHARE, 64)
+    hubs = low.where(F.col("d") > most).select("u", F.col("m").alias("hm"))
+    marked = edges.join(F.broadcast(hubs), "u", "left")
+    # an edge of a hub needs no partner: it goes by its other end
+    known = F.col("hm").isNotNull()
+    marked = marked.select("u", "v", "hm", known.alias("hub"), F.when(known, F.xxhash64("v")).otherwise(F.col("u")).alias("key"))
+    rest = low.where(F.col("d") <= most).select(F.lit(False).alias("hub"), F.col("u").alias("key"), "m")
+    return marked.join(rest, ["hub", "key"], "left").select("u", "v", F.coalesce("hm", "m").alias("m"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each node reaches, over an edge list.
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014). Minima are
-    pre-aggregated before each shuffle and the edges joined back, so a hub's edges
-    can be split over tasks; nothing is collected. Nodes without an edge don't appear.
+    Each task joins its edges into stars first. Then alternating large-star and small-star
+    steps (Kiveris et al., 2014) until all that is left are stars around smallest nodes. Minima are
+    pre-aggregated before each shuffle, and those of hubs broadcast to their edges, so a hub's edges
+    stay spread over the tasks; nothing is collected. Nodes without an edge don't appear.
     """
-    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    now = cut(pairs)
-    seen = None
+    pairs = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
+    now = cut(pairs.mapInArrow(tidy(_forests), "u long, v long"))
     while True:
-        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        smaller = small.where("u <> v").distinct()
-        if seen:
-            # few edges need few files
-            smaller = smaller.coalesce(max(4, seen[0] // EDGES_OF_A_FILE + 1))
-        after = cut(smaller)
+        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+        low, n, done = _least(both)
+        if done:
+            drop(now)
+            return low.select(F.col("u").alias("node"), F.least("u", "m").alias("component"))
+        # few edges need few files
+        files = max(4, n // EDGES_OF_A_FILE + 1)
+        large = _to_least(both, low, n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        large = cut(large.where("u <> v").distinct().coalesce(files))
         drop(now)
-        now = after
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            break
-        seen = mark
-    low = now.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    roots = now.select(F.col("v").alias("node")).distinct().join(low.select("node"), "node", "left_anti")
-    return low.unionByName(roots.withColumn("component", F.col("node")))
+        drop(low)
+        low, n, _ = _least(large)
+        small = _to_least(large, low, n).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        now = cut(small.where("u <> v").distinct().coalesce(files))
+        drop(large)
+        drop(low)

@@ -9,18 +9,23 @@ built whole:
    which depends on nothing outside the window. Only windows whose anchor occurs twice
    anywhere can repeat. Fingerprints are compared in packed pieces, a row for each task
    and bucket; a task sends each fingerprint once, however often it holds it.
-2. Suffixes that start at the windows of such anchors go to groups by a prefix of the
-   anchor's fingerprint, neighbours together (so each word is sent about four times, not
-   DEPTH times). A group with more than GROUP suffixes is split by longer prefixes until
-   its parts fit. Equal stretches within a task are sent once, the others are repeats.
-3. In each part the suffixes are sorted with their longest common prefixes, which gives
-   the subtree; under each internal node DEPTH words deep all leaves but the first mark
-   repeats. Runs of marked words are the parts of maximal repeats to remove.
+2. Suffixes go to groups by a prefix of variable length. It is GRAM words long, the
+   anchor, in general; neighbouring suffixes have one anchor and travel together, so each
+   word is sent about four times and not DEPTH times. A prefix with more than GROUP / 4
+   occurrences in all is extended to DEPTH words: each of its suffixes goes by its own
+   whole window, so one frequent phrase with many surroundings is spread over the tasks.
+   Equal stretches within a task are sent once, the others are repeats.
+3. In each group the words are numbered by their bytes and the suffixes sorted with their
+   longest common prefixes, which gives the subtree; under each internal node DEPTH words
+   deep all leaves but the first mark repeats. Runs of marked words are the maximal
+   repeats to remove.
 
 Edge cases: null and empty texts have no words; texts shorter than DEPTH words lose
-nothing; rows that share a doc_id are one document with shared positions; rows without a
-doc_id are kept whole and earlier than nothing; ties don't arise, since the first leaf is
-the smallest (doc_id, start); other columns are not used.
+nothing; very long texts and words are taken whole, a text in one task; rows that share a
+doc_id are one document with shared positions; rows without a doc_id are kept whole and
+earlier than nothing; ties don't arise, since the first leaf is the smallest (doc_id,
+start); an empty table gives an empty result; other columns, whatever their names, are not
+used.
 """
 
 from __future__ import annotations
@@ -40,10 +45,12 @@ from recallery.llm.common import cut, table
 DEPTH, GRAM = 20, 8
 #: Suffixes of one subtree, anchors packed at a time, and bytes of text for each bucket.
 GROUP, PACKED, BUCKET_BYTES = 200_000, 1_500_000, 16 << 20
+#: Buckets and tasks of a shuffle at most; beyond, a task reads several buckets, one after another.
+MOST_BUCKETS, MOST_TASKS = 400_000, 50_000
 #: Stretches looked through for repeats before they are sent.
 LOCAL = 120_000
-#: Runs to remove up to which their table is broadcast.
-BROADCAST_RUNS = 1_000_000
+#: Runs to remove, and frequent anchors, up to which their table is broadcast.
+BROADCAST_RUNS, BROADCAST_ANCHORS = 1_000_000, 1_000_000
 
 
 def owners(h: np.ndarray, row: np.ndarray, depth: int = DEPTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -87,15 +94,17 @@ def _anchors(depth: int, buckets: int):
             twice[:-1] |= ~new[1:]
             bucket = (prints[new] >> K.U(40)) % K.U(buckets)
             firsts = np.flatnonzero(new)
+            times = np.diff(np.append(firsts, len(prints))).astype(np.int32)
             by = np.argsort(bucket, kind="stable")
-            ends = np.searchsorted(bucket[by], np.arange(buckets + 1, dtype=K.U))
-            rows = [(b, firsts[by[ends[b] : ends[b + 1]]]) for b in range(buckets) if ends[b] < ends[b + 1]]
-            pack = lambda x: pa.array([x[at].tobytes() for _, at in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pack(prints), pack(docs), pack(places)], names=["bucket", "prints", "docs", "places"])
+            found, begin = np.unique(bucket[by], return_index=True)
+            rows = np.split(by, begin[1:])
+            pack = lambda x: pa.array([x[at].tobytes() for at in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pack(prints[firsts]), pack(times), pack(docs[firsts]), pack(places[firsts])], names=["bucket", "prints", "times", "docs", "places"])
             if twice.any():
                 # already known to repeat; sent on by document
                 one = np.flatnonzero(twice)
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([None], pa.binary()), pa.array([docs[one].tobytes()], pa.binary()), pa.array([places[one].tobytes()], pa.binary())], names=["bucket", "prints", "docs", "places"])
+                none = pa.array([None], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), none, none, pa.array([docs[one].tobytes()], pa.binary()), pa.array([places[one].tobytes()], pa.binary())], names=["bucket", "prints", "times", "docs", "places"])
 
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -112,52 +121,49 @@ def _anchors(depth: int, buckets: int):
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, anchor) of fingerprints that come from two pieces at least."""
+_ANCHOR = "doc_id long, place long, print long"
 
-    def rows(docs, places):
-        for k in range(0, len(docs), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(docs[k : k + 50_000]), pa.array(places[k : k + 50_000].astype(np.int64))], names=["doc_id", "place"])
 
+def _shared(most: int):
+    """(doc_id, anchor) of fingerprints that occur twice at least, and the fingerprints that occur more often than ``most`` (without a doc_id)."""
     from recallery.llm.jaccard import runs
 
-    def known(batches):
-        for batch in batches:
-            mark = np.array(batch.column("bucket")) < 0
-            for i in np.flatnonzero(mark):
-                yield from rows(np.frombuffer(batch.column("docs")[int(i)].as_py(), np.int64), np.frombuffer(batch.column("places")[int(i)].as_py(), np.int32))
-            if not mark.all():
-                yield batch.filter(pa.array(~mark))
-
-    def rest():
-        for batch in known(batches):
-            if "bucket" in batch.schema.names:
-                yield ("parts", batch)
-            else:
-                yield ("rows", batch)
+    def rows(docs, places):
+        for k in range(0, len(docs), 50_000):
+            part = docs[k : k + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(places[k : k + 50_000].astype(np.int64)), pa.nulls(len(part), pa.int64())], names=["doc_id", "place", "print"])
 
-    ready: list[pa.RecordBatch] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready: list[pa.RecordBatch] = []
 
-    def parts():
-        for kind, batch in rest():
-            if kind == "rows":
-                ready.append(batch)
-            else:
-                yield batch
+        def parts():
+            for batch in batches:
+                mark = np.array(batch.column("bucket")) < 0
+                for i in np.flatnonzero(mark):
+                    ready.extend(rows(np.frombuffer(batch.column("docs")[int(i)].as_py(), np.int64), np.frombuffer(batch.column("places")[int(i)].as_py(), np.int32)))
+                yield batch.filter(pa.array(~mark))
 
-    for part in runs(parts(), "bucket"):
+        for part in runs(parts(), "bucket"):
+            yield from ready
+            ready.clear()
+            whole = lambda name, kind: np.concatenate([np.frombuffer(b, kind) for b in part.column(name).to_pylist()])  # noqa: B023, E731
+            prints = whole("prints", K.U)
+            order = np.argsort(prints, kind="stable")
+            prints = prints[order]
+            twice = np.zeros(len(prints), bool)
+            same = prints[1:] == prints[:-1]
+            twice[1:] |= same
+            twice[:-1] |= same
+            at = order[twice]
+            yield from rows(whole("docs", np.int64)[at], whole("places", np.int32)[at])
+            first = np.flatnonzero(np.concatenate([[True], ~same]))
+            often = prints[first[np.add.reduceat(whole("times", np.int32)[order].astype(np.int64), first) > most]]
+            if len(often):
+                none = pa.nulls(len(often), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(often.view(np.int64))], names=["doc_id", "place", "print"])
         yield from ready
-        ready.clear()
-        prints = np.concatenate([np.frombuffer(b, K.U) for b in part.column("prints").to_pylist()])
-        order = np.argsort(prints, kind="stable")
-        prints = prints[order]
-        twice = np.zeros(len(prints), bool)
-        same = prints[1:] == prints[:-1]
-        twice[1:] |= same
-        twice[:-1] |= same
-        at = order[twice]
-        yield from rows(np.concatenate([np.frombuffer(b, np.int64) for b in part.column("docs").to_pylist()])[at], np.concatenate([np.frombuffer(b, np.int32) for b in part.column("places").to_pylist()])[at])
-    yield from ready
+
+    return run
 
 
 _STRETCH = "print long, doc_id long, start int, windows int, body binary"
@@ -213,6 +219,27 @@ def _stretches(depth: int):
     return run
 
 
+def _windows(depth: int):
+    """Stretches of frequent anchors as windows, each under a print of its own; the others as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hot = batch.column("hot").to_numpy(zero_copy_only=False) & ~batch.column("body").is_null().to_numpy(zero_copy_only=False)
+            plain = batch.select(["print", "doc_id", "start", "windows", "body"])
+            yield plain.filter(pa.array(~hot))
+            out = []
+            for i in np.flatnonzero(hot):
+                doc, start, n, body = (plain.column(c)[int(i)].as_py() for c in ("doc_id", "start", "windows", "body"))
+                words = body.split(b" ")
+                for k in range(n):
+                    one = b" ".join(words[k : k + depth])
+                    out.append((int.from_bytes(hashlib.blake2b(one, digest_size=8).digest(), "little", signed=True), doc, start + k, 1, one))
+            for k in range(0, len(out), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[k : k + 20_000], strict=True), plain.schema, strict=True)], schema=plain.schema)
+
+    return run
+
+
 def subtree(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes (rows of word numbers, as many columns as the tree is deep) in order, and the
     longest common prefix of each with the one before it."""
@@ -227,16 +254,16 @@ def deep_nodes(common: np.ndarray, depth: int) -> np.ndarray:
     return np.cumsum(common < depth)
 
 
-def _mark(prints: np.ndarray, docs: np.ndarray, starts: np.ndarray, counts: np.ndarray, bodies: list[bytes], depth: int, bits: int = 0) -> list[tuple[int, int, int]]:
+def _mark(prints: np.ndarray, docs: np.ndarray, starts: np.ndarray, counts: np.ndarray, bodies: list[bytes], depth: int, group: int = GROUP, bits: int = 0) -> list[tuple[int, int, int]]:
     """(doc_id, first word, end) of the repeats among stretches of a group."""
-    if counts.sum() > GROUP and bits < 40 and (prints != prints[0]).any():
+    if counts.sum() > group and bits < 40 and (prints != prints[0]).any():
         # a longer prefix of the fingerprint
         side = (prints >> K.U(bits)) & K.U(1)
         out = []
         for k in (0, 1):
             at = np.flatnonzero(side == k)
             if len(at):
-                out += _mark(prints[at], docs[at], starts[at], counts[at], [bodies[i] for i in at], depth, bits + 1)
+                out += _mark(prints[at], docs[at], starts[at], counts[at], [bodies[i] for i in at], depth, group, bits + 1)
         return out
     if len(prints) < 2:
         return []
@@ -244,7 +271,7 @@ def _mark(prints: np.ndarray, docs: np.ndarray, starts: np.ndarray, counts: np.n
     edge = np.concatenate([[0], np.cumsum([len(b) + 1 for b in bodies])])
     edge[-1] -= 1
     row, begin, end = K.split(data, edge)
-    _, number = np.unique(K.word_hashes(data, begin, end), return_inverse=True)
+    number = K.numbered(data, begin, end)
     first = np.searchsorted(row, np.arange(len(bodies)))
     at = np.repeat(first, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     doc = np.repeat(docs, counts)
@@ -268,7 +295,7 @@ def _mark(prints: np.ndarray, docs: np.ndarray, starts: np.ndarray, counts: np.n
     return list(zip(doc[at].tolist(), place[at].tolist(), (place[last] + depth).tolist(), strict=True)) if len(at) else []
 
 
-def _trees(depth: int):
+def _trees(depth: int, group: int):
     from recallery.llm.jaccard import runs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,30 +306,37 @@ def _trees(depth: int):
             at = np.flatnonzero(~known)
             if len(at):
                 bodies = part.column("body").take(pa.array(at)).to_pylist()
-                found += _mark(part.column("print").to_numpy().view(K.U)[at], docs[at], starts[at], counts[at], bodies, depth)
+                found += _mark(part.column("print").to_numpy().view(K.U)[at], docs[at], starts[at], counts[at], bodies, depth, group)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "start", "end"])
 
     return run
 
 
-def repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+def repeats(docs: DataFrame, depth: int = DEPTH, group: int = GROUP) -> DataFrame:
     """(doc_id, starts, ends): runs of words to remove, in order, ends exclusive."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(8, -(-size // BUCKET_BYTES))
+    buckets = min(max(8, -(-size // BUCKET_BYTES)), MOST_BUCKETS)
     docs = docs.where("doc_id is not null")
-    packed = docs.mapInArrow(K.tidy(_anchors(depth, buckets)), "bucket int, prints binary, docs binary, places binary")
+    packed = docs.mapInArrow(K.tidy(_anchors(depth, buckets)), "bucket int, prints binary, times binary, docs binary, places binary")
     # repeats known within a task (bucket -1) are dealt over all tasks
     to = F.when(F.col("bucket") < 0, F.xxhash64("docs")).otherwise(F.col("bucket").cast("long"))
-    dealt = packed.withColumn("to", to).repartition(buckets, "to").sortWithinPartitions("bucket").drop("to")
-    wanted = dealt.mapInArrow(K.tidy(_shared), "doc_id long, place long").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    dealt = packed.withColumn("to", to).repartition(min(buckets, MOST_TASKS), "to").sortWithinPartitions("bucket").drop("to")
+    shared = cut(dealt.mapInArrow(K.tidy(_shared(group // 4)), _ANCHOR))
+    wanted = shared.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
     joined = docs.join(wanted, "doc_id").select("doc_id", "text", "places")
     sent = joined.mapInArrow(K.tidy(_stretches(depth)), _STRETCH)
+    hot = shared.where("print is not null").select("print", F.lit(True).alias("hot"))
+    often = hot.limit(BROADCAST_ANCHORS + 1).count()
+    if often:
+        side = F.broadcast(hot) if often <= BROADCAST_ANCHORS else hot
+        marked = sent.join(side, "print", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+        sent = marked.select("print", "doc_id", "start", "windows", "body", "hot").mapInArrow(K.tidy(_windows(depth)), _STRETCH)
     key = F.when(F.col("body").isNull(), F.xxhash64("doc_id")).otherwise(F.col("print"))
     groups = 4 * buckets
     grouped = sent.withColumn("bucket", F.pmod(F.shiftrightunsigned(key, 40), F.lit(groups)).cast("int"))
-    grouped = grouped.repartition(groups, "bucket").sortWithinPartitions("bucket")
-    found = grouped.mapInArrow(K.tidy(_trees(depth)), "doc_id long, start int, end int")
+    grouped = grouped.repartition(min(groups, MOST_TASKS), "bucket").sortWithinPartitions("bucket")
+    found = grouped.mapInArrow(K.tidy(_trees(depth, group)), "doc_id long, start int, end int")
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")).mapInArrow(K.tidy(_merged), "doc_id long, starts array<int>, ends array<int>")
 
 
@@ -334,10 +368,10 @@ def kept_words(text: str | None, starts: list[int] | None, ends: list[int] | Non
     return len(words), out + words[done:]
 
 
-def dedup(docs: DataFrame, depth: int = DEPTH, texts: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, depth: int = DEPTH, texts: bool = True, group: int = GROUP) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row and, unless turned off, kept_text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spans = cut(repeats(docs, depth))
+    spans = cut(repeats(docs, depth, group))
     fits = (spans.agg(F.sum(F.size("starts") + 1)).first()[0] or 0) <= BROADCAST_RUNS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
