@@ -17,10 +17,17 @@ task holds an unbounded group. Equal sets are one class with one representative
 throughout. Within a task, pairs that are joined already are not looked at again, since
 links only serve to join.
 
+Shingles are compared as 64-bit hashes. A class is told by the size of its set and sums of
+two independent hashes; where two classes agree in all first hashes, at least one shingle
+differs by the second, so one is not counted.
+
 Edge cases: null and empty texts and texts without words have an empty set, link with
 nothing and are their own component; texts of fewer than WORDS words have one shingle;
-rows that share a doc_id are one node; extra columns are not used; an empty table gives an
-empty result.
+very long texts are taken whole, the set of one in one task; rows that share a doc_id are one
+node: each of their texts links, with its own n_shingles, and all get one component; rows
+without a doc_id link with nothing and have a null component; ties don't arise, as a
+component is named by its smallest doc_id; extra columns, whatever their names, are not
+used; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -82,20 +89,24 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return token[order], n[order]
 
 
+def _sums(r: np.ndarray, s: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The size of each row's set, and a sum over its tokens."""
+    n = np.bincount(r, minlength=rows)
+    ends = np.cumsum(n)
+    total = np.concatenate([np.zeros(1, K.U), np.cumsum(K.mix(s + K.U(1)), dtype=K.U)])
+    return n, (total[ends] - total[ends - n]).view(np.int64)
+
+
 def _sets(known: tuple[np.ndarray, np.ndarray]):
-    """doc_id, n, two 64-bit sums that identify the set, its prefix tokens and its count vector."""
+    """doc_id, n, sums over two hashes that identify the set, its prefix tokens and its count vector."""
     tokens, counts = known
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
-            for first, rows, r, s in K.shingle_sets(batch.column("text"), WORDS):
-                raw, n = s, np.bincount(r, minlength=rows)
+            for first, rows, r, s, other in K.shingle_sets(batch.column("text"), WORDS, seeds=2):
+                raw, (n, k1), k2 = s, _sums(r, s, rows), _sums(r, other, rows)[1]
                 ends = np.cumsum(n)
-                sums = []
-                for salt in (K.U(1), K.U(0x5DEECE66D)):
-                    total = np.concatenate([np.zeros(1, K.U), np.cumsum(K.mix(s + salt), dtype=K.U)])
-                    sums.append((total[ends] - total[ends - n]).view(np.int64))
                 weight = np.zeros(len(s), np.int64)
                 if len(tokens):
                     at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
@@ -114,7 +125,7 @@ def _sets(known: tuple[np.ndarray, np.ndarray]):
                 vec = np.minimum(np.bincount(place, minlength=int(size.sum())), 255).astype(np.uint8)
                 at = np.append(base, size.sum()).astype(np.int64)
                 blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(vec.tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([ids.slice(first, rows), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), lists, blobs], names=["doc_id", "n", "k1", "k2", "prefix", "vec"])
+                yield pa.RecordBatch.from_arrays([ids.slice(first, rows), pa.array(n), pa.array(k1), pa.array(k2), lists, blobs], names=["doc_id", "n", "k1", "k2", "prefix", "vec"])
 
     return run
 
@@ -129,16 +140,16 @@ def groups_of(n: np.ndarray) -> np.ndarray:
 
 
 def _blocks(reps: DataFrame) -> DataFrame:
-    """(block, doc_id): documents that share a prefix token, blocks of the same documents once."""
-    rows = reps.select("doc_id", F.explode("prefix").alias("token"))
+    """(block, cls, df): classes that share a prefix token, blocks of the same classes once."""
+    rows = reps.select("cls", F.explode("prefix").alias("token"))
     # a token of one document ties nothing
     shared = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
     tied = cut(rows.join(shared, "token").distinct())
     release(tied)
-    one, two = F.xxhash64("doc_id"), F.xxhash64("doc_id", F.lit(7))
+    one, two = F.xxhash64("cls"), F.xxhash64("cls", F.lit(7))
     sums = tied.groupBy("token").agg(F.count("*").alias("df"), F.bit_xor(one).alias("x1"), F.bit_xor(two).alias("x2"))
     kept = sums.groupBy("df", "x1", "x2").agg(F.min("token").alias("token")).select("token", "df")
-    return cut(tied.join(kept, "token").select(F.col("token").alias("block"), "doc_id", "df"))
+    return cut(tied.join(kept, "token").select(F.col("token").alias("block"), "cls", "df"))
 
 
 def _bound_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +157,7 @@ def _bound_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in runs(batches, "task"):
         if part.num_rows < 2:
             continue
-        ids, n = part.column("doc_id").to_numpy(), part.column("n").to_numpy()
+        ids, n = part.column("cls").to_numpy(), part.column("n").to_numpy()
         side = part.column("side").to_numpy()
         vecs = [np.frombuffer(b, np.uint8) for b in part.column("vec").to_pylist()]
         links = bound_forest(n, vecs, side if side.min() != side.max() else None)
@@ -189,19 +200,20 @@ def bound_forest(n: np.ndarray, vecs: list[np.ndarray], side: np.ndarray | None
 
 
 def _families(reps: DataFrame) -> DataFrame:
-    """(doc_id, family) of the representatives that may be similar to another."""
+    """(cls, family) of the classes that may be similar to another. ``reps``: cls, n, prefix, vec."""
     blocks = _blocks(reps)
     parts = F.ceil(F.col("df") / BLOCK).cast("int")
-    dealt = blocks.withColumns({"k": parts, "i": F.pmod(F.xxhash64("doc_id"), parts).cast("int")})
+    dealt = blocks.withColumns({"k": parts, "i": F.pmod(F.xxhash64("cls"), parts).cast("int")})
     pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.concat_ws("/", F.col("block"), F.least(j, F.col("i")), F.greatest(j, F.col("i"))))
-    named = dealt.select("doc_id", F.col("i").alias("side"), F.explode(pairs).alias("task"))
-    joined = named.join(reps.select("doc_id", "n", "vec"), "doc_id").select("task", "side", "doc_id", "n", "vec")
-    edges = cut(joined.repartition("task").sortWithinPartitions("task").mapInArrow(K.tidy(_bound_rows), "a long, b long"))
-    return components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    named = dealt.select("cls", F.col("i").alias("side"), F.explode(pairs).alias("task"))
+    joined = named.join(reps.select("cls", "n", "vec"), "cls").select("task", "side", "cls", "n", "vec")
+    edges = joined.repartition("task").sortWithinPartitions("task").mapInArrow(K.tidy(_bound_rows), "a long, b long")
+    out = components(edges).select(F.col("node").alias("cls"), F.col("component").alias("family"))
+    return out
 
 
 def _tasks(members: DataFrame) -> DataFrame:
-    """(doc_id, n, task, side): which R-tree joins a representative takes part in. A family of up to
+    """(cls, tasks, side): which R-tree joins a class takes part in. A family of up to
     LIMIT tokens is one; of a larger one, each pair of blocks of equal or neighbouring size class."""
     sized = members.withColumn("c", F.floor(F.log(F.col("n").cast("double")) / float(RATIO)).cast("int"))
     whole = sized.groupBy("family").agg(F.sum("n").alias("tokens")).where(F.col("tokens") > LIMIT).select("family")
@@ -210,7 +222,7 @@ def _tasks(members: DataFrame) -> DataFrame:
     blocks = blocks.groupBy("family").agg(F.map_from_entries(F.collect_list(F.struct("c", "k"))).alias("ks"))
     both = sized.join(blocks, "family", "left")
     c, ks = F.col("c"), F.col("ks")
-    block = F.pmod(F.xxhash64("doc_id"), F.try_element_at("ks", c)).cast("int")
+    block = F.pmod(F.xxhash64("cls"), F.try_element_at("ks", c)).cast("int")
     both = both.withColumn("i", F.coalesce(block, F.lit(0)))
     name = lambda c1, i1, c2, i2: F.concat_ws("/", F.col("family"), c1, i1, c2, i2)
     upto = lambda k: F.when(k.isNull(), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.greatest(k, F.lit(1)) - 1))
@@ -220,7 +232,7 @@ def _tasks(members: DataFrame) -> DataFrame:
     down = F.transform(upto(F.try_element_at("ks", c - 1)), lambda j: name(c - 1, j, c, i))
     tasks = F.when(ks.isNull(), F.array(F.col("family").cast("string"))).otherwise(F.concat(own, up, down))
     side = F.when(ks.isNull(), F.lit("")).otherwise(F.concat_ws("/", c, i))
-    return both.select("doc_id", tasks.alias("tasks"), side.alias("side"))
+    return both.select("cls", tasks.alias("tasks"), side.alias("side"))
 
 
 # --------------------------------------------------------------------- R-tree
@@ -285,20 +297,32 @@ def join(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[i
             r, found = int(found[0]), found[1:]
             a, b = (sets[q], sets[r]) if size[q] <= size[r] else (sets[r], sets[q])
             at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-            if enough(int((b[at] == a).sum()), len(a), len(b)):
+            overlap = int((b[at] == a).sum())
+            # different classes: where all first hashes agree, a shingle differs by the second
+            overlap -= overlap == len(b)
+            if enough(overlap, len(a), len(b)):
                 label[label == label[q]] = label[r]
                 out.append((q, r))
     return out
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets of the texts, as bytes of sorted 64-bit tokens."""
+    """The sets of the classes, as bytes of sorted 64-bit tokens. A row whose text is not that of its class (other
+    texts may share the doc_id), or that repeats a class within the task, gives none."""
+    seen: set[int] = set()
     for batch in batches:
         for first, rows, r, s in K.shingle_sets(batch.column("text"), WORDS):
             part = batch.slice(first, rows)
-            ends = np.cumsum(np.bincount(r, minlength=rows)) * 8
+            n, k1 = _sums(r, s, rows)
+            cls = part.column("cls").to_numpy()
+            own = (n == part.column("n").to_numpy()) & (k1 == part.column("k1").to_numpy())
+            own &= np.array([c not in seen for c in cls.tolist()], bool)
+            own[np.setdiff1d(np.flatnonzero(own), np.unique(np.where(own, cls, np.iinfo(np.int64).min), return_index=True)[1])] = False
+            seen.update(cls[own].tolist())
+            ends = np.cumsum(n) * 8
             blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64).tobytes()), pa.py_buffer(s.tobytes())])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tasks"), part.column("side"), blob.cast(pa.binary())], names=["doc_id", "tasks", "side", "tokens"])
+            whole = pa.RecordBatch.from_arrays([part.column("cls"), part.column("tasks"), part.column("side"), blob.cast(pa.binary())], names=["cls", "tasks", "side", "tokens"])
+            yield whole.filter(pa.array(own))
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -322,7 +346,7 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 def _join_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in runs(batches, "task"):
-        ids = part.column("doc_id").to_numpy()
+        ids = part.column("cls").to_numpy()
         _, once = np.unique(ids, return_index=True)
         part, ids = part.take(once), ids[once]
         if len(ids) < 2:
@@ -342,27 +366,40 @@ def similar(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each row (see the module)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = frequent(docs)
-    whole = cut(docs.mapInArrow(K.tidy(_sets(known)), "doc_id long, n long, k1 long, k2 long, prefix array<bigint>, vec binary"))
-    sets = cut(whole.select("doc_id", "n", "k1", "k2"))
-    classes = cut(sets.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")))
-    # of rows that repeat a doc_id with other texts, one stands for the id
-    chosen = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.min(F.struct("n", "k1", "k2")).alias("s")).select("doc_id", "s.n", "s.k1", "s.k2")
-    reps = whole.join(chosen, ["doc_id", "n", "k1", "k2"], "left_semi")
+    made = docs.mapInArrow(K.tidy(_sets(known)), "doc_id long, n long, k1 long, k2 long, prefix array<bigint>, vec binary")
+    whole = cut(made.withColumn("row", F.monotonically_increasing_id()))
+    sets = cut(whole.select("doc_id", "row", "n", "k1", "k2"))
+    key = ["n", "k1", "k2"]
+    # a class goes by the row number of its representative, the row with the smallest doc_id
+    classes = sets.where("n > 0 and doc_id is not null").groupBy(*key).agg(F.min(F.struct("doc_id", "row")).alias("r"))
+    classes = cut(classes.select(*key, F.col("r.doc_id").alias("rep"), F.col("r.row").alias("cls")))
+    reps = whole.select(F.col("row").alias("cls"), "n", "prefix", "vec").join(classes.select("cls"), "cls", "left_semi")
     families = cut(_families(reps))
-    members = families.join(chosen.select("doc_id", "n"), "doc_id")
-    tasks = cut(_tasks(members))
+    tasks = cut(_tasks(families.join(classes.select("cls", "n"), "cls")).join(classes.select("cls", F.col("rep").alias("doc_id"), "n", "k1"), "cls"))
     drop(whole)
     release(tasks)
     fits = tasks.count() <= BROADCAST_ROWS
-    texts = docs.join(F.broadcast(tasks) if fits else tasks, "doc_id").select("doc_id", "tasks", "side", "text")
-    held = texts.mapInArrow(K.tidy(_set_rows), "doc_id long, tasks array<string>, side string, tokens binary")
-    dealt = held.select("doc_id", F.explode("tasks").alias("task"), "side", "tokens").repartition("task").sortWithinPartitions("task")
-    links = cut(dealt.mapInArrow(K.tidy(_join_rows), "a long, b long"))
-    release(links)
-    joined = components(links)
-    named = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
-    out = sets.join(named, ["n", "k1", "k2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    texts = docs.join(F.broadcast(tasks) if fits else tasks, "doc_id").select("cls", "n", "k1", "tasks", "side", "text")
+    held = texts.mapInArrow(K.tidy(_set_rows), "cls long, tasks array<string>, side string, tokens binary")
+    dealt = held.select("cls", F.explode("tasks").alias("task"), "side", "tokens").repartition("task").sortWithinPartitions("task")
+    links = dealt.mapInArrow(K.tidy(_join_rows), "a long, b long")
+    # the texts of one doc_id are one node
+    twice = cut(sets.groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1 and doc_id is not null").select("doc_id"))
+    if not twice.isEmpty():
+        several = sets.join(twice, "doc_id", "left_semi").join(classes, key).select("doc_id", "cls").distinct()
+        links = links.unionByName(several.join(several.groupBy("doc_id").agg(F.min("cls").alias("b")), "doc_id").select(F.col("cls").alias("a"), "b"))
+    joined = cut(components(links).select(F.col("node").alias("cls"), "component"))
+    release(joined)
+    named = joined.join(classes.select("cls", "rep"), "cls").groupBy("component").agg(F.min("rep").alias("least"))
+    named = classes.join(joined.join(named, "component").select("cls", "least"), "cls", "left").select(*key, F.coalesce("least", "rep").alias("component_id"))
+    out = sets.join(named, key, "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    if not twice.isEmpty():
+        # an empty text beside another under one doc_id
+        least = out.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("own"))
+        out = out.join(least, "doc_id", "left")
+        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "own", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
