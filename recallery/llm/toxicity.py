@@ -6,12 +6,16 @@ presence of words and of word beginnings is trained in numpy on the risk
 pi R_p(+) + max(0, R_u(-) - pi R_p(-)) with the sigmoid loss, pi the class prior.
 
 The fit uses bounded samples: MOST_POSITIVE confirmed and MOST_UNLABELLED
-documents of any label, those with the smallest hashes of their doc_id. Scores cover every whole text.
+documents of any label, those with the smallest hashes of their doc_id. Features are counted
+over the sample in all tasks; one task then trains on the FEATURES chosen, so the driver sees
+no more than their names and weights. Scores cover every whole text.
 
 Edge cases: null and empty texts have no features and get the score of the intercept,
-below 0.5; without confirmed toxic rows every score is 0; labels that contradict each
-other on one doc_id count as toxic; repeated rows get equal scores; ties don't arise, as
-the sample's order ends with the doc_id; other columns are kept by ``filter_toxic``.
+below 0.5; very long texts are scored whole; without confirmed toxic rows every score is 0;
+labels that contradict each other on one doc_id count as toxic; of rows that repeat a doc_id
+one is learned from; repeated rows get equal scores; ties don't arise, as the sample's order
+ends with the doc_id and that of equally telling features with their hash; an empty table
+gives an empty result; other columns are kept by ``filter_toxic``, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recallery.llm import kernels as K
-from recallery.llm.common import release, table
+from recallery.llm.common import cut, drop, table
 
 MOST_POSITIVE, MOST_UNLABELLED = 4000, 8000
 #: Features kept, occurrences among the positives that one needs, epochs and step of the training.
@@ -63,18 +67,20 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, n, row, name in features(batch.column("text")):
             at = np.searchsorted(row, np.arange(n + 1))
             out += [name[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(out, pa.binary())], names=["positive", "names"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("positive"), pa.array(out, pa.binary())], names=["doc_id", "positive", "names"])
 
 
 def sample(docs: DataFrame, labels: DataFrame, train: Column) -> DataFrame:
-    """(positive, text) of the documents to fit on; the ids, bounded by the parameters, are broadcast."""
+    """(positive, names) of the documents to fit on; the ids, bounded by the parameters, are broadcast."""
     known = labels.where(train & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), "doc_id"]
     positive = known.where("toxic = 1").select("doc_id").orderBy(*order).limit(MOST_POSITIVE)
     # unlabelled text stands for all text, so confirmed documents may be among it
     other = docs.where(train & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(*order).limit(MOST_UNLABELLED)
     ids = other.withColumn("positive", F.lit(False)).unionByName(positive.withColumn("positive", F.lit(True)))
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("positive", "text")
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "positive", "text")
+    packed = found.mapInArrow(K.tidy(_pack), "doc_id long, positive boolean, names binary")
+    return packed.groupBy("doc_id", "positive").agg(F.min("names").alias("names")).select("positive", "names")
 
 
 class Model:
@@ -95,18 +101,23 @@ class Model:
 
 def nnpu(x: np.ndarray, n: int, prior: float, epochs: int = EPOCHS, step: float = STEP) -> tuple[np.ndarray, float]:
     """Weights and intercept that minimise the non-negative PU risk with the sigmoid loss, by Adam.
-    ``x``: float32 rows, the first n of them positive, the others unlabelled."""
-    m = len(x) - n
-    # one row for the bias; Adam's moments
-    theta = np.zeros(x.shape[1] + 1)
+    ``x``: rows of 0 and 1, the first n of them positive, the others unlabelled."""
+    return _nnpu(*np.nonzero(x), *x.shape, n, prior, epochs, step)
+
+
+def _nnpu(row: np.ndarray, column: np.ndarray, rows: int, columns: int, n: int, prior: float, epochs: int = EPOCHS, step: float = STEP) -> tuple[np.ndarray, float]:
+    """``nnpu`` with the ones of x by row and column."""
+    m = rows - n
+    # one more for the bias; Adam's moments
+    theta = np.zeros(columns + 1)
     theta[-1] = -1.0
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, epochs + 1):
-        z = x @ theta[:-1].astype(np.float32) + np.float32(theta[-1])
+        z = np.bincount(row, theta[column], rows) + theta[-1]
         s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         # the loss of calling z positive is 1 - s, of calling it negative s; both have slope s (1 - s)
         slope = s * (1 - s)
-        g = np.zeros(n + m, np.float32)
+        g = np.zeros(rows)
         negative = s[n:].mean() - prior * s[:n].mean()
         if negative >= 0:
             g[:n] = -2 * prior * slope[:n] / n
@@ -114,51 +125,72 @@ def nnpu(x: np.ndarray, n: int, prior: float, epochs: int = EPOCHS, step: float
         else:  # the negative risk went below what is possible: climb back on it alone
             g[:n] = prior * slope[:n] / n
             g[n:] = -slope[n:] / m
-        grad = np.append(x.T @ g, g.sum()) + 1e-5 * theta
+        grad = np.append(np.bincount(column, g[row], columns), g.sum()) + 1e-5 * theta
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         theta -= step * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
     return theta[:-1], float(theta[-1])
 
 
+def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, p, u): in how many positive and unlabelled rows of a batch a feature stands."""
+    for batch in batches:
+        mark = batch.column("positive").to_pylist()
+        for kind in (True, False):
+            held = [np.frombuffer(b, np.uint32) for b, k in zip(batch.column("names").to_pylist(), mark, strict=True) if k is kind]
+            if held:
+                name, n = np.unique(np.concatenate(held), return_counts=True)
+                none = np.zeros_like(n)
+                yield pa.RecordBatch.from_arrays([pa.array(name.astype(np.int64)), pa.array(n if kind else none), pa.array(none if kind else n)], names=["name", "p", "u"])
+
+
+def _encoding(names: np.ndarray):
+    """Rows by the numbers of their chosen features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.flatnonzero(np.isin(names, np.frombuffer(b, np.uint32), assume_unique=True)).astype(np.int32).tobytes() for b in batch.column("names").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(found, pa.binary())], names=["positive", "at"])
+
+    return run
+
+
+def _training(columns: int, prior: float):
+    """All encoded rows, at most MOST_POSITIVE + MOST_UNLABELLED of at most FEATURES numbers, to one row of weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            held += zip(batch.column("positive").to_pylist(), batch.column("at").to_pylist(), strict=True)
+        if held:
+            # one order however the rows arrive
+            held.sort(key=lambda r: (not r[0], r[1]))
+            at = [np.frombuffer(b, np.int32) for _, b in held]
+            row, column = np.repeat(np.arange(len(at)), [len(a) for a in at]), np.concatenate(at).astype(np.int64)
+            weights, bias = _nnpu(row, column, len(at), columns, sum(k for k, _ in held), prior)
+            yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], names=["weights", "bias"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, train: Column, prior: float | None = None) -> Model:
     """A model from the rows for which ``train`` holds. Without a prior, the share of toxic rows among the labels is it."""
-    rows = sample(docs, labels, train).mapInArrow(K.tidy(_pack), "positive boolean, names binary").toArrow()
-    mark = np.array(rows.column("positive").to_numpy(zero_copy_only=False), bool)
-    packed = [np.frombuffer(b, np.uint32) for b in rows.column("names").to_pylist()]
-    order = np.argsort(~mark, kind="stable")
-    mark, packed = mark[order], [packed[i] for i in order]
-    if not mark.any() or mark.all():
-        return Model(np.zeros(0, np.uint32), np.zeros(0), -60.0 if not mark.any() else 60.0)
+    packed = cut(sample(docs, labels, train))
+    sizes = packed.agg(F.count_if("positive").alias("n"), F.count_if(~F.col("positive")).alias("m")).first()
+    n, m = sizes["n"], sizes["m"]
+    if not n or not m:
+        return Model(np.zeros(0, np.uint32), np.zeros(0), -60.0 if not n else 60.0)
     if prior is None:
         prior = float(labels.where(train).agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.1)
-    prior = min(max(prior, 0.005), 0.9)
-    names, counts = np.unique(np.concatenate([p for p, k in zip(packed, mark, strict=True) if k]), return_counts=True)
-    names, counts = names[counts >= LEAST], counts[counts >= LEAST]
-    total = np.zeros(len(names), np.int64)
-    places = []
-    for p in packed:
-        at = np.searchsorted(names, p)
-        at = at[at < len(names)][names[at[at < len(names)]] == p[at < len(names)]]
-        places.append(at)
-    for p, k in zip(places, mark, strict=True):
-        if not k:
-            total[p] += 1
-    n, m = mark.sum(), (~mark).sum()
+    counted = packed.mapInArrow(K.tidy(_counting), "name long, p long, u long").groupBy("name").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     # how much more often among the positives than the prior explains in unlabelled text
-    rate_p, rate_u = counts / n, (total + 1) / m
-    gain = (rate_p - rate_u) / np.sqrt(rate_u / n + 1e-12)
-    best = np.argsort(-gain, kind="stable")[:FEATURES]
-    best = np.sort(best[(gain[best] >= SURPRISE) & (rate_p[best] >= 2 * rate_u[best])])
-    where = np.full(len(names), -1)
-    where[best] = np.arange(len(best))
-    x = np.zeros((len(packed), len(best)), np.float32)
-    for i, p in enumerate(places):
-        j = where[p]
-        x[i, j[j >= 0]] = 1
-    weights, bias = nnpu(x, int(n), prior)
-    del rows, packed, places, x
-    release(docs)
-    return Model(names[best], weights, bias)
+    rated = counted.where(F.col("p") >= LEAST).select("name", (F.col("p") / F.lit(n)).alias("rp"), ((F.col("u") + 1) / F.lit(m)).alias("ru"))
+    gain = rated.withColumn("gain", (F.col("rp") - F.col("ru")) / F.sqrt(F.col("ru") / F.lit(n) + 1e-12))
+    best = gain.where((F.col("gain") >= SURPRISE) & (F.col("rp") >= 2 * F.col("ru"))).orderBy(F.desc("gain"), "name").limit(FEATURES)
+    names = np.sort(np.array([r["name"] for r in best.select("name").collect()], np.uint32))
+    encoded = packed.mapInArrow(K.tidy(_encoding(names)), "positive boolean, at binary").repartition(1)
+    done = encoded.mapInArrow(K.tidy(_training(len(names), min(max(prior, 0.005), 0.9))), "weights binary, bias double").first()
+    drop(packed)
+    return Model(names, np.frombuffer(done["weights"]), done["bias"])
 
 
 def _scorer(model: Model, keep: list[str]):
