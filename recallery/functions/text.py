@@ -10,6 +10,16 @@ from recallery.schema import ENTITY_PREFIX, ENTITY_TYPES, MEMORY_PREFIX
 # Stop words of the plain profile.
 STOPWORDS = ("a", "an", "and", "are", "be", "do", "for", "from", "how", "i", "in", "is", "it", "me", "my", "of", "on", "or", "the", "to", "was", "what", "were", "with", "you", "your", "did", "does", "when", "where", "who", "why")
 
+# The usual list of English stop words, in its usual order, for corpora that were indexed with it.
+# Forms with an apostrophe are left out, as no token has one.
+ENGLISH_STOPWORDS = tuple(
+    """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves
+    what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for
+    with about against between into through during before after above below to from up down in out on off over under again further then once here there when where why how
+    all any both each few more most other some such no nor not only own same so than too very s t can will just don should now d ll m o re ve y ain aren couldn didn doesn hadn
+    hasn haven isn ma mightn mustn needn shan shouldn wasn weren won wouldn""".split()
+)
+
 # The phrases that stand for a day, and how far each lies from the day of the dialog.
 DAY_SHIFTS = {"yesterday": -1, "today": 0, "this morning": 0, "this afternoon": 0, "this evening": 0, "tomorrow": 1, "last week": -7, "last weekend": -7, "last month": -30}
 WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
@@ -64,9 +74,9 @@ def metric_tokens(c) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(_col(c), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def search_tokens(c) -> Column:
+def search_tokens(c, stopwords=STOPWORDS) -> Column:
     """Tokens of the plain profile: longer than one character and no stop word; repeats kept, not stemmed."""
-    return F.filter(metric_tokens(c), lambda t: (F.length(t) > 1) & ~t.isin(*STOPWORDS))
+    return F.filter(metric_tokens(c), lambda t: (F.length(t) > 1) & ~t.isin(*stopwords))
 
 
 def entity_document(key, value) -> Column:

@@ -1,9 +1,10 @@
-"""Dense scores: embedders, the embedding table and cosine top-k within a sample."""
+"""Dense scores: embedders, the embedding table with its cache, and cosine top-k within a sample."""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -27,13 +28,47 @@ def hashed_embedder(texts: list[str], role: str = "context", dimension: int = DI
     return out
 
 
+@dataclass(frozen=True)
+class Encoder:
+    """A model of embeddings: its name, the function (texts, role) -> vectors, their length, how many texts go at a time,
+    and whether it encodes questions by another encoder than texts."""
+
+    model: str = "hashed"
+    embedder: Callable[[list[str], str], np.ndarray] = hashed_embedder
+    dim: int = DIMENSION
+    batch: int = 16
+    dual: bool = False
+
+    @property
+    def query_role(self) -> str:
+        """The role of a question: its own only for a dual encoder, so that others share one cache entry with equal texts."""
+        return "query" if self.dual else "context"
+
+
+def api_encoder(model: str, call: Callable[[list[str]], np.ndarray], dim: int, batch: int = 10, attempts: int = 10, sleep: Callable[[float], None] | None = None) -> Encoder:
+    """An encoder behind an interface that may fail: small batches, each tried again with growing pauses."""
+    from recallery.operators.clients import retrying
+
+    return Encoder(model, lambda texts, role: retrying(call, attempts, sleep=sleep)(texts), dim, batch)
+
+
+def dual_encoder(model: str, query: Callable[[list[str]], np.ndarray], context: Callable[[list[str]], np.ndarray], dim: int, batch: int = 16) -> Encoder:
+    return Encoder(model, lambda texts, role: query(texts) if role == "query" else context(texts), dim, batch, True)
+
+
 def embed(df: DataFrame, text: str, model: str = "hashed", embedder: Callable[[list[str], str], np.ndarray] = hashed_embedder, role: str = "context", batch: int = 16) -> DataFrame:
     """(text_digest, model, role, dim, vec) of the distinct texts of a column, vectors of length 1."""
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
             texts = pdf["_t"].tolist()
-            parts = [np.asarray(embedder(texts[k : k + batch], role), np.float32) for k in range(0, len(texts), batch)]
+            parts = []
+            for k in range(0, len(texts), batch):
+                asked = texts[k : k + batch]
+                got = np.asarray(embedder(asked, role), np.float32)
+                if got.ndim != 2 or len(got) != len(asked):
+                    raise ValueError(f"{len(asked)} texts gave vectors of shape {got.shape}")
+                parts.append(got)
             x = np.vstack(parts) if parts else np.zeros((0, 1), np.float32)
             x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
             yield pd.DataFrame({"text_digest": pdf["text_digest"], "dim": x.shape[1], "vec": list(x.astype(np.float32))})
@@ -49,6 +84,17 @@ def missing(df: DataFrame, text: str, cache: DataFrame, model: str, role: str =
     return keyed.join(cache.where((F.col("model") == model) & (F.col("role") == role)).select("text_digest"), "text_digest", "left_anti")
 
 
+def embed_cached(df: DataFrame, text: str, cache, encoder: Encoder = Encoder(), role: str = "context") -> tuple[DataFrame, int]:
+    """(text_digest, vec) of the distinct texts of a column, and how many of them had to be embedded: the others, and from
+    now on all, are in the cache, a ``store.embedding_cache``."""
+    texts = df.select(F.coalesce(F.col(text), F.lit("")).alias("_t")).distinct()
+    keyed = texts.select("_t", X.digest("_t").alias("text_digest"), F.lit(encoder.model).alias("model"), F.lit(role).alias("role"), F.lit(encoder.dim).alias("dim"))
+    made = embed(cache.misses(keyed), "_t", encoder.model, encoder.embedder, role, encoder.batch)
+    wrong = F.raise_error(F.concat(F.lit(f"{encoder.model} gave vectors of another length than {encoder.dim}: "), F.col("dim").cast("string"))).cast("int")
+    n = cache.add(made.withColumn("dim", F.when(F.col("dim") == encoder.dim, F.col("dim")).otherwise(wrong)))
+    return keyed.join(cache.read(), ["text_digest", "model", "role", "dim"]).select("text_digest", "vec"), n
+
+
 def memory_texts(memory: DataFrame) -> DataFrame:
     text = X.search_text("text_normalized", "text", "speaker", "blip_caption", "query")
     return memory.select("sample_id", "memory_id", "dia_id", F.when(text == "", F.col("dia_id")).otherwise(text).alias("text"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recallery.functions.text import entity_type, entity_value
+from recallery.functions.text import digest, entity_type, entity_value
 from recallery.schema import ENTITY_TYPES, ITEM
 
 #: Length from which the rule extractor takes a token for an entity.
@@ -115,10 +115,10 @@ def parsed(answers: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["items", "error"])
 
 
-def model_extractor(make_client: Callable[[], Callable[[str], str]], retries: int = 3) -> Callable[[DataFrame, str], DataFrame]:
+def model_extractor(make_client: Callable[[], Callable[[str], str]], retries: int = 3, tokens: int = 2500, temperature: float = 0.3) -> Callable[[DataFrame, str], DataFrame]:
     """An extractor over a text model: ``make_client`` is called once for each task and gives a
-    function from prompt to answer. Distinct texts are asked once; an answer that can't be
-    read is asked for again, and failed texts get null items."""
+    function from prompt (and tokens and temperature, if it takes them) to answer. Distinct texts
+    are asked once; an answer that can't be read is asked for again, and failed texts get null items."""
 
     def run(df: DataFrame, text: str) -> DataFrame:
         def ask(batches):
@@ -129,7 +129,7 @@ def model_extractor(make_client: Callable[[], Callable[[str], str]], retries: in
                     found = None
                     for _ in range(retries):
                         try:
-                            found = [{"value": v, "type": t} for v, t in parse_answer(client(prompt))]
+                            found = [{"value": v, "type": t} for v, t in parse_answer(ask_client(client, prompt, tokens=tokens, temperature=temperature))]
                             break
                         except ValueError:
                             continue
@@ -137,6 +137,7 @@ def model_extractor(make_client: Callable[[], Callable[[str], str]], retries: in
                 yield pd.DataFrame({"_text": pdf["_text"], "items": out})
 
         from recallery.functions.text import extraction_prompt
+        from recallery.operators.clients import ask as ask_client
 
         texts = df.select(F.col(text).alias("_text")).where("_text is not null").distinct()
         answers = texts.withColumn("_prompt", extraction_prompt("_text")).mapInPandas(ask, f"_text string, items {ITEM}")
@@ -145,5 +146,21 @@ def model_extractor(make_client: Callable[[], Callable[[str], str]], retries: in
     return run
 
 
+def cached(extractor: Callable[[DataFrame, str], DataFrame], cache, model: str = "rule", version: str = "1") -> Callable[[DataFrame, str], DataFrame]:
+    """An extractor that keeps what it finds in a ``store.entity_cache`` under its version and model: known texts are
+    not read again, distinct ones once; failed ones (null items) are not kept. ``extractor.added`` counts the new ones."""
+
+    def run(df: DataFrame, text: str) -> DataFrame:
+        texts = df.select(F.col(text).alias("_text")).where("_text is not null").distinct()
+        keyed = texts.select("_text", F.lit(version).alias("version"), F.lit(model).alias("model"), digest("_text").alias("text_digest"))
+        made = extractor(cache.misses(keyed), "_text")
+        run.added += cache.add(made.where("items is not null"))
+        known = keyed.join(cache.read(), ["version", "model", "text_digest"]).select("_text", "items")
+        return df.join(known, df[text] == known["_text"], "left").drop("_text")
+
+    run.added = 0
+    return run
+
+
 def rule_extractor(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("items", rule_items(F.col(text)))

@@ -57,10 +57,13 @@ def extracted(spoken: DataFrame, extractor: Callable[[DataFrame, str], DataFrame
 
 
 def entities(found: DataFrame) -> DataFrame:
-    """Merged by key: the first type, the longest value (the first of equals), and all values in order of arrival."""
+    """Merged by key: the first type, the longest value (the first of equals), and all values in order of arrival.
+    A key's occurrences shrink to one row for each of its values before they are gathered."""
+    typed = F.when(F.col("type") != "", F.col("ord"))
+    each = found.groupBy("sample_id", "key", "value").agg(F.min("ord").alias("ord"), F.min(typed).alias("at"), F.min_by("type", typed).alias("type"))
     values = F.array_sort(F.collect_list(F.struct("ord", "value")))
-    merged = found.groupBy("sample_id", "key").agg(F.min_by("type", F.when(F.col("type") != "", F.col("ord"))).alias("type"), F.min_by("value", F.struct(-F.length("value"), F.col("ord"))).alias("value"), values.alias("v"))
-    return merged.select("sample_id", X.entity_id("key").alias("entity_id"), "key", "value", "type", F.array_distinct(F.transform("v", lambda x: x["value"])).alias("merged_from"), F.create_map().cast("map<string,string>").alias("metadata"))
+    merged = each.groupBy("sample_id", "key").agg(F.min_by("type", "at").alias("type"), F.min_by("value", F.struct(-F.length("value"), F.col("ord"))).alias("value"), values.alias("v"))
+    return merged.select("sample_id", X.entity_id("key").alias("entity_id"), "key", "value", "type", F.transform("v", lambda x: x["value"]).alias("merged_from"), F.create_map().cast("map<string,string>").alias("metadata"))
 
 
 def mentions(found: DataFrame) -> DataFrame:
@@ -97,12 +100,15 @@ def degrees(mention: DataFrame) -> DataFrame:
     return mention.groupBy("sample_id", "entity_id").agg(F.count("*").alias("degree"))
 
 
-def stats(graph: Graph) -> DataFrame:
-    """Counts of each sample's tables, in one pass over each."""
+def stats(graph: Graph, left: DataFrame | None = None) -> DataFrame:
+    """Counts of each sample's tables, in one pass over each, and with ``left``, memories still to extract, whether the graph is partial."""
     parts = [graph.memory.select("sample_id", F.lit("memories").alias("k")), graph.entity.select("sample_id", F.lit("entities").alias("k")), graph.mention.select("sample_id", F.lit("mentions").alias("k")), graph.memory_edge.select("sample_id", F.lit("memory_edges").alias("k"))]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
     kinds = ("memories", "entities", "mentions", "memory_edges")
-    return rows.groupBy("sample_id").agg(*(F.count(F.when(F.col("k") == k, 1)).alias(k) for k in kinds))
+    out = rows.groupBy("sample_id").agg(*(F.count(F.when(F.col("k") == k, 1)).alias(k) for k in kinds))
+    if left is None:
+        return out
+    return out.join(left.select("sample_id", F.lit(True).alias("partial")).distinct(), "sample_id", "left").withColumn("partial", F.coalesce("partial", F.lit(False)))
 
 
 def violations(graph: Graph) -> DataFrame:

@@ -12,11 +12,16 @@ from recallery.schema import BM25_B, BM25_EPSILON, BM25_K1, MIN_REL_SCORE, TOP_K
 from recallery.sources.scratch import settle
 
 
+#: Whether a profile stems, and its stop words.
+PROFILES = {"plain": (False, X.STOPWORDS), "porter": (True, X.STOPWORDS), "english": (False, X.ENGLISH_STOPWORDS), "porter_english": (True, X.ENGLISH_STOPWORDS)}
+
+
 def tokens(c: Column, profile: str = "plain") -> Column:
-    if profile not in ("plain", "porter"):
-        raise ValueError("the profile is plain or porter")
-    out = X.search_tokens(c)
-    return stemmed(out) if profile == "porter" else out
+    if profile not in PROFILES:
+        raise ValueError(f"the profile is one of {', '.join(PROFILES)}")
+    stems, stopwords = PROFILES[profile]
+    out = X.search_tokens(c, stopwords)
+    return stemmed(out) if stems else out
 
 
 class Index:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql.window import Window as W
 from recallery.functions import metrics as M
 from recallery.functions import text as X
 from recallery.operators import dense, lexical
+from recallery.operators.extract import cleaned
 from recallery.operators.graph import Graph, degrees
 from recallery.schema import ENTITY_WEIGHT, MIN_REL_SCORE, NEIGHBOUR_SCALE, SEMANTIC_WEIGHT, TOP_K_PER_KEY, WHO_SCALE
 from recallery.sources.scratch import settle
@@ -45,6 +47,13 @@ def question_keys(keys: DataFrame) -> DataFrame:
     return keys.select("sample_id", "qa", X.entity_key("qkey").alias("qkey")).where("qkey <> ''").distinct()
 
 
+def extract_keys(questions: DataFrame, extractor: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(sample_id, qa, keys): the distinct keys of the entities an extractor finds in each question; null where it failed."""
+    asked = extractor(questions.select(*Q, F.coalesce("question", F.lit("")).alias("question")), "question").withColumnRenamed("items", "found")
+    keys = F.array_distinct(F.filter(F.transform("items", lambda x: X.entity_key(x["value"])), lambda k: k != ""))
+    return cleaned(asked.withColumn("items", F.col("found"))).select(*Q, F.when(F.col("found").isNotNull(), keys).alias("keys"))
+
+
 def matches(graph: Graph, keys: DataFrame, min_rel: float = MIN_REL_SCORE, top_k: int | None = TOP_K_PER_KEY, profile: str = "plain") -> DataFrame:
     """(sample_id, qa, qkey, entity_id, score)."""
     asked = question_keys(keys)

@@ -43,6 +43,11 @@ def top_units(questions: DataFrame, units: DataFrame, k: int) -> DataFrame:
     return ranked.where(F.col("rank") <= max(k, 0))
 
 
+def source_hit_rate(hits: DataFrame) -> DataFrame:
+    """(n, hit_rate): of the questions with gold evidence, how many, and the share whose ranked units name some."""
+    return hits.agg(F.count("hit").alias("n"), F.round(F.avg(F.col("hit").cast("double")), 4).alias("hit_rate"))
+
+
 def source_hits(top: DataFrame, units: DataFrame, questions: DataFrame) -> DataFrame:
     """(sample_id, qa, hit): whether a ranked unit names gold evidence; null where the question has none."""
     ids = top.join(units.select("sample_id", "unit_id", "dia_ids"), ["sample_id", "unit_id"]).groupBy("sample_id", "qa").agg(F.flatten(F.collect_list("dia_ids")).alias("ids"))

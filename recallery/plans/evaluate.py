@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from recallery.functions import metrics as M
 from recallery.functions import text as X
+from recallery.operators.clients import ask
 from recallery.schema import KS
 
 Q = ["sample_id", "qa"]
@@ -37,8 +38,9 @@ def first_line_reader(prompt: str) -> str:
     return prompt.split("\n", 1)[0][:200]
 
 
-def answer(asked: DataFrame, make_reader: Callable[[], Callable[[str], str]] = lambda: first_line_reader, attempts: int = 4) -> DataFrame:
-    """With ``prediction``: the first answer that is not blank, of up to ``attempts``. The reader is made once for each task."""
+def answer(asked: DataFrame, make_reader: Callable[[], Callable[[str], str]] = lambda: first_line_reader, attempts: int = 4, tokens: int = 512, most_tokens: int = 2048) -> DataFrame:
+    """With ``prediction``: the first answer that is not blank, of up to ``attempts``, each allowed twice the tokens of the one
+    before. The reader is made once for each task; tokens and temperature go to readers that take them."""
 
     def run(pdfs):
         reader = make_reader()
@@ -46,8 +48,8 @@ def answer(asked: DataFrame, make_reader: Callable[[], Callable[[str], str]] = l
             out = []
             for p in pdf["prompt"]:
                 said = ""
-                for _ in range(attempts):
-                    said = (reader(p) or "").strip()
+                for k in range(attempts):
+                    said = (ask(reader, p, tokens=min(tokens * 2**k, most_tokens), temperature=0.0) or "").strip()
                     if said:
                         break
                 out.append(said)
@@ -127,18 +129,38 @@ def against_anchors(spark: SparkSession, rolled: DataFrame) -> DataFrame:
     return anchors.join(ours, "k", "left").select("k", "recall_acc", "anchor_recall", F.round(F.col("recall_acc") - F.col("anchor_recall"), 2).alias("delta_pp"))
 
 
+def comparison_table(spark: SparkSession, rolled: DataFrame, frozen: DataFrame | None = None) -> DataFrame:
+    """(k, recall_acc, hit_rate, anchor_recall, anchor_f1, delta_pp, frozen_recall, frozen_hit, frozen_f1): each cut-off beside the
+    published figures and beside frozen predictions, which hold 25 places and have their F1 there alone."""
+    ours = rolled.where(F.col("category").isNull()).select("k", "hit_rate")
+    out = against_anchors(spark, rolled).join(spark.createDataFrame([a[:2] for a in ANCHORS], "k int, anchor_f1 double"), "k").join(ours, "k", "left")
+    held = rolled.where("false") if frozen is None else frozen
+    held = held.where(F.col("category").isNull() & (F.col("k") <= 25)).select("k", F.col("recall_acc").alias("frozen_recall"), F.col("hit_rate").alias("frozen_hit"), F.col("token_f1_pct").alias("frozen_f1"))
+    return out.join(held, "k", "left").select("k", "recall_acc", "hit_rate", "anchor_recall", "anchor_f1", "delta_pp", "frozen_recall", "frozen_hit", "frozen_f1")
+
+
 def answer_key(sample_id, question):
     """The key by text that frozen answers use; questions with equal beginnings collapse under it."""
     return F.concat(sample_id, F.lit("::"), F.substring(question, 1, 120))
 
 
+def with_answers(rows: DataFrame, answers: DataFrame) -> DataFrame:
+    """Rows (sample_id, question, ...) with prediction and token_f1 of the answer under their key; rows that collapse
+    under one key share it, and rows without one have nulls. ``answers``: sample_id, question, prediction, token_f1."""
+    key = answer_key(F.col("sample_id"), F.col("question")).alias("_key")
+    each = answers.select(key, "prediction", "token_f1").groupBy("_key").agg(F.min(F.struct("prediction", "token_f1")).alias("a"))
+    return rows.select("*", key).join(each, "_key", "left").select(*rows.columns, "a.prediction", "a.token_f1")
+
+
 def frozen(predictions: DataFrame, questions: DataFrame) -> DataFrame:
     """Frozen predictions with the gold of their question, matched by text in their sample: of repeated questions the
     last gold counts; fields that the question lacks come from the prediction. Rows: sample_id, question, prediction, ids, and
-    optionally answer, evidence, category."""
+    optionally answer, evidence, category and token_f1, which is computed where it is missing."""
     gold = questions.groupBy("sample_id", "question").agg(F.max_by(F.struct("answer", "evidence", "category"), "qa").alias("g"))
     both = predictions.join(gold, ["sample_id", "question"], "left")
     have = set(predictions.columns)
     back = lambda c, kind: F.coalesce(F.col(f"g.{c}"), F.col(c)) if c in have else F.col(f"g.{c}")
-    out = both.select("sample_id", "question", "prediction", "ids", back("answer", "string").alias("answer_"), back("evidence", "array").alias("evidence_"), back("category", "int").alias("category_"))
-    return out.toDF("sample_id", "question", "prediction", "ids", "answer", "evidence", "category").withColumn("token_f1", M.token_f1("answer", "prediction"))
+    stored = F.col("token_f1") if "token_f1" in have else F.lit(None).cast("double")
+    out = both.select("sample_id", "question", "prediction", "ids", back("answer", "string").alias("answer_"), back("evidence", "array").alias("evidence_"), back("category", "int").alias("category_"), stored.alias("f1_"))
+    out = out.toDF("sample_id", "question", "prediction", "ids", "answer", "evidence", "category", "f1_")
+    return out.withColumn("token_f1", F.coalesce("f1_", M.token_f1("answer", "prediction"))).drop("f1_")

@@ -13,35 +13,95 @@ from recallery.operators import graph as G
 from recallery.operators import retrieve as R
 from recallery.operators.extract import rule_extractor
 from recallery.plans import evaluate as E
-from recallery.schema import KS
 from recallery.sources import store
 from recallery.sources.scratch import settle
 
 Q = ["sample_id", "qa"]
 
 
-def build_graphs(spark: SparkSession, path: str, out: str, extractor: Callable = rule_extractor, memories_only: bool = False) -> G.Graph:
-    """Graphs of all samples of a file, checked and stored; ValueError if an edge is broken."""
-    dialog = store.dialogs(store.samples(spark, path))
-    made = G.build_memories_only(dialog) if memories_only else G.build(dialog, extractor)
+_FOUND = "sample_id string, memory_id string, dia_id string, ord struct<_s:bigint,_t:bigint,dia_id:string,pos:int,_i:int>, key string, value string, type string"
+
+
+def extend_found(spark: SparkSession, spoken: DataFrame, path: str, extractor: Callable, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """All that is extracted so far, and the memories still without anything. Only those are read, at most ``most`` of them,
+    and what they give is added to the table at ``path``; so an interrupted build goes on where it stopped."""
+    stored = lambda: spark.read.schema(_FOUND).parquet(path) if store.exists(spark, path) else spark.createDataFrame([], _FOUND)
+    named = spoken.withColumn("memory_id", E.X.memory_id("dia_id"))
+    todo = G.pending(named, stored())
+    if most is not None:
+        todo = todo.orderBy("sample_id", "session_num", "pos").limit(most)
+    settle(G.extracted(todo.drop("memory_id"), extractor)).write.mode("append").parquet(path)
+    read = E.X.extraction_text("text_normalized", "query", "blip_caption") != ""
+    return stored(), G.pending(named.where(read & ~E.X.blank("speaker")), stored())
+
+
+def build_graphs(spark: SparkSession, path: str, out: str, extractor: Callable = rule_extractor, memories_only: bool = False, resume: bool = False, most: int | None = None) -> G.Graph:
+    """Graphs of all samples of a file, checked and stored; ValueError if an edge is broken. With ``resume`` what an earlier
+    run extracted into ``out`` is kept; ``most`` ends a run after so many memories, whose graph is then marked partial in the stored stats."""
+    spoken = settle(G.turns(store.dialogs(store.samples(spark, path))))
+    left = None
+    if memories_only:
+        memory = G.memories(spoken, "last")
+        none = G.extracted(spoken.limit(0))
+        made = G.Graph(memory, G.entities(none), G.mentions(none), G.sequence_edges(memory))
+    else:
+        found = f"{out}/found"
+        if not resume:
+            spark.createDataFrame([], _FOUND).write.mode("overwrite").parquet(found)
+        rows, left = extend_found(spark, spoken, found, extractor, most)
+        memory = G.memories(spoken)
+        made = G.Graph(memory, G.entities(rows), G.mentions(rows), G.sequence_edges(memory))
     store.save_graph(made, out)
     stored = store.load_graph(spark, out)
     if not G.violations(stored).isEmpty():
         raise ValueError("the graph has broken edges")
+    G.stats(stored, left).write.mode("overwrite").parquet(f"{out}/stats")
     return stored
 
 
+def build_index(memory: DataFrame, path: str, cache: store.Cache, encoder: dense.Encoder = dense.Encoder()) -> tuple[DataFrame, int]:
+    """The stored index of embeddings of all memories, and how many texts had to be embedded for it. An index that fits
+    the memories and the model is used as it is, and gives its vectors to the cache; else it is made anew,
+    from the cache as far as that goes."""
+    spark = memory.sparkSession
+    texts = settle(dense.memory_texts(memory).withColumn("text_digest", E.X.digest("text")))
+    found = store.load_index(spark, path)
+    if found is not None and dense.index_matches(found, memory, encoder.model).where("not matches").isEmpty():
+        one = found.select("text_digest", "model", F.lit("context").alias("role"), F.size("vec").alias("dim"), "vec")
+        cache.add(one)
+        return found, 0
+    vec, n = dense.embed_cached(texts, "text", cache, encoder)
+    index = settle(texts.join(vec, "text_digest").select("sample_id", "memory_id", F.lit(encoder.model).alias("model"), "text_digest", "vec"))
+    if index.count() != texts.count():
+        raise ValueError("not every memory has a vector")
+    store.save_index(index, path)
+    return store.load_index(spark, path), n
+
+
 def embed_memories(graph: G.Graph, **how) -> DataFrame:
     """(sample_id, memory_id, model, text_digest, vec) of all memories, equal texts embedded once."""
     texts = dense.memory_texts(graph.memory).withColumn("text_digest", E.X.digest("text"))
     return texts.join(dense.embed(texts, "text", **how), "text_digest").select("sample_id", "memory_id", "model", "text_digest", "vec")
 
 
-def embed_questions(questions: DataFrame, **how) -> DataFrame:
-    """Questions with ``qvec``, equal ones embedded once, in the role of a query."""
+def embed_questions(questions: DataFrame, cache: store.Cache | None = None, encoder: dense.Encoder = dense.Encoder(), **how) -> DataFrame:
+    """Questions with ``qvec``, equal ones embedded once, in the encoder's role for queries; with a cache only new ones."""
     keyed = questions.drop("qvec").withColumn("text_digest", E.X.digest("question"))
-    done = dense.embed(questions, "question", role="query", **how).select("text_digest", F.col("vec").alias("qvec"))
-    return keyed.join(done, "text_digest").drop("text_digest")
+    if cache is not None:
+        done = dense.embed_cached(questions, "question", cache, encoder, encoder.query_role)[0]
+    else:
+        done = dense.embed(questions, "question", role=encoder.query_role, **how)
+    return keyed.join(done.select("text_digest", F.col("vec").alias("qvec")), "text_digest").drop("text_digest")
+
+
+def question_keys(questions: DataFrame, path: str, extractor: Callable = rule_extractor) -> tuple[DataFrame, int, int]:
+    """(sample_id, qa, qkey) of all questions, how many were extracted now, and how many failed: those with stored keys, an empty
+    list too, are not read again, failed ones are by the next run."""
+    cache = store.Cache(questions.sparkSession, path, "sample_id string, qa int, keys array<string>", Q)
+    asked = settle(cache.misses(questions.where(~E.X.blank("question")).select(*Q, "question")))
+    made = settle(R.extract_keys(asked, extractor))
+    n = cache.add(made.where("keys is not null"))
+    return cache.read().select(*Q, F.explode("keys").alias("qkey")), n, made.where("keys is null").count()
 
 
 def run_variant(graph: G.Graph, questions: DataFrame, keys: DataFrame, vectors: DataFrame, variant: R.Variant, make_reader: Callable = lambda: E.first_line_reader, checkpoint: DataFrame | None = None, seed: DataFrame | None = None) -> DataFrame:
@@ -73,11 +133,12 @@ def summarize(rolled: DataFrame) -> tuple[str, str]:
     return store.report_json(E.compare(rolled)), store.report_markdown(overall)
 
 
-def score_frozen(predictions: DataFrame, questions: DataFrame, ks: tuple[int, ...] = KS) -> tuple[DataFrame, DataFrame]:
-    """Frozen predictions with their rankings: the F1 rollup, and recall and hit by cut-off, questions without gold left out."""
-    rows = settle(E.frozen(predictions, questions))
-    numbered = rows.withColumn("qa", F.xxhash64("question").cast("long"))
-    cut = E.at_cutoffs(numbered.drop("ids"), numbered.select(*Q, "ids"), ks, "skip").join(numbered.select(*Q, "token_f1"), Q)
+def score_frozen(predictions: DataFrame, questions: DataFrame, ks: tuple[int, ...] = (5, 10, 25)) -> tuple[DataFrame, DataFrame]:
+    """Frozen predictions with their rankings: the F1 rollup, and recall and hit by cut-off with F1 at 25. Rows without
+    contexts are passed over, as are, by cut-off, those without gold; each prediction counts once, however often its question stands."""
+    held = E.frozen(predictions, questions).where(F.size("ids") > 0)
+    rows = settle(held.withColumn("qa", F.monotonically_increasing_id()))
+    cut = E.at_cutoffs(rows.drop("ids"), rows.select(*Q, "ids"), ks, "skip").join(rows.select(*Q, "token_f1"), Q)
     return E.f1_rollup(rows), E.rollup(cut)
 
 
@@ -87,11 +148,20 @@ def retrieve_all(graph: G.Graph, questions: DataFrame, keys: DataFrame, vectors:
     return questions.select(*Q, "category", F.size("evidence").alias("n_evidence")).join(found, Q, "left")
 
 
-def answer_again(frozen: DataFrame, make_reader: Callable, k: int = 25) -> DataFrame:
-    """Answers anew from frozen contexts: sample_id, qa, question, category, answer, context -> the same with prediction, token_f1 and,
-    for all rows together, the write-up gate."""
-    said = E.answer(frozen.withColumn("prompt", E.X.answer_prompt("question", "category", "context")), make_reader)
-    scored = said.withColumn("token_f1", F.round(M.token_f1("answer", "prediction"), 4))
+def answer_again(frozen: DataFrame, make_reader: Callable, checkpoint: DataFrame | None = None) -> DataFrame:
+    """Answers anew from frozen contexts: rows with sample_id, qa, question, category, answer, context -> the same with prediction, token_f1 and,
+    for all rows together, the write-up gate. Rows without a context are left out. Questions that agree in sample and
+    their first 120 characters get one answer, that of the last; answers of ``checkpoint`` (sample_id, question, prediction, token_f1) that are not blank are kept."""
+    rows = settle(frozen.where(~E.X.blank("context")))
+    key = E.answer_key(F.col("sample_id"), F.col("question"))
+    one = rows.groupBy(key.alias("_key")).agg(F.max_by(F.struct(*[c for c in rows.columns]), "qa").alias("r")).select("_key", "r.*")
+    kept = None
+    if checkpoint is not None:
+        kept = checkpoint.where(~E.X.blank("prediction")).select("sample_id", "question", "prediction", "token_f1")
+        one = one.join(kept.select(key.alias("_key")), "_key", "left_anti")
+    said = E.answer(one.withColumn("prompt", E.X.answer_prompt("question", "category", "context")), make_reader)
+    answers = said.select("sample_id", "question", "prediction", F.round(M.token_f1("answer", "prediction"), 4).alias("token_f1"))
+    scored = settle(E.with_answers(rows, answers if kept is None else answers.unionByName(kept)))
     overall = scored.agg(M.percent(F.avg("token_f1")).alias("f1"))
     return scored.crossJoin(F.broadcast(overall.select(E.write_up_gate(F.col("f1")).alias("gate"))))  # one row
 

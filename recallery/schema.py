@@ -10,7 +10,6 @@ MIN_REL_SCORE, TOP_K_PER_KEY = 0.5, 20
 WHO_SCALE, NEIGHBOUR_SCALE = 0.25, 0.5
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
 KS = (5, 10, 25, 50)
-CATEGORIES = {1: "Multi-hop", 2: "Temporal", 3: "Open-domain", 4: "Single-hop", 5: "Adversarial"}
 
 DIALOG = "sample_id string, session_num int, date_time string, pos int, dia_id string, speaker string, text string, query string, img_url string, blip_caption string"
 MEMORY = "sample_id string, memory_id string, dia_id string, session_num int, date_time string, speaker string, text string, text_normalized string, query string, img_url string, blip_caption string, metadata map<string,string>"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from recallery.functions import text as X
 from recallery.operators.graph import Graph
 from recallery.schema import ENTITY, ITEM, MEMORY, MEMORY_EDGE, MENTION
+from recallery.sources.scratch import settle
 
 TABLES = ("memory", "entity", "mention", "memory_edge")
 
@@ -51,22 +52,42 @@ def questions(df: DataFrame) -> DataFrame:
     return each.select("sample_id", (F.col("i") + 1).alias("qa"), "q.question", F.coalesce("q.answer", F.lit("")).alias("answer"), F.coalesce("q.evidence", F.array().cast("array<string>")).alias("evidence"), "q.category").where(~X.blank("question"))
 
 
-def question_keys(spark: SparkSession, path: str) -> DataFrame:
-    """(sample_id, qa, qkey) of files ``<sample>_qkeys*.json``, each an object from question number to keys; empty lists give no rows."""
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path, maybe with wildcards, names a file or folder of any file system that Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    return found is not None and len(found) > 0
+
+
+def question_keys(spark: SparkSession, *paths: str) -> DataFrame:
+    """(sample_id, qa, qkey) of files ``<sample>_qkeys*.json``, each an object from question number to keys; empty lists give
+    no rows. Of several paths the first that exists counts; no rows if none does."""
+    path = next((p for p in paths if exists(spark, p)), None)
+    if path is None:
+        return spark.createDataFrame([], "sample_id string, qa int, qkey string")
     whole = spark.read.text(path, wholetext=True).select("value", F.regexp_extract(F.col("_metadata.file_name"), r"^(.+?)_qkeys", 1).alias("sample_id"))
     each = whole.select("sample_id", F.explode(F.map_entries(F.from_json("value", "map<string,array<string>>"))).alias("e"))
     return each.select("sample_id", F.expr("try_cast(e.key as int)").alias("qa"), F.explode("e.value").alias("qkey")).where("qa is not null")
 
 
+#: Folders of a stored graph's table, by a hash of the sample: their number doesn't grow with the samples.
+FOLDERS = 64
+
+
 def save_graph(graph: Graph, path: str) -> None:
     for name in TABLES:
-        getattr(graph, name).write.mode("overwrite").partitionBy("sample_id").parquet(f"{path}/{name}")
+        dealt = getattr(graph, name).withColumn("folder", F.pmod(F.xxhash64("sample_id"), F.lit(FOLDERS)).cast("int"))
+        dealt.repartition("folder").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/{name}")
 
 
-def load_graph(spark: SparkSession, path: str) -> Graph:
-    """A stored graph; a weight of 0 or null loads as 1."""
-    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-    tables = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
+def load_graph(spark: SparkSession, path: str, sample_id: str | None = None) -> Graph:
+    """A stored graph, or one sample of it (from its folder alone); a weight of 0 or null loads as 1."""
+    tables = {}
+    for name, schema in zip(TABLES, (MEMORY, ENTITY, MENTION, MEMORY_EDGE), strict=True):
+        one = spark.read.schema(f"{schema}, folder int").parquet(f"{path}/{name}")
+        if sample_id is not None:
+            one = one.where((F.col("folder") == F.pmod(F.xxhash64(F.lit(sample_id)), F.lit(FOLDERS)).cast("int")) & (F.col("sample_id") == sample_id))
+        tables[name] = one.drop("folder")
     for name in ("mention", "memory_edge"):
         w = F.coalesce("weight", F.lit(0.0))
         tables[name] = tables[name].withColumn("weight", F.when(w == 0, 1.0).otherwise(w))
@@ -131,22 +152,42 @@ class Cache:
         self.spark, self.path, self.schema, self.keys = spark, path, schema, keys
 
     def read(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(self.schema).parquet(self.path).dropDuplicates(self.keys)
-        except Exception as e:  # nothing stored yet
-            if "PATH_NOT_FOUND" in str(e):
-                return self.spark.createDataFrame([], self.schema)
-            raise
+        if not exists(self.spark, self.path):
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(self.path).dropDuplicates(self.keys)
 
     def misses(self, df: DataFrame) -> DataFrame:
         return df.join(self.read().select(*self.keys), self.keys, "left_anti")
 
     def add(self, rows: DataFrame) -> int:
         """Append the rows whose keys are new; how many those were. Running it again adds nothing."""
-        fresh = self.misses(rows.dropDuplicates(self.keys)).select(*self.spark.createDataFrame([], self.schema).columns)
-        before = self.read().count()
-        fresh.write.mode("append").parquet(self.path)
-        return self.read().count() - before
+        fresh = settle(self.misses(rows.dropDuplicates(self.keys)).select(*self.spark.createDataFrame([], self.schema).columns))
+        n = fresh.count()
+        if n:
+            fresh.write.mode("append").parquet(self.path)
+        return n
+
+
+#: Format of a stored index of embeddings.
+INDEX_FORMAT = 2
+
+
+def save_index(index: DataFrame, path: str) -> None:
+    """(sample_id, memory_id, model, text_digest, vec) with the format's number; ValueError if a row lacks its digest or vector."""
+    if not index.where("text_digest is null or vec is null").isEmpty():
+        raise ValueError("every memory needs a digest and a vector")
+    index.withColumn("format", F.lit(INDEX_FORMAT)).write.mode("overwrite").parquet(path)
+
+
+def load_index(spark: SparkSession, path: str) -> DataFrame | None:
+    """A stored index; None if there is none, or one of another format or without digests."""
+    if not exists(spark, f"{path}/*.parquet"):
+        return None
+    found = spark.read.parquet(path)
+    need = {"sample_id", "memory_id", "model", "text_digest", "vec", "format"}
+    if not need <= set(found.columns) or not found.where(~F.col("format").eqNullSafe(INDEX_FORMAT)).isEmpty():
+        return None
+    return found.drop("format")
 
 
 def report_json(df: DataFrame, most: int = 1000) -> str:

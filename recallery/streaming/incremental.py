@@ -1,4 +1,4 @@
-"""Incremental graph building: micro-batches of dialog turns append to the graph's tables."""
+"""Incremental graph building: micro-batches of dialog turns append to the table of mentions."""
 
 from __future__ import annotations
 

@@ -273,3 +273,130 @@ def test_bm25_porter_asks_every_language(spark, tmp_path):
     spark.createDataFrame([(0, "horse run")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = catalog.bm25_porter(spark, str(tmp_path)).collect()
     assert {r["doc"]: r["score"] for r in got} == {"1": 1.0, "2": 1.0, "4": 1.0}
+
+
+def test_clients():
+    from recallery.operators import clients as K
+
+    waits, calls = [], []
+
+    def flaky(x):
+        calls.append(x)
+        if len(calls) < 4:
+            raise OSError("busy")
+        return x
+
+    assert K.retrying(flaky, 5, sleep=waits.append)("a") == "a" and waits == [0.75, 1.5, 3.0]
+    with pytest.raises(OSError):
+        K.retrying(lambda: open("/no/such/file"), 2, sleep=waits.append)()
+    assert K.ask(lambda p: p, "x", tokens=5) == "x" and K.ask(lambda p, tokens: (p, tokens), "x", tokens=5, temperature=1) == ("x", 5) and K.ask(lambda p, **s: sorted(s), "x", a=1, b=2) == ["a", "b"]
+    assert K.named({"small": lambda: len}, "s", {"s": "small"})("abc") == 3
+    with pytest.raises(ValueError):
+        K.named({}, "large")
+    assert K.with_examples(lambda p: p, [("1+1", "2")])("2+2") == "1+1\n2\n\n2+2"
+    said = iter(["no", "{", '{"a": 1}'])
+    assert K.json_trials(lambda p: next(said), "x") == {"a": 1}
+    with pytest.raises(ValueError):
+        K.json_trials(lambda p: "no", "x", 2)
+
+
+def test_encoders(spark, tmp_path):
+    import numpy as np
+
+    t = spark.createDataFrame([("a b",), ("a b",), ("c",), (None,)], "t string")
+    cache = store.embedding_cache(spark, str(tmp_path / "c"))
+    found, n = dense.embed_cached(t, "t", cache)
+    assert (found.count(), n) == (3, 3) and dense.embed_cached(t, "t", cache)[1] == 0
+    assert dense.embed_cached(t, "t", cache, role="query")[1] == 3 and dense.embed_cached(t, "t", cache, dense.Encoder("other"))[1] == 3
+    api = dense.api_encoder("api", lambda texts: np.ones((len(texts), 4)), 4)
+    dual = dense.dual_encoder("dual", lambda texts: np.ones((len(texts), 2)), lambda texts: -np.ones((len(texts), 2)), 2)
+    assert (api.query_role, dual.query_role) == ("context", "query")
+    assert dense.embed_cached(t, "t", cache, api)[0].first()["vec"] == [0.5] * 4
+    assert dense.embed_cached(t, "t", cache, dual, "query")[0].first()["vec"][0] > 0 > dense.embed_cached(t, "t", cache, dual)[0].first()["vec"][0]
+    for bad in (lambda texts, role: np.ones((len(texts) + 1, 64)), lambda texts, role: np.ones((len(texts), 63))):
+        with pytest.raises(Exception, match="vectors"):
+            dense.embed_cached(t, "t", cache, dense.Encoder("bad", bad))
+
+
+def test_stored_index(spark, tmp_path):
+    from recallery.plans import jobs
+
+    g, path = worked(spark)[0], str(tmp_path / "i")
+    assert store.load_index(spark, path) is None
+    cache = store.embedding_cache(spark, str(tmp_path / "c"))
+    index, n = jobs.build_index(g.memory, path, cache)
+    assert n == 3 and jobs.build_index(g.memory, path, cache)[1] == 0 and dense.index_matches(index, g.memory, "hashed").first()["matches"]
+    assert not dense.index_matches(index, g.memory.limit(2), "hashed").first()["matches"] and not dense.index_matches(index, g.memory, "other").first()["matches"]
+    # an index gives what it holds to an empty cache
+    other = store.embedding_cache(spark, str(tmp_path / "c2"))
+    assert jobs.build_index(g.memory, path, other)[1] == 0 and other.read().count() == 3
+    index.drop("text_digest").write.parquet(str(tmp_path / "old"))
+    index.withColumn("format", F.lit(1)).write.parquet(str(tmp_path / "one"))
+    assert store.load_index(spark, str(tmp_path / "old")) is None and store.load_index(spark, str(tmp_path / "one")) is None
+    with pytest.raises(ValueError):
+        store.save_index(index.withColumn("text_digest", F.lit(None).cast("string")), str(tmp_path / "x"))
+
+
+def test_keys_and_resume(spark, tmp_path):
+    from recallery.plans import jobs
+
+    (tmp_path / "s_qkeys_a.json").write_text('{"1": ["ann"]}')
+    a, b = str(tmp_path / "s_qkeys_a.json"), str(tmp_path / "s_qkeys_b.json")
+    assert [store.question_keys(spark, *p).count() for p in ((b, a), (a, b), (b,))] == [1, 1, 0]
+    q = spark.createDataFrame([("s", 1, "fails"), ("s", 2, "Ann and tea"), ("s", 3, "nothing"), ("s", 4, " ")], "sample_id string, qa int, question string")
+    found = {"fails": None, "Ann and tea": [("Ann's", "Who"), ("ANN", "Who"), ("Tea", "What")], "nothing": []}
+    keys, n, failed = jobs.question_keys(q, str(tmp_path / "k"), fixed(found))
+    assert ({(r["qa"], r["qkey"]) for r in keys.collect()}, n, failed) == ({(2, "ann"), (2, "tea")}, 2, 1)
+    keys, n, failed = jobs.question_keys(q, str(tmp_path / "k"), fixed(found | {"fails": [("Bob", "Who")]}))
+    assert (keys.count(), n, failed) == (3, 1, 0)
+
+
+def test_frozen_scores_count_each_prediction_once(spark):
+    from recallery.plans import jobs
+
+    q = spark.createDataFrame([("s", 1, "same?", "a", ["D1:1"], 1), ("s", 2, "same?", "b", ["D1:2"], 2), ("s", 3, "other?", "c", ["D1:3"], 5), ("s", 4, "none?", "d", [], 1)], schema.QUESTION)
+    p = spark.createDataFrame(
+        [("s", "same?", "b", ["D1:2"], 0.75), ("s", "same?", "x", ["D1:9"], None), ("s", "other?", "c", ["D1:1"], None), ("s", "other?", "c", [], None), ("s", "none?", "d", ["D1:1"], None)],
+        "sample_id string, question string, prediction string, ids array<string>, token_f1 double",
+    )
+    f1, cut = jobs.score_frozen(p, q)
+    got = {(r["k"], r["category"]): (r["n"], r["recall_acc"], r["token_f1_pct"]) for r in cut.collect()}
+    assert got[25, None] == (3, 33.33, 58.33) and got[5, 2] == (2, 50.0, None) and {k for k, _ in got} == {5, 10, 25}
+    assert {r["category"]: r["n"] for r in f1.collect()} == {None: 4, 1: 1, 2: 2, 5: 1}
+
+
+def test_one_sample_is_read_from_its_folder(spark, tmp_path):
+    g = worked(spark)[0]
+    store.save_graph(g, str(tmp_path / "g"))
+    assert store.load_graph(spark, str(tmp_path / "g"), "s").memory.count() == 3 and store.load_graph(spark, str(tmp_path / "g"), "t").memory.count() == 0
+
+
+def test_scratch_folder_of_a_cluster(spark, monkeypatch):
+    from recallery.sources import scratch
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+            class _jsc:  # noqa: N801
+                @staticmethod
+                def sc():
+                    return type("S", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))})
+
+    with pytest.raises(ValueError):
+        scratch.root(Session())
+    assert str(scratch.folder(spark)).endswith(spark.sparkContext.applicationId)
+
+
+def test_stop_word_profiles(spark):
+    df = spark.createDataFrame([("s", "1", "those running dogs", "x"), ("s", "2", "cats", "x"), ("s", "3", "birds", "x")], "sample_id string, doc string, text string, key string")
+    terms = lambda p: {r["term"] for r in lexical.index(df, p).terms.collect()}
+    assert "those" in terms("plain") and "those" not in terms("english") and terms("porter_english") == {"run", "dog", "cat", "bird"}
+    with pytest.raises(ValueError):
+        lexical.tokens(F.col("text"), "other")
