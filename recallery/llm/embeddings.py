@@ -9,15 +9,17 @@ vectors: the number of vectors behind a filter stays level while the table grows
 number of directions is raised until simulated pairs at the required cosine are found.
 
 Equal vectors are one class: they are compared once, counted as often as they stand.
-Behind a filter a pair counts only at the smallest filter that both pass, so links are
-added up and never listed; a spanning star of each group found there goes on to the
-components. A filter with many vectors is split into blocks, and each pair of blocks is a
-group of its own.
+Behind a filter a pair counts only if no smaller filter has both, so each vector brings the
+smaller filters it passes along. Links are added up and never listed; a spanning star of
+each group found goes on to the components. A filter with many vectors is split into
+blocks, and each pair of blocks is a group of its own.
 
 Edge cases: null vectors, zero vectors and such with null or non-finite components link
 with nothing; vectors of unlike length don't link; an empty table gives an empty result;
 rows that repeat a vec_id are one vector if the vectors are equal, and else count as
-separate vectors under one id; other columns are not used.
+separate vectors under one id, each row with the links of its own; rows without a vec_id
+link with nothing; ties don't arise, as a component is named by its smallest vec_id; other
+columns, whatever their names, are not used; vectors may be of any length.
 """
 
 from __future__ import annotations
@@ -34,10 +36,10 @@ from recallery.llm.common import components, cut, table
 
 COSINE = 0.9
 #: Vectors behind a filter at the threshold chosen, on average; vectors of a block of a larger one.
-BEHIND, BLOCK = 48, 2048
+BEHIND, BLOCK = 512, 2048
 #: Codewords of a part at most, filters of one code that a vector passes on average, and the
 #: share of simulated pairs at exactly the required cosine that must meet.
-WIDEST, PASSED, MEET = 192, 3, 0.99
+WIDEST, PASSED, MEET = 192, 2, 0.99
 
 
 class Filters:
@@ -76,6 +78,15 @@ class Filters:
         return row, name + base
 
 
+def threshold(share: float, d: int) -> float:
+    """The inner product that a random direction has or exceeds with a random unit vector of d components with that probability."""
+    t = np.linspace(0, 1, 1_000_001)[:-1]
+    # the density is (1 - t^2) ^ ((d - 3) / 2); its logarithm, so that no share is too small
+    log = (d - 3) / 2 * np.log1p(-(t**2))
+    above = np.cumsum(np.exp(log - log.max())[::-1])[::-1]
+    return float(t[np.searchsorted(-above, -2 * share * above[0])])
+
+
 def choose(n: int, d: int, cosine: float = COSINE) -> tuple[int, int, float, int]:
     """Parts, codewords of a part, threshold and number of codes for n vectors of d components."""
     rng = np.random.default_rng([11, d])
@@ -84,16 +95,12 @@ def choose(n: int, d: int, cosine: float = COSINE) -> tuple[int, int, float, int
     y = rng.standard_normal((600, d))
     y -= (y * x).sum(1, keepdims=True) * x
     y = cosine * x + np.sqrt(1 - cosine**2) * y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
-    if d < 4:
-        return 1, 1, -2.0, 1  # too few components for filters: all vectors stand behind one
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
     share = min(0.2, BEHIND / max(n, 1))
-    # inner products of a random direction: the threshold that a random vector exceeds with that share
-    t = rng.standard_normal((400_000, 1))[:, 0]
-    alpha = float(np.quantile(t / np.sqrt(t**2 + rng.chisquare(d - 1, len(t))), 1 - max(share, 5e-5)))
-    if share < 5e-5:
-        alpha = min(0.95, alpha * np.sqrt(np.log(1 / share) / np.log(1 / 5e-5)))
-    wanted = PASSED / max(share, 1e-12)
-    parts = next(m for m in range(1, d) if wanted ** (1 / m) <= WIDEST or m >= d // 4)
+    # a cap need not be narrower than the link itself, which few components would ask for
+    alpha = min(threshold(share, d), cosine) if d > 1 else cosine
+    wanted = PASSED / share
+    parts = 1 if d < 4 else next(m for m in range(2, d) if wanted ** (1 / m) <= WIDEST or m >= d // 4)
     width = max(2, int(np.ceil(wanted ** (1 / parts))))
     tables, met = 0, np.zeros(len(x), bool)
     while met.mean() < MEET:
@@ -106,71 +113,95 @@ def choose(n: int, d: int, cosine: float = COSINE) -> tuple[int, int, float, int
     return parts, width, alpha, tables
 
 
-def _unit(vectors: list) -> np.ndarray:
-    x = np.array(vectors, np.float64)
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     x /= np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _listing(plan: dict[int, tuple[int, int, float, int]]):
+def _listing(plan: dict[int, tuple[int, int, float, int]], kind: str):
+    """Vectors as bytes, with the filters they pass in order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, Filters] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                if not part.num_rows:
-                    continue
-                lengths = np.array(part.column("d"))
+                lengths, column = part.column("d").to_numpy(), part.column("vec")
+                flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind)
+                start = np.cumsum(lengths) - lengths
                 out: list = [None] * part.num_rows
-                vectors = part.column("vec").to_pylist()
                 for d in set(lengths.tolist()):
                     f = made.setdefault(d, Filters(d, *plan[d]))
                     rows = np.flatnonzero(lengths == d)
-                    row, name = f.decode(_unit([vectors[i] for i in rows]))
+                    row, name = f.decode(_unit(flat[start[rows][:, None] + np.arange(d)]))
                     for i, r in enumerate(rows):
                         out[r] = name[np.searchsorted(row, i) : np.searchsorted(row, i, "right")]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.list_(pa.int64()))], names=[*part.schema.names, "filters"])
+                size = np.dtype(kind).itemsize
+                ends = np.append(start, lengths.sum()) * size
+                blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(flat.tobytes())])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("times"), part.column("d"), blob.cast(pa.binary()), pa.array(out, pa.list_(pa.int64()))], names=["id", "times", "d", "vec", "filters"])
 
     return run
 
 
-def _group(ids, times, x, filters, mine, side, links: dict, edges: list, cosine: float) -> None:
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and value of each element of a list column."""
+    column = column.combine_chunks()
+    return np.repeat(np.arange(len(column)), np.asarray(column.value_lengths())), column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _known(one: tuple, other: tuple, shape: tuple[int, int]) -> np.ndarray:
+    """Which pairs of rows share a smaller filter, from (row, filter) on either side."""
+    out = np.zeros(shape, bool)
+    (ra, fa), (rb, fb) = one, other
+    oa, ob = np.argsort(fa, kind="stable"), np.argsort(fb, kind="stable")
+    ra, fa, rb, fb = ra[oa], fa[oa], rb[ob], fb[ob]
+    for f in np.intersect1d(fa, fb):
+        a, b = (r[np.searchsorted(x, f) : np.searchsorted(x, f, "right")] for r, x in ((ra, fa), (rb, fb)))
+        out[np.ix_(a, b)] = True
+    return out
+
+
+def _group(part: pa.Table, kind: str, links: dict, edges: list, cosine: float) -> None:
     """Adds the links of one filter's group to ``links`` and a spanning star of each linked set to ``edges``.
-    side: which block a row comes from (all 0: pairs within one block)."""
-    n = len(ids)
-    near = x @ x.T >= cosine
-    np.fill_diagonal(near, False)
-    if side.any():
-        near &= side[:, None] != side[None, :]
-    a, b = np.nonzero(near)
-    if not len(a):
+    Of a pair of blocks only the pairs across count."""
+    chunk, i, j = (part.column(c).to_numpy() for c in ("chunk", "i", "j"))
+    ids, times = part.column("id").to_numpy(), part.column("times").to_numpy().astype(float)
+    x = _unit(np.frombuffer(b"".join(part.column("vec").to_pylist()), kind).reshape(len(ids), -1))
+    row, smaller = _lists(part.column("smaller"))
+    pick = lambda at: (np.searchsorted(at, row[m := np.isin(row, at)]), smaller[m])
+    if i[0] == j[0]:
+        a = b = np.arange(len(ids))
+        near = x @ x.T >= cosine
+        np.fill_diagonal(near, False)
+    else:
+        a, b = np.flatnonzero(chunk == i), np.flatnonzero(chunk != i)
+        near = x[a] @ x[b].T >= cosine
+    if not near.any():
         return
-    most = max(map(len, filters))
-    lists = np.full((n, most), -1, np.int64)
-    for i, f in enumerate(filters):
-        lists[i, : len(f)] = f
-    for k in range(0, len(a), 20_000):
-        p, q = a[k : k + 20_000], b[k : k + 20_000]
-        la, lb = lists[p], lists[q]
-        same = (la[:, :, None] == lb[:, None, :]).any(2) & (la >= 0)
-        first = np.where(same, la, np.iinfo(np.int64).max).min(1) == mine
-        added = np.bincount(p[first], weights=times[q[first]], minlength=n)
-        for i in np.flatnonzero(added):
-            links[ids[i]] = links.get(ids[i], 0) + int(added[i])
+    near &= ~_known(pick(a), pick(b), near.shape)
+    sums = [(a, near @ times[b])] + ([] if a is b else [(b, near.T @ times[a])])
+    for at, added in sums:
+        for k in np.flatnonzero(added):
+            links[ids[at[k]]] = links.get(ids[at[k]], 0) + int(added[k])
+    # a spanning star of each linked set
     left = near.any(1)
     while left.any():
         root = int(np.argmax(left))
-        seen = np.zeros(n, bool)
-        seen[root] = True
+        seen, across = np.zeros(len(a), bool), np.zeros(len(b), bool)
         front = seen.copy()
+        front[root] = True
         while front.any():
-            front = near[front].any(0) & ~seen
             seen |= front
-        edges += [(int(ids[root]), int(ids[i])) for i in np.flatnonzero(seen) if i != root]
+            met = near[front].any(0) & ~across
+            across |= met
+            front = near[:, met].any(1) & ~seen
+        edges += [(int(ids[a[root]]), int(k)) for k in np.union1d(ids[a[seen]], ids[b[across]]) if k != ids[a[root]]]
         left &= ~seen
 
 
-def _verify(cosine: float):
+def _verify(cosine: float, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links: dict[int, int] = {}
         edges: list[tuple[int, int]] = []
@@ -187,15 +218,11 @@ def _verify(cosine: float):
         def done():
             part = pa.Table.from_batches(held)
             held.clear()
-            if part.num_rows > 1:
-                d = np.array(part.column("d"))
-                for one in set(d.tolist()):
-                    at = np.flatnonzero(d == one)
-                    if len(at) > 1:
-                        some = part.take(at)
-                        col = lambda c: np.array(some.column(c))  # noqa: B023, E731
-                        side = (col("chunk") != col("i")) & (col("i") != col("j"))
-                        _group(col("id"), col("times").astype(float), _unit(some.column("vec").to_pylist()), [np.array(v) for v in some.column("filters").to_pylist()], int(some.column("filter")[0].as_py()), side.astype(np.int8), links, edges, cosine)
+            d = part.column("d").to_numpy()
+            for one in np.unique(d):
+                some = part.filter(pa.array(d == one))
+                if some.num_rows > 1:
+                    _group(some, kind, links, edges, cosine)
 
         last = None
         for batch in batches:
@@ -219,38 +246,38 @@ def _verify(cosine: float):
 
 def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row (see the module)."""
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vec"))
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vec"), F.monotonically_increasing_id().alias("row"))
     finite = F.forall("vec", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
-    good = F.coalesce(F.col("vec").isNotNull() & (F.size("vec") > 0) & finite & F.exists("vec", lambda c: c != 0), F.lit(False))
-    marked = cut(rows.select("id", F.when(good, F.col("vec")).alias("vec")))
-    distinct = marked.where("vec is not null").distinct()
-    classes = cut(distinct.groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("times")).select("rep", "times", F.size("vec").alias("d"), "vec"))
-    # one id may stand with several vectors; each class has a number of its own, and names no id twice
+    good = F.coalesce(F.col("id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0) & finite & F.exists("vec", lambda c: c != 0), F.lit(False))
+    kind = "f4" if rows.schema["vec"].dataType.elementType.typeName() == "float" else "f8"
+    # 96 bits of two hashes tell vectors apart; a negative zero is made a zero
+    vec = F.transform("vec", lambda c: c.cast("float" if kind == "f4" else "double") + F.lit(0.0).cast("float" if kind == "f4" else "double"))
+    marked = cut(rows.select("id", "row", F.when(good, vec).alias("vec")).withColumns({"h1": F.when(F.col("vec").isNotNull(), F.xxhash64("vec")), "h2": F.when(F.col("vec").isNotNull(), F.hash("vec"))}))
+    distinct = marked.where("vec is not null").groupBy("id", "h1", "h2").agg(F.min("row").alias("row"), F.first("vec").alias("vec"))
+    classes = distinct.groupBy("h1", "h2").agg(F.min(F.struct("id", "row")).alias("r"), F.count("*").alias("times"), F.first("vec").alias("vec"))
+    # a class goes by the row number of its representative
+    classes = cut(classes.select("h1", "h2", F.col("r.row").alias("id"), F.col("r.id").alias("rep"), "times", F.size("vec").alias("d"), "vec"))
     sizes = {r["d"]: r["n"] for r in classes.groupBy("d").agg(F.count("*").alias("n")).collect()}
     plan = {d: choose(n, d, cosine) for d, n in sizes.items()}
-    kind = classes.schema["vec"].dataType.simpleString()
-    named = classes.select(F.xxhash64("vec").alias("id"), "rep", "times", "d", "vec")
-    listed = cut(named.mapInArrow(K.tidy(_listing(plan)), f"id long, rep long, times long, d int, vec {kind}, filters array<bigint>"))
-    dealt = listed.select("*", F.explode("filters").alias("filter"))
+    listed = cut(classes.select("id", "times", "d", "vec").mapInArrow(K.tidy(_listing(plan, kind)), "id long, times long, d int, vec binary, filters array<bigint>"))
+    # of the filters only those before the one at hand go along
+    dealt = listed.select("id", "times", "d", "vec", "filters", F.posexplode("filters").alias("p", "filter")).select("id", "times", "d", "vec", F.slice("filters", F.lit(1), F.col("p")).alias("smaller"), "filter")
     large = listed.select(F.explode("filters").alias("filter")).groupBy("filter").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
     large = large.select("filter", F.ceil(F.col("n") / BLOCK).cast("int").alias("k"))
     split = dealt.join(large, "filter", "left").withColumn("k", F.coalesce("k", F.lit(1)))
     split = split.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least(o, F.col("chunk")).alias("i"), F.greatest(o, F.col("chunk")).alias("j")))
-    split = split.select("id", "times", "d", "vec", "filters", "filter", "chunk", F.explode(pairs).alias("p")).select("id", "times", "d", "vec", "filters", "filter", "chunk", "p.i", "p.j")
+    sent = ["id", "times", "d", "vec", "smaller", "filter", "chunk"]
+    split = split.select(*sent, F.explode(pairs).alias("p")).select(*sent, "p.i", "p.j")
     groups = split.repartition("filter", "i", "j").sortWithinPartitions("filter", "i", "j")
-    found = cut(groups.mapInArrow(K.tidy(_verify(cosine)), "a long, b long, n long"))
-    links = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links"))
+    found = cut(groups.mapInArrow(K.tidy(_verify(cosine, kind)), "a long, b long, n long"))
+    links = found.where("b is null").groupBy("a").agg(F.sum("n").alias("links")).withColumnRenamed("a", "id")
     # back from classes to ids: the smallest id of each linked set
-    edges = found.where("b is not null").select("a", "b")
-    joined = components(edges).withColumnRenamed("node", "id") if edges.limit(1).count() else None
-    info = named.select("id", "rep", "times")
-    info = info.join(joined, "id", "left") if joined is not None else info.withColumn("component", F.lit(None).cast("long"))
-    info = info.withColumn("component", F.coalesce("component", "id"))
-    low = info.groupBy("component").agg(F.min("rep").alias("component_id"))
-    info = info.join(low, "component").join(links.withColumnRenamed("a", "id"), "id", "left")
-    info = info.select(F.col("id").alias("class"), "component_id", (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = marked.withColumn("class", F.when(F.col("vec").isNotNull(), F.xxhash64("vec"))).select(F.col("id").alias(key), "class").join(info, "class", "left")
+    joined = cut(components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "id"))
+    low = joined.join(classes.select("id", "rep"), "id").groupBy("component").agg(F.min("rep").alias("least"))
+    info = classes.select("h1", "h2", "id", "rep", "times").join(joined.join(low, "component").select("id", "least"), "id", "left").join(links, "id", "left")
+    info = info.select("h1", "h2", F.coalesce("least", "rep").alias("component_id"), (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = marked.select(F.col("id").alias(key), "h1", "h2").join(info, ["h1", "h2"], "left")
     whole = F.coalesce(F.col("component_id"), F.col(key))
     return out.select(key, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), whole.alias("component_id"), F.coalesce(F.col(key) == whole, F.lit(True)).alias("kept"))
 
