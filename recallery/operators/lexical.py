@@ -25,26 +25,32 @@ def tokens(c: Column, profile: str = "plain") -> Column:
 
 
 class Index:
-    """Postings (sample_id, doc, term, tf, dl, idf) and keys (sample_id, doc, norm_key) of a corpus in each sample."""
+    """Postings (sample_id, doc, term, tf, dl), term statistics and keys (sample_id, doc, norm_key) of a corpus in each sample."""
 
     def __init__(self, postings: DataFrame, terms: DataFrame, keys: DataFrame):
         self.postings, self.terms, self.keys = postings, terms, keys
 
 
-def index(docs: DataFrame, profile: str = "plain") -> Index:
-    """From (sample_id, doc, text, key). A document without tokens counts as one unaskable token."""
+def index(docs: DataFrame, profile: str = "plain", asked: DataFrame | None = None) -> Index:
+    """From (sample_id, doc, text, key). A document without tokens counts as one unaskable token. With ``asked``, a table
+    with qkey, the postings hold the terms of those keys only; the statistics are those of the whole corpus all the same."""
     listed = tokens(F.col("text"), profile)
     split = docs.select("sample_id", "doc", listed.alias("t")).withColumn("t", F.when(F.size("t") > 0, F.col("t")).otherwise(F.array(F.lit("_empty"))))
-    each = split.select("sample_id", "doc", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("sample_id", "doc", "term", "dl").agg(F.count("*").alias("tf"))
     sizes = split.groupBy("sample_id").agg(F.count("*").alias("n"), F.avg(F.size("t").cast("double")).alias("avgdl"))
-    df = each.groupBy("sample_id", "term").agg(F.count("*").alias("df")).join(sizes, "sample_id")
+    if asked is None:
+        # the postings of all terms, read several times
+        each = settle(split.select("sample_id", "doc", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("sample_id", "doc", "term", "dl").agg(F.count("*").alias("tf")))
+        df = each.groupBy("sample_id", "term").agg(F.count("*").alias("df"))
+    else:
+        known = settle(asked.select(F.explode(tokens(F.col("qkey"), profile)).alias("term")).distinct())
+        some = split.select("sample_id", "doc", F.size("t").alias("dl"), F.explode("t").alias("term")).join(known, "term")
+        each = some.groupBy("sample_id", "doc", "term", "dl").agg(F.count("*").alias("tf"))
+        df = split.select("sample_id", F.explode(F.array_distinct("t")).alias("term")).groupBy("sample_id", "term").agg(F.count("*").alias("df"))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    idf = df.withColumn("raw", raw)
+    idf = settle(df.join(sizes, "sample_id").withColumn("raw", raw))
     # the mean is over all distinct terms, negative values among them
     mean = idf.groupBy("sample_id").agg(F.avg("raw").alias("mean_idf"))
     terms = idf.join(mean, "sample_id").select("sample_id", "term", "df", "n", "avgdl", F.when(F.col("raw") < 0, BM25_EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    # postings and statistics are read several times
-    each, terms = settle(each), settle(terms)
     keys = docs.select("sample_id", "doc", X.entity_key("key").alias("norm_key"))
     return Index(each, terms, keys)
 
@@ -54,27 +60,32 @@ def entity_index(entity: DataFrame, profile: str = "plain") -> Index:
     return index(entity.select("sample_id", F.col("entity_id").alias("doc"), X.entity_document("key", "value").alias("text"), key.alias("key")), profile)
 
 
-def relative_scores(found: Index, asked: DataFrame, by: list[str], profile: str = "plain") -> DataFrame:
-    """(sample_id, *by, qkey, doc, rel): scores of each question key over the best one; keys without a positive best give none.
-    ``asked``: sample_id, *by, qkey."""
-    # equal keys of one sample are scored once
-    terms = asked.select("sample_id", "qkey").distinct()
-    terms = terms.select("sample_id", "qkey", F.explode(tokens(F.col("qkey"), profile)).alias("term")).groupBy("sample_id", "qkey", "term").agg(F.count("*").alias("times"))
-    hits = terms.join(found.terms, ["sample_id", "term"]).join(found.postings, ["sample_id", "term"])
+def relative_scores(found: Index, asked: DataFrame, profile: str = "plain", min_rel: float | None = None) -> DataFrame:
+    """(sample_id, qkey, doc, rel): scores of each question key over the best one, from ``min_rel`` on; keys without a
+    positive best give none. ``asked``: distinct (sample_id, qkey), or (qkey), which asks every sample."""
+    where = [c for c in ("sample_id",) if c in asked.columns]
+    # keys may be long: numbers stand for them where there are many rows
+    numbered = settle(asked.select(*where, "qkey").withColumn("kid", F.monotonically_increasing_id()))
+    terms = numbered.select(*where, "kid", F.explode(tokens(F.col("qkey"), profile)).alias("term")).groupBy(*where, "kid", "term").agg(F.count("*").alias("times"))
+    weighed = terms.join(found.terms.select("sample_id", "term", "idf", "avgdl"), [*where, "term"]).select("sample_id", "kid", "term", (F.col("times") * F.col("idf")).alias("w"), "avgdl")
+    hits = found.postings.join(weighed, ["sample_id", "term"])
     norm = F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("avgdl"))
-    score = F.col("times") * F.col("idf") * (F.col("tf") * (BM25_K1 + 1) / norm)
-    scored = hits.groupBy("sample_id", "qkey", "doc").agg(F.sum(score).alias("score"))
-    best = F.max("score").over(W.partitionBy("sample_id", "qkey"))
-    scored = scored.withColumn("best", best).where("best > 0").select("sample_id", "qkey", "doc", F.round(F.col("score") / F.col("best"), 9).alias("rel"))
-    return asked.select("sample_id", *by, "qkey").join(scored, ["sample_id", "qkey"])
+    score = F.col("w") * (F.col("tf") * (BM25_K1 + 1) / norm)
+    scored = settle(hits.groupBy("sample_id", "kid", "doc").agg(F.sum(score).alias("score")))
+    best = scored.groupBy("sample_id", "kid").agg(F.max("score").alias("best")).where("best > 0")
+    scored = scored.join(best, ["sample_id", "kid"]).select("sample_id", "kid", "doc", F.round(F.col("score") / F.col("best"), 9).alias("rel"))
+    if min_rel is not None:
+        scored = scored.where(F.col("rel") >= min_rel)
+    return scored.join(numbered.select("kid", "qkey"), "kid").select("sample_id", "qkey", "doc", "rel")
 
 
 def match_keys(found: Index, asked: DataFrame, min_rel: float = MIN_REL_SCORE, top_k: int | None = TOP_K_PER_KEY, profile: str = "plain") -> DataFrame:
     """(sample_id, qkey, doc, score): for each question key the documents at or above ``min_rel`` of the
     best, equal keys lifted to 1 at least, the ``top_k`` best (null: all, negative: none).
-    ``asked``: distinct (sample_id, qkey), normalised and not blank."""
-    soft = relative_scores(found, asked, [], profile)
-    exact = asked.join(found.keys, (asked["sample_id"] == found.keys["sample_id"]) & (asked["qkey"] == found.keys["norm_key"])).select(asked["sample_id"], "qkey", "doc", F.lit(1.0).alias("rel"))
+    ``asked``: distinct (sample_id, qkey), or (qkey), normalised and not blank."""
+    soft = relative_scores(found, asked, profile, min_rel)
+    where = ["sample_id"] if "sample_id" in asked.columns else []
+    exact = found.keys.withColumnRenamed("norm_key", "qkey").join(asked, [*where, "qkey"]).select("sample_id", "qkey", "doc", F.lit(1.0).alias("rel"))
     both = soft.unionByName(exact).groupBy("sample_id", "qkey", "doc").agg(F.max("rel").alias("score")).where(F.col("score") >= min_rel)
     if top_k is None:
         return both

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -140,6 +140,27 @@ def pool(graph: Graph, questions: DataFrame, keys: DataFrame, vectors: DataFrame
     return fuse(graph, questions, scores, vectors, variant.we, variant.ws, variant.gate)
 
 
+def retrieve_variants(graph: Graph, questions: DataFrame, keys: DataFrame, vectors: DataFrame, k: int = 50, variants: Iterable[Variant] = VARIANTS, profile: str = "plain") -> DataFrame:
+    """(variant, sample_id, qa, memory_id, dia_id, score, rank): what ``retrieve`` gives for each variant, from one pass: each pair of a
+    question and a memory of its sample is scored once, and the variants differ by what they make of it."""
+    variants = list(variants)
+    seed = seeded(graph, keys, profile).withColumnRenamed("seed", "plain")
+    grown = expand(graph, seed.withColumnRenamed("plain", "seed")).select(*Q, "memory_id", F.col("e").alias("grown")).join(seed, [*Q, "memory_id"], "left")
+    gated = seed.select(*Q).distinct().withColumn("any", F.lit(True))
+    pairs = questions.select(*Q).join(graph.memory.select("sample_id", "memory_id", "dia_id"), "sample_id")
+    whole = pairs.join(dense.cosine(questions.select(*Q, "qvec"), vectors), [*Q, "memory_id"], "left").join(grown, [*Q, "memory_id"], "left").join(gated, Q, "left")
+    rows = []
+    for v in variants:
+        e = F.coalesce((F.col("grown") if v.expand else F.col("plain")) if v.entities else F.lit(None).cast("double"), F.lit(0.0))
+        inside = (F.col("grown").isNotNull() if v.expand else F.col("plain").isNotNull()) if v.entities else F.lit(False)
+        open_ = ~F.coalesce(F.col("any"), F.lit(False)) if v.gate and v.entities else F.lit(True)
+        rows.append(F.struct(F.lit(v.name).alias("variant"), e.alias("e"), (inside | open_).alias("kept"), F.lit(v.we).alias("we"), F.lit(v.ws).alias("ws")))
+    each = whole.select(*Q, "memory_id", "dia_id", F.coalesce("s", F.lit(0.0)).alias("s"), F.explode(F.array(*rows)).alias("v")).select(*Q, "memory_id", "dia_id", "s", "v.*")
+    pool = each.where(F.col("kept") & ~((F.col("e") <= 0) & (F.col("s") <= 0))).withColumn("score", F.round(F.col("we") * F.col("e") + F.col("ws") * F.col("s"), 9))
+    ranked = pool.withColumn("rank", F.row_number().over(W.partitionBy("variant", *Q).orderBy(F.desc("score"), "dia_id")))
+    return ranked.where(F.col("rank") <= max(k, 0)).select("variant", *Q, "memory_id", "dia_id", "score", "rank")
+
+
 def audit(graph: Graph, questions: DataFrame, keys: DataFrame, vectors: DataFrame, k: int = 8, variant: Variant = VARIANTS[1]) -> DataFrame:
     """One row for each question: keys, matched entities with their weights, gate, pool size and the ranked rows."""
     asked = question_keys(keys).groupBy(*Q).agg(F.array_sort(F.collect_list("qkey")).alias("keys"))

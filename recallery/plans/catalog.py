@@ -21,6 +21,7 @@ from recallery.plans import evaluate as E
 from recallery.schema import KS
 from recallery.sources.scratch import settle
 from recallery.sources.ship import ship
+from recallery.sources.store import exists
 
 Q = ["sample_id", "qa"]
 TIME = "1:56 pm on 8 May, 2023"
@@ -41,16 +42,31 @@ def dialog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.col("conv_id").cast("string").alias("sample_id"), F.lit(1).alias("session_num"), F.lit(TIME).alias("date_time"), F.col("turn").cast("int").alias("pos"), F.concat(F.lit("D1:"), F.col("turn").cast("string")).alias("dia_id"), F.col("role").alias("speaker"), F.coalesce("text", none).alias("text"), none.alias("query"), none.alias("img_url"), none.alias("blip_caption"))
 
 
-#: Tables that many queries read, kept in the shared folder: (application, folder, name) -> table.
-_KEPT: dict[tuple, DataFrame] = {}
+#: Tables that many queries read, kept in the shared folder: (application, folder, name) -> state of the folder's files, table.
+_KEPT: dict[tuple, tuple[str, DataFrame]] = {}
+
+
+def forget() -> None:
+    """Let every query make its own tables again, as a bench wants them timed."""
+    _KEPT.clear()
+
+
+def _state(spark: SparkSession, sf_dir: str) -> str:
+    """Names, sizes and times of the files that the kept tables are made from."""
+    out = []
+    for name in ("conversations", "embeddings"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        out += sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files.listStatus(path)) if files.exists(path) else []
+    return "\n".join(out)
 
 
 def kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
-    """A table that is made once for a folder and written to the shared one."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _KEPT:
-        _KEPT[key] = settle(make())
-    return _KEPT[key]
+    """A table that is made once for the files of a folder as they are and written to the shared one."""
+    key, state = (spark.sparkContext.applicationId, sf_dir, name), _state(spark, sf_dir)
+    if key not in _KEPT or _KEPT[key][0] != state or not all(exists(spark, f) for f in _KEPT[key][1].inputFiles()[:1]):
+        _KEPT[key] = state, settle(make())
+    return _KEPT[key][1]
 
 
 def graph(spark: SparkSession, sf_dir: str) -> G.Graph:
@@ -192,16 +208,15 @@ def bm25_index_stats(spark, sf_dir):
 
 
 def bm25_soft_match(spark, sf_dir):
-    asked = load(spark, sf_dir, "benchmark").select(F.lit("en").alias("sample_id"), X.entity_key("text").alias("qkey")).where("qkey <> ''").distinct()
-    found = lexical.match_keys(lexical.index(_corpus(spark, sf_dir)), asked)
+    # every key in every sample: the benchmark has no language of its own
+    asked = load(spark, sf_dir, "benchmark").select(X.entity_key("text").alias("qkey")).where("qkey <> ''").distinct()
+    found = lexical.match_keys(lexical.index(_corpus(spark, sf_dir), asked=asked), asked)
     return found.select(X.digest("qkey").alias("qkey_digest"), "doc", F.round("score", 6).alias("score"))
 
 
 def bm25_porter(spark, sf_dir):
-    corpus = _corpus(spark, sf_dir)
-    # every key in every sample: the benchmark has no language of its own
-    asked = load(spark, sf_dir, "benchmark").select(X.entity_key("text").alias("qkey")).where("qkey <> ''").distinct().crossJoin(corpus.select("sample_id").distinct())
-    found = lexical.match_keys(lexical.index(corpus, "porter"), asked.select("sample_id", "qkey"), profile="porter")
+    asked = load(spark, sf_dir, "benchmark").select(X.entity_key("text").alias("qkey")).where("qkey <> ''").distinct()
+    found = lexical.match_keys(lexical.index(_corpus(spark, sf_dir), "porter", asked), asked, profile="porter")
     return found.select(X.digest("qkey").alias("qkey_digest"), "doc", F.round("score", 6).alias("score"))
 
 
@@ -246,20 +261,17 @@ def retrieve_audit(spark, sf_dir):
 
 def _rolled(spark, sf_dir):
     g, q, k, v = _parts(spark, sf_dir)
-    out = None
-    seed = R.seeded(g, k)
-    for variant in R.VARIANTS:
-        ranked = settle(R.retrieve(g, q, k, v, 50, variant, seed=seed))
-        rows = E.at_cutoffs(q, E.retrieved(ranked)).join(_predicted(q, ranked), Q, "left")
-        one = E.rollup(rows).select(F.lit(variant.name).alias("variant"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+    by = ["variant", *Q]
+    ranked = settle(R.retrieve_variants(g, q, k, v))
+    asked = q.withColumn("variant", F.explode(F.array(*[F.lit(x.name) for x in R.VARIANTS])))
+    rows = E.at_cutoffs(asked, E.retrieved(ranked, by=by), by=by).join(_predicted(asked, ranked, by), by, "left")
+    return E.rollup(rows, by=("variant",)).where("variant is not null")
 
 
-def _predicted(q, ranked):
+def _predicted(q, ranked, by=Q):
     """(sample_id, qa, token_f1) of an extractive prediction: the id of the best memory beside the evidence."""
-    best = ranked.where("rank = 1").select(*Q, F.col("dia_id").alias("prediction"))
-    return q.join(best, Q, "left").select(*Q, M.token_f1(F.array_join("evidence", " "), "prediction").alias("token_f1"))
+    best = ranked.where("rank = 1").select(*by, F.col("dia_id").alias("prediction"))
+    return q.join(best, by, "left").select(*by, M.token_f1(F.array_join("evidence", " "), "prediction").alias("token_f1"))
 
 
 def variant_ablation(spark, sf_dir):
@@ -467,7 +479,7 @@ SQL = {
     "entity_degree": _with(["t", "tok", "found", "mention", "degree"], "SELECT sample_id, entity_id, degree, round(1.0 / ln(1 + degree::DOUBLE), 6) AS degree_weight FROM degree"),
     "graph_stats": _with(["t", "tok", "found", "entity", "mention"], "SELECT sample_id, count(*) AS memories, (SELECT count(*) FROM entity e WHERE e.sample_id = t.sample_id) AS entities, (SELECT count(*) FROM mention m WHERE m.sample_id = t.sample_id) AS mentions, 2 * (count(*) - 1) AS memory_edges FROM t GROUP BY sample_id"),
     "bipartite_violations": _with(["t", "tok", "found", "mention"], "SELECT sample_id, 'edge:' || entity_id || '->' || memory_id AS edge_id, 'memory of mention' AS problem FROM mention WHERE memory_id IN ('memory:D1:3', 'memory:D1:7') UNION ALL SELECT sample_id, edge_id, 'source of sequence edge' FROM e WHERE src IN ('memory:D1:3', 'memory:D1:7') UNION ALL SELECT sample_id, edge_id, 'target of sequence edge' FROM e WHERE dst IN ('memory:D1:3', 'memory:D1:7')", s="SELECT *, lead(memory_id) OVER (PARTITION BY sample_id ORDER BY pos) AS m2 FROM t", e="SELECT sample_id, 'medge:next:' || memory_id || '->' || m2 AS edge_id, memory_id AS src, m2 AS dst FROM s WHERE m2 IS NOT NULL UNION ALL SELECT sample_id, 'medge:prev:' || m2 || '->' || memory_id, m2, memory_id FROM s WHERE m2 IS NOT NULL"),
-    "bm25_soft_match": "WITH " + ", ".join(f"{n} AS ({s})" for n, s in _CORPUS.items()) + ", asked AS (SELECT DISTINCT qkey FROM (SELECT " + _KEY + " AS qkey FROM (SELECT coalesce(text, '') AS raw FROM benchmark)) WHERE qkey <> ''), qt AS (SELECT qkey, term, count(*) AS times FROM (SELECT qkey, unnest(" + _SEARCH.format("qkey") + ") AS term FROM asked) GROUP BY ALL), s AS (SELECT qkey, doc, sum(times * idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))) AS score FROM qt JOIN terms USING (term) JOIN p USING (sample_id, term) WHERE sample_id = 'en' GROUP BY ALL), r AS (SELECT qkey, doc, round(score / max(score) OVER (PARTITION BY qkey), 9) AS rel, max(score) OVER (PARTITION BY qkey) AS best FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY qkey ORDER BY rel DESC, doc) AS i FROM r WHERE best > 0 AND rel >= 0.5) SELECT substr(sha256(qkey), 1, 32) AS qkey_digest, doc, round(rel, 6) AS score FROM k WHERE i <= 20",
+    "bm25_soft_match": "WITH " + ", ".join(f"{n} AS ({s})" for n, s in _CORPUS.items()) + ", asked AS (SELECT DISTINCT qkey FROM (SELECT " + _KEY + " AS qkey FROM (SELECT coalesce(text, '') AS raw FROM benchmark)) WHERE qkey <> ''), qt AS (SELECT qkey, term, count(*) AS times FROM (SELECT qkey, unnest(" + _SEARCH.format("qkey") + ") AS term FROM asked) GROUP BY ALL), s AS (SELECT sample_id, qkey, doc, sum(times * idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)))) AS score FROM qt JOIN terms USING (term) JOIN p USING (sample_id, term) GROUP BY ALL), r AS (SELECT sample_id, qkey, doc, round(score / max(score) OVER (PARTITION BY sample_id, qkey), 9) AS rel, max(score) OVER (PARTITION BY sample_id, qkey) AS best FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY sample_id, qkey ORDER BY rel DESC, doc) AS i FROM r WHERE best > 0 AND rel >= 0.5) SELECT substr(sha256(qkey), 1, 32) AS qkey_digest, doc, round(rel, 6) AS score FROM k WHERE i <= 20",
     "key_match": _with(SEEDED[:9], "SELECT sample_id, qa, qkey, entity_id, round(score, 6) AS score FROM matched"),
     "entity_memory_seed": _with(SEEDED[:13], "SELECT sample_id, qa, memory_id, round(seed, 6) AS seed FROM seed"),
     "sequence_expand": _with([*SEEDED, "expanded"], "SELECT sample_id, qa, memory_id, round(e, 6) AS e FROM expanded"),

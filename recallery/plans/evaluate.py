@@ -66,24 +66,24 @@ def pending(asked: DataFrame, checkpoint: DataFrame) -> DataFrame:
     return asked.join(valid, [*Q, "context_ids"], "left_anti")
 
 
-def retrieved(ranked: DataFrame, k: int = 50) -> DataFrame:
+def retrieved(ranked: DataFrame, k: int = 50, by: list[str] = Q) -> DataFrame:
     """(sample_id, qa, ids): the ranked dia_ids of each question as a list."""
-    listed = ranked.where(F.col("rank") <= k).groupBy(*Q).agg(F.array_sort(F.collect_list(F.struct("rank", "dia_id"))).alias("l"))
-    return listed.select(*Q, F.transform("l", lambda x: x["dia_id"]).alias("ids"))
+    listed = ranked.where(F.col("rank") <= k).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("rank", "dia_id"))).alias("l"))
+    return listed.select(*by, F.transform("l", lambda x: x["dia_id"]).alias("ids"))
 
 
-def at_cutoffs(questions: DataFrame, found: DataFrame, ks: tuple[int, ...] = KS, empty_gold: str = "one") -> DataFrame:
+def at_cutoffs(questions: DataFrame, found: DataFrame, ks: tuple[int, ...] = KS, empty_gold: str = "one", by: list[str] = Q) -> DataFrame:
     """(sample_id, qa, category, k, recall_acc, hit) from one ranked list for each question."""
-    both = questions.join(found, Q, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<string>")))
+    both = questions.join(found, by, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<string>")))
     each = both.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).withColumn("top", F.slice("ids", F.lit(1), F.col("k")))
-    out = each.select(*Q, "category", "k", M.recall_at(F.col("evidence"), F.col("top"), empty_gold).alias("recall_acc"), M.hit_at(F.col("evidence"), F.col("top"), empty_gold).alias("hit"))
+    out = each.select(*by, "category", "k", M.recall_at(F.col("evidence"), F.col("top"), empty_gold).alias("recall_acc"), M.hit_at(F.col("evidence"), F.col("top"), empty_gold).alias("hit"))
     return out if empty_gold == "one" else out.where("recall_acc is not null")
 
 
-def rollup(rows: DataFrame, f1_at: int = 25) -> DataFrame:
+def rollup(rows: DataFrame, f1_at: int = 25, by: tuple[str, ...] = ()) -> DataFrame:
     """(k, category, n, recall_acc, hit_rate, token_f1_pct, token_f1_excl5_pct): for each cut-off overall
-    (null category) and by category; F1 at one cut-off only. ``rows`` has token_f1."""
-    out = rows.rollup("k", "category").agg(
+    (null category) and by category; F1 at one cut-off only. ``rows`` has token_f1. With ``by`` for each of its values."""
+    out = rows.rollup(*by, "k", "category").agg(
         F.count("*").alias("n"), M.percent(F.avg("recall_acc")).alias("recall_acc"), M.percent(F.avg(F.col("hit").cast("double"))).alias("hit_rate"),
         M.percent(F.avg(F.when(F.col("k") == f1_at, F.round("token_f1", 4)))).alias("token_f1_pct"), M.percent(F.avg(F.when((F.col("k") == f1_at) & (F.col("category") != 5), F.round("token_f1", 4)))).alias("token_f1_excl5_pct"),
         F.grouping("k").alias("_g"),
