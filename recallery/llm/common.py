@@ -58,6 +58,20 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of the table has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def document_key(doc_id: Column, text: Column) -> Column:
+    """What tells rows apart by id and text: the id as text, told from null, and a hash of the text."""
+    named = F.when(doc_id.isNull(), "-").otherwise(F.concat(F.lit("+"), doc_id.cast("string")))
+    return F.concat_ws("/", named, F.hex(F.xxhash64(F.coalesce(text, F.lit("")))), F.when(text.isNull(), "null"))
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a table that ``cut`` wrote and nothing reads any more."""
     spark = df.sparkSession
