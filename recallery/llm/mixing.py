@@ -6,13 +6,17 @@ blocks. Sainte-Lague apportionment (highest
 quotients target / (2k + 1)) gives each source an integer number of blocks for each
 output shard; it is house monotone, so the quotas of the shards are differences of
 allocations that only grow. Which blocks a source gives is a seeded systematic
-choice: spread evenly over the stream, whole repeats first. How many words of a
-document the mix takes then follows from where the document lies in the stream.
+choice: whole passes over the stream first, then blocks spread evenly over it. The shards
+share out those blocks in this order, each as many as its quota, so the repeats of a block go to
+different shards wherever a pass is longer than a shard's quota. How many words of a document
+the mix takes for each shard then follows from where the document lies in the stream.
 
 Edge cases: a null or empty text has size 0 and gives nothing; the null source is a
-source of its own, last in order; a table without words gives targets of 0; repeated
-rows count each time, ties in the stream's order break by doc_id and then size;
-columns beside doc_id, text and source are not used.
+source of its own, last in order, and differs from one named by an empty text; a null
+doc_id has its place in the stream like any other; a very long text is a stretch of many blocks,
+in several shards maybe; a table without words gives targets of 0, an empty table an empty result;
+repeated rows count each time, ties in the stream's order break by doc_id and then size;
+columns beside doc_id, text and source, whatever their names, are not used.
 """
 
 from __future__ import annotations
@@ -96,39 +100,53 @@ def apportion(votes: DataFrame, block: int = BLOCK, shards: int = SHARDS, fine:
 
 
 def mix(sized: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
-    """From (doc_id, source, size): the same with source_size, target and taken.
+    """From (doc_id, source, size): the same with source_size, target, taken and by_shard, an array of the words taken for each shard.
 
     A source's stream is summed up in 4,096 pieces of the seeded order, so no task
     orders a whole source.
     """
     source, doc = F.col("source"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    dealt = sized.withColumns({"_key": F.when(source.isNull(), "-").otherwise(F.concat(F.lit("+"), source)), "_h": F.md5(F.concat(F.lit(f"{seed}:"), doc))})
+    dealt = sized.select("doc_id", "source", "size").withColumns({"_key": F.when(source.isNull(), "-").otherwise(F.concat(F.lit("+"), source)), "_h": F.md5(F.concat(F.lit(f"{seed}:"), doc))})
     dealt = dealt.withColumn("_piece", F.substring("_h", 1, 3))
     pieces = dealt.groupBy("_key", "_piece").agg(F.first("source").alias("source"), F.sum("size").alias("n"))
     order = W.Window.partitionBy("_key").orderBy("_piece").rowsBetween(W.Window.unboundedPreceding, -1)
     starts = pieces.select("_key", "_piece", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("_start"))
     votes = targets(pieces.groupBy("_key").agg(F.first("source").alias("source"), F.sum("n").alias("n")))
-    quotas = apportion(votes, block, shards, FINE).groupBy("rank").agg(F.sum("quota").alias("q"))
+    quotas = apportion(votes, block, shards, FINE).groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("shard", "quota"))).alias("each"))  # a row for each shard
+    # blocks of the shards so far, from 0 on
+    upto = F.aggregate("each", F.array(F.lit(0).cast("long")), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x["quota"])))
+    quotas = quotas.select("rank", upto.alias("_ends")).withColumn("q", F.element_at("_ends", -1))
     first = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce("source", F.lit("")))), 1, 8), 16, 10).cast("long")
     unit = F.when(F.col("n") < block * FINE, 1).otherwise(block).cast("long")
     blocks = F.greatest(F.ceil(F.col("n") / unit), F.lit(1)).cast("long")
     key = F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("source")))
-    plan = votes.join(quotas, "rank").select(key.alias("_key"), F.col("n").alias("source_size"), "target", "q", unit.alias("_unit"), blocks.alias("_blocks"), F.pmod(first, blocks).alias("_seed"))
+    plan = votes.join(quotas, "rank").select(
+        key.alias("_key"), F.col("n").alias("source_size"), "target", "_ends", unit.alias("_unit"), blocks.alias("_blocks"), F.pmod(first, blocks).alias("_seed"),
+        F.call_function("div", F.col("q"), blocks).alias("_passes"), F.pmod("q", blocks).alias("_some"),
+    )
     within = W.Window.partitionBy("_key", "_piece").orderBy("_h", "doc_id", "size")
     run = F.sum("size").over(within.rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)) - F.col("size")
     # the documents are already dealt by these keys, so only the short table of starts moves
     joined = dealt.withColumn("_run", run).join(starts.join(plan, "_key"), ["_key", "_piece"])
 
-    def upto(x):
-        """Words that the choice takes of the first x: of the first b blocks it takes (b q + s) div blocks, from a seeded s."""
+    def partly(x):
+        """Words that the last, partial pass takes of the first x: of the first b blocks it takes (b some + seed) div blocks, from a seeded one on."""
         wide = "decimal(19,0)"
-        full = lambda b: F.call_function("div", b.cast(wide) * F.col("q").cast("decimal(18,0)") + F.col("_seed").cast("decimal(18,0)"), F.col("_blocks").cast(wide))
+        full = lambda b: F.call_function("div", b.cast(wide) * F.col("_some").cast("decimal(18,0)") + F.col("_seed").cast("decimal(18,0)"), F.col("_blocks").cast(wide))
         b = F.floor(x / F.col("_unit")).cast("long")
-        return full(b) * F.col("_unit") + F.pmod(x, F.col("_unit")) * (full(b + 1) - full(b))
+        return (full(b) * F.col("_unit") + F.pmod(x, F.col("_unit")) * (full(b + 1) - full(b))).cast("long")
 
-    at = F.col("_start") + F.col("_run")
-    taken = F.when(F.col("size") > 0, upto(at + F.col("size")) - upto(at)).otherwise(0)
-    return joined.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    def first_blocks(x, rest, q):
+        """Words that the first q blocks chosen take of the first x; ``rest`` is partly(x)."""
+        whole = [F.when(F.col("_passes") > p, F.least(x, F.col("_unit") * F.least(F.greatest(q - F.col("_blocks") * p, F.lit(0)), "_blocks"))).otherwise(0) for p in range(REPEATS)]
+        return sum(whole[1:], whole[0]) + F.least(rest, F.col("_unit") * F.greatest(q - F.col("_blocks") * F.col("_passes"), F.lit(0)))
+
+    at = joined.withColumn("_x0", F.col("_start") + F.col("_run")).withColumn("_x1", F.col("_x0") + F.col("size"))
+    at = at.withColumns({"_r0": partly(F.col("_x0")), "_r1": partly(F.col("_x1"))})
+    sums = F.transform("_ends", lambda q: first_blocks(F.col("_x1"), F.col("_r1"), q) - first_blocks(F.col("_x0"), F.col("_r0"), q))
+    at = at.withColumn("_sums", sums)
+    by_shard = F.zip_with(F.slice("_sums", 2, shards), F.slice("_sums", 1, shards), lambda x, y: x - y)
+    return at.select("doc_id", "source", "size", "source_size", "target", F.element_at("_sums", -1).alias("taken"), by_shard.alias("by_shard"))
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -136,4 +154,7 @@ def sizes(docs: DataFrame) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(sizes(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+    """With shard_words: shard:words of the shards that take any, from shard 1 on."""
+    mixed = mix(sizes(table(spark, sf_dir, "documents")))
+    named = F.transform("by_shard", lambda w, i: F.when(w > 0, F.concat_ws(":", (i + 1).cast("string"), w.cast("string"))))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.array_join(F.array_compact(named), ",").alias("shard_words"))

@@ -111,26 +111,38 @@ WITH sized AS (
   SELECT lft AS al, weights AS aw FROM fills WHERE lft * w < 3 * n * weights ORDER BY n::DOUBLE * 3 / w, rank LIMIT 1
 ), votes AS (
   SELECT source, n, rank, coalesce(least(al::DOUBLE * w / aw::DOUBLE, (3 * n)::DOUBLE), (3 * n)::DOUBLE) AS target FROM w LEFT JOIN lvl ON true
+), unit AS (
+  SELECT *, CASE WHEN n < 2048 THEN 1 ELSE 32 END AS unit, greatest(ceil(n / CASE WHEN n < 2048 THEN 1 ELSE 32 END), 1)::HUGEINT AS b FROM votes
 ), quotients AS (
-  SELECT rank, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, rank) AS place
-  FROM votes, LATERAL (SELECT unnest(range(0, 3 * n // 32 + 20)) AS k) WHERE target > 0
+  SELECT rank, unit, row_number() OVER (PARTITION BY unit ORDER BY target / (2 * k + 1) DESC, rank) AS place
+  FROM unit, LATERAL (SELECT unnest(range(0, 3 * ceil(n / unit)::BIGINT)) AS k) WHERE target > 0
+), houses AS (
+  SELECT unit, house, floor(sum(target) / unit * house / 16 + 0.5) AS seats FROM unit, (SELECT unnest(range(0, 17)) AS house) GROUP BY unit, house
 ), quota AS (
-  SELECT rank, count(*) AS q FROM quotients WHERE place <= (SELECT floor(sum(target) / 32 + 0.5) FROM votes) GROUP BY rank
+  SELECT rank, house, count(place) AS upto FROM (SELECT rank, house, seats FROM unit JOIN houses USING (unit)) LEFT JOIN quotients USING (rank) WHERE place <= seats GROUP BY rank, house
 ), plan AS (
-  SELECT v.source, v.n, v.target, coalesce(q, 0)::HUGEINT AS q, greatest(ceil(v.n / 32), 1)::HUGEINT AS b,
-         ('0x' || substr(md5('mix-0/' || coalesce(v.source, '')), 1, 8))::BIGINT % greatest(ceil(v.n / 32), 1)::BIGINT AS seed
-  FROM votes v LEFT JOIN quota USING (rank)
+  SELECT v.source, v.n, v.target, v.unit, v.rank, coalesce(u.upto, 0)::HUGEINT AS q, b, coalesce(u.upto, 0)::HUGEINT // b AS passes, coalesce(u.upto, 0)::HUGEINT % b AS extra,
+         ('0x' || substr(md5('mix-0/' || coalesce(v.source, '')), 1, 8))::BIGINT % b AS seed
+  FROM unit v LEFT JOIN quota u ON u.rank = v.rank AND u.house = 16
 ), placed AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('mix-0:' || coalesce(doc_id::VARCHAR, '')), doc_id, size
+  SELECT *, row_number() OVER () AS nr, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('mix-0:' || coalesce(doc_id::VARCHAR, '')), doc_id, size
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS x0 FROM sized
-), ends AS (
-  SELECT p.doc_id, p.size, plan.n AS source_size, plan.target, q, b, seed, x0, x0 + p.size AS x1
-  FROM placed p JOIN plan ON p.source IS NOT DISTINCT FROM plan.source
+), spots AS (
+  SELECT p.nr, p.doc_id, p.size, plan.n AS source_size, plan.target, plan.rank, unit, b, passes, x, which,
+         ((x // unit * extra + seed) // b) * unit + x % unit * (((x // unit + 1) * extra + seed) // b - (x // unit * extra + seed) // b) AS rest
+  FROM (SELECT *, x0 AS x, 0 AS which FROM placed UNION ALL SELECT *, x0 + size AS x, 1 AS which FROM placed) p JOIN plan ON p.source IS NOT DISTINCT FROM plan.source
+), shards AS (
+  SELECT s.*, h.house, coalesce(u.upto, 0)::HUGEINT AS e FROM spots s CROSS JOIN (SELECT unnest(range(0, 17)) AS house) h LEFT JOIN quota u ON u.rank = s.rank AND u.house = h.house
+), sums AS (
+  SELECT nr, doc_id, size, source_size, target, house,
+         sum((CASE WHEN which = 1 THEN 1 ELSE -1 END) * (list_sum(list_transform(range(0, 3), lambda p: CASE WHEN p < passes THEN least(x, unit * least(greatest(e - b * p, 0), b)) ELSE 0 END)) + least(rest, unit * greatest(e - b * passes, 0))))::BIGINT AS upto
+  FROM shards GROUP BY ALL
 ), parts AS (
-  SELECT *, (x0 // 32 * q + seed) // b AS f0, ((x0 // 32 + 1) * q + seed) // b AS g0, (x1 // 32 * q + seed) // b AS f1, ((x1 // 32 + 1) * q + seed) // b AS g1 FROM ends
+  SELECT *, upto - coalesce(lag(upto) OVER (PARTITION BY nr ORDER BY house), 0) AS words FROM sums
 )
-SELECT doc_id, size, source_size::BIGINT AS source_size, target,
-       CASE WHEN size > 0 THEN f1 * 32 + x1 % 32 * (g1 - f1) - f0 * 32 - x0 % 32 * (g0 - f0) ELSE 0 END::BIGINT AS taken FROM parts
+SELECT doc_id, size, source_size::BIGINT AS source_size, target, sum(words)::BIGINT AS taken,
+       coalesce(string_agg(house || ':' || words, ',' ORDER BY house) FILTER (WHERE words > 0), '') AS shard_words
+FROM parts GROUP BY nr, doc_id, size, source_size, target
 """,
     "op6_decontamination": """
 WITH split AS (
