@@ -5,9 +5,13 @@ insertion moves only the boundaries next to it. A chunk of two or more lines who
 bytes occur earlier (smaller doc_id, or earlier in the document) is removed; hashes
 only propose, the bytes decide.
 
-Edge cases: a null text stays null and has no lines; an empty text is one empty line;
-chunks of a single line and chunks of blank lines only are kept; repeated rows with one
-doc_id count as one document and get one result each; other columns are not used.
+Edge cases: a null text stays null and has no lines; an empty text is one empty line; a very
+long text or line is taken whole; chunks of a single line and chunks of blank lines only are
+kept; repeated rows with one doc_id and text count as one document and get one result each;
+rows that share a doc_id but not the text are documents of their own, as are rows without
+a doc_id, which come first; of equal chunks the first by doc_id, text hash and place stays, so
+ties don't arise; an empty table gives an empty result; other columns, whatever their names, are carried as
+they are, but kept_text, n_lines and n_removed are those of the result.
 
 Chunks miss repeats: a repeated line next to differing ones may stand in a chunk that
 differs, or alone in one. ``op2_lines_whole`` has no chunks: every LEAST lines in a row
@@ -19,12 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallery.llm.common import cut, table
+from recallery.llm.common import cut, document_key, table
 
 #: Lines under the rolling hash, one boundary in so many lines, and lines of a chunk at least.
 ROLL, EVERY, LEAST = 2, 3, 2
 #: Rows of a table of document keys up to which a join broadcasts it.
 BROADCAST_ROWS = 400_000
+RESULTS = ("kept_text", "n_lines", "n_removed")
 #: Constants of the rolling hash, a polynomial over 28-bit line hashes.
 BASE, MODULUS = 131, 1_000_003
 
@@ -83,14 +88,19 @@ def repeated(docs: DataFrame) -> DataFrame:
     return found.select("_key", "chunk", "n").distinct()
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, _key and, as _row, all columns that are to be carried."""
+    return docs.select("doc_id", "text", document_key(F.col("doc_id"), F.col("text")).alias("_key"), F.struct(*[c for c in docs.columns if c.lower() not in RESULTS]).alias("_row"))
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """All rows and columns of ``docs``, with kept_text, n_lines and n_removed."""
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("string"), "text"))
+    keyed = _packed(docs)
     gone = cut(repeated(keyed.select("doc_id", "text", "_key")).groupBy("_key").agg(F.collect_set("chunk").alias("_gone"), F.sum("n").alias("_removed")))
     whole = chunked(_with(keyed, gone, "left"))
     left = F.filter("chunks", lambda _, i: ~F.array_contains("_gone", i))
     kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return whole.select(*docs.columns, kept.alias("kept_text"), "n_lines", F.coalesce("_removed", F.lit(0)).cast("long").alias("n_removed"))
+    return whole.select("_row.*", kept.alias("kept_text"), "n_lines", F.coalesce("_removed", F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +139,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 
 def dedup_windows(docs: DataFrame) -> DataFrame:
     """All rows and columns of ``docs``, with kept_text, n_lines and n_removed; by windows of lines, not chunks."""
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("string"), "text"))
+    keyed = _packed(docs)
     lost = repeated_windows(keyed.select("doc_id", "text", "_key")).select("_key", F.explode(F.array(*[F.col("at") + j for j in range(LEAST)])).alias("at"))
     lost = lost.groupBy("_key").agg(F.sort_array(F.collect_set("at")).alias("ats"))
     gone = cut(lost.select("_key", _mask(F.col("ats")).alias("_gone"), F.size("ats").cast("long").alias("_removed")))
@@ -137,7 +147,7 @@ def dedup_windows(docs: DataFrame) -> DataFrame:
     left = F.filter("_lines", lambda _, i: ~F.coalesce(F.get("_gone", i), F.lit(False)))
     kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long")
-    return whole.select(*docs.columns, kept.alias("kept_text"), n.alias("n_lines"), F.coalesce("_removed", F.lit(0)).cast("long").alias("n_removed"))
+    return whole.select("_row.*", kept.alias("kept_text"), n.alias("n_lines"), F.coalesce("_removed", F.lit(0)).cast("long").alias("n_removed"))
 
 
 def op2_lines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,12 @@ vectors. Every partition sums its part of the normal equations over all labelled
 rows; their total, of a size fixed by the number of features, is solved on the driver.
 Ridge scores are binned, and pooling adjacent violators over the bins calibrates them.
 
-Edge cases: a null or empty text has statistics of 0 and a score like any other; without
-training rows, or with one class only, every score is the share of good rows (1 without
-any); labels that contradict each other on one doc_id count by their mean; repeated rows
-get equal scores; rows without a doc_id are scored and never trained on; other columns
-are not used.
+Edge cases: a null or empty text has statistics of 0 and a score like any other; a very long
+text is read whole; without training rows, or with one class only, every score is the share of
+good rows (1 without any); labels that contradict each other on one doc_id count by their mean;
+repeated rows get equal scores and are learned from as often as they stand; rows without a
+doc_id are scored and never trained on; ties don't arise, as nothing is ordered but bins; an empty table gives an
+empty result; other columns, whatever their names, are not used.
 """
 
 from __future__ import annotations

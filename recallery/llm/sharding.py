@@ -4,10 +4,12 @@ Every (record key, shard) pair has a pseudo-random draw; a record goes to the
 shard with the best draw for its weight. A record's shard depends on nothing but
 its key and the shards, so adding a shard only moves records into the new one.
 
-Edge cases: a null text has no bytes; a null key is hashed as its own value; rows
-that repeat a key share a shard and take consecutive slots; an empty table gives
-an empty result; columns beside the named ones are carried by ``assign`` as they
-are and never used by name.
+Edge cases: a null or empty text has no bytes, a very long one all of its own; a null key is
+hashed as its own value and has its shard like any other; rows that repeat a key share a
+shard and have slots of their own; ties of a draw go to the lower shard, ties of the order of
+slots to either row; an empty table gives an empty result; columns beside the named ones,
+whatever their names, are carried as they are, but one with the name of a result
+column (shard, grown_shard, the slot) gives way to it.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from recallery.llm.common import table
+from recallery.llm.common import free, table
 
 #: Rows of a shard are numbered in this many independent pieces, so that no task
 #: sorts a whole shard. The table of offsets has shards x PIECES rows at most.
@@ -45,13 +47,14 @@ def number(df: DataFrame, group: str, order: list[str], slot: str = "slot", piec
     Rows fall into ``pieces`` by a hash of their order columns; counts by piece,
     summed up over the pieces, give where each piece starts.
     """
-    dealt = df.withColumn("_piece", F.pmod(F.xxhash64(*order), F.lit(pieces)).cast("int"))
-    counts = dealt.groupBy(group, "_piece").agg(F.count("*").alias("_n"))
-    before = W.Window.partitionBy(group).orderBy("_piece").rowsBetween(W.Window.unboundedPreceding, -1)
-    starts = counts.select(group, "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    rank = F.row_number().over(W.Window.partitionBy(group, "_piece").orderBy(*order)) - 1
+    piece, start, n = (free(df, name) for name in ("_piece", "_start", "_n"))
+    dealt = df.withColumn(piece, F.pmod(F.xxhash64(*order), F.lit(pieces)).cast("int"))
+    counts = dealt.groupBy(group, piece).agg(F.count("*").alias(n))
+    before = W.Window.partitionBy(group).orderBy(piece).rowsBetween(W.Window.unboundedPreceding, -1)
+    starts = counts.select(group, piece, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    rank = F.row_number().over(W.Window.partitionBy(group, piece).orderBy(*order)) - 1
     # groups x pieces rows at most, so the broadcast has a proven bound
-    return dealt.join(F.broadcast(starts), [group, "_piece"]).withColumn(slot, F.col("_start") + rank).drop("_piece", "_start")
+    return dealt.join(F.broadcast(starts), [group, piece]).withColumn(slot, F.col(start) + rank).drop(piece, start)
 
 
 def assign(df: DataFrame, key: str, weights: list[float], seed: int = 0) -> DataFrame:
