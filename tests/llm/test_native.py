@@ -62,6 +62,22 @@ def test_lines_repeated_rows(spark):
     assert len(got) == 2 and all(r["n_removed"] == 0 and r["key"] == "clash" for r in got)
 
 
+CLASH = ("_key", "_h", "_lines", "_row", "chunks", "chunk", "n_lines", "_piece", "_start", "shard", "grown_shard", "hash", "body")
+
+
+def test_lines_clashes_and_ids(spark):
+    rows = [(i, t, *(f"{c} {i}" for c in CLASH)) for i, t in [(1, "a\nb\nc\nd\ne\nf"), (1, "z\na\nb\nc\nd\ne\nf"), (None, "a\nb\nc\nd\ne\nf"), (5, None), (None, "5")]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in CLASH))
+    for run in (L.dedup_lines, L.dedup_windows):
+        got = run(df).collect()
+        assert len(got) == 5 and all(r[c] == f"{c} {r['doc_id']}" for r in got for c in CLASH if c != "n_lines")
+        by = {(r["doc_id"], r["text"]): r for r in got}
+        assert by[5, None]["kept_text"] is None and by[None, "5"]["kept_text"] == "5"
+        # rows without an id come first
+        assert by[None, "a\nb\nc\nd\ne\nf"]["n_removed"] == 0 < by[1, "a\nb\nc\nd\ne\nf"]["n_removed"]
+        assert run(df.limit(0)).count() == 0
+
+
 def loop_windows(texts):
     """Every two lines in a row that stood before are removed."""
     out, seen = [], set()
@@ -111,6 +127,29 @@ def test_sharding(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_sharding_against_a_loop(spark):
+    """The shard with the smallest -ln(draw) / weight, the draw by the table's own hash of key, shard and seed."""
+    import math
+
+    weights, keys = [1.0, 2.5, 0.5, 0.0, 1.0], [None, "", "a", "é", "\x00null", *map(str, range(200))]
+    frame_ = spark.createDataFrame([(k,) for k in keys], "k string")
+    draws = frame_.select("k", *[F.shiftrightunsigned(F.xxhash64(F.coalesce("k", F.lit("\x00null")), F.lit(s), F.lit(3)), 16).alias(f"d{s}") for s in range(6)]).collect()
+    got = {r["k"]: (r["shard"], r["grown_shard"]) for r in S.assign(frame_.withColumn("shard", F.lit("old")), "k", weights, 3).collect()}
+    for r in draws:
+        cost = [(-math.log((r[f"d{s}"] + 1) / 2**48) / w, s) for s, w in enumerate([*weights, 1.0]) if w]
+        assert got[r["k"]] == (min(c for c in cost if c[1] < 5)[1], min(cost)[1])
+
+
+def test_numbering_clashes_and_nulls(spark):
+    df = spark.createDataFrame([(i % 3 if i % 7 else None, i // 2 if i % 5 else None, "p", "s", "n") for i in range(300)], "g int, k long, _piece string, _start string, _n string")
+    got = S.number(df.withColumn("g", F.coalesce("g", F.lit(-1))), "g", ["k"], pieces=5).collect()
+    assert all((r["_piece"], r["_start"], r["_n"]) == ("p", "s", "n") for r in got) and len(got) == 300
+    slots = {}
+    for r in got:
+        slots.setdefault(r["g"], []).append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_sharding_weights(spark):
     got = spark.range(8000).select(S.rendezvous(F.col("id"), [1.0, 3.0, 0.0]).alias("s")).groupBy("s").count().collect()
     share = {r["s"]: r["count"] / 8000 for r in got}
@@ -198,6 +237,52 @@ def test_mix_of_small_sources(spark):
     assert all(abs(by[s] - target[s]) <= (3 * M.BLOCK if s == "big" else 1) for s in by)
 
 
+def loop_mix(rows, block=M.BLOCK, shards=M.SHARDS, seed=M.SEED):
+    """Block by block: the seats of each house, the chosen blocks in order, dealt to the shards by their quotas."""
+    sizes = {}
+    for _, s, n in rows:
+        sizes[s] = sizes.get(s, 0) + n
+    target = loop_targets(sizes)
+    unit = {s: 1 if n < block * M.FINE else block for s, n in sizes.items()}
+    ends = {s: [0] for s in sizes}
+    for u in set(unit.values()):
+        names = [s for s in target if unit[s] == u]
+        total = sum(target[s] for s in names)
+        order = sorted(((target[s] / (2 * k + 1), -i, s) for i, s in enumerate(names) if target[s] for k in range(3 * -(-sizes[s] // u))), reverse=True)
+        for house in range(1, shards + 1):
+            won = [s for _, _, s in order[: int(total / u * house / shards + 0.5)]]
+            for s in names:
+                ends[s].append(won.count(s))
+    taken = {}
+    for s in sizes:
+        mine = sorted((r for r in rows if r[1] == s), key=lambda r: (hashlib.md5(f"{seed}:{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[0] is not None, r[0] or 0, r[2]))
+        words = [r[0] for r in mine for _ in range(r[2])]
+        u, q = unit[s], ends[s][-1]
+        blocks = [words[k : k + u] for k in range(0, len(words), u)] or [[]]
+        b, start = len(blocks), int(hashlib.md5(f"{seed}/{s or ''}".encode()).hexdigest()[:8], 16)
+        chosen = [k for _ in range(q // b) for k in range(b)] + [k for k in range(b) for _ in range(((k + 1) * (q % b) + start % b) // b - (k * (q % b) + start % b) // b)]
+        for t, k in enumerate(chosen):
+            shard = next(j for j in range(shards) if t < ends[s][j + 1])
+            for doc in blocks[k]:
+                taken.setdefault((s, doc), [0] * shards)[shard] += 1
+    return {(s, d): taken.get((s, d), [0] * shards) for d, s, _ in rows}
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [(i, "abc"[i % 3] if i % 10 else None, 1 + i % 40) for i in range(600)] + [(9000, "tiny", 40), (9001, "a", 0), (9002, "b", 4000)],
+        [(i, f"s{i}", 45) for i in range(0, 20, 2)] + [(1, "s1", 0), (99, "s05", 32)],
+        [(None, "a", 3), (1, "", 5), (2, None, 7), (3, "a", 5000)],
+    ],
+)
+def test_mix_against_blocks(spark, rows):
+    got = {(r["source"], r["doc_id"]): r for r in M.mix(spark.createDataFrame(rows, "doc_id long, source string, size long").withColumns({"_key": F.lit(1), "rank": F.lit(2)})).collect()}
+    want = loop_mix(rows)
+    assert {k: r["by_shard"] for k, r in got.items()} == want
+    assert all(r["taken"] == sum(r["by_shard"]) <= 3 * r["size"] for r in got.values())
+
+
 def test_seats_stop_at_the_limit(spark):
     rows = [("full", 100, 0, 300.0)] + [(f"s{i}", 1 + i % 2, i + 1, 1.4) for i in range(1000)]
     got = {}
@@ -250,6 +335,22 @@ def test_decontamination(spark):
     assert {r["n_hit"] for r in D.decontaminate(docs, bench.limit(0)).collect()} == {0}
 
 
+def test_decontamination_repeated_and_null_ids(spark):
+    one, two = " ".join(f"a{i}" for i in range(12)), " ".join(f"b{i}" for i in range(12))
+    bench = spark.createDataFrame([(1, one, "x"), (1, two, "x"), (None, " ".join(f"c{i}" for i in range(12)), "x"), (2, one, "x")], "item_id long, text string, hits string")
+    docs = spark.createDataFrame([(5, None), (None, "5"), (6, "z " + one), (6, two), (7, " ".join(f"c{i}" for i in range(12))), (None, one), (8, one + " z " + two)], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"]) for r in D.decontaminate(docs, bench).collect())
+    assert got == sorted([("5", 0, 0, 0), ("None", 1, 0, 0), ("6", 13, 12, 2), ("6", 12, 12, 1), ("7", 12, 12, 0), ("None", 12, 12, 2), ("8", 25, 24, 2)])
+
+
+def test_decontamination_of_many_hits(spark):
+    passage = [f"w{i}" for i in range(40)]
+    bench = [(1, " ".join(passage)), (2, " ".join(passage[5:30]))]
+    text = " ".join(passage * 120 + ["end"])
+    got = D.decontaminate(frame(spark, [text, "w1 w2 " * 900]), spark.createDataFrame(bench, "item_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["n_words"], r["n_hit"], r["n_items"]) for r in got] == [(4801, 4800, 2), (1800, 0, 0)]
+
+
 def test_decontamination_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
     bench = spark.createDataFrame([(1, " ".join("abcdefghijkl"))], "item_id long, text string")
