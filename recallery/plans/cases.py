@@ -218,6 +218,42 @@ def f1_summary(spark, sf_dir):
     return E.f1_rollup(pair.select("category", M.token_f1("gold", "said").alias("token_f1")))
 
 
+def _told(spark, sf_dir):
+    """(sample_id, observation, session_summary): each turn as an item of its speaker, as a pair, an object or plain text in turn, and
+    a summary of each session, blank for the first."""
+    t = C.dialog(spark, sf_dir)
+    plain = F.to_json(F.array("text"))
+    item = F.when(F.col("pos") % 3 == 0, F.to_json(F.array("text", "dia_id"))).when(F.col("pos") % 3 == 1, F.to_json(F.struct("text", "dia_id"))).otherwise(F.expr("substring(j, 2, length(j) - 2)"))
+    each = t.withColumn("j", plain).groupBy("sample_id", (F.floor(F.col("pos") / 4) + 1).alias("n"), "speaker").agg(F.array_sort(F.collect_list(F.struct("pos", item.alias("i")))).alias("l"))
+    by_speaker = F.concat(F.lit('"'), "speaker", F.lit('": ['), F.array_join(F.transform("l", lambda x: x["i"]), ", "), F.lit("]"))
+    session = each.groupBy("sample_id", "n").agg(F.array_join(F.array_sort(F.collect_list(by_speaker)), ", ").alias("s"))
+    name = F.concat(F.lit('"session_'), "n", F.lit('": '))
+    summary = F.concat(name, F.when(F.col("n") == 1, '"  "').otherwise(F.concat(F.lit('"They met for time '), "n", F.lit('. "'))))
+    whole = session.groupBy("sample_id").agg(F.array_join(F.collect_list(F.concat(name, F.lit("{"), "s", F.lit("}"))), ", ").alias("o"), F.array_join(F.collect_list(summary), ", ").alias("y"))
+    return whole.select("sample_id", F.concat(F.lit("{"), "o", F.lit("}")).alias("observation"), F.concat(F.lit("{"), "y", F.lit("}")).alias("session_summary"))
+
+
+def unit_rows(spark, sf_dir):
+    rows = _told(spark, sf_dir)
+    both = units.observations(rows).unionByName(units.summaries(rows))
+    return both.select("sample_id", "unit_id", X.digest("text").alias("digest"), F.array_join("dia_ids", ",").alias("dia_ids"))
+
+
+def _by_length(texts: list[str], role: str = "context") -> np.ndarray:
+    """A stub of an encoder: texts are alike if their lengths agree modulo 8."""
+    return np.eye(8, dtype=np.float32)[[len(t) % 8 for t in texts]]
+
+
+def unit_answers(spark, sf_dir):
+    """Questions answered from the three best observations, with hits on their gold."""
+    rows = jobs.run_units(C.questions(spark, sf_dir).drop("qvec"), _told(spark, sf_dir), "observation", 3, model="length", embedder=_by_length)[0]
+    return rows.select(*Q, "category", X.digest("prediction").alias("prediction_digest"), "token_f1", "hit")
+
+
+def unit_f1(spark, sf_dir):
+    return jobs.run_units(C.questions(spark, sf_dir).drop("qvec"), _told(spark, sf_dir), "summary", 2, model="length", embedder=_by_length)[1]
+
+
 def source_hit_rate(spark, sf_dir):
     """Units of two turns; a question's gold is the turn after it, and every fourth has none."""
     q, v = C.questions(spark, sf_dir), C.vectors(spark, sf_dir)
@@ -334,6 +370,20 @@ _SUMMARY = {
 _GATE = "CASE WHEN {0} IS NULL THEN 'incomplete' WHEN {0} > 46.18 THEN 'worth_self_build_obs' ELSE 'stop_p3_main_spend' END"
 
 
+_UNITS = r"SELECT * FROM (SELECT sample_id, 'obs::session_' || (pos // 4 + 1) || '::' || speaker || '::' || (row_number() OVER (PARTITION BY sample_id, pos // 4, speaker ORDER BY pos) - 1) AS unit_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text, CASE WHEN pos % 3 < 2 THEN dia_id ELSE '' END AS dia_ids FROM t) WHERE text <> ''"
+
+
+def _unit_ctes(rows: str, k: int) -> dict[str, str]:
+    """Questions answered from the k units whose texts have a length that agrees with theirs modulo 8."""
+    return {
+        "un": rows,
+        "r": "SELECT q.sample_id, qa, unit_id, text, dia_ids, gold, row_number() OVER (PARTITION BY q.sample_id, qa ORDER BY length(question) % 8 <> length(text) % 8, unit_id) AS rank FROM q JOIN un ON q.sample_id = un.sample_id",
+        "said": f"SELECT q.sample_id, q.qa, q.category, q.question AS answer, CASE WHEN count(rank) > 0 THEN bool_or(dia_ids = q.gold) ELSE false END AS hit, coalesce(trim(substr(split_part(max(text) FILTER (WHERE rank = 1), chr(10), 1), 1, 200)), {C._quoted(X.NO_CONTEXT)}) AS prediction FROM q LEFT JOIN (SELECT * FROM r WHERE rank <= {k}) x USING (sample_id, qa) GROUP BY ALL",
+        "pairs": "SELECT *, list_distinct(regexp_extract_all(lower(answer), '[a-z0-9]+')) AS g, list_distinct(regexp_extract_all(lower(prediction), '[a-z0-9]+')) AS p FROM said",
+        "scored": f"SELECT *, {C._F1} AS f1 FROM pairs",
+    }
+
+
 def _normal_sql() -> str:
     put = "CASE pos % 4 WHEN 0 THEN 'I saw you yesterday: ' WHEN 1 THEN 'My own, and yours. ' WHEN 2 THEN 'Tell me last monday: ' ELSE 'YOU and myself, ' END || text"
     spoken = C._spoken_sql().replace("previous", "prev")
@@ -375,6 +425,9 @@ SQL = {
         u="SELECT sample_id, conv_id, pos // 2 AS n, min(memory_id) AS unit_id, arg_min(pos, memory_id) AS pos, list(dia_id) AS ids FROM t GROUP BY ALL",
         r="SELECT *, row_number() OVER (PARTITION BY sample_id, qa ORDER BY s DESC, unit_id) AS k FROM (SELECT q.sample_id, qa, q.gold, ids, unit_id, round(list_dot_product(a.v, b.v), 9) AS s FROM q JOIN u ON u.sample_id = q.sample_id JOIN vec a ON a.vec_id = (q.conv_id * 8 + q.pos + 1) % a.n JOIN vec b ON b.vec_id = (u.conv_id * 8 + u.pos) % b.n)",
     ),
+    "unit_rows": _D(["t"], "SELECT sample_id, unit_id, substr(sha256(text), 1, 32) AS digest, dia_ids FROM u UNION ALL SELECT sample_id, 'sum::session_' || n, substr(sha256('They met for time ' || n || '.'), 1, 32), '' FROM (SELECT DISTINCT sample_id, pos // 4 + 1 AS n FROM t) WHERE n > 1", u=_UNITS),
+    "unit_answers": _D(["t", "q"], "SELECT sample_id, qa, category, substr(sha256(prediction), 1, 32) AS prediction_digest, round(f1, 4) AS token_f1, hit FROM scored", u=_UNITS, **_unit_ctes("SELECT * FROM u", 3)),
+    "unit_f1": _D(["t", "q"], f"SELECT {_F1ROLL} FROM scored GROUP BY GROUPING SETS ((), (category))", **_unit_ctes("SELECT DISTINCT sample_id, 'sum::session_' || (pos // 4 + 1) AS unit_id, 'They met for time ' || (pos // 4 + 1) || '.' AS text, '' AS dia_ids FROM t WHERE pos >= 4", 2)),
     "write_up_gates": "SELECT p_partkey, CASE WHEN f1 IS NULL THEN 'incomplete' WHEN round(f1, 1) >= 43 THEN 'full_writeup' WHEN round(f1, 1) >= 41 THEN 'parity_claim_only' ELSE 'stop_large_compare' END AS gate FROM (SELECT p_partkey, CASE WHEN p_partkey % 50 <> 0 THEN 38 + p_retailprice % 7 END AS f1 FROM part)",
     "unit_gates": "WITH r AS (SELECT p_brand AS variant, round(avg(p_retailprice % 97), 4) AS f FROM part GROUP BY 1), x AS (SELECT 'whole' AS scale, variant, f FROM r UNION ALL SELECT 'half', variant, f / 2 FROM r), b AS (SELECT scale, arg_max(variant, f) AS best, max(f) AS best_f1 FROM x GROUP BY 1 UNION ALL SELECT 'none', NULL, NULL) SELECT *, " + _GATE.format("best_f1") + " AS gate FROM b",
     "memories_only": _D(["t"], "SELECT sample_id, memory_id, substr(sha256(CASE WHEN pos % 3 = 1 THEN 'again ' || text ELSE text END), 1, 32) AS digest, nullif((pos > min(pos) OVER w)::INT + (pos < max(pos) OVER w)::INT, 0)::BIGINT AS n_edges, 0::BIGINT AS n_entities FROM t WINDOW w AS (PARTITION BY sample_id)"),
