@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from recallery.llm.common import table, words
+from recallery.llm.common import cut, table, words
 
 #: Words in a block, output shards, and how often a source may be repeated.
 BLOCK, SHARDS, REPEATS, SEED = 32, 16, 3, "mix-0"
@@ -105,8 +105,10 @@ def mix(sized: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: str =
     A source's stream is summed up in 4,096 pieces of the seeded order, so no task
     orders a whole source.
     """
+    # sizes are read three times, the texts behind them once
+    sized = cut(sized.select("doc_id", "source", "size"))
     source, doc = F.col("source"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    dealt = sized.select("doc_id", "source", "size").withColumns({"_key": F.when(source.isNull(), "-").otherwise(F.concat(F.lit("+"), source)), "_h": F.md5(F.concat(F.lit(f"{seed}:"), doc))})
+    dealt = sized.withColumns({"_key": F.when(source.isNull(), "-").otherwise(F.concat(F.lit("+"), source)), "_h": F.md5(F.concat(F.lit(f"{seed}:"), doc))})
     dealt = dealt.withColumn("_piece", F.substring("_h", 1, 3))
     pieces = dealt.groupBy("_key", "_piece").agg(F.first("source").alias("source"), F.sum("size").alias("n"))
     order = W.Window.partitionBy("_key").orderBy("_piece").rowsBetween(W.Window.unboundedPreceding, -1)
