@@ -9,13 +9,18 @@ verified on the sets themselves.
 To spread the join, documents first meet in blocks: two sets that are similar enough share
 one of the first tokens under any common order (prefix filter). The order puts tokens
 known to be frequent last; any order is exact, a better one only makes blocks smaller.
-Blocks of the same documents are one. An R-tree join of each block's points ties documents
-that the bound lets be similar into families, by a spanning forest and not by pairs. Then
-each family's sets are joined over an R-tree again and the survivors verified. A block or
-family beyond LIMIT is cut up, and each pair of its parts is a join of its own, so no
-task holds an unbounded group. Equal sets are one class with one representative
-throughout. Within a task, pairs that are joined already are not looked at again, since
-links only serve to join.
+Blocks of the same documents are one. A block beyond BLOCK documents is dealt anew by pairs of
+tokens, since two similar sets also share two of their first tokens, one more counted; what
+is still as large holds near copies of each other and is tied as a whole, by a star. An R-tree
+join of each other block's points ties documents that the bound lets be similar into families, by a
+spanning forest and not by pairs.
+
+Then each family's sets are joined over an R-tree again and the survivors verified. A family
+beyond LIMIT tokens is joined in rounds: its blocks each on their own; one set of each group found
+so with those of the other groups; and then the pairs of blocks whose groups are still apart, so that
+many near copies are not compared pair by pair. No task holds an unbounded group. Equal sets are
+one class with one representative throughout. Pairs that are joined already are not looked at again,
+since links only serve to join.
 
 Shingles are compared as 64-bit hashes. A class is told by the size of its set and sums of
 two independent hashes; where two classes agree in all first hashes, at least one shingle
@@ -46,7 +51,7 @@ from recallery.llm.common import components, cut, drop, release, table
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5
 #: Least and most groups of a count vector; tokens to a group on average.
 LEAST_GROUPS, MOST_GROUPS, TO_GROUP = 16, 4096, 4
-#: Points of a leaf and children of an inner node; documents of a block that one task joins.
+#: Points of a leaf and children of an inner node; documents of a block at most.
 LEAF, FAN, BLOCK = 16, 16, 2048
 #: Tokens of a family that one task holds; tokens counted at a time, and the most frequent ones known.
 LIMIT, COUNTED, KNOWN = 1 << 20, 1 << 21, 1 << 18
@@ -98,7 +103,7 @@ def _sums(r: np.ndarray, s: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _sets(known: tuple[np.ndarray, np.ndarray]):
-    """doc_id, n, sums over two hashes that identify the set, its prefix tokens and its count vector."""
+    """doc_id, n, sums over two hashes that identify the set, its prefix tokens with one more, and its count vector."""
     tokens, counts = known
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +119,7 @@ def _sets(known: tuple[np.ndarray, np.ndarray]):
                 if weight.any():
                     order = np.lexsort((s, weight, r))
                     s = s[order]
-                keep = n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + (n > 0)
+                keep = np.minimum(prefix_of(n) + 1, n)
                 rank = np.arange(len(s)) - np.repeat(ends - n, n)
                 prefix = s[rank < np.repeat(keep, n)].view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]), pa.int32()), pa.array(prefix))
@@ -130,6 +135,11 @@ def _sets(known: tuple[np.ndarray, np.ndarray]):
     return run
 
 
+def prefix_of(n):
+    """How many first tokens of a set of n another must share one of to be similar enough."""
+    return n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + (n > 0)
+
+
 def groups_of(n: np.ndarray) -> np.ndarray:
     """Groups of the count vector of a set of n tokens: a power of two."""
     wanted = np.clip(n / TO_GROUP, LEAST_GROUPS, MOST_GROUPS)
@@ -139,28 +149,50 @@ def groups_of(n: np.ndarray) -> np.ndarray:
 # ------------------------------------------------------------------- families
 
 
-def _blocks(reps: DataFrame) -> DataFrame:
-    """(block, cls, df): classes that share a prefix token, blocks of the same classes once."""
-    rows = reps.select("cls", F.explode("prefix").alias("token"))
-    # a token of one document ties nothing
+def _fits(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A table to join with, broadcast while it has few enough rows."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
+def _once(tied: DataFrame) -> DataFrame:
+    """(token, cls, df) of the tokens of more than one class, those of the same classes once. ``tied``: distinct (token, cls)."""
+    one, two = F.xxhash64("cls"), F.xxhash64("cls", F.lit(7))
+    sums = tied.groupBy("token").agg(F.count("*").alias("df"), F.bit_xor(one).alias("x1"), F.bit_xor(two).alias("x2")).where("df > 1")
+    kept = sums.groupBy("df", "x1", "x2").agg(F.min("token").alias("token")).select("token", "df")
+    return tied.join(kept, "token").select("token", "cls", "df")
+
+
+def _blocks(reps: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(token, cls): classes that share a prefix token, at most ``most`` to a token, and (a, b): stars of larger groups."""
+    n = F.col("n")
+    first = (n - F.ceil(n * NUMERATOR / DENOMINATOR) + 1).cast("int")
+    rows = reps.select("cls", F.explode(F.slice("prefix", F.lit(1), first)).alias("token"))
+    # a token of one class ties nothing
     shared = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
     tied = cut(rows.join(shared, "token").distinct())
     release(tied)
-    one, two = F.xxhash64("cls"), F.xxhash64("cls", F.lit(7))
-    sums = tied.groupBy("token").agg(F.count("*").alias("df"), F.bit_xor(one).alias("x1"), F.bit_xor(two).alias("x2"))
-    kept = sums.groupBy("df", "x1", "x2").agg(F.min("token").alias("token")).select("token", "df")
-    return cut(tied.join(kept, "token").select(F.col("token").alias("block"), "cls", "df"))
+    single = cut(_once(tied))
+    large = cut(single.where(F.col("df") > most).select("token").distinct())
+    star = single.limit(0).select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+    if large.isEmpty():
+        return single.select("token", "cls"), star
+    # with each token that comes behind it; a set of one token links with its like only, and those are its class
+    at = reps.where("n > 1").select("cls", "prefix", F.posexplode(F.slice("prefix", F.lit(1), first)).alias("i", "token")).join(_fits(large), "token")
+    pairs = at.select("cls", "token", F.explode(F.slice("prefix", F.col("i") + 2, F.size("prefix"))).alias("next"))
+    pairs = cut(_once(cut(pairs.select("cls", F.xxhash64("token", "next").alias("token")).distinct())))
+    over = pairs.where(F.col("df") > most)
+    star = over.join(_fits(cut(over.groupBy("token").agg(F.min("cls").alias("b")))), "token").select(F.col("cls").alias("a"), "b")
+    return single.where(F.col("df") <= most).select("token", "cls").unionByName(pairs.where(F.col("df") <= most).select("token", "cls")), star
 
 
 def _bound_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges of a spanning forest of what the count vectors of each block let be similar."""
-    for part in runs(batches, "task"):
-        if part.num_rows < 2:
+    for part in runs(batches, "token"):
+        ids, once = np.unique(part.column("cls").to_numpy(), return_index=True)
+        if len(ids) < 2:
             continue
-        ids, n = part.column("cls").to_numpy(), part.column("n").to_numpy()
-        side = part.column("side").to_numpy()
-        vecs = [np.frombuffer(b, np.uint8) for b in part.column("vec").to_pylist()]
-        links = bound_forest(n, vecs, side if side.min() != side.max() else None)
+        part = part.take(once)
+        links = bound_forest(part.column("n").to_numpy(), [np.frombuffer(b, np.uint8) for b in part.column("vec").to_pylist()])
         if links:
             a, b = np.array(links).T
             yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
@@ -172,7 +204,7 @@ def fold(vec: np.ndarray, groups: int) -> np.ndarray:
     return wide.reshape(-1, groups).sum(0)
 
 
-def bound_forest(n: np.ndarray, vecs: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def bound_forest(n: np.ndarray, vecs: list[np.ndarray]) -> list[tuple[int, int]]:
     """A spanning forest of the pairs whose bound on the overlap is high enough. Each size class is joined
     with itself and the next larger one, over as many groups as its smallest sets have."""
     level = np.floor(np.log(n) / RATIO).astype(int)
@@ -188,8 +220,6 @@ def bound_forest(n: np.ndarray, vecs: list[np.ndarray], side: np.ndarray | None
             q = both[k]
             found = both[tree.search(int(n[q]), point[k])]
             found = found[found != q]
-            if side is not None:
-                found = found[side[found] != side[q]]
             for other in np.unique(label[found]):
                 if other != label[q]:
                     r = found[label[found] == other]
@@ -199,40 +229,78 @@ def bound_forest(n: np.ndarray, vecs: list[np.ndarray], side: np.ndarray | None
     return out
 
 
-def _families(reps: DataFrame) -> DataFrame:
+def _families(reps: DataFrame, most: int) -> DataFrame:
     """(cls, family) of the classes that may be similar to another. ``reps``: cls, n, prefix, vec."""
-    blocks = _blocks(reps)
-    parts = F.ceil(F.col("df") / BLOCK).cast("int")
-    dealt = blocks.withColumns({"k": parts, "i": F.pmod(F.xxhash64("cls"), parts).cast("int")})
-    pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.concat_ws("/", F.col("block"), F.least(j, F.col("i")), F.greatest(j, F.col("i"))))
-    named = dealt.select("cls", F.col("i").alias("side"), F.explode(pairs).alias("task"))
-    joined = named.join(reps.select("cls", "n", "vec"), "cls").select("task", "side", "cls", "n", "vec")
-    edges = joined.repartition("task").sortWithinPartitions("task").mapInArrow(K.tidy(_bound_rows), "a long, b long")
-    out = components(edges).select(F.col("node").alias("cls"), F.col("component").alias("family"))
-    return out
+    blocks, stars = _blocks(reps, most)
+    joined = blocks.join(reps.select("cls", "n", "vec"), "cls").select("token", "cls", "n", "vec")
+    edges = joined.repartition("token").sortWithinPartitions("token").mapInArrow(K.tidy(_bound_rows), "a long, b long")
+    return components(edges.unionByName(stars)).select(F.col("node").alias("cls"), F.col("component").alias("family"))
+
+
+# --------------------------------------------------------------------- rounds
+
+
+def _links(held: DataFrame, tasks: DataFrame) -> DataFrame:
+    """(a, b): what the R-tree joins of each task's sets link. ``held``: cls, tokens; ``tasks``: cls, task, side, group (a
+    class's group before; pairs of one group are not looked at, and with sides only pairs across)."""
+    sent = held.join(_fits(tasks), "cls").select("cls", "task", "side", "group", "tokens")
+    return sent.repartition("task").sortWithinPartitions("task").mapInArrow(K.tidy(_join_rows), "a long, b long")
 
 
-def _tasks(members: DataFrame) -> DataFrame:
-    """(cls, tasks, side): which R-tree joins a class takes part in. A family of up to
-    LIMIT tokens is one; of a larger one, each pair of blocks of equal or neighbouring size class."""
+def _parts(members: DataFrame, limit: int) -> DataFrame:
+    """(cls, task, side, group) of families in blocks of half a limit of tokens: each pair of blocks of equal or neighbouring
+    size class is a task. ``members``: cls, family, n, group and own, whether its group has blocks of its own, whose pairs
+    with each other are left out."""
     sized = members.withColumn("c", F.floor(F.log(F.col("n").cast("double")) / float(RATIO)).cast("int"))
-    whole = sized.groupBy("family").agg(F.sum("n").alias("tokens")).where(F.col("tokens") > LIMIT).select("family")
-    # a family has few size classes: their number grows with the logarithm of the longest text
-    blocks = sized.join(whole, "family", "left_semi").groupBy("family", "c").agg(F.ceil(F.sum("n") / (LIMIT // 2)).cast("int").alias("k"))
-    blocks = blocks.groupBy("family").agg(F.map_from_entries(F.collect_list(F.struct("c", "k"))).alias("ks"))
-    both = sized.join(blocks, "family", "left")
-    c, ks = F.col("c"), F.col("ks")
-    block = F.pmod(F.xxhash64("cls"), F.try_element_at("ks", c)).cast("int")
-    both = both.withColumn("i", F.coalesce(block, F.lit(0)))
-    name = lambda c1, i1, c2, i2: F.concat_ws("/", F.col("family"), c1, i1, c2, i2)
-    upto = lambda k: F.when(k.isNull(), F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.greatest(k, F.lit(1)) - 1))
-    i = F.col("i")
-    own = F.transform(upto(F.try_element_at("ks", c)), lambda j: name(c, F.least(i, j), c, F.greatest(i, j)))
-    up = F.transform(upto(F.try_element_at("ks", c + 1)), lambda j: name(c, i, c + 1, j))
-    down = F.transform(upto(F.try_element_at("ks", c - 1)), lambda j: name(c - 1, j, c, i))
-    tasks = F.when(ks.isNull(), F.array(F.col("family").cast("string"))).otherwise(F.concat(own, up, down))
-    side = F.when(ks.isNull(), F.lit("")).otherwise(F.concat_ws("/", c, i))
-    return both.select("cls", tasks.alias("tasks"), side.alias("side"))
+    # which blocks a class may be in: those of its own group, or those of all small groups
+    sized = sized.withColumn("kind", F.when(F.col("own"), F.col("group").cast("string")).otherwise(F.lit("")))
+    sizes = sized.groupBy("family", "c", "kind").agg(F.ceil(F.sum("n") / (limit // 2)).cast("int").alias("k"))
+    by_group = F.pmod(F.when(F.col("own"), F.xxhash64("cls")).otherwise(F.xxhash64("group")), F.col("k"))
+    placed = sized.join(_fits(cut(sizes)), ["family", "c", "kind"]).withColumn("block", F.struct("c", "kind", by_group.cast("int").alias("i")))
+    placed = cut(placed.select("cls", "family", "group", "c", "kind", "block"))
+    # the partners of a block: a table of blocks, not of classes
+    blocks = placed.select("family", "c", "kind", "block").distinct()
+    other = blocks.select("family", F.col("c").alias("c2"), F.col("kind").alias("kind2"), F.col("block").alias("block2"))
+    near = (F.abs(F.col("c") - F.col("c2")) <= 1) & ~((F.col("kind") == F.col("kind2")) & (F.col("kind") != ""))
+    pairs = cut(blocks.join(other, "family").where(near).select("family", "block", F.concat_ws("/", "family", F.least("block", "block2").cast("string"), F.greatest("block", "block2").cast("string")).alias("task")))
+    sent = placed.join(_fits(pairs), ["family", "block"])
+    return sent.select("cls", "task", F.col("block").cast("string").alias("side"), "group")
+
+
+def _joined(members: DataFrame, held: DataFrame, limit: int) -> DataFrame:
+    """(a, b): links that join what the similarity joins. ``members``: cls, family, n; ``held``: cls, tokens."""
+    sizes = members.groupBy("family").agg(F.sum("n").alias("tokens"))
+    large = cut(sizes.where(F.col("tokens") > limit).select("family"))
+    none = F.lit("").alias("side")
+    if large.isEmpty():
+        return _links(held, members.select("cls", F.col("family").cast("string").alias("task"), none, F.col("cls").alias("group")))
+    held = cut(held)  # read in every round
+    small = members.join(_fits(large), "family", "left_anti")
+    out = _links(held, small.select("cls", F.col("family").cast("string").alias("task"), none, F.col("cls").alias("group")))
+    rest = cut(members.join(_fits(large), "family").select("cls", "family", "n"))
+    # blocks on their own: classes of a size class, in an order by size, so that like meets like
+    c = F.floor(F.log(F.col("n").cast("double")) / float(RATIO)).cast("int")
+    sized = rest.withColumn("c", c)
+    counts = sized.groupBy("family", "c").agg(F.ceil(F.sum("n") / (limit // 2)).cast("int").alias("k"))
+    own = sized.join(_fits(cut(counts)), ["family", "c"]).select("cls", F.concat_ws("/", "family", "c", F.pmod(F.xxhash64("cls"), F.col("k"))).alias("task"), none, F.col("cls").alias("group"))
+    links = cut(_links(held, own))
+
+    def grouped(links: DataFrame) -> DataFrame:
+        found = components(links).select(F.col("node").alias("cls"), F.col("component").alias("group"))
+        return cut(rest.join(found, "cls", "left").withColumn("group", F.coalesce("group", "cls")))
+
+    # a class of each group of some size, as many as tokens / limit times 8 at most
+    now = grouped(links)
+    many = now.groupBy("family", "group").agg(F.sum("n").alias("tokens"), F.min(F.struct("n", "cls")).alias("one"))
+    pivots = cut(many.where(F.col("tokens") >= limit // 8).select(F.col("one.cls").alias("cls"), "family", F.col("one.n").alias("n")))
+    links = cut(links.unionByName(_links(held, _parts(pivots.withColumns({"group": F.col("cls"), "own": F.lit(False)}), limit))))
+    # what is still apart
+    now = grouped(links)
+    many = now.groupBy("family", "group").agg(F.sum("n").alias("tokens"))
+    apart = many.groupBy("family").agg(F.count("*").alias("groups")).where("groups > 1").select("family")
+    many = cut(many.where(F.col("tokens") > limit // 2).select("group", F.lit(True).alias("own")))
+    left = now.join(_fits(cut(apart)), "family", "left_semi").join(_fits(many), "group", "left").withColumn("own", F.coalesce("own", F.lit(False)))
+    return out.unionByName(links).unionByName(_links(held, _parts(left.select("cls", "family", "n", "group", "own"), limit)))
 
 
 # --------------------------------------------------------------------- R-tree
@@ -280,14 +348,15 @@ def enough(overlap, a, b):
     return (NUMERATOR + DENOMINATOR) * overlap >= NUMERATOR * (a + b)
 
 
-def join(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
+def join(sets: list[np.ndarray], side: np.ndarray | None = None, group: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that join what the similarity joins (a spanning forest), as indexes into ``sets`` (sorted arrays).
-    With sides, only pairs across them count."""
+    With sides, only pairs across them count; with groups, those count as joined."""
     size = np.array([len(s) for s in sets])
     groups = min(256, int(groups_of(size).min()))
-    group = (K.mix(np.concatenate(sets)) & K.U(groups - 1)).astype(np.int64)
-    point = np.bincount(np.repeat(np.arange(len(sets)), size) * groups + group, minlength=len(sets) * groups).reshape(-1, groups).astype(np.int32)
-    tree, label, out = RTree(size, point), np.arange(len(sets)), []
+    place = (K.mix(np.concatenate(sets)) & K.U(groups - 1)).astype(np.int64)
+    point = np.bincount(np.repeat(np.arange(len(sets)), size) * groups + place, minlength=len(sets) * groups).reshape(-1, groups).astype(np.int32)
+    tree, out = RTree(size, point), []
+    label = np.arange(len(sets)) if group is None else np.unique(group, return_inverse=True)[1]
     for q in range(len(sets)):
         found = tree.search(int(size[q]), point[q])
         found = found[found < q]
@@ -321,7 +390,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen.update(cls[own].tolist())
             ends = np.cumsum(n) * 8
             blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64).tobytes()), pa.py_buffer(s.tobytes())])
-            whole = pa.RecordBatch.from_arrays([part.column("cls"), part.column("tasks"), part.column("side"), blob.cast(pa.binary())], names=["cls", "tasks", "side", "tokens"])
+            whole = pa.RecordBatch.from_arrays([part.column("cls"), blob.cast(pa.binary())], names=["cls", "tokens"])
             yield whole.filter(pa.array(own))
 
 
@@ -353,7 +422,7 @@ def _join_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         sets = [np.frombuffer(b, K.U) for b in part.column("tokens").to_pylist()]
         names = np.array(part.column("side").to_pylist(), dtype=object)
-        links = join(sets, None if (names == names[0]).all() else (names == names[0]))
+        links = join(sets, None if (names == names[0]).all() else (names == names[0]), part.column("group").to_numpy())
         if links:
             a, b = np.array(links).T
             yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
@@ -362,7 +431,7 @@ def _join_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------------- whole
 
 
-def similar(docs: DataFrame) -> DataFrame:
+def similar(docs: DataFrame, block: int = BLOCK, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_shingles and component_id of each row (see the module)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = frequent(docs)
@@ -374,15 +443,12 @@ def similar(docs: DataFrame) -> DataFrame:
     classes = sets.where("n > 0 and doc_id is not null").groupBy(*key).agg(F.min(F.struct("doc_id", "row")).alias("r"))
     classes = cut(classes.select(*key, F.col("r.doc_id").alias("rep"), F.col("r.row").alias("cls")))
     reps = whole.select(F.col("row").alias("cls"), "n", "prefix", "vec").join(classes.select("cls"), "cls", "left_semi")
-    families = cut(_families(reps))
-    tasks = cut(_tasks(families.join(classes.select("cls", "n"), "cls")).join(classes.select("cls", F.col("rep").alias("doc_id"), "n", "k1"), "cls"))
+    members = cut(_families(reps, block).join(classes.select("cls", "rep", "n", "k1"), "cls"))
     drop(whole)
-    release(tasks)
-    fits = tasks.count() <= BROADCAST_ROWS
-    texts = docs.join(F.broadcast(tasks) if fits else tasks, "doc_id").select("cls", "n", "k1", "tasks", "side", "text")
-    held = texts.mapInArrow(K.tidy(_set_rows), "cls long, tasks array<string>, side string, tokens binary")
-    dealt = held.select("cls", F.explode("tasks").alias("task"), "side", "tokens").repartition("task").sortWithinPartitions("task")
-    links = dealt.mapInArrow(K.tidy(_join_rows), "a long, b long")
+    release(members)
+    texts = docs.join(_fits(members.select(F.col("rep").alias("doc_id"), "cls", "n", "k1")), "doc_id").select("cls", "n", "k1", "text")
+    held = texts.mapInArrow(K.tidy(_set_rows), "cls long, tokens binary")
+    links = _joined(members.select("cls", "family", "n"), held, limit)
     # the texts of one doc_id are one node
     twice = cut(sets.groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1 and doc_id is not null").select("doc_id"))
     if not twice.isEmpty():
