@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,10 @@ BEHIND, BLOCK = 512, 2048
 WIDEST, PASSED, MEET = 192, 2, 0.99
 
 
+#: Filters with too many vectors up to which their table is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
 class Filters:
     """Random product codes of a dimension, each behind a rotation of its own: which filters a vector passes."""
 
@@ -119,7 +124,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _listing(plan: dict[int, tuple[int, int, float, int]], kind: str):
+def _listing(plan: dict[int, tuple[int, int, float, int]], kind: str, number: pa.DataType):
     """Vectors as bytes, with the filters they pass in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +145,7 @@ def _listing(plan: dict[int, tuple[int, int, float, int]], kind: str):
                 size = np.dtype(kind).itemsize
                 ends = np.append(start, lengths.sum()) * size
                 blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(flat.tobytes())])
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("times"), part.column("d"), blob.cast(pa.binary()), pa.array(out, pa.list_(pa.int64()))], names=["id", "times", "d", "vec", "filters"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("times"), blob.cast(pa.binary()), pa.array(out, pa.list_(number))], names=["id", "times", "vec", "filters"])
 
     return run
 
@@ -218,7 +223,7 @@ def _verify(cosine: float, kind: str):
         def done():
             part = pa.Table.from_batches(held)
             held.clear()
-            d = part.column("d").to_numpy()
+            d = np.asarray(pc.binary_length(part.column("vec").combine_chunks()))
             for one in np.unique(d):
                 some = part.filter(pa.array(d == one))
                 if some.num_rows > 1:
@@ -259,15 +264,19 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     classes = cut(classes.select("h1", "h2", F.col("r.row").alias("id"), F.col("r.id").alias("rep"), "times", F.size("vec").alias("d"), "vec"))
     sizes = {r["d"]: r["n"] for r in classes.groupBy("d").agg(F.count("*").alias("n")).collect()}
     plan = {d: choose(n, d, cosine) for d, n in sizes.items()}
-    listed = cut(classes.select("id", "times", "d", "vec").mapInArrow(K.tidy(_listing(plan, kind)), "id long, times long, d int, vec binary, filters array<bigint>"))
+    few = all(width**parts * tables < 2**31 for parts, width, _, tables in plan.values())
+    made = K.tidy(_listing(plan, kind, pa.int32() if few else pa.int64()))
+    listed = cut(classes.select("id", "times", "d", "vec").mapInArrow(made, f"id long, times long, vec binary, filters array<{'int' if few else 'bigint'}>"))
     # of the filters only those before the one at hand go along
-    dealt = listed.select("id", "times", "d", "vec", "filters", F.posexplode("filters").alias("p", "filter")).select("id", "times", "d", "vec", F.slice("filters", F.lit(1), F.col("p")).alias("smaller"), "filter")
+    dealt = listed.select("id", "times", "vec", "filters", F.posexplode("filters").alias("p", "filter")).select("id", "times", "vec", F.slice("filters", F.lit(1), F.col("p")).alias("smaller"), "filter")
     large = listed.select(F.explode("filters").alias("filter")).groupBy("filter").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
-    large = large.select("filter", F.ceil(F.col("n") / BLOCK).cast("int").alias("k"))
-    split = dealt.join(large, "filter", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    large = cut(large.select("filter", F.ceil(F.col("n") / BLOCK).cast("int").alias("k")))
+    # known to be small before the vectors move, they move once
+    side = F.broadcast(large) if large.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else large
+    split = dealt.join(side, "filter", "left").withColumn("k", F.coalesce("k", F.lit(1)))
     split = split.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda o: F.struct(F.least(o, F.col("chunk")).alias("i"), F.greatest(o, F.col("chunk")).alias("j")))
-    sent = ["id", "times", "d", "vec", "smaller", "filter", "chunk"]
+    sent = ["id", "times", "vec", "smaller", "filter", "chunk"]
     split = split.select(*sent, F.explode(pairs).alias("p")).select(*sent, "p.i", "p.j")
     groups = split.repartition("filter", "i", "j").sortWithinPartitions("filter", "i", "j")
     found = cut(groups.mapInArrow(K.tidy(_verify(cosine, kind)), "a long, b long, n long"))
