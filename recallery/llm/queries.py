@@ -96,6 +96,23 @@ WITH lines AS (
 )
 SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
 FROM documents d LEFT JOIN kept k USING (doc_id)
+""",
+    "op3_sharding": """
+WITH crc_table AS (
+  SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce(list_concat([n], range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS n))
+), sized AS (
+  SELECT row_number() OVER () AS nr, doc_id, octet_length(encode(coalesce(text, ''))) + 8 AS size,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents
+), summed AS (
+  SELECT nr, doc_id, size, xor(list_reduce(list_concat([4294967295::BIGINT], bytes), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) AS text_crc32 FROM sized, crc_table
+), draws AS (
+  SELECT nr, s, ('0x' || substr(md5(doc_id || '/' || s || '/0'), 1, 12))::BIGINT AS draw FROM summed, (SELECT unnest(range(25)) AS s)
+), best AS (
+  SELECT nr, arg_max(s, (draw, -s)) FILTER (WHERE s < 24) AS shard, arg_max(s, (draw, -s)) AS grown FROM draws GROUP BY nr
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard::INT AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(doc_id || '/' || text_crc32 || '/' || size), 1, 8))::BIGINT % 256, doc_id, text_crc32, size) - 1 AS slot, grown::INT AS grown_shard
+FROM summed JOIN best USING (nr)
 """,
     "op4_mixing": """
 WITH sized AS (

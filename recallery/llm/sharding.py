@@ -27,20 +27,26 @@ PIECES = 256
 
 def rendezvous(key: Column, weights: list[float], seed: int = 0) -> Column:
     """The shard (0..n-1) with the smallest -ln(draw) / weight, by Wang-Ravishankar
-    hashing in its weighted form. A weight of 0 takes nothing; ties go to the lower shard."""
+    hashing in its weighted form. The draw is a hash of key, shard and seed that any system has (MD5), so a record's shard
+    can be found without Spark. A weight of 0 takes nothing; ties go to the lower shard."""
     named = F.coalesce(key.cast("string"), F.lit("\x00null"))
     best = []
     for shard, weight in enumerate(weights):
         if weight <= 0:
             continue
         # 48 bits of the hash as a draw in (0, 1]
-        draw = (F.shiftrightunsigned(F.xxhash64(named, F.lit(shard), F.lit(seed)), 16).cast("double") + 1.0) / float(2**48)
+        draw = (_number(F.concat(named, F.lit(f"/{shard}/{seed}")), 12).cast("double") + 1.0) / float(2**48)
         best.append(F.struct((-F.log(draw) / F.lit(float(weight))).alias("cost"), F.lit(shard).alias("shard")))
     if not best:
         raise ValueError("at least one shard needs a positive weight")
     return (F.least(*best) if len(best) > 1 else best[0])["shard"]
 
 
+def _number(text: Column, digits: int) -> Column:
+    """The first hexadecimal digits of the MD5 of a text as a number."""
+    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
+
+
 def number(df: DataFrame, group: str, order: list[str], slot: str = "slot", pieces: int = PIECES) -> DataFrame:
     """Number the rows of each group 0, 1, ... without a gap and without sorting a group in one task.
 
@@ -48,7 +54,7 @@ def number(df: DataFrame, group: str, order: list[str], slot: str = "slot", piec
     summed up over the pieces, give where each piece starts.
     """
     piece, start, n = (free(df, name) for name in ("_piece", "_start", "_n"))
-    dealt = df.withColumn(piece, F.pmod(F.xxhash64(*order), F.lit(pieces)).cast("int"))
+    dealt = df.withColumn(piece, F.pmod(_number(F.concat_ws("/", *(F.col(c).cast("string") for c in order)), 8), F.lit(pieces)).cast("int"))
     counts = dealt.groupBy(group, piece).agg(F.count("*").alias(n))
     before = W.Window.partitionBy(group).orderBy(piece).rowsBetween(W.Window.unboundedPreceding, -1)
     starts = counts.select(group, piece, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
