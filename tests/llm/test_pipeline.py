@@ -101,10 +101,8 @@ def loop_pipeline(rows, labels, items):
         copies = math.floor(sum(mixed[s, k]) / max(size[k], 1) + draw) if size[k] else 0
         cost = []
         for shard in range(25):
-            h = xxhash.xxh64_intdigest(str(i).encode(), 42)
-            for v in (shard, 0):
-                h = xxhash.xxh64_intdigest(v.to_bytes(4, "little"), h)
-            cost.append((-math.log(((h >> 16) + 1) / 2**48), shard))
+            h = int(hashlib.md5(f"{i}/{shard}/0".encode()).hexdigest()[:12], 16)
+            cost.append((-math.log((h + 1) / 2**48), shard))
         if copies:
             out[i, min(cost[:24])[1], min(cost)[1]] += copies
     return out
