@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -21,5 +22,6 @@ def ship(spark: SparkSession) -> None:
         return
     _shipped.add(app)
     target = Path(tempfile.mkdtemp(prefix="recallery-ship-")) / "recallery"
+    atexit.register(shutil.rmtree, target.parent, ignore_errors=True)
     shutil.make_archive(str(target), "zip", package.parent, package.name)
     spark.sparkContext.addPyFile(f"{target}.zip")
