@@ -69,11 +69,19 @@ def kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
     return _KEPT[key][1]
 
 
+def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, sf_dir, "spoken", lambda: G.turns(dialog(spark, sf_dir)))
+
+
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(spark, sf_dir, "found", lambda: G.extracted(spoken(spark, sf_dir)))
+
+
 def graph(spark: SparkSession, sf_dir: str) -> G.Graph:
-    spoken = lambda: kept(spark, sf_dir, "spoken", lambda: G.turns(dialog(spark, sf_dir)))
-    found = lambda: kept(spark, sf_dir, "found", lambda: G.extracted(spoken()))
-    memory = kept(spark, sf_dir, "memory", lambda: G.memories(spoken()))
-    return G.Graph(memory, kept(spark, sf_dir, "entity", lambda: G.entities(found())), kept(spark, sf_dir, "mention", lambda: G.mentions(found())), kept(spark, sf_dir, "edge", lambda: G.sequence_edges(memory)))
+    memory = kept(spark, sf_dir, "memory", lambda: G.memories(spoken(spark, sf_dir)))
+    entity = kept(spark, sf_dir, "entity", lambda: G.entities(found(spark, sf_dir)))
+    mention = kept(spark, sf_dir, "mention", lambda: G.mentions(found(spark, sf_dir)))
+    return G.Graph(memory, entity, mention, kept(spark, sf_dir, "edge", lambda: G.sequence_edges(memory)))
 
 
 def _vector(df: DataFrame, spark: SparkSession, sf_dir: str, number, name: str) -> DataFrame:
@@ -174,15 +182,15 @@ def memory_sequence_edges(spark, sf_dir):
 
 
 def entity_merge(spark, sf_dir):
-    return graph(spark, sf_dir).entity.select("sample_id", "entity_id", "key", "value", "type", F.size("merged_from").alias("n_merged"))
+    return G.entities(found(spark, sf_dir)).select("sample_id", "entity_id", "key", "value", "type", F.size("merged_from").alias("n_merged"))
 
 
 def mention_edges(spark, sf_dir):
-    return graph(spark, sf_dir).mention.select("sample_id", "edge_id", "entity_id", "memory_id", "weight")
+    return G.mentions(found(spark, sf_dir)).select("sample_id", "edge_id", "entity_id", "memory_id", "weight")
 
 
 def entity_degree(spark, sf_dir):
-    d = G.degrees(graph(spark, sf_dir).mention)
+    d = G.degrees(G.mentions(found(spark, sf_dir)))
     return d.select("sample_id", "entity_id", "degree", F.round(M.degree_weight(F.col("degree")), 6).alias("degree_weight"))
 
 
@@ -203,8 +211,8 @@ def _corpus(spark, sf_dir):
 
 
 def bm25_index_stats(spark, sf_dir):
-    found = lexical.index(_corpus(spark, sf_dir))
-    return found.terms.groupBy("sample_id").agg(F.count("*").alias("n_terms"), F.max("n").alias("n_docs"), F.round(F.max("avgdl"), 6).alias("avgdl"), F.round(F.sum("idf"), 4).alias("sum_idf"), F.max("df").alias("max_df"))
+    index = lexical.index(_corpus(spark, sf_dir))
+    return index.terms.groupBy("sample_id").agg(F.count("*").alias("n_terms"), F.max("n").alias("n_docs"), F.round(F.max("avgdl"), 6).alias("avgdl"), F.round(F.sum("idf"), 4).alias("sum_idf"), F.max("df").alias("max_df"))
 
 
 def bm25_soft_match(spark, sf_dir):
