@@ -144,6 +144,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     pre-aggregated before each shuffle, and those of hubs broadcast to their edges, so a hub's edges
     stay spread over the tasks; nothing is collected. Nodes without an edge don't appear.
     """
+    small_batches(edges.sparkSession)
     pairs = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     now = cut(pairs.mapInArrow(tidy(_forests), "u long, v long"))
     while True:

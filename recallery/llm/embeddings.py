@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallery.llm import kernels as K
-from recallery.llm.common import components, cut, table
+from recallery.llm.common import components, cut, small_batches, table
 
 COSINE = 0.9
 #: Vectors behind a filter at the threshold chosen, on average; vectors of a block of a larger one.
@@ -251,6 +251,7 @@ def _verify(cosine: float, kind: str):
 
 def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row (see the module)."""
+    small_batches(df.sparkSession)
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vec"), F.monotonically_increasing_id().alias("row"))
     finite = F.forall("vec", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
     good = F.coalesce(F.col("id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0) & finite & F.exists("vec", lambda c: c != 0), F.lit(False))

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallery.llm import kernels as K
-from recallery.llm.common import components, cut, drop, release, table
+from recallery.llm.common import components, cut, drop, release, small_batches, table
 
 #: Shingle length, and the similarity as a fraction.
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5
@@ -433,6 +433,7 @@ def _join_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def similar(docs: DataFrame, block: int = BLOCK, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_shingles and component_id of each row (see the module)."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = frequent(docs)
     made = docs.mapInArrow(K.tidy(_sets(known)), "doc_id long, n long, k1 long, k2 long, prefix array<bigint>, vec binary")

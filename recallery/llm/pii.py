@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from recallery.llm import kernels as K
-from recallery.llm.common import table
+from recallery.llm.common import small_batches, table
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 THRESHOLD = 0.5
@@ -161,6 +161,7 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, n_spans (of all kinds), base_sha256 and spans of each text."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(K.tidy(_batches), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_spans long, base_sha256 string, spans string")
 
 

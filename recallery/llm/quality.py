@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallery.llm import kernels as K
-from recallery.llm.common import cut, table
+from recallery.llm.common import cut, small_batches, table
 from recallery.llm.toxicity import held_out
 
 #: Random features, width of the kernel in standard deviations, ridge, bins of the calibration.
@@ -94,6 +94,7 @@ def _stat_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def statistics_of(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(K.tidy(_stat_batches), "doc_id long, x array<double>")
 
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallery.llm import kernels as K
-from recallery.llm.common import cut, table
+from recallery.llm.common import cut, small_batches, table
 
 #: Words of a window and of an anchor.
 DEPTH, GRAM = 20, 8
@@ -315,6 +315,7 @@ def _trees(depth: int, group: int):
 
 def repeats(docs: DataFrame, depth: int = DEPTH, group: int = GROUP) -> DataFrame:
     """(doc_id, starts, ends): runs of words to remove, in order, ends exclusive."""
+    small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(max(8, -(-size // BUCKET_BYTES)), MOST_BUCKETS)
     docs = docs.where("doc_id is not null")

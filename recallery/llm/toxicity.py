@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recallery.llm import kernels as K
-from recallery.llm.common import cut, drop, table
+from recallery.llm.common import cut, drop, small_batches, table
 
 MOST_POSITIVE, MOST_UNLABELLED = 4000, 8000
 #: Features kept, occurrences among the positives that one needs, epochs and step of the training.
@@ -174,6 +174,7 @@ def _training(columns: int, prior: float):
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, prior: float | None = None) -> Model:
     """A model from the rows for which ``train`` holds. Without a prior, the share of toxic rows among the labels is it."""
+    small_batches(docs.sparkSession)
     packed = cut(sample(docs, labels, train))
     sizes = packed.agg(F.count_if("positive").alias("n"), F.count_if(~F.col("positive")).alias("m")).first()
     n, m = sizes["n"], sizes["m"]
@@ -203,6 +204,7 @@ def _scorer(model: Model, keep: list[str]):
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of each text."""
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(K.tidy(_scorer(model, ["doc_id"])), "doc_id long, score double")
 
 
