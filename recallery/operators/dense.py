@@ -14,6 +14,7 @@ from pyspark.sql.window import Window as W
 
 from recallery.functions import metrics as M
 from recallery.functions import text as X
+from recallery.sources.ship import ship
 
 DIMENSION = 64
 #: Questions or vectors of a sample that one join takes on a side.
@@ -75,6 +76,7 @@ def embed(df: DataFrame, text: str, model: str = "hashed", embedder: Callable[[l
             x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
             yield pd.DataFrame({"text_digest": pdf["text_digest"], "dim": x.shape[1], "vec": list(x.astype(np.float32))})
 
+    ship(df.sparkSession)
     texts = df.select(F.coalesce(F.col(text), F.lit("")).alias("_t")).distinct().withColumn("text_digest", X.digest("_t"))
     done = texts.mapInPandas(run, "text_digest string, dim int, vec array<float>")
     return done.select("text_digest", F.lit(model).alias("model"), F.lit(role).alias("role"), "dim", "vec")

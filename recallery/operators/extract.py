@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from recallery.functions.text import digest, entity_type, entity_value
 from recallery.schema import ENTITY_TYPES, ITEM
+from recallery.sources.ship import ship
 
 #: Length from which the rule extractor takes a token for an entity.
 LEAST_LENGTH = 9
@@ -139,6 +140,7 @@ def model_extractor(make_client: Callable[[], Callable[[str], str]], retries: in
         from recallery.functions.text import extraction_prompt
         from recallery.operators.clients import ask as ask_client
 
+        ship(df.sparkSession)
         texts = df.select(F.col(text).alias("_text")).where("_text is not null").distinct()
         answers = texts.withColumn("_prompt", extraction_prompt("_text")).mapInPandas(ask, f"_text string, items {ITEM}")
         return df.join(answers, df[text] == answers["_text"], "left").drop("_text")

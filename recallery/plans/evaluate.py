@@ -12,6 +12,7 @@ from recallery.functions import metrics as M
 from recallery.functions import text as X
 from recallery.operators.clients import ask
 from recallery.schema import KS
+from recallery.sources.ship import ship
 
 Q = ["sample_id", "qa"]
 
@@ -55,6 +56,7 @@ def answer(asked: DataFrame, make_reader: Callable[[], Callable[[str], str]] = l
                 out.append(said)
             yield pd.DataFrame({"sample_id": pdf["sample_id"], "qa": pdf["qa"], "prediction": out})
 
+    ship(asked.sparkSession)
     done = asked.select(*Q, "prompt").mapInPandas(run, "sample_id string, qa int, prediction string")
     return asked.join(done, Q, "left")
 
