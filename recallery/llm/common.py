@@ -66,6 +66,27 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
+def through_arrow(docs: DataFrame, text: str, run, results: list[tuple[str, str]]) -> DataFrame:
+    """All columns of ``docs`` and those of ``results`` (name, type), which replace columns of their names. ``run`` goes from
+    (the text column of a batch) to an iterator of (first row, number of rows, arrays of the results)."""
+    small_batches(docs.sparkSession)
+    kinds = {c: k for c, k in zip(docs.columns, (f.dataType.simpleString() for f in docs.schema), strict=True)}
+    place = next(i for i, c in enumerate(docs.columns) if c.lower() == text.lower())
+    row = free(docs, "_row")
+    inner = ",".join(f"`{c.replace('`', '``')}`:{k}" for c, k in kinds.items())
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, n, arrays in run(batch.column(0).field(place)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), *arrays], names=[row, *(name for name, _ in results)])
+
+    packed = docs.select(F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias(row))
+    done = packed.mapInArrow(tidy(over), f"{row} struct<{inner}>, " + ", ".join(f"{name} {kind}" for name, kind in results))
+    replaced = {name.lower() for name, _ in results}
+    kept = [F.col(row)[c].alias(c) for c in docs.columns if c.lower() not in replaced]
+    return done.select(*kept, *(name for name, _ in results))
+
+
 def document_key(doc_id: Column, text: Column) -> Column:
     """What tells rows apart by id and text: the id as text, told from null, and a hash of the text."""
     named = F.when(doc_id.isNull(), "-").otherwise(F.concat(F.lit("+"), doc_id.cast("string")))

@@ -17,6 +17,9 @@ WHERE = {
     "op8_quality": ("recallery.llm.quality", "op8_quality"),
     "op9_jaccard": ("recallery.llm.jaccard", "op9_jaccard"),
     "op10_embeddings": ("recallery.llm.embeddings", "op10_embeddings"),
+    "op11_sentencepiece": ("recallery.llm.pieces", "op11_sentencepiece"),
+    "op12_periods": ("recallery.llm.periods", "op12_periods"),
+    "op13_middle": ("recallery.llm.middle", "op13_middle"),
 }
 
 
@@ -160,6 +163,22 @@ WITH sized AS (
 SELECT doc_id, size, source_size::BIGINT AS source_size, target, sum(words)::BIGINT AS taken,
        coalesce(string_agg(house || ':' || words, ',' ORDER BY house) FILTER (WHERE words > 0), '') AS shard_words
 FROM parts GROUP BY nr, doc_id, size, source_size, target
+""",
+    "op13_middle": """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents
+), drawn AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS u, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+         ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d
+), cuts AS (
+  SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn
+), parts AS (
+  SELECT doc_id, text, n, form, array_to_string(u[1 : a], '') AS p, array_to_string(u[a + 1 : b], '') AS m, array_to_string(u[b + 1 : n], '') AS s FROM cuts
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM parts
 """,
     "op6_decontamination": """
 WITH split AS (
