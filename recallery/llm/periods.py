@@ -182,7 +182,8 @@ def planted(text: Column, doc_id: Column) -> Column:
         p = (F.floor((n - a) / (3 + g % 8)) + 1).cast("int")
         return F.array_join(F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, a + (i - a) % p))), " ")
 
-    return F.when((h % 10 == 0) & (F.size(ws) > 0), repeated(ws)).otherwise(text)
+    # the words are bound to a name, so they are split once and not for each word
+    return F.when((h % 10 == 0) & (F.size(ws) > 0), F.get(F.transform(F.array(ws), repeated), 0)).otherwise(text)
 
 
 def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
