@@ -14,11 +14,10 @@ from pyspark.sql.window import Window as W
 
 from recallery.functions import metrics as M
 from recallery.functions import text as X
+from recallery.operators import nearest
 from recallery.sources.ship import ship
 
 DIMENSION = 64
-#: Questions or vectors of a sample that one join takes on a side.
-PART = 20_000
 
 
 def hashed_embedder(texts: list[str], role: str = "context", dimension: int = DIMENSION) -> np.ndarray:
@@ -108,18 +107,12 @@ def cosine(questions: DataFrame, vectors: DataFrame, restricted: DataFrame | Non
     """(sample_id, qa, memory_id, s): clipped cosine of each question and each memory of its sample,
     or of the (sample_id, qa, memory_id) of ``restricted`` only (none of those: no rows).
     ``questions``: sample_id, qa, qvec; ``vectors``: sample_id, memory_id, vec."""
+    if restricted is None:
+        every = nearest.joined(questions, vectors.select("sample_id", F.col("memory_id").alias("id"), "vec"), True)
+        return every.select("sample_id", "qa", F.col("id").alias("memory_id"), "s")
     q = questions.select("sample_id", "qa", M.unit(F.col("qvec")).alias("_q"))
     v = vectors.select("sample_id", "memory_id", M.unit(F.col("vec")).alias("_v"))
-    if restricted is None:
-        # a sample with many questions or vectors is dealt to parts, each pair of parts a join of its own
-        size = v.groupBy("sample_id").agg(F.ceil(F.count("*") / PART).cast("int").alias("_nv")).join(q.groupBy("sample_id").agg(F.ceil(F.count("*") / PART).cast("int").alias("_nq")), "sample_id")
-        part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        q = q.join(size, "sample_id").select("sample_id", "qa", "_q", part("qa", "_nq").alias("_i"), every("_nv").alias("_j"))
-        v = v.join(size, "sample_id").select("sample_id", "memory_id", "_v", part("memory_id", "_nv").alias("_j"), every("_nq").alias("_i"))
-        pairs = q.join(v, ["sample_id", "_i", "_j"])
-    else:
-        pairs = restricted.select("sample_id", "qa", "memory_id").join(q, ["sample_id", "qa"]).join(v, ["sample_id", "memory_id"])
+    pairs = restricted.select("sample_id", "qa", "memory_id").join(q, ["sample_id", "qa"]).join(v, ["sample_id", "memory_id"])
     return pairs.select("sample_id", "qa", "memory_id", F.round(M.clipped(M.dot(F.col("_q"), F.col("_v"))), 9).alias("s"))
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from recallery.functions import metrics as M
 from recallery.functions import text as X
+from recallery.operators import nearest
 
 
 def observations(df: DataFrame) -> DataFrame:
@@ -37,10 +37,8 @@ def summaries(df: DataFrame) -> DataFrame:
 def top_units(questions: DataFrame, units: DataFrame, k: int) -> DataFrame:
     """(sample_id, qa, rank, unit_id, score): the k best by raw dot product, not clipped; ties by unit_id.
     ``questions``: sample_id, qa, qvec; ``units``: sample_id, unit_id, vec, both of length 1."""
-    pairs = questions.select("sample_id", "qa", "qvec").join(units.select("sample_id", "unit_id", "vec"), "sample_id")
-    scored = pairs.select("sample_id", "qa", "unit_id", F.round(M.dot(F.col("qvec"), F.col("vec")), 9).alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("sample_id", "qa").orderBy(F.desc("score"), "unit_id")))
-    return ranked.where(F.col("rank") <= max(k, 0))
+    best = nearest.top_k(questions, units.select("sample_id", F.col("unit_id").alias("id"), "vec"), k, clip=False)
+    return best.select("sample_id", "qa", F.col("id").alias("unit_id"), F.col("s").alias("score"), "rank")
 
 
 def source_hit_rate(hits: DataFrame) -> DataFrame:

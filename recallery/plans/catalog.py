@@ -14,7 +14,7 @@ from pyspark.sql.window import Window as W
 
 from recallery.functions import metrics as M
 from recallery.functions import text as X
-from recallery.operators import dense, extract, lexical, units
+from recallery.operators import dense, extract, lexical, nearest, units
 from recallery.operators import graph as G
 from recallery.operators import retrieve as R
 from recallery.plans import evaluate as E
@@ -247,9 +247,9 @@ def sequence_expand(spark, sf_dir):
 
 
 def cosine_topk(spark, sf_dir):
-    e = load(spark, sf_dir, "embeddings").where("embedding is not null").select(F.lit("*").alias("sample_id"), F.col("vec_id").cast("string").alias("memory_id"), F.col("embedding").alias("vec"), "vec_id")
+    e = load(spark, sf_dir, "embeddings").where("embedding is not null").select(F.lit("*").alias("sample_id"), F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vec"), "vec_id")
     asked = e.where("vec_id % 50 = 0").select("sample_id", F.col("vec_id").cast("int").alias("qa"), F.col("vec").alias("qvec"))
-    return dense.top(dense.cosine(asked, e), 10).select("qa", "rank", "memory_id", F.round("s", 6).alias("s"))
+    return nearest.top_k(asked, e.drop("vec_id"), 10).select("qa", "rank", F.col("id").alias("memory_id"), F.round("s", 6).alias("s"))
 
 
 def retrieve_fused(spark, sf_dir):

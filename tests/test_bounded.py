@@ -4,10 +4,11 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recallery.operators import lexical
+from recallery.operators import lexical, nearest
 
 
 def corpus(seed=3, n=900):
@@ -101,3 +102,70 @@ def test_bm25_slices(spark, monkeypatch):
     for name, value in (("DIRECT", 0), ("KEYS", 7), ("BLOCK", 64)):
         monkeypatch.setattr(lexical, name, value)
     assert sorted(map(tuple, lexical.match_keys(lexical.index(rows, asked=asked), asked).collect())) == plain
+
+
+# ------------------------------------------------------------------------ dense
+
+
+def clustered(n=1500, d=16, clusters=12, seed=2):
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(size=(clusters, d))
+    x = centre[rng.integers(clusters, size=n)] + 0.15 * rng.normal(size=(n, d))
+    x[5] = x[6] = x[7] = x[8]
+    x[40:44] = 0
+    return x
+
+
+def best(q, v, ids, k, clip):
+    q, v = (y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12) for y in (q, v))
+    s = np.round(q @ v.T, 9)
+    s = np.maximum(s, 0) if clip else s
+    return [[(ids[j], round(float(s[i, j]), 6)) for j in sorted(range(len(ids)), key=lambda j: (-s[i, j], ids[j]))[:k]] for i in range(len(q))]
+
+
+@pytest.mark.parametrize(("k", "clip", "part"), [(10, True, 20_000), (5, False, 20_000), (3, True, 200), (1499, True, 20_000)])
+def test_nearest(spark, monkeypatch, k, clip, part):
+    for name, value in (("LARGE", 300), ("PART", part), ("BOUNDED", 7)):
+        monkeypatch.setattr(nearest, name, value)
+    x, small = clustered(), clustered(60, seed=4)
+    x[9, :] = -x[8]
+    samples = {"large": x, "small": small, "short": clustered(400, 5), "random": np.random.default_rng(1).normal(size=(350, 16)), "zero": np.zeros((310, 4))}
+    vectors = spark.createDataFrame([(s, f"m{i}", row.tolist()) for s, v in samples.items() for i, row in enumerate(v)], "sample_id string, id string, vec array<double>")
+    asked = {s: np.vstack([v[:3], v[40:42], -v[8:9]]) for s, v in samples.items()}
+    questions = spark.createDataFrame([(s, i, row.tolist()) for s, q in asked.items() for i, row in enumerate(q)] + [("none", 1, [1.0])], "sample_id string, qa int, qvec array<double>")
+    got = {}
+    for r in nearest.top_k(questions, vectors, k, clip).orderBy("rank").collect():
+        got.setdefault((r["sample_id"], r["qa"]), []).append((r["id"], round(r["s"], 6)))
+    for s, q in asked.items():
+        for i, want in enumerate(best(q, samples[s], [f"m{j}" for j in range(len(samples[s]))], k, clip)):
+            assert got[s, i] == want, (s, i)
+    assert len(got) == sum(map(len, asked.values())) and nearest.top_k(questions, vectors, -1).count() == 0
+
+
+def test_nearest_passes_groups_over(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "LARGE", 300)
+    x = clustered(4000, clusters=30)
+    vectors = spark.createDataFrame([("s", f"m{i}", row.tolist()) for i, row in enumerate(x)], "sample_id string, id string, vec array<double>")
+    questions = vectors.where("int(substring(id, 2, 9)) % 100 = 0").select("sample_id", F.expr("int(substring(id, 2, 9))").alias("qa"), F.col("vec").alias("qvec"))
+    sizes = vectors.groupBy("sample_id").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    groups = nearest.Groups(vectors, sizes)
+    near = nearest.settle(nearest.asked_groups(questions, groups, 5, True, True))
+    first = nearest.settle(nearest.group_scores(groups, questions, near, 5, True))
+    seen = near.unionByName(nearest.behind(questions, groups, near, first, 5, True)).count()
+    n = groups.around.count()
+    assert 40 <= n <= 90 and groups.members.count() == 4000
+    assert seen < 0.35 * n * questions.count()
+
+
+def test_nearest_with_odd_vectors(spark, monkeypatch):
+    """Nulls, numbers that are not finite and vectors of other lengths go the plain way, with what it gives."""
+    monkeypatch.setattr(nearest, "LARGE", 10)
+    rows = [("s", f"m{i}", [float(i), 1.0]) for i in range(20)]
+    odd = [("m", None), ("n", [float("nan"), 1.0]), ("o", [float("inf"), 0.0]), ("p", [1.0]), ("q", [None, 1.0])]
+    questions = spark.createDataFrame([("s", 1, [1.0, 0.0]), ("s", 2, [0.0, -1.0])], "sample_id string, qa int, qvec array<double>")
+    for extra in odd:
+        vectors = spark.createDataFrame([*rows, ("s", *extra)], "sample_id string, id string, vec array<double>")
+        got = nearest.top_k(questions, vectors, 4).where("qa = 1").orderBy("rank").collect()
+        assert [r["id"] for r in got] == ["m19", "m18", "m17", "m16"]
+        assert nearest.top_k(questions, vectors, 30).where(F.col("id") == extra[0]).count() == 2
+    assert nearest.top_k(questions.limit(0), vectors, 3).count() == 0 and nearest.top_k(questions, vectors.limit(0), 3).count() == 0
