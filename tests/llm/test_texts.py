@@ -46,9 +46,11 @@ def test_pieces_against_the_library(both, monkeypatch):
     rng = random.Random(1)
     bits = [" ", "▁", "a", "the", "é", "漢", "😀", "\n", "\0", "<s>", "<unk>", "<0x41>", "  ", "ing", "aaaa", "1", "'s", "Ω", "x" * 70, *"abcdefghst"]
     texts = [t or "" for t in ODD] + ["".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(1500)]
-    for short in (P.SHORT, 0):  # the array and the heap
+    for short in (P.SHORT, 0):  # side by side and heaps
         monkeypatch.setattr(P, "SHORT", short)
         own.known.clear()
+        batch = own.encode_all(texts)[0]
+        assert [x.tolist() for x in batch] == library.encode(texts)
         for t in texts:
             ids = own.encode(t)
             assert ids.tolist() == library.encode(t) and own.decode(ids) == library.decode(ids.tolist()) == t.replace("▁", " ")
@@ -84,7 +86,7 @@ def test_pieces_are_checked(monkeypatch):
     class Model:
         value = open(MODEL, "rb").read()
 
-    monkeypatch.setattr(P.Vocabulary, "encode", lambda self, text: np.array([5], np.int32))
+    monkeypatch.setattr(P.Vocabulary, "encode_all", lambda self, texts: ([np.array([5], np.int32) for _ in texts], {}))
     column = pa.array(["a text"])
     assert next(P._encoded(Model, False)(column))[2][0].to_pylist() == [[5]]
     with pytest.raises(ValueError, match="otherwise"):
