@@ -95,7 +95,7 @@ def embed_cached(df: DataFrame, text: str, cache, encoder: Encoder = Encoder(),
     made = embed(cache.misses(keyed), "_t", encoder.model, encoder.embedder, role, encoder.batch)
     wrong = F.raise_error(F.concat(F.lit(f"{encoder.model} gave vectors of another length than {encoder.dim}: "), F.col("dim").cast("string"))).cast("int")
     n = cache.add(made.withColumn("dim", F.when(F.col("dim") == encoder.dim, F.col("dim")).otherwise(wrong)))
-    return keyed.join(cache.read(), ["text_digest", "model", "role", "dim"]).select("text_digest", "vec"), n
+    return keyed.join(cache.get(keyed), ["text_digest", "model", "role", "dim"]).select("text_digest", "vec"), n
 
 
 def memory_texts(memory: DataFrame) -> DataFrame:

@@ -49,8 +49,13 @@ _NOISE = ((re.compile(r"/\*.*?\*/", re.S), ""), (re.compile(r"//[^\n]*"), ""), (
 
 
 def _unfenced(answer: str) -> str:
-    fence = re.search(r"```[A-Za-z]*\s*(.*?)```", answer, re.S)
-    return (fence[1] if fence else answer).strip()
+    """An answer without fences, wherever they stand; what was in them stays."""
+    return re.sub("```(?:json)?", "", answer).strip()
+
+
+def _listed(value: object) -> object:
+    """What a JSON value says of entities: a list itself, an object its ``entities``, anything else nothing."""
+    return value if isinstance(value, list) else value.get("entities") if isinstance(value, dict) else None
 
 
 def _readings(text: str, raw: str) -> Iterator[Callable[[], object]]:
@@ -73,7 +78,8 @@ def _readings(text: str, raw: str) -> Iterator[Callable[[], object]]:
 
 def parse_answer(answer: str | None) -> list[tuple[str, str]]:
     """(value, type) of each entity in a model's answer. An unknown type becomes What, an empty
-    value is dropped; ValueError where nothing can be read or an entry lacks a field."""
+    value is dropped. A reading that fails, or that is neither a list nor an object with entities, gives way to the
+    next; ValueError where none is left or an entry lacks a field."""
     raw = _unfenced(str(answer or ""))
     text = raw
     for pattern, put in _NOISE:
@@ -81,14 +87,13 @@ def parse_answer(answer: str | None) -> list[tuple[str, str]]:
     value, last = None, None
     for read in _readings(text, raw):
         try:
-            value = read()
-            break
-        except ValueError as e:
+            value = _listed(read())
+        except (ValueError, RecursionError) as e:
             last = e
+        if value is not None:
+            break
     else:
         raise ValueError(f"answer can't be read: {last}")
-    if isinstance(value, dict):
-        value = value.get("entities")
     if not isinstance(value, list):
         raise ValueError("answer is no list of entities")
     out = []
@@ -157,7 +162,7 @@ def cached(extractor: Callable[[DataFrame, str], DataFrame], cache, model: str =
         keyed = texts.select("_text", F.lit(version).alias("version"), F.lit(model).alias("model"), digest("_text").alias("text_digest"))
         made = extractor(cache.misses(keyed), "_text")
         run.added += cache.add(made.where("items is not null"))
-        known = keyed.join(cache.read(), ["version", "model", "text_digest"]).select("_text", "items")
+        known = keyed.join(cache.get(keyed), ["version", "model", "text_digest"]).select("_text", "items")
         return df.join(known, df[text] == known["_text"], "left").drop("_text")
 
     run.added = 0

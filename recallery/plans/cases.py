@@ -6,6 +6,7 @@ back as a user's files would be: sessions of four turns, with entries that must
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 
@@ -25,8 +26,8 @@ from recallery.plans import jobs
 from recallery.sources import scratch, store
 
 Q = C.Q
-#: Files that the conversations are dealt to.
-FILES = 8
+#: Samples of a file with an array.
+SAMPLES_OF_A_FILE = 200
 
 
 def _place(spark: SparkSession) -> str:
@@ -36,8 +37,8 @@ def _place(spark: SparkSession) -> str:
 # ------------------------------------------------------------- written sources
 
 
-def conversation_files(spark: SparkSession, sf_dir: str) -> str:
-    """JSON arrays of samples. A session also holds an entry that is no object and a turn without an id; a sample also
+def conversation_files(spark: SparkSession, sf_dir: str, lines: bool = False) -> str:
+    """JSON arrays of samples, or a sample a line. A session also holds an entry that is no object and a turn without an id; a sample also
     a session that is no list and one without a number. Session and turn of turn t: t div 4 + 1 and t mod 4 + 1."""
     t = C.load(spark, sf_dir, "conversations")
     turn = F.to_json(F.struct(F.concat(F.lit("D"), F.floor(F.col("turn") / 4) + 1, F.lit(":"), F.col("turn") % 4 + 1).alias("dia_id"), F.col("role").alias("speaker"), F.coalesce("text", F.lit("")).alias("text"), F.array(F.lit("u")).alias("img_url"), F.when(F.col("turn") % 5 == 0, "a cat").alias("img_caption")))
@@ -49,7 +50,11 @@ def conversation_files(spark: SparkSession, sf_dir: str) -> str:
     qa = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", asked.alias("j")))).alias("l")).select("conv_id", F.array_join(F.transform("l", lambda x: x["j"]), ", ").alias("qa"))
     sample = talk.join(qa, "conv_id").select("conv_id", F.concat(F.lit('{"sample_id": "'), "conv_id", F.lit('", "conversation": {'), "talk", F.lit(', "session_9": "no list", "session_x": []}, "qa": ['), "qa", F.lit("]}")).alias("j"))
     path = _place(spark)
-    files = sample.groupBy(F.pmod(F.xxhash64("conv_id"), F.lit(FILES)).alias("file")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ", "), F.lit("]")).alias("value"))
+    if lines:
+        sample.select("j").write.text(path)
+        return path
+    n = t.agg(F.ceil(F.count_distinct("conv_id") / SAMPLES_OF_A_FILE)).first()[0]
+    files = sample.groupBy(F.pmod(F.xxhash64("conv_id"), F.lit(max(n, 1))).alias("file")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ", "), F.lit("]")).alias("value"))
     files.write.partitionBy("file").text(path)
     return f"{path}/file=*"
 
@@ -63,12 +68,12 @@ def source_dialogs(spark, sf_dir):
 
 def source_session(spark, sf_dir):
     """One sample, one session."""
-    df = store.samples(spark, conversation_files(spark, sf_dir), "3")
+    df = store.samples(spark, conversation_files(spark, sf_dir, lines=True), "3")
     return store.dialogs(df, 2).where(~X.blank("dia_id")).select("sample_id", "session_num", "dia_id", "speaker", X.digest("text").alias("text_digest"))
 
 
 def source_questions(spark, sf_dir):
-    q = store.questions(store.samples(spark, conversation_files(spark, sf_dir)))
+    q = store.questions(store.samples(spark, conversation_files(spark, sf_dir, lines=True)))
     return q.select("sample_id", "qa", X.digest("question").alias("question_digest"), "answer", F.array_join("evidence", ",").alias("evidence"), "category")
 
 
@@ -139,9 +144,18 @@ class _Client:
             return "let me think"
         if len(turn) % 11 == 5:
             return "I can't"
-        found = re.findall("[a-z]{9,}", turn)
-        body = ", ".join(f'{{"value": "{w}", "type": "{"Who" if len(w) % 2 else "Nonsense"}"}}' for w in found)
-        return f"```json\n[{body},]\n```" if found else "[]"
+        items = [{"value": w, "type": "Who" if len(w) % 2 else "Nonsense"} for w in re.findall("[a-z]{9,}", turn)]
+        return self.dressed(items, len(turn) % 7)
+
+    @staticmethod
+    def dressed(items: list[dict], dress: int) -> str:
+        """Items as models give them: within fences, closed or not, as another field of an object, behind one, before an empty fence, bare."""
+        body = json.dumps(items)
+        if dress == 6:  # an empty list first: it counts
+            return f"[]```json\n{body}\n```"
+        if dress == 5 and len(items) == 1:
+            return json.dumps(items[0])
+        return (f"```json\n{body[:-1]},]\n```" if items else "[]", f'{{"result": {body}}}', f'{{"note": "x"}} {body}', f"{body}\n```json\n```", f"```json\n{body}", body)[dress]
 
 
 def model_extraction(spark, sf_dir):
@@ -413,7 +427,7 @@ SQL = {
         k="SELECT *, row_number() OVER (PARTITION BY sample_id, dia_id, lower(value) ORDER BY length(value) DESC, i) AS r FROM v WHERE value <> '' AND type IS NOT NULL",
         l="SELECT sample_id, dia_id, count(*) AS n, string_agg(value || '/' || type, ';' ORDER BY type <> 'Who', length(value) DESC, lower(value)) AS l FROM k WHERE r = 1 GROUP BY ALL",
     ),
-    "model_extraction": _D(["t"], "SELECT sample_id, dia_id, length(text) % 11 = 5 AS failed, CASE WHEN length(text) % 11 <> 5 THEN array_to_string(list_transform(regexp_extract_all(text, '[a-z]{9,}'), lambda w: w || '/' || CASE WHEN length(w) % 2 = 1 THEN 'Who' ELSE 'What' END), ';') END AS items FROM t"),
+    "model_extraction": _D(["t"], "SELECT sample_id, dia_id, length(text) % 11 = 5 AS failed, CASE WHEN length(text) % 11 <> 5 THEN array_to_string(list_transform(CASE WHEN length(text) % 7 = 6 THEN [] ELSE regexp_extract_all(text, '[a-z]{9,}') END, lambda w: w || '/' || CASE WHEN length(w) % 2 = 1 THEN 'Who' ELSE 'What' END), ';') END AS items FROM t"),
     "extraction_cache": _D(["t"], "SELECT 0::INT AS run, (SELECT count(DISTINCT text) FROM t WHERE pos % 2 = 0) AS added, (SELECT sum(n) FROM n WHERE pos % 2 = 0)::BIGINT AS items UNION ALL SELECT 1, (SELECT count(DISTINCT text) FROM t) - (SELECT count(DISTINCT text) FROM t WHERE pos % 2 = 0), (SELECT sum(n) FROM n)::BIGINT UNION ALL SELECT 2, 0, (SELECT sum(n) FROM n)::BIGINT", n=f"SELECT pos, len(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda x: length(x) >= {C.LEAST} OR regexp_full_match(x, '(19|20)[0-9]{{2}}'))) AS n FROM t"),
     "question_key_resume": _D(["t", "q"], "SELECT *, (SELECT count(*) FROM q WHERE qa = 1 AND trim(question) <> '') AS first_run, (SELECT count(*) FROM q WHERE qa <> 1 AND trim(question) <> '') AS second_run, 0::BIGINT AS failed FROM k", k=_KEYS),
     "build_resume": _D(["t"], "SELECT DISTINCT sample_id, 'entity:' || key AS entity_id, memory_id, false AS partial_at_last, true AS seen FROM found", s=_S, tok=_TOK, found=_FOUND),

@@ -42,6 +42,11 @@ def test_clean_items(spark):
         ('```json\n[{"value":"Ann","type":"Who"},]\n```', [("Ann", "Who")]), ('{"entities":[{"value":"Ann","type":"Who"}]}', [("Ann", "Who")]), ('[{"value":"Ann","type":"Foo"}]', [("Ann", "What")]),
         ("[] trailing words", []), ('Sure: [{"value":"Ann","type":"Who"}] ok', [("Ann", "Who")]), ('[{"value":"http://x","type":"What"}]', [("http://x", "What")]),
         ("[1]", None), ('[{"value":"a"}]', None), ("no json", None),
+        # what is neither a list nor an object with entities leaves it to the next reading
+        ('{"result": [{"value":"Ann","type":"Who"}]}', [("Ann", "Who")]), ('{"value": "Ann", "type": "Who"}', [("Ann", "Who")]), ('{"note": "x"} [{"value":"Ann","type":"Who"}]', [("Ann", "Who")]), ("7", None), ('{"note": "x"}', None),
+        # fences go, their content stays
+        ('[{"value":"Ann","type":"Who"}]\n```json\n```', [("Ann", "Who")]), ('[]```json\n[{"value":"Ann","type":"Who"}]\n```', []), ('```json\n[{"value":"Ann","type":"Who"}]', [("Ann", "Who")]), ('```\n{"entities": []}\n```', []),
+        ('```json\n[{"value":"Ann","type":"Who"}, {"value":"Bo', [("Ann", "Who")]), ('{"entities": {"value": "a"}}', None), ("[" * 100_000, None),
     ],
 )
 def test_answers(answer, want):
@@ -201,6 +206,20 @@ def test_sources(spark, tmp_path):
     assert {(r["sample_id"], r["qa"], r["qkey"]) for r in store.question_keys(spark, str(tmp_path / "c1_qkeys_x.json")).collect()} == {("c1", 1, "ann"), ("c1", 1, "tea")}
 
 
+def test_lines_and_arrays(spark, tmp_path):
+    """A file of samples is an array, a line for each, or one object over several lines."""
+    made = [{"sample_id": f"c{i}", "qa": [], "conversation": {"session_1": [{"dia_id": "D1:1", "speaker": "A", "text": "[hi]"}]}} for i in range(3)]
+    texts = {"array": json.dumps(made), "pretty": json.dumps(made, indent=1), "lines": "\n".join(map(json.dumps, made)), "gaps": "\n\n".join(map(json.dumps, made)) + "\n\n", "one": json.dumps(made[0], indent=1), "last": json.dumps(made[0]), "none": "", "empty": "[]"}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    for name, n in (("array", 3), ("pretty", 3), ("lines", 3), ("gaps", 3), ("one", 1), ("last", 1), ("none", 0), ("empty", 0)):
+        df = store.samples(spark, str(tmp_path / f"{name}.json"))
+        assert sorted(r["sample_id"] for r in df.collect()) == [f"c{i}" for i in range(n)] and store.dialogs(df).count() == n, name
+    both = store.samples(spark, str(tmp_path / "{lines,gaps}.json"))
+    assert both.count() == 6 and store.samples(spark, str(tmp_path / "lines.json"), "c2", lines=True).count() == 1
+    assert store.samples(spark, str(tmp_path / "lines.json"), lines=False).count() < 3
+
+
 def test_graph_store_and_cache(spark, tmp_path):
     g = worked(spark)[0]
     store.save_graph(g, str(tmp_path / "g"))
@@ -219,9 +238,10 @@ def test_streaming(spark, tmp_path):
     stream = spark.readStream.schema(d.schema).parquet(str(tmp_path / "in"))
     for k in range(2):  # the second run sees the same turns anew
         incremental.start(stream, str(tmp_path / "out"), str(tmp_path / f"cp{k}")).awaitTermination()
-    got = {(r["key"], r["memory_id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    out = store.Cache(spark, str(tmp_path / "out"), incremental._MENTION, ["sample_id", "entity_id", "memory_id"])
+    got = {(r["key"], r["memory_id"]) for r in out.read().collect()}
     assert got == {("something", "memory:D1:1"), ("remarkable", "memory:D1:1"), ("ann", "memory:D1:1"), ("bob", "memory:D1:2")}
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+    assert out.read().count() == 4
 
 
 def test_pending(spark):
