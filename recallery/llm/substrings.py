@@ -21,9 +21,10 @@ built whole:
    repeats to remove.
 
 Edge cases: null and empty texts have no words; texts shorter than DEPTH words lose
-nothing; very long texts and words are taken whole, a text in one task; rows that share a
-doc_id are one document with shared positions; rows without a doc_id are kept whole and
-earlier than nothing; ties don't arise, since the first leaf is the smallest (doc_id,
+nothing; very long texts and words are taken whole, a text in one task; rows that share both
+doc_id and text are one document; rows that share a doc_id but not the text are documents of
+their own, of which the one with the smaller hash of its text is earlier; rows without a doc_id are kept whole and
+earlier than nothing; ties don't arise, since the first leaf is the smallest (doc_id, hash,
 start); an empty table gives an empty result; other columns, whatever their names, are not
 used.
 """
@@ -41,6 +42,8 @@ from pyspark.sql import functions as F
 from recallery.llm import kernels as K
 from recallery.llm.common import cut, small_batches, table
 
+#: What tells documents apart: the id, and a hash of the text for texts that share one.
+DOC = ["doc_id", "key"]
 #: Words of a window and of an anchor.
 DEPTH, GRAM = 20, 8
 #: Suffixes of one subtree, anchors packed at a time, and bytes of text for each bucket.
@@ -77,6 +80,10 @@ def _within(row: np.ndarray, at: np.ndarray) -> np.ndarray:
     return at - np.searchsorted(row, row[at])
 
 
+#: Columns of packed fingerprints.
+_PACKED = ["bucket", "prints", "times", "docs", "keys", "places"]
+
+
 def _anchors(depth: int, buckets: int):
     """Packed fingerprints by bucket, and (doc_id, anchor) of those that repeat within a task's piece."""
 
@@ -85,9 +92,9 @@ def _anchors(depth: int, buckets: int):
         size = 0
 
         def out():
-            prints, docs, places = (np.concatenate(x) for x in zip(*held, strict=True))
+            prints, docs, keys, places = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.argsort(prints, kind="stable")
-            prints, docs, places = prints[order], docs[order], places[order]
+            prints, docs, keys, places = prints[order], docs[order], keys[order], places[order]
             new = np.ones(len(prints), bool)
             new[1:] = prints[1:] != prints[:-1]
             twice = ~new
@@ -99,18 +106,18 @@ def _anchors(depth: int, buckets: int):
             found, begin = np.unique(bucket[by], return_index=True)
             rows = np.split(by, begin[1:])
             pack = lambda x: pa.array([x[at].tobytes() for at in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pack(prints[firsts]), pack(times), pack(docs[firsts]), pack(places[firsts])], names=["bucket", "prints", "times", "docs", "places"])
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pack(prints[firsts]), pack(times), pack(docs[firsts]), pack(keys[firsts]), pack(places[firsts])], names=_PACKED)
             if twice.any():
                 # already known to repeat; sent on by document
                 one = np.flatnonzero(twice)
                 none = pa.array([None], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), none, none, pa.array([docs[one].tobytes()], pa.binary()), pa.array([places[one].tobytes()], pa.binary())], names=["bucket", "prints", "times", "docs", "places"])
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), none, none, *(pa.array([x[one].tobytes()], pa.binary()) for x in (docs, keys, places))], names=_PACKED)
 
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, named = (batch.column(c).to_numpy() for c in DOC)
             for first, _, row, _, _, h, _ in K.hashed(batch.column("text")):
                 _, _, owner, prints = owners(h, row, depth)
-                held.append((prints, ids[first + row[owner]].astype(np.int64), _within(row, owner).astype(np.int32)))
+                held.append((prints, ids[first + row[owner]], named[first + row[owner]], _within(row, owner).astype(np.int32)))
                 size += len(owner)
                 if size > PACKED:
                     yield from out()
@@ -121,17 +128,17 @@ def _anchors(depth: int, buckets: int):
     return run
 
 
-_ANCHOR = "doc_id long, place long, print long"
+_ANCHOR = "doc_id long, key long, place long, print long"
 
 
 def _shared(most: int):
     """(doc_id, anchor) of fingerprints that occur twice at least, and the fingerprints that occur more often than ``most`` (without a doc_id)."""
     from recallery.llm.jaccard import runs
 
-    def rows(docs, places):
+    def rows(docs, keys, places):
         for k in range(0, len(docs), 50_000):
             part = docs[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(places[k : k + 50_000].astype(np.int64)), pa.nulls(len(part), pa.int64())], names=["doc_id", "place", "print"])
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(keys[k : k + 50_000]), pa.array(places[k : k + 50_000].astype(np.int64)), pa.nulls(len(part), pa.int64())], names=["doc_id", "key", "place", "print"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: list[pa.RecordBatch] = []
@@ -140,7 +147,7 @@ def _shared(most: int):
             for batch in batches:
                 mark = np.array(batch.column("bucket")) < 0
                 for i in np.flatnonzero(mark):
-                    ready.extend(rows(np.frombuffer(batch.column("docs")[int(i)].as_py(), np.int64), np.frombuffer(batch.column("places")[int(i)].as_py(), np.int32)))
+                    ready.extend(rows(*(np.frombuffer(batch.column(c)[int(i)].as_py(), kind) for c, kind in (("docs", np.int64), ("keys", np.int64), ("places", np.int32)))))
                 yield batch.filter(pa.array(~mark))
 
         for part in runs(parts(), "bucket"):
@@ -155,18 +162,19 @@ def _shared(most: int):
             twice[1:] |= same
             twice[:-1] |= same
             at = order[twice]
-            yield from rows(whole("docs", np.int64)[at], whole("places", np.int32)[at])
+            yield from rows(whole("docs", np.int64)[at], whole("keys", np.int64)[at], whole("places", np.int32)[at])
             first = np.flatnonzero(np.concatenate([[True], ~same]))
             often = prints[first[np.add.reduceat(whole("times", np.int32)[order].astype(np.int64), first) > most]]
             if len(often):
                 none = pa.nulls(len(often), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(often.view(np.int64))], names=["doc_id", "place", "print"])
+                yield pa.RecordBatch.from_arrays([none, none, none, pa.array(often.view(np.int64))], names=["doc_id", "key", "place", "print"])
         yield from ready
 
     return run
 
 
-_STRETCH = "print long, doc_id long, start int, windows int, body binary"
+_STRETCH = "print long, doc_id long, key long, start int, windows int, body binary"
+_COLUMNS = ["print", "doc_id", "key", "start", "windows", "body"]
 
 
 def _stretches(depth: int):
@@ -178,24 +186,24 @@ def _stretches(depth: int):
         def out():
             # equal stretches: all but the first are repeats
             first: dict[bytes, int] = {}
-            order = sorted(range(len(held)), key=lambda i: held[i][1:3])
+            order = sorted(range(len(held)), key=lambda i: held[i][1:4])
             rows = []
             for i in order:
                 one = held[i]
-                j = first.setdefault(one[4], i)
+                j = first.setdefault(one[5], i)
                 if i == j:
                     rows.append(one)
-                elif held[j][1:3] != one[1:3]:
+                elif held[j][1:4] != one[1:4]:
                     last = rows[-1] if rows else None
-                    if last and last[4] is None and last[1] == one[1] and one[2] <= last[2] + last[3]:
+                    if last and last[5] is None and last[1:3] == one[1:3] and one[3] <= last[3] + last[4]:
                         # a run goes on
-                        rows[-1] = (*last[:3], max(last[3], one[2] + one[3] - last[2]), None)
+                        rows[-1] = (*last[:4], max(last[4], one[3] + one[4] - last[3]), None)
                     else:
-                        rows.append((*one[:4], None))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["print", "doc_id", "start", "windows", "body"])
+                        rows.append((*one[:5], None))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=_COLUMNS)
 
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
+            ids, named = (batch.column(c).to_numpy() for c in DOC)
             lists = batch.column("places")
             for first, n, row, begin, end, h, part in K.hashed(batch.column("text")):
                 start, count, owner, prints = owners(h, row, depth)
@@ -209,7 +217,7 @@ def _stretches(depth: int):
                 for i, p in zip(keep, place, strict=True):
                     a, c = int(start[i]), int(count[i])
                     body = b" ".join(data[begin[a] : end[a + c + depth - 2]].split())
-                    held.append((int(prints[i].view(np.int64)), int(ids[first + row[a]]), int(p), c, body))
+                    held.append((int(prints[i].view(np.int64)), int(ids[first + row[a]]), int(named[first + row[a]]), int(p), c, body))
                 if len(held) > LOCAL:
                     yield out()
                     held = []
@@ -225,15 +233,15 @@ def _windows(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hot = batch.column("hot").to_numpy(zero_copy_only=False) & ~batch.column("body").is_null().to_numpy(zero_copy_only=False)
-            plain = batch.select(["print", "doc_id", "start", "windows", "body"])
+            plain = batch.select(_COLUMNS)
             yield plain.filter(pa.array(~hot))
             out = []
             for i in np.flatnonzero(hot):
-                doc, start, n, body = (plain.column(c)[int(i)].as_py() for c in ("doc_id", "start", "windows", "body"))
+                doc, key, start, n, body = (plain.column(c)[int(i)].as_py() for c in _COLUMNS[1:])
                 words = body.split(b" ")
                 for k in range(n):
                     one = b" ".join(words[k : k + depth])
-                    out.append((int.from_bytes(hashlib.blake2b(one, digest_size=8).digest(), "little", signed=True), doc, start + k, 1, one))
+                    out.append((int.from_bytes(hashlib.blake2b(one, digest_size=8).digest(), "little", signed=True), doc, key, start + k, 1, one))
             for k in range(0, len(out), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[k : k + 20_000], strict=True), plain.schema, strict=True)], schema=plain.schema)
 
@@ -254,8 +262,8 @@ def deep_nodes(common: np.ndarray, depth: int) -> np.ndarray:
     return np.cumsum(common < depth)
 
 
-def _mark(prints: np.ndarray, docs: np.ndarray, starts: np.ndarray, counts: np.ndarray, bodies: list[bytes], depth: int, group: int = GROUP, bits: int = 0) -> list[tuple[int, int, int]]:
-    """(doc_id, first word, end) of the repeats among stretches of a group."""
+def _mark(prints: np.ndarray, docs: np.ndarray, keys: np.ndarray, starts: np.ndarray, counts: np.ndarray, bodies: list[bytes], depth: int, group: int = GROUP, bits: int = 0) -> list[tuple[int, int, int, int]]:
+    """(doc_id, key, first word, end) of the repeats among stretches of a group."""
     if counts.sum() > group and bits < 40 and (prints != prints[0]).any():
         # a longer prefix of the fingerprint
         side = (prints >> K.U(bits)) & K.U(1)
@@ -263,7 +271,7 @@ def _mark(prints: np.ndarray, docs: np.ndarray, starts: np.ndarray, counts: np.n
         for k in (0, 1):
             at = np.flatnonzero(side == k)
             if len(at):
-                out += _mark(prints[at], docs[at], starts[at], counts[at], [bodies[i] for i in at], depth, group, bits + 1)
+                out += _mark(prints[at], docs[at], keys[at], starts[at], counts[at], [bodies[i] for i in at], depth, group, bits + 1)
         return out
     if len(prints) < 2:
         return []
@@ -274,25 +282,25 @@ def _mark(prints: np.ndarray, docs: np.ndarray, starts: np.ndarray, counts: np.n
     number = K.numbered(data, begin, end)
     first = np.searchsorted(row, np.arange(len(bodies)))
     at = np.repeat(first, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    doc = np.repeat(docs, counts)
+    doc, key = np.repeat(docs, counts), np.repeat(keys, counts)
     place = np.repeat(starts, counts) + at - np.repeat(first, counts)
     order, common = subtree(np.lib.stride_tricks.sliding_window_view(number.astype(np.int32), depth)[at])
     node = deep_nodes(common, depth)
-    doc, place = doc[order], place[order]
-    by = np.lexsort((place, doc, node))
-    node, doc, place = node[by], doc[by], place[by]
+    doc, key, place = doc[order], key[order], place[order]
+    by = np.lexsort((place, key, doc, node))
+    node, doc, key, place = node[by], doc[by], key[by], place[by]
     lead = np.ones(len(node), bool)
     lead[1:] = node[1:] != node[:-1]
     lead = np.maximum.accumulate(np.where(lead, np.arange(len(node)), 0))
-    gone = (doc != doc[lead]) | (place != place[lead])
-    doc, place = doc[gone], place[gone]
-    by = np.lexsort((place, doc))
-    doc, place = doc[by], place[by]
+    gone = (doc != doc[lead]) | (key != key[lead]) | (place != place[lead])
+    doc, key, place = doc[gone], key[gone], place[gone]
+    by = np.lexsort((place, key, doc))
+    doc, key, place = doc[by], key[by], place[by]
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + 1)
+    new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (place[1:] > place[:-1] + 1)
     at = np.flatnonzero(new)
     last = np.append(at[1:], len(doc)) - 1
-    return list(zip(doc[at].tolist(), place[at].tolist(), (place[last] + depth).tolist(), strict=True)) if len(at) else []
+    return list(zip(doc[at].tolist(), key[at].tolist(), place[at].tolist(), (place[last] + depth).tolist(), strict=True)) if len(at) else []
 
 
 def _trees(depth: int, group: int):
@@ -300,45 +308,46 @@ def _trees(depth: int, group: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in runs(batches, "bucket"):
-            docs, starts, counts = (part.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "start", "windows"))
+            docs, keys, starts, counts = (part.column(c).to_numpy().astype(np.int64) for c in (*DOC, "start", "windows"))
             known = part.column("body").is_null().to_numpy(zero_copy_only=False)
-            found = list(zip(docs[known].tolist(), starts[known].tolist(), (starts[known] + counts[known] + depth - 1).tolist(), strict=True))
+            found = list(zip(docs[known].tolist(), keys[known].tolist(), starts[known].tolist(), (starts[known] + counts[known] + depth - 1).tolist(), strict=True))
             at = np.flatnonzero(~known)
             if len(at):
                 bodies = part.column("body").take(pa.array(at)).to_pylist()
-                found += _mark(part.column("print").to_numpy().view(K.U)[at], docs[at], starts[at], counts[at], bodies, depth, group)
+                found += _mark(part.column("print").to_numpy().view(K.U)[at], docs[at], keys[at], starts[at], counts[at], bodies, depth, group)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "start", "end"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=[*DOC, "start", "end"])
 
     return run
 
 
 def repeats(docs: DataFrame, depth: int = DEPTH, group: int = GROUP) -> DataFrame:
-    """(doc_id, starts, ends): runs of words to remove, in order, ends exclusive."""
+    """(doc_id, key, starts, ends): runs of words to remove, in order, ends exclusive. ``docs``: doc_id, text and key, which tells apart
+    the texts that share an id."""
     small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(max(8, -(-size // BUCKET_BYTES)), MOST_BUCKETS)
     docs = docs.where("doc_id is not null")
-    packed = docs.mapInArrow(K.tidy(_anchors(depth, buckets)), "bucket int, prints binary, times binary, docs binary, places binary")
+    packed = docs.mapInArrow(K.tidy(_anchors(depth, buckets)), "bucket int, prints binary, times binary, docs binary, keys binary, places binary")
     # repeats known within a task (bucket -1) are dealt over all tasks
-    to = F.when(F.col("bucket") < 0, F.xxhash64("docs")).otherwise(F.col("bucket").cast("long"))
+    to = F.when(F.col("bucket") < 0, F.xxhash64("docs", "keys")).otherwise(F.col("bucket").cast("long"))
     dealt = packed.withColumn("to", to).repartition(min(buckets, MOST_TASKS), "to").sortWithinPartitions("bucket").drop("to")
     shared = cut(dealt.mapInArrow(K.tidy(_shared(group // 4)), _ANCHOR))
-    wanted = shared.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-    joined = docs.join(wanted, "doc_id").select("doc_id", "text", "places")
+    wanted = shared.where("doc_id is not null").groupBy(*DOC).agg(F.collect_set("place").alias("places"))
+    joined = docs.join(wanted, DOC).select(*DOC, "text", "places")
     sent = joined.mapInArrow(K.tidy(_stretches(depth)), _STRETCH)
     hot = shared.where("print is not null").select("print", F.lit(True).alias("hot"))
     often = hot.limit(BROADCAST_ANCHORS + 1).count()
     if often:
         side = F.broadcast(hot) if often <= BROADCAST_ANCHORS else hot
         marked = sent.join(side, "print", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-        sent = marked.select("print", "doc_id", "start", "windows", "body", "hot").mapInArrow(K.tidy(_windows(depth)), _STRETCH)
-    key = F.when(F.col("body").isNull(), F.xxhash64("doc_id")).otherwise(F.col("print"))
+        sent = marked.select(*_COLUMNS, "hot").mapInArrow(K.tidy(_windows(depth)), _STRETCH)
+    key = F.when(F.col("body").isNull(), F.xxhash64(*DOC)).otherwise(F.col("print"))
     groups = 4 * buckets
     grouped = sent.withColumn("bucket", F.pmod(F.shiftrightunsigned(key, 40), F.lit(groups)).cast("int"))
     grouped = grouped.repartition(min(groups, MOST_TASKS), "bucket").sortWithinPartitions("bucket")
-    found = grouped.mapInArrow(K.tidy(_trees(depth, group)), "doc_id long, start int, end int")
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")).mapInArrow(K.tidy(_merged), "doc_id long, starts array<int>, ends array<int>")
+    found = grouped.mapInArrow(K.tidy(_trees(depth, group)), "doc_id long, key long, start int, end int")
+    return found.groupBy(*DOC).agg(F.collect_list(F.struct("start", "end")).alias("spans")).mapInArrow(K.tidy(_merged), "doc_id long, key long, starts array<int>, ends array<int>")
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,7 +365,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ends.append(b)
             rows.append((starts, ends))
         kind = pa.list_(pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], kind)], names=["doc_id", "starts", "ends"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in DOC), pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], kind)], names=[*DOC, "starts", "ends"])
 
 
 def kept_words(text: str | None, starts: list[int] | None, ends: list[int] | None) -> tuple[int, list[bytes]]:
@@ -371,7 +380,7 @@ def kept_words(text: str | None, starts: list[int] | None, ends: list[int] | Non
 
 def dedup(docs: DataFrame, depth: int = DEPTH, texts: bool = True, group: int = GROUP) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of each row and, unless turned off, kept_text."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text")
     spans = cut(repeats(docs, depth, group))
     fits = (spans.agg(F.sum(F.size("starts") + 1)).first()[0] or 0) <= BROADCAST_RUNS
 
@@ -386,7 +395,7 @@ def dedup(docs: DataFrame, depth: int = DEPTH, texts: bool = True, group: int =
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    joined = docs.join(F.broadcast(spans) if fits else spans, "doc_id", "left").select("doc_id", "text", "starts", "ends")
+    joined = docs.join(F.broadcast(spans) if fits else spans, DOC, "left").select("doc_id", "text", "starts", "ends")
     return joined.mapInArrow(K.tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 

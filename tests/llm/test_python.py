@@ -131,6 +131,24 @@ def test_substrings(spark, group):
     assert got == loop_substrings(rows)
 
 
+def test_substrings_of_texts_under_one_id(spark):
+    """Spans of one text are not cut out of another with its doc_id."""
+    p, q, r = sentence(30), sentence(30), sentence(25)
+    rows = [(1, p), (7, p), (7, q), (8, q), (9, f"{r} x"), (9, f"y {r}"), (9, f"y {r}"), (9, None), (9, ""), (None, p), (None, p)]
+    hashes = dict(spark.createDataFrame([(t,) for _, t in rows], "t string").selectExpr("t", "xxhash64(coalesce(t, ''))").collect())
+    first, want = {}, []
+    for i, t in sorted({k for k in rows if k[0] is not None}, key=lambda k: (k[0], hashes[k[1]])):
+        for a in range(len(words(t)) - 19):
+            first.setdefault(tuple(words(t)[a : a + 20]), (i, t, a))
+    for i, t in rows:
+        w = words(t)
+        gone = {j for a in range(len(w) - 19) if i is not None and first[tuple(w[a : a + 20])] != (i, t, a) for j in range(a, a + 20)}
+        want.append((i, len(w), len(gone), hashlib.sha256(" ".join(x for j, x in enumerate(w) if j not in gone).encode()).hexdigest()))
+    got = [(x["doc_id"], x["n_words"], x["n_removed"], x["kept_sha256"]) for x in S.dedup(docs(spark, rows).repartition(3), texts=False).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and (7, 30, 0, hashlib.sha256(q.encode()).hexdigest()) in got
+    assert sum(n for i, _, n, _ in got if i == 9) in (25, 50)  # one of the two texts of 9 keeps what they share
+
+
 def thue_morse(n, swap=False):
     """A word of a and b on which polynomial hashes modulo powers of two agree with its complement."""
     return "".join("ab"[(i.bit_count() + swap) % 2] for i in range(n))
