@@ -20,10 +20,14 @@ from recallery.sources.ship import ship
 PROFILES = {"plain": (False, X.STOPWORDS), "porter": (True, X.STOPWORDS), "english": (False, X.ENGLISH_STOPWORDS), "porter_english": (True, X.ENGLISH_STOPWORDS)}
 
 
-def tokens(c: Column, profile: str = "plain") -> Column:
-    if profile not in PROFILES:
+def _profile(name: str) -> tuple[bool, tuple[str, ...]]:
+    if name not in PROFILES:
         raise ValueError(f"the profile is one of {', '.join(PROFILES)}")
-    stems, stopwords = PROFILES[profile]
+    return PROFILES[name]
+
+
+def tokens(c: Column, profile: str = "plain") -> Column:
+    stems, stopwords = _profile(profile)
     out = X.search_tokens(c, stopwords)
     return stemmed(out) if stems else out
 
@@ -46,20 +50,30 @@ class Index:
         self.postings, self.terms, self.keys, self.lengths = postings, terms, keys, lengths
 
 
+def _stemmed(rows: DataFrame) -> DataFrame:
+    """The same rows with stems as terms; each different token is stemmed once."""
+    words = rows.select("term").distinct()
+    stem = F.when(F.col("term") == "_empty", F.col("term")).otherwise(F.get(stemmed(F.array("term")), 0))
+    # settled, so its size is known: small tables are broadcast, others shuffled
+    return rows.join(settle(words.select("term", stem.alias("stem"))), "term").drop("term").withColumnRenamed("stem", "term")
+
+
 def index(docs: DataFrame, profile: str = "plain", asked: DataFrame | None = None) -> Index:
     """From (sample_id, doc, text, key). A document without tokens counts as one unaskable token. With ``asked``, a table
     with qkey, the postings hold the terms of those keys only; the statistics are those of the whole corpus all the same."""
-    listed = tokens(F.col("text"), profile)
-    split = spread(docs).select("sample_id", "doc", listed.alias("t")).withColumn("t", F.when(F.size("t") > 0, F.col("t")).otherwise(F.array(F.lit("_empty"))))
-    if asked is None:
+    stems, stopwords = _profile(profile)
+    split = spread(docs).select("sample_id", "doc", X.search_tokens("text", stopwords).alias("t")).withColumn("t", F.when(F.size("t") > 0, F.col("t")).otherwise(F.array(F.lit("_empty"))))
+    if asked is not None or stems:
+        split = settle(split)  # read several times
+    known = None if asked is None else settle(asked.select(F.explode(tokens(F.col("qkey"), profile)).alias("term")).distinct())
+    rows = split.select("sample_id", "doc", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    if known is None or stems:
         # the postings of all terms, read several times
-        each = settle(split.select("sample_id", "doc", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("sample_id", "doc", "term", "dl").agg(F.count("*").alias("tf")))
+        each = settle((_stemmed(rows) if stems else rows).groupBy("sample_id", "doc", "term", "dl").agg(F.count("*").alias("tf")))
         df = each.groupBy("sample_id", "term").agg(F.count("*").alias("df"))
+        each = each if known is None else each.join(known, "term")
     else:
-        split = settle(split)  # read three times
-        known = settle(asked.select(F.explode(tokens(F.col("qkey"), profile)).alias("term")).distinct())
-        some = split.select("sample_id", "doc", F.size("t").alias("dl"), F.explode("t").alias("term")).join(known, "term")
-        each = settle(some.groupBy("sample_id", "doc", "term", "dl").agg(F.count("*").alias("tf")))
+        each = settle(rows.join(known, "term").groupBy("sample_id", "doc", "term", "dl").agg(F.count("*").alias("tf")))
         df = split.select("sample_id", F.explode(F.array_distinct("t")).alias("term")).groupBy("sample_id", "term").agg(F.count("*").alias("df"))
     lengths = split.groupBy("sample_id", F.size("t").alias("dl")).agg(F.count("*").alias("docs"))
     sizes = lengths.groupBy("sample_id").agg(F.sum("docs").alias("n"), (F.sum(F.col("docs") * F.col("dl")) / F.sum("docs")).alias("avgdl"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from recallery.functions import metrics as M
+from recallery.functions import porter
 from recallery.functions import text as X
 from recallery.operators import dense, extract, lexical, nearest, units
 from recallery.operators import graph as G
@@ -508,9 +509,51 @@ SQL = {
     "pending_resume": _with(["t", "q"], "SELECT sample_id, qa FROM q WHERE qa % 7 = 0 OR qa % 3 = 0 OR qa % 5 = 0"),
     "cache_miss": _with(["t"], "SELECT sample_id, dia_id, substr(sha256(text), 1, 32) AS text_digest FROM t WHERE text NOT IN (SELECT text FROM t WHERE pos % 2 = 0)"),
 }
+def _porter_sql() -> dict[str, str]:
+    """Tables p0, p1, ... from the distinct tokens (token) of ``every``: the stemmer's steps, written for this SQL; ``stems`` (token, stem) at the end."""
+
+    def case(choices, otherwise):
+        return "CASE " + " ".join(f"WHEN {a} THEN {b}" for a, b in choices) + f" ELSE {otherwise} END"
+
+    d = porter.Dialect(
+        when=case, ends=lambda w, s: f"suffix({w}, '{s}')", replaced=lambda w, pattern, put: f"regexp_replace({w}, '{pattern}', '\\1{put}', 'g')",
+        matches=lambda w, pattern, *equal: f"(regexp_matches({w}, '{pattern}')" + (f" AND {equal[0]} = {equal[1]})" if equal else ")"),
+        without=lambda w, n: f"left({w}, greatest(length({w}) - {n}, 0))", last=lambda w, back: f"substr({w}, length({w}) - {back}, 1)", joined=lambda w, tail: f"{w} || '{tail}'",
+    )
+    out = {"p0": "SELECT DISTINCT token, token AS w FROM every"}
+    for k, step in enumerate(porter.steps(d), 1):
+        out[f"p{k}"] = f"SELECT token, {step('w')} AS w FROM p{k - 1}"
+    irregular = " ".join(f"WHEN token = '{a}' THEN '{b}'" for a, b in porter.IRREGULAR.items())
+    out["stems"] = f"SELECT token, CASE WHEN length(token) <= 2 THEN token {irregular} ELSE replace(w, 'Y', 'y') END AS stem FROM p{k}"
+    return out
+
+
+def _stemmed_sql() -> str:
+    """The SQL of bm25_soft_match over stems: tokens are told apart by their row, and stems joined to them."""
+    asked = "SELECT DISTINCT qkey FROM (SELECT " + _KEY + " AS qkey FROM (SELECT coalesce(text, '') AS raw FROM benchmark)) WHERE qkey <> ''"
+    ctes = {
+        "docs": "SELECT coalesce(lang, '') AS sample_id, doc_id::VARCHAR AS doc, " + _SEARCH.format("text") + " AS x FROM documents",
+        "asked": asked,
+        "keys": "SELECT qkey, unnest(" + _SEARCH.format("qkey") + ") AS token FROM asked",
+        "each": "SELECT sample_id, doc, unnest(x) AS token FROM docs WHERE len(x) > 0 UNION ALL SELECT sample_id, doc, '_empty' FROM docs WHERE len(x) = 0",
+        "every": "SELECT token FROM keys UNION SELECT token FROM each WHERE token <> '_empty'",
+        **_porter_sql(),
+        "e": "SELECT sample_id, doc, coalesce(stem, token) AS term FROM each LEFT JOIN stems USING (token)",
+        "lengths": "SELECT sample_id, doc, count(*) AS dl FROM e GROUP BY ALL",
+        "p": "SELECT sample_id, doc, dl, term, count(*) AS tf FROM e JOIN lengths USING (sample_id, doc) GROUP BY ALL",
+        "sizes": "SELECT sample_id, count(*) AS n, avg(dl::DOUBLE) AS avgdl FROM lengths GROUP BY 1",
+        "raw": _CORPUS["raw"],
+        "terms": _CORPUS["terms"],
+        "qt": "SELECT qkey, stem AS term, count(*) AS times FROM keys JOIN stems USING (token) GROUP BY ALL",
+    }
+    whole = SQL["bm25_soft_match"]
+    return "WITH " + ", ".join(f"{n} AS ({s})" for n, s in ctes.items()) + whole[whole.index(", s AS (SELECT sample_id, qkey, doc") :]
+
+
+SQL["bm25_porter"] = _stemmed_sql()
 SQL["bm25_index_stats"] = "WITH " + ", ".join(f"{n} AS ({s})" for n, s in _CORPUS.items()) + " SELECT sample_id, count(*) AS n_terms, max(n) AS n_docs, round(max(avgdl), 6) AS avgdl, round(sum(idf), 4) AS sum_idf, max(df)::BIGINT AS max_df FROM terms GROUP BY sample_id"
 
-NAMES = (*SQL, "bm25_porter", "llm_json_parse", "embed_memories")
+NAMES = (*SQL, "llm_json_parse", "embed_memories")
 
 
 def queries() -> dict:

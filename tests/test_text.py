@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from recallery.functions import metrics as M
-from recallery.functions import porter
 from recallery.functions import text as X
 
 
@@ -76,8 +75,3 @@ def test_metrics(spark):
     assert one(spark, M.hit_at(F.col("g"), F.col("f")), g=[], f=[]) is True
     assert one(spark, M.degree_weight(F.lit(1)), a="") == pytest.approx(1.442695, abs=1e-6)
     assert one(spark, M.clipped(F.lit(float("nan"))), a="") == 0.0
-
-
-@pytest.mark.parametrize(("word", "want"), [("caresses", "caress"), ("ponies", "poni"), ("cats", "cat"), ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"), ("hopping", "hop"), ("falling", "fall"), ("filing", "file"), ("happy", "happi"), ("relational", "relat"), ("generalization", "gener"), ("oscillators", "oscil"), ("sky", "sky"), ("controlling", "control"), ("at", "at")])
-def test_porter(word, want):
-    assert porter.stem(word) == want
