@@ -462,7 +462,7 @@ SQL = {
         z="SELECT a.sample_id, qa, CASE WHEN asked = 'q2' AND conv_id % 2 = 0 THEN 'kept' ELSE 'Turn' END AS prediction, CASE WHEN asked = 'q2' AND conv_id % 2 = 0 THEN 0.25 ELSE round(f1, 4) END AS token_f1 FROM a JOIN scored USING (sample_id, asked)",
     ),
     "report_lines": _D(["t"], "SELECT 0::INT AS i, '| category | n | token_f1_pct | excl5_pct |' AS line UNION ALL SELECT 1, '|---|---|---|---|' UNION ALL SELECT (1 + row_number() OVER (ORDER BY category NULLS FIRST))::INT, '| ' || coalesce(category::VARCHAR, '') || ' | ' || n || ' | ' || coalesce(token_f1_pct::VARCHAR, '') || ' | ' || coalesce(excl5_pct::VARCHAR, '') || ' |' FROM rolled", **_SUMMARY),
-    "llm_json_parse": "SELECT i::INT AS i, items, failed = 't' AS failed FROM " + C._values([("0", "Ann/Who", "f"), ("1", "Ann/Who", "f"), ("2", "Ann/What", "f"), ("3", "", "f"), ("4", "Ann/Who", "f"), ("5", "http://x/What", "f"), ("6", None, "t"), ("7", None, "t"), ("8", None, "t"), ("9", None, "t")], "i, items, failed"),
+    "llm_json_parse": "SELECT i::INT AS i, items, failed = 't' AS failed FROM " + C._values([("0", "Ann/Who", "f"), ("1", "Ann/Who", "f"), ("2", "Ann/What", "f"), ("3", "", "f"), ("4", "Ann/Who", "f"), ("5", "http://x/What", "f"), ("6", None, "t"), ("7", None, "t"), ("8", None, "t"), ("9", None, "t")], "i, items, failed") + " UNION ALL SELECT (p_partkey + 100)::INT, CASE p_partkey % 7 WHEN 0 THEN p_name || '/Who' WHEN 1 THEN p_name || '/What' WHEN 2 THEN p_name || '/When' WHEN 3 THEN p_name || '/Where' WHEN 4 THEN '' WHEN 5 THEN p_name || '/Why' END, p_partkey % 7 = 6 FROM part",
     "embed_memories": _D(["t"], f"SELECT DISTINCT substr(sha256({_TEXT}), 1, 32) AS text_digest, 'hashed' AS model, 'context' AS role, 64::INT AS dim, 1.0::DOUBLE AS norm FROM t"),
 }
 

@@ -123,7 +123,8 @@ SPOKEN = (
     ("I went to a LGBTQ support group", "Caroline", "Melanie"), ("You gave me your book", "Ann", "Bob"), ("I'm proud of myself", "Ann", None),
     ("Is that yours or mine?", "Ann", "Bob"), ("Is that yours?", "Ann", None), ("", "Ann", "Bob"), ("me, my and I", "", "Bob"), ("yourself and YOU", "Ann", "Bob"), ("Ivy is mine", "Ann", " "),
 )
-ANCHORED = tuple((p, a) for p in (*X.TIME_PHRASES, "next week", "Last  Monday") for a in ("1:56 pm on 8 May, 2023", "31 March 2023", "29 February 2024", "31 January 2023", "9:00 on 31 dec, 2023", "31 February 2023", "no date"))
+PHRASES = (*X.TIME_PHRASES, "next week", "Last  Monday")
+ANCHORED = tuple((p, a) for p in PHRASES for a in ("1:56 pm on 8 May, 2023", "31 March 2023", "29 February 2024", "31 January 2023", "9:00 on 31 dec, 2023", "31 February 2023", "no date"))
 ANSWERS = ("7 May 2023", "May 7, 2023", "a a b", "a", "", "x", "y")
 MODEL_ANSWERS = ('```json\n[{"value":"Ann","type":"Who"},]\n```', '{"entities":[{"value":"Ann","type":"Who"}]}', '[{"value":"Ann","type":"Foo"}]', "[] trailing words", 'Sure: [{"value":"Ann","type":"Who"}] ok', '[{"value":"http://x","type":"What"}]', "[1]", '[{"value":"a"}]', "no json", "")
 UNITS = (
@@ -161,11 +162,16 @@ def text_tokens(spark, sf_dir):
 
 
 def pronoun_normalize(spark, sf_dir):
-    return spark.createDataFrame(list(SPOKEN), "raw string, speaker string, previous string").select("raw", "speaker", "previous", X.normalized("raw", F.col("speaker"), F.col("previous"), F.lit("")).alias("normalized"))
+    odd = spark.createDataFrame(list(SPOKEN), "raw string, speaker string, previous string")
+    said = F.concat(F.lit("I told you: my "), "p_name", F.lit(" is yours, and mine"))
+    rows = odd.unionByName(load(spark, sf_dir, "part").select(said.alias("raw"), F.col("p_brand").alias("speaker"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_type")).alias("previous")))
+    return rows.select("raw", "speaker", "previous", X.normalized("raw", F.col("speaker"), F.col("previous"), F.lit("")).alias("normalized"))
 
 
 def time_word_resolve(spark, sf_dir):
-    rows = spark.createDataFrame(list(ANCHORED), "phrase string, said string")
+    phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("o_orderkey") % len(PHRASES) + 1).cast("int"))
+    ordered = load(spark, sf_dir, "orders").select(phrase.alias("phrase"), F.date_format("o_orderdate", "'9:15 am on' d MMMM, y").alias("said"))
+    rows = spark.createDataFrame(list(ANCHORED), "phrase string, said string").unionByName(ordered)
     return rows.select("phrase", "said", X.shown_date(X.time_word_date("phrase", X.dialog_date("said"))).alias("resolved"))
 
 
@@ -327,7 +333,10 @@ def answer_prompt(spark, sf_dir):
 
 
 def units_flatten(spark, sf_dir):
-    rows = spark.createDataFrame(list(UNITS), "sample_id string, observation string, session_summary string")
+    odd = spark.createDataFrame(list(UNITS), "sample_id string, observation string, session_summary string")
+    item = F.concat(F.lit('{"session_3": {"'), "p_brand", F.lit('": [["'), "p_name", F.lit('", "D3:'), "p_size", F.lit('"], " ", "'), "p_type", F.lit('"]}}'))
+    summary = F.concat(F.lit('{"session_3": " '), "p_type", F.lit('", "session_4": ""}'))
+    rows = odd.unionByName(load(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("sample_id"), item.alias("observation"), summary.alias("session_summary")))
     both = units.observations(rows).unionByName(units.summaries(rows))
     return both.select("sample_id", "unit_id", "text", F.array_join("dia_ids", ",").alias("dia_ids"))
 
@@ -357,7 +366,14 @@ def cache_miss(spark, sf_dir):
 
 def llm_json_parse(spark, sf_dir):
     ship(spark)
-    rows = spark.createDataFrame([(i, v) for i, v in enumerate(MODEL_ANSWERS)], "i int, answer string")
+    odd = spark.createDataFrame([(i, v) for i, v in enumerate(MODEL_ANSWERS)], "i int, answer string")
+    one = lambda kind: F.concat(F.lit('{"value": "'), "p_name", F.lit(f'", "type": "{kind}"}}'))
+    dressed = (
+        F.concat(F.lit("```json\n["), one("Who"), F.lit(",]\n```")), F.concat(F.lit('{"entities": ['), one("Thing"), F.lit("]}")), F.concat(F.lit('{"note": "x"} ['), one("When"), F.lit("] and so on")),
+        one("Where"), F.concat(F.lit("[]```json\n["), one("Who"), F.lit("]```")), F.concat(F.lit('{"found": ['), one("Why"), F.lit("]}")), F.concat(F.lit("nothing in "), "p_name"),
+    )
+    answers = F.element_at(F.array(*dressed), (F.col("p_partkey") % len(dressed) + 1).cast("int"))
+    rows = odd.unionByName(load(spark, sf_dir, "part").select((F.col("p_partkey") + 100).cast("int").alias("i"), answers.alias("answer")))
     p = rows.select("i", extract.parsed("answer").alias("p"))
     return p.select("i", F.array_join(F.transform("p.items", lambda x: F.concat_ws("/", x["value"], x["type"])), ";").alias("items"), F.col("p.error").isNotNull().alias("failed"))
 
@@ -458,14 +474,15 @@ def _time_sql() -> str:
     days = " ".join(f"WHEN w = 'last {d}' THEN a - INTERVAL ((isodow(a) - {i + 1} + 6) % 7 + 1) DAY" for i, d in enumerate(X.WEEKDAYS))
     month = "date_trunc('month', a){} + INTERVAL (least(day(a), 28) - 1) DAY"
     return (
-        r"WITH v AS (SELECT * FROM " + _values(ANCHORED, "phrase, said") + r"), d AS (SELECT phrase, said, regexp_replace(trim(lower(phrase)), '\s+', ' ', 'g') AS w, try_strptime(regexp_extract(said, '([0-9]{1,2} [A-Za-z]{3})', 1) || ' ' || regexp_extract(said, '([0-9]{4})\b', 1), '%d %b %Y') AS a FROM v) "
+        r"WITH v AS (SELECT * FROM " + _values(ANCHORED, "phrase, said") + f" UNION ALL SELECT ([{', '.join(map(_quoted, PHRASES))}])[o_orderkey % {len(PHRASES)} + 1], strftime(o_orderdate, '9:15 am on %-d %B, %Y') FROM orders" + r"), d AS (SELECT phrase, said, regexp_replace(trim(lower(phrase)), '\s+', ' ', 'g') AS w, try_strptime(regexp_extract(said, '([0-9]{1,2} [A-Za-z]{3})', 1) || ' ' || regexp_extract(said, '([0-9]{4})\b', 1), '%d %b %Y') AS a FROM v) "
         f"SELECT phrase, said, strftime(CASE {shifts} WHEN w = 'next month' THEN {month.format(' + INTERVAL 1 MONTH')} WHEN w IN ('a year ago', 'one year ago') THEN {month.format(' - INTERVAL 12 MONTH')} {days} END, '%-d %B %Y') AS resolved FROM d"
     )
 
 
 def _units_sql() -> str:
     rows = [("u1", "obs::session_1::Ann::0", "likes tea", "D1:1"), ("u1", "obs::session_1::Ann::2", "has a cat", "D1:3"), ("u1", "obs::session_1::Ann::3", "plain", ""), ("u1", "obs::session_1::Bob::0", "runs", "D1:4,D1:5"), ("u2", "obs::session_2::Eve::0", "sings", "D2:1"), ("u1", "sum::session_1", "They met.", ""), ("u2", "sum::session_2", "Eve sang.", "")]
-    return "SELECT * FROM " + _values(rows, "sample_id, unit_id, text, dia_ids")
+    made = "SELECT 'p' || p_partkey, unnest(['obs::session_3::' || p_brand || '::0', 'obs::session_3::' || p_brand || '::2', 'sum::session_3']), unnest([p_name, p_type, p_type]), unnest(['D3:' || p_size, '', '']) FROM part"
+    return "SELECT * FROM " + _values(rows, "sample_id, unit_id, text, dia_ids") + " UNION ALL " + made
 
 
 def _prompt_sql() -> str:
@@ -478,7 +495,7 @@ SQL = {
     "text_entity_key": f"SELECT raw, {_KEY} AS entity_key FROM (SELECT raw FROM {_values([(v,) for v in ODD_VALUES], 'raw')} UNION ALL SELECT p_name FROM part UNION ALL SELECT c_name FROM customer)",
     "text_entity_value": rf"""SELECT raw, regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'), '''s$', '', 'i'), '^[ .,;:!?"'']+|[ .,;:!?"'']+$', '', 'g') AS entity_value FROM (SELECT raw FROM {_values([(v,) for v in ODD_VALUES], "raw")} UNION ALL SELECT p_type FROM part)""",
     "text_tokens": _with(["t"], f"SELECT sample_id, dia_id, len(regexp_extract_all(lower(text), '[a-z0-9]+'))::INT AS n_tokens, array_to_string({_SEARCH.format('text')}, ' ') AS searched FROM t"),
-    "pronoun_normalize": f"SELECT raw, speaker, previous, {_spoken_sql()} AS normalized FROM {_values(SPOKEN, 'raw, speaker, previous')}",
+    "pronoun_normalize": f"SELECT raw, speaker, previous, {_spoken_sql()} AS normalized FROM (SELECT * FROM {_values(SPOKEN, 'raw, speaker, previous')} UNION ALL SELECT 'I told you: my ' || p_name || ' is yours, and mine', p_brand, CASE WHEN p_partkey % 3 > 0 THEN p_type END FROM part)",
     "time_word_resolve": _time_sql(),
     "prev_speaker": _with(["t"], "SELECT sample_id, dia_id, speaker, last_value(nullif(trim(speaker), '') IGNORE NULLS) OVER (PARTITION BY sample_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_speaker FROM t"),
     "search_text_digest": _with(["t"], r"SELECT sample_id, dia_id, substr(sha256(regexp_replace(text || ' ' || text || ' ' || speaker || '  ', '^\s+|\s+$', '', 'g')), 1, 32) AS digest FROM t"),
