@@ -75,6 +75,11 @@ def sequence_edges(memory: DataFrame) -> DataFrame:
     """next and prev between consecutive memories of a sample, across sessions; 2 (n - 1) edges."""
     order = W.partitionBy("sample_id").orderBy(*X.memory_order("dia_id", F.col("session_num")))
     pair = memory.select("sample_id", "memory_id", "dia_id", F.lead("memory_id").over(order).alias("m2"), F.lead("dia_id").over(order).alias("d2")).where("m2 is not null")
+    return paired_edges(pair)
+
+
+def paired_edges(pair: DataFrame) -> DataFrame:
+    """Both edges of each memory (memory_id, dia_id) and the one after it (m2, d2)."""
     both = F.array(F.struct(F.lit("next").alias("kind"), F.col("memory_id").alias("src"), F.col("m2").alias("dst"), F.col("dia_id").alias("sd"), F.col("d2").alias("dd")), F.struct(F.lit("prev").alias("kind"), F.col("m2").alias("src"), F.col("memory_id").alias("dst"), F.col("d2").alias("sd"), F.col("dia_id").alias("dd")))
     one = pair.select("sample_id", F.explode(both).alias("e")).select("sample_id", "e.*")
     return one.select("sample_id", X.sequence_id("kind", "src", "dst").alias("edge_id"), F.col("src").alias("src_memory_id"), F.col("dst").alias("dst_memory_id"), F.col("kind").alias("edge_type"), F.lit(1.0).alias("weight"), F.create_map(F.lit("src_dia_id"), F.col("sd"), F.lit("dst_dia_id"), F.col("dd")).alias("metadata"))

@@ -23,7 +23,9 @@ from recallery.operators import retrieve as R
 from recallery.plans import catalog as C
 from recallery.plans import evaluate as E
 from recallery.plans import jobs
+from recallery.schema import DIALOG
 from recallery.sources import scratch, store
+from recallery.streaming import incremental
 
 Q = C.Q
 #: Samples of a file with an array.
@@ -97,6 +99,18 @@ def graph_store_roundtrip(spark, sf_dir):
     return rows.unionByName(back.memory_edge.select("sample_id", F.col("edge_id").alias("id"), F.lit("edge").alias("kind"))).unionByName(one)
 
 
+def graph_streamed(spark, sf_dir):
+    """The graph of all conversations, fed as a stream in two parts that cut each of them in the middle."""
+    source, out, d = _place(spark), _place(spark), C.dialog(spark, sf_dir)
+    for part in (d.where("pos < 4"), d.where("pos >= 3")):  # one turn comes twice
+        part.write.mode("append").parquet(source)
+        incremental.feed(spark.readStream.schema(DIALOG).parquet(source), out)
+    g, none = incremental.load(spark, out), F.lit("").alias("detail")
+    rows = g.memory.select("sample_id", F.col("memory_id").alias("id"), F.lit("memory").alias("kind"), none).unionByName(g.memory_edge.select("sample_id", F.col("edge_id").alias("id"), F.col("edge_type").alias("kind"), none))
+    rows = rows.unionByName(g.mention.select("sample_id", F.col("edge_id").alias("id"), F.lit("mention").alias("kind"), none))
+    return rows.unionByName(g.entity.select("sample_id", F.col("entity_id").alias("id"), F.lit("entity").alias("kind"), F.concat_ws("/", "type", F.size("merged_from"), "value").alias("detail")))
+
+
 def entity_types(spark, sf_dir):
     given = [(v,) for v in (" Who ", "who", "How much", "", "Where", "Thing", None)]
     rows = spark.createDataFrame(given, "raw string").unionByName(C.load(spark, sf_dir, "events").select(F.when(F.col("event_id") % 3 == 0, " When ").otherwise(F.col("event_type")).alias("raw")))
@@ -415,6 +429,7 @@ SQL = {
     "source_questions": _D(["t"], "SELECT * FROM (SELECT sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY pos)::INT AS qa, CASE WHEN speaker = 'user' THEN substr(sha256(text), 1, 32) END AS question_digest, pos::VARCHAR AS answer, d AS evidence, (pos % 5 + 1)::INT AS category FROM s) WHERE question_digest IS NOT NULL", s=_S.replace("text,", "text,")),
     "source_graph": _D(["t"], "SELECT sample_id, memory_id, session::INT AS session_num, speaker, last_value(nullif(trim(speaker), '') IGNORE NULLS) OVER (PARTITION BY sample_id, session ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_speaker FROM s", s=_S),
     "graph_json_roundtrip": _D(["t", "tok", "found", "mention"], "SELECT sample_id, 'edge:' || entity_id || '->' || memory_id AS edge_id, entity_id, memory_id, 1.0::DOUBLE AS weight, substr(memory_id, 8) AS dia_id FROM mention"),
+    "graph_streamed": _D(["t", "tok", "found", "entity", "mention"], "SELECT sample_id, memory_id AS id, 'memory' AS kind, '' AS detail FROM t UNION ALL SELECT sample_id, 'medge:next:' || memory_id || '->' || m2, 'next', '' FROM e WHERE m2 IS NOT NULL UNION ALL SELECT sample_id, 'medge:prev:' || m2 || '->' || memory_id, 'prev', '' FROM e WHERE m2 IS NOT NULL UNION ALL SELECT sample_id, 'edge:' || entity_id || '->' || memory_id, 'mention', '' FROM mention UNION ALL SELECT e.sample_id, entity_id, 'entity', e.type || '/' || count(DISTINCT f.value) || '/' || e.value FROM entity e JOIN found f ON e.sample_id = f.sample_id AND e.key = f.key GROUP BY e.sample_id, entity_id, e.type, e.value", e="SELECT *, lead(memory_id) OVER (PARTITION BY sample_id ORDER BY pos) AS m2 FROM t"),
     "graph_store_roundtrip": _D(["t", "tok", "found", "entity"], "SELECT sample_id, memory_id AS id, 'memory' AS kind FROM t UNION ALL SELECT sample_id, entity_id, 'entity' FROM entity UNION ALL SELECT sample_id, 'medge:next:' || memory_id || '->' || m2, 'edge' FROM e WHERE m2 IS NOT NULL UNION ALL SELECT sample_id, 'medge:prev:' || m2 || '->' || memory_id, 'edge' FROM e WHERE m2 IS NOT NULL UNION ALL SELECT sample_id, memory_id, 'memory of one' FROM t WHERE conv_id = 5", e="SELECT *, lead(memory_id) OVER (PARTITION BY sample_id ORDER BY pos) AS m2 FROM t"),
     "entity_types": "SELECT raw, CASE WHEN trim(raw) IN ('Who', 'What', 'When', 'Where', 'Why', 'How', 'How much') THEN trim(raw) END AS type FROM (SELECT unnest([' Who ', 'who', 'How much', '', 'Where', 'Thing', NULL]) AS raw UNION ALL SELECT CASE WHEN event_id % 3 = 0 THEN ' When ' ELSE event_type END FROM events)",
     "time_words_found": _D(["t"], "SELECT sample_id, dia_id, array_to_string(list_filter([" + ", ".join(map(repr, X.TIME_PHRASES)) + "], lambda p: regexp_matches(said, '\\b' || p || '\\b')), ',') AS phrases FROM (SELECT *, lower(([" + ", ".join(map(repr, _PHRASES)) + "])[pos % 8 + 1] || ', ' || text) AS said FROM t)"),

@@ -1,32 +1,158 @@
-"""Incremental graph building: micro-batches of dialog turns append to the table of mentions."""
+"""Incremental graphs: turns come in a stream, in any split into batches, and the tables are those of one build.
+
+Three steps, each a streaming query of its own with its checkpoint, run one after another over what is there:
+
+1. ``turns``: keyed by sample, the last speaker of each session and the last memory are state, so a turn gets its previous
+   speaker and a memory the one before it from earlier batches too.
+2. ``found``: the entities of the new turns, by any extractor; a batch that is played again replaces its own files.
+3. ``entities``: keyed by sample and key, the first type, the longest value, all values in their order and the memories that
+   mention the entity are state; each batch appends a row for each entity that it touches.
+
+State lies in RocksDB beside the checkpoints. Turns of a sample come in order of session and place, those of a session that
+are not behind its last one are repeats and change nothing; a memory that belongs before an earlier one stops the stream, since its edges
+are out already. A batch of one sample is sorted in memory, so batches should be bounded (maxFilesPerTrigger, maxBytesPerTrigger).
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from recallery.functions import text as X
 from recallery.operators import graph as G
 from recallery.operators.extract import rule_extractor
-from recallery.sources.store import Cache
+from recallery.schema import DIALOG
+from recallery.sources.ship import ship
+from recallery.sources.store import exists
+
+_ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+_TURN = f"{DIALOG}, previous_speaker string, fresh boolean, before string"
+_FOUND = "sample_id string, dia_id string, s bigint, t bigint, pos int, i int, key string, value string, type string"
+_ENTITY = "sample_id string, key string, n int, type string, value string, merged_from array<string>, dia_ids array<string>"
+
+
+class Turns(StatefulProcessor):
+    """Turns of a sample with the speaker before, whether they make a memory, and the memory before that."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.sessions = handle.getMapState("sessions", "session_num int", "pos int, speaker string")
+        self.seen = handle.getMapState("seen", "dia_id string", "pos int")
+        self.last = handle.getValueState("last", "s bigint, t bigint, dia_id string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        turns = pd.concat(list(rows)).sort_values(["session_num", "pos"], kind="stable")
+        last = tuple(self.last.get()) if self.last.exists() else None
+        held: dict[int, tuple[int, str | None]] = {}
+        out = []
+        for turn in turns.to_dict("records"):
+            number = int(turn["session_num"])
+            if number not in held:
+                held[number] = tuple(self.sessions.getValue((number,))) if self.sessions.containsKey((number,)) else (-1, None)
+            pos, previous = held[number]
+            if turn["pos"] <= pos:
+                continue
+            held[number] = int(turn["pos"]), (turn["speaker"] or "").strip() or previous
+            order = (int(turn["s"]), int(turn["t"]), turn["dia_id"])
+            fresh = last is None or order > last
+            if not fresh and not self.seen.containsKey((turn["dia_id"],)):
+                raise ValueError(f"{turn['dia_id']} of {key[0]} comes after {last[2]}, whose edges are out already")
+            before = last[2] if fresh and last else None
+            if fresh:
+                self.seen.updateValue((turn["dia_id"],), (int(turn["pos"]),))
+                last = order
+            del turn["s"], turn["t"]
+            out.append({**turn, "previous_speaker": previous, "fresh": fresh, "before": before})
+        for number, state in held.items():
+            self.sessions.updateValue((number,), state)
+        if last:
+            self.last.update(last)
+        if out:
+            yield pd.DataFrame(out)
+
+    def close(self) -> None:
+        pass
+
+
+class Entities(StatefulProcessor):
+    """Entities of a key, merged with what came before, and the memories that mention them now for the first time."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.entity = handle.getValueState("entity", "body string")
+        self.memories = handle.getMapState("memories", "dia_id string", "n int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        state = json.loads(self.entity.get()[0]) if self.entity.exists() else {"n": 0, "type": None, "value": None, "values": {}}
+        state["n"] += 1
+        fresh = []
+        for part in rows:
+            for r in part.to_dict("records"):
+                order = [int(r["s"]), int(r["t"]), r["dia_id"], int(r["pos"]), int(r["i"])]
+                if r["type"] and (state["type"] is None or order < state["type"][0]):
+                    state["type"] = [order, r["type"]]
+                # the longest, then the first
+                if state["value"] is None or [-len(r["value"]), order] < state["value"][:2]:
+                    state["value"] = [-len(r["value"]), order, r["value"]]
+                if r["value"] not in state["values"] or order < state["values"][r["value"]]:
+                    state["values"][r["value"]] = order
+                if not self.memories.containsKey((r["dia_id"],)):
+                    self.memories.updateValue((r["dia_id"],), (state["n"],))
+                    fresh.append(r["dia_id"])
+        self.entity.update((json.dumps(state),))
+        merged = sorted(state["values"], key=lambda v: (state["values"][v], v))
+        yield pd.DataFrame([{"sample_id": key[0], "key": key[1], "n": state["n"], "type": state["type"] and state["type"][1], "value": state["value"][2], "merged_from": merged, "dia_ids": fresh}])
+
+    def close(self) -> None:
+        pass
+
+
+def _run(stream: DataFrame, path: str, name: str, each: Callable | None = None) -> None:
+    """Process what is there: append it to the table of that name, or give each batch to a function."""
+    writer = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint/{name}").trigger(availableNow=True)
+    done = writer.foreachBatch(each).start() if each else writer.format("parquet").option("path", f"{path}/{name}").outputMode("append").start()
+    done.awaitTermination()
+
 
-_MENTION = "sample_id string, entity_id string, memory_id string, key string, value string, type string"
+def feed(dialog: DataFrame, path: str, extractor: Callable[[DataFrame, str], DataFrame] = rule_extractor) -> None:
+    """Add the turns of a stream (``schema.DIALOG``) to the graph in ``path``; those that it has stay as they are."""
+    spark = dialog.sparkSession
+    ship(spark)
+    before = spark.conf.get(_ROCKS[0], None)
+    spark.conf.set(*_ROCKS)
+    try:
+        session, turn, _ = X.memory_order("dia_id", F.col("session_num"))
+        named = dialog.where(~X.blank("dia_id")).withColumn("dia_id", X.trimmed("dia_id")).withColumns({"s": session.cast("long"), "t": turn.cast("long")})
+        _run(named.groupBy("sample_id").transformWithStateInPandas(Turns(), _TURN, "Append", "None"), path, "turns")
 
+        def found(batch: DataFrame, number: int) -> None:
+            rows = G.extracted(_spoken(batch), extractor)
+            rows.select("sample_id", "dia_id", F.col("ord._s").alias("s"), F.col("ord._t").alias("t"), "ord.pos", F.col("ord._i").alias("i"), "key", "value", "type").write.mode("overwrite").parquet(f"{path}/found/batch={number}")
 
-def add_turns(spark: SparkSession, path: str, extractor: Callable = rule_extractor) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that extracts new turns and adds their mentions once: a batch that is
-    played again, or a turn that comes twice, changes nothing. Whole sessions should arrive
-    together, since the previous speaker is looked up within a batch."""
-    cache = Cache(spark, path, _MENTION, ["sample_id", "entity_id", "memory_id"])
+        _run(spark.readStream.schema(_TURN).parquet(f"{path}/turns"), path, "found", found)
+        if exists(spark, f"{path}/found"):
+            rows = spark.readStream.schema(_FOUND).parquet(f"{path}/found/batch=*")
+            _run(rows.groupBy("sample_id", "key").transformWithStateInPandas(Entities(), _ENTITY, "Append", "None"), path, "entities")
+    finally:
+        spark.conf.set(_ROCKS[0], before) if before else spark.conf.unset(_ROCKS[0])
 
-    def run(batch: DataFrame, _: int) -> None:
-        found = G.extracted(G.turns(batch), extractor)
-        cache.add(found.select("sample_id", G.X.entity_id("key").alias("entity_id"), "memory_id", "key", "value", "type"))
 
-    return run
+def _spoken(turns: DataFrame) -> DataFrame:
+    """Turns with their normalised text."""
+    text = X.normalized("text", F.col("speaker"), F.col("previous_speaker"), F.col("date_time"), anchor=F.col("_day"))
+    return turns.withColumn("_day", X.dialog_date("date_time")).withColumn("text_normalized", text).drop("_day")
 
 
-def start(dialog: DataFrame, path: str, checkpoint: str, extractor: Callable = rule_extractor):
-    """Start a streaming query that processes what is there and ends."""
-    run = add_turns(dialog.sparkSession, path, extractor)
-    return dialog.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def load(spark: SparkSession, path: str) -> G.Graph:
+    """The graph as fed so far: memories and edges as they came, entities as they are now."""
+    turns = _spoken(spark.read.schema(_TURN).parquet(f"{path}/turns").where("fresh"))
+    memory = turns.select("sample_id", X.memory_id("dia_id").alias("memory_id"), "dia_id", "session_num", "date_time", "speaker", "text", "text_normalized", "query", "img_url", "blip_caption", F.create_map().cast("map<string,string>").alias("metadata"))
+    edges = G.paired_edges(turns.where("before is not null").select("sample_id", X.memory_id("before").alias("memory_id"), F.col("before").alias("dia_id"), X.memory_id("dia_id").alias("m2"), F.col("dia_id").alias("d2")))
+    rows = spark.read.schema(_ENTITY).parquet(f"{path}/entities") if exists(spark, f"{path}/entities") else spark.createDataFrame([], _ENTITY)
+    now = rows.groupBy("sample_id", "key").agg(F.max_by(F.struct("value", "type", "merged_from"), "n").alias("e"))
+    entity = now.select("sample_id", X.entity_id("key").alias("entity_id"), "key", "e.value", "e.type", "e.merged_from", F.create_map().cast("map<string,string>").alias("metadata"))
+    mention = G.mentions(rows.select("sample_id", "key", F.explode("dia_ids").alias("dia_id")).withColumn("memory_id", X.memory_id("dia_id")))
+    return G.Graph(memory, entity, mention, edges)

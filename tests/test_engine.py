@@ -10,7 +10,6 @@ from recallery.operators import retrieve as R
 from recallery.plans import catalog
 from recallery.plans import evaluate as E
 from recallery.sources import store
-from recallery.streaming import incremental
 
 
 def dialog(spark, rows):
@@ -232,18 +231,6 @@ def test_graph_store_and_cache(spark, tmp_path):
     assert "| a |" in store.report_markdown(rows)
 
 
-def test_streaming(spark, tmp_path):
-    d = dialog(spark, [(1, 0, "D1:1", "Ann", "something remarkable"), (1, 1, "D1:2", "Bob", "hi")])
-    d.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(d.schema).parquet(str(tmp_path / "in"))
-    for k in range(2):  # the second run sees the same turns anew
-        incremental.start(stream, str(tmp_path / "out"), str(tmp_path / f"cp{k}")).awaitTermination()
-    out = store.Cache(spark, str(tmp_path / "out"), incremental._MENTION, ["sample_id", "entity_id", "memory_id"])
-    got = {(r["key"], r["memory_id"]) for r in out.read().collect()}
-    assert got == {("something", "memory:D1:1"), ("remarkable", "memory:D1:1"), ("ann", "memory:D1:1"), ("bob", "memory:D1:2")}
-    assert out.read().count() == 4
-
-
 def test_pending(spark):
     asked = spark.createDataFrame([("s", i, ["a"]) for i in range(1, 5)], "sample_id string, qa int, context_ids array<string>")
     stored = spark.createDataFrame([("s", 1, ["a"], "x", 1.0), ("s", 2, ["b"], "x", 1.0), ("s", 3, ["a"], " ", 1.0), ("s", 4, ["a"], "x", None)], "sample_id string, qa int, context_ids array<string>, prediction string, token_f1 double")
