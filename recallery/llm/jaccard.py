@@ -9,9 +9,11 @@ verified on the sets themselves.
 To spread the join, documents first meet in blocks: two sets that are similar enough share
 one of the first tokens under any common order (prefix filter). The order puts tokens
 known to be frequent last; any order is exact, a better one only makes blocks smaller.
-Blocks of the same documents are one. A block beyond BLOCK documents is dealt anew by pairs of
+Blocks of the same documents are one. In a block beyond BLOCK documents those that the bound lets be
+similar to its pivot are tied to that, by a star; near copies all are, and cost a row for each of their tokens.
+The others meet all documents of the block, in parts, or, where they are more than BLOCK, are dealt anew by pairs of
 tokens, since two similar sets also share two of their first tokens, one more counted; what
-is still as large holds near copies of each other and is tied as a whole, by a star. An R-tree
+is still as large is tied as a whole. An R-tree
 join of each other block's points ties documents that the bound lets be similar into families, by a
 spanning forest and not by pairs.
 
@@ -172,17 +174,50 @@ def _blocks(reps: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     tied = cut(rows.join(shared, "token").distinct())
     release(tied)
     single = cut(_once(tied))
-    large = cut(single.where(F.col("df") > most).select("token").distinct())
-    star = single.limit(0).select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+    small = single.where(F.col("df") <= most).select("token", "cls")
+    large = cut(single.where(F.col("df") > most).select("token", "cls"))
     if large.isEmpty():
-        return single.select("token", "cls"), star
+        return small, single.limit(0).select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+    marked = cut(_marked(large, reps))
+    star = marked.where("near and cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
+    # what may not be like the pivot meets all others: in parts while it is little, else dealt by pairs of tokens
+    counts = marked.groupBy("token").agg(F.count_if("near").alias("near_n"), F.count_if(~F.col("near")).alias("rest_n")).where("rest_n > 0")
+    counts = cut(counts.withColumn("parts", F.ceil(F.greatest(F.col("near_n"), F.lit(1)) / most).cast("int")))
+    few = marked.join(_fits(counts.where(F.col("rest_n") <= most)), "token")
+    part = F.when(F.col("near"), F.array(F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    met = few.select("cls", "token", F.explode(part).alias("part")).select(F.xxhash64("token", "part", F.lit(1)).alias("token"), "cls")
+    many = cut(counts.where(F.col("rest_n") > most).select("token"))
+    if many.isEmpty():
+        return small.unionByName(met), star
     # with each token that comes behind it; a set of one token links with its like only, and those are its class
-    at = reps.where("n > 1").select("cls", "prefix", F.posexplode(F.slice("prefix", F.lit(1), first)).alias("i", "token")).join(_fits(large), "token")
+    at = reps.where("n > 1").select("cls", "prefix", F.posexplode(F.slice("prefix", F.lit(1), first)).alias("i", "token")).join(_fits(many), "token")
     pairs = at.select("cls", "token", F.explode(F.slice("prefix", F.col("i") + 2, F.size("prefix"))).alias("next"))
     pairs = cut(_once(cut(pairs.select("cls", F.xxhash64("token", "next").alias("token")).distinct())))
     over = pairs.where(F.col("df") > most)
-    star = over.join(_fits(cut(over.groupBy("token").agg(F.min("cls").alias("b")))), "token").select(F.col("cls").alias("a"), "b")
-    return single.where(F.col("df") <= most).select("token", "cls").unionByName(pairs.where(F.col("df") <= most).select("token", "cls")), star
+    tie = over.join(_fits(cut(over.groupBy("token").agg(F.min("cls").alias("b")))), "token").select(F.col("cls").alias("a"), "b").distinct()
+    return small.unionByName(met).unionByName(pairs.where(F.col("df") <= most).select("token", "cls")), star.unionByName(tie)
+
+
+def _marked(large: DataFrame, reps: DataFrame) -> DataFrame:
+    """(token, cls, pivot, near) of the classes of large blocks: the pivot is a block's smallest class, near what the bound lets be similar to it.
+    A class has a row for each of its tokens, and each pair of a class and a pivot is looked at once."""
+    pivots = large.groupBy("token").agg(F.min("cls").alias("pivot"))
+    placed = cut(large.join(_fits(cut(pivots)), "token"))
+    pairs = placed.select("cls", "pivot").distinct()
+    points = reps.select("cls", "n", "vec")
+    other = points.select(F.col("cls").alias("pivot"), F.col("n").alias("pn"), F.col("vec").alias("pvec")).join(_fits(cut(pairs.select("pivot").distinct())), "pivot", "left_semi")
+    both = pairs.join(points, "cls").join(other, "pivot").select("cls", "pivot", "n", "vec", "pn", "pvec")
+    near = both.mapInArrow(K.tidy(_near_rows), "cls long, pivot long, near boolean")
+    return placed.join(near, ["cls", "pivot"]).select("token", "cls", "pivot", "near")
+
+
+def _near_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n, pn = batch.column("n").to_numpy(), batch.column("pn").to_numpy()
+        groups = np.minimum(groups_of(n), groups_of(pn))
+        most = [np.minimum(fold(np.frombuffer(a, np.uint8), g), fold(np.frombuffer(b, np.uint8), g)).sum() for a, b, g in zip(batch.column("vec").to_pylist(), batch.column("pvec").to_pylist(), groups.tolist(), strict=True)]
+        near = enough(np.minimum(np.array(most, np.int64), np.minimum(n, pn)), n, pn)
+        yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("pivot"), pa.array(near, pa.bool_())], names=["cls", "pivot", "near"])
 
 
 def _bound_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

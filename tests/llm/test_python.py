@@ -297,6 +297,27 @@ def test_similar_in_a_large_family(spark):
         assert got == want
 
 
+def test_near_copies_cost_a_row_for_each_token(spark):
+    """Long near copies beyond a block are tied to one of them; a few others in their blocks meet them in parts."""
+    base, rows = sentence(4000).split(), []
+    for k in range(40):
+        copy = base[:]
+        for _ in range(20):
+            copy[rng.randrange(4000)] = f"x{rng.randrange(1000)}"
+        rows.append((k, " ".join(copy)))
+    rows += [(100 + k, " ".join(base[200 * k : 200 * k + 100]) + " " + sentence(60)) for k in range(5)]
+    frame = docs(spark, rows)
+    made = frame.mapInArrow(J._sets(J.frequent(frame)), "doc_id long, n long, k1 long, k2 long, prefix array<bigint>, vec binary")
+    reps = C.cut(made.selectExpr("doc_id as cls", "n", "prefix", "vec"))
+    tokens = reps.selectExpr("sum(size(prefix))").first()[0]
+    blocks, star = J._blocks(reps, 16)
+    assert blocks.count() + star.count() < 3 * tokens and star.count() >= 39
+    assert blocks.groupBy("token").count().selectExpr("max(count)").first()[0] <= 32
+    want = loop_similar(rows)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in J.similar(frame.repartition(3), 16, 1 << 16).collect()}
+    assert got == want and len({c for _, c in want.values()}) == 6
+
+
 def test_similar_edges(spark):
     df = docs(spark, [(1, sentence(40)), (2, sentence(40))])
     assert sorted((r["doc_id"], r["component_id"]) for r in J.similar(df.union(df)).collect()) == [(1, 1), (1, 1), (2, 2), (2, 2)]
