@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import inspect
 import json
+import threading
 import time
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
+
+#: Calls of a task that are under way at a time.
+WINDOW = 8
 
 
 def retrying(call: Callable, attempts: int = 10, first: float = 0.75, most: float = 45.0, sleep: Callable[[float], None] | None = None) -> Callable:
@@ -23,6 +29,51 @@ def retrying(call: Callable, attempts: int = 10, first: float = 0.75, most: floa
     return run
 
 
+class Rate:
+    """At most so many starts a second, shared by all threads of a task; None lets everything start."""
+
+    def __init__(self, a_second: float | None, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.pause, self.clock, self.sleep = 1.0 / a_second if a_second else 0.0, clock, sleep
+        self.next, self.lock = 0.0, threading.Lock()
+
+    def wait(self) -> None:
+        if self.pause:
+            with self.lock:
+                now = self.clock()
+                start = max(now, self.next)
+                self.next = start + self.pause
+            self.sleep(start - now)
+
+
+def in_order(call: Callable, items: Iterable, window: int = WINDOW, rate: float | None = None) -> Iterator[tuple[object, Exception | None]]:
+    """(result, None) or (None, exception) of each item, in the order of the items, with up to ``window`` calls under way and at most
+    ``rate`` starts a second. A call that fails leaves the others alone. With a window of 1 there are no threads."""
+    shared = Rate(rate)
+
+    def one(item) -> tuple[object, Exception | None]:
+        shared.wait()
+        try:
+            return call(item), None
+        except Exception as e:  # told to the caller, who knows what it means
+            return None, e
+
+    if window <= 1:
+        yield from map(one, items)
+        return
+    with ThreadPoolExecutor(window) as pool:
+        under_way: deque[Future] = deque()
+        try:
+            for item in items:
+                if len(under_way) >= window:
+                    yield under_way.popleft().result()
+                under_way.append(pool.submit(one, item))
+            while under_way:
+                yield under_way.popleft().result()
+        finally:
+            for f in under_way:
+                f.cancel()
+
+
 def ask(client: Callable, prompt: str, **settings) -> str:
     """The client's answer. Settings (tokens, temperature, ...) go to those clients that take them by name."""
     takes = inspect.signature(client).parameters

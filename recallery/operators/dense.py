@@ -15,6 +15,7 @@ from pyspark.sql.window import Window as W
 from recallery.functions import metrics as M
 from recallery.functions import text as X
 from recallery.operators import nearest
+from recallery.operators.clients import WINDOW, in_order, retrying
 from recallery.sources.ship import ship
 
 DIMENSION = 64
@@ -33,13 +34,14 @@ def hashed_embedder(texts: list[str], role: str = "context", dimension: int = DI
 @dataclass(frozen=True)
 class Encoder:
     """A model of embeddings: its name, the function (texts, role) -> vectors, their length, how many texts go at a time,
-    and whether it encodes questions by another encoder than texts."""
+    whether it encodes questions by another encoder than texts, and how many calls of a task may be under way at a time."""
 
     model: str = "hashed"
     embedder: Callable[[list[str], str], np.ndarray] = hashed_embedder
     dim: int = DIMENSION
     batch: int = 16
     dual: bool = False
+    window: int = 1
 
     @property
     def query_role(self) -> str:
@@ -48,26 +50,26 @@ class Encoder:
 
 
 def api_encoder(model: str, call: Callable[[list[str]], np.ndarray], dim: int, batch: int = 10, attempts: int = 10, sleep: Callable[[float], None] | None = None) -> Encoder:
-    """An encoder behind an interface that may fail: small batches, each tried again with growing pauses."""
-    from recallery.operators.clients import retrying
-
-    return Encoder(model, lambda texts, role: retrying(call, attempts, sleep=sleep)(texts), dim, batch)
+    """An encoder behind an interface that may fail: small batches, several under way, each tried again with growing pauses."""
+    return Encoder(model, lambda texts, role: retrying(call, attempts, sleep=sleep)(texts), dim, batch, window=WINDOW)
 
 
 def dual_encoder(model: str, query: Callable[[list[str]], np.ndarray], context: Callable[[list[str]], np.ndarray], dim: int, batch: int = 16) -> Encoder:
     return Encoder(model, lambda texts, role: query(texts) if role == "query" else context(texts), dim, batch, True)
 
 
-def embed(df: DataFrame, text: str, model: str = "hashed", embedder: Callable[[list[str], str], np.ndarray] = hashed_embedder, role: str = "context", batch: int = 16) -> DataFrame:
-    """(text_digest, model, role, dim, vec) of the distinct texts of a column, vectors of length 1."""
+def embed(df: DataFrame, text: str, model: str = "hashed", embedder: Callable[[list[str], str], np.ndarray] = hashed_embedder, role: str = "context", batch: int = 16, window: int = 1) -> DataFrame:
+    """(text_digest, model, role, dim, vec) of the distinct texts of a column, vectors of length 1. Up to ``window`` calls
+    of the embedder are under way in a task."""
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
             texts = pdf["_t"].tolist()
-            parts = []
-            for k in range(0, len(texts), batch):
-                asked = texts[k : k + batch]
-                got = np.asarray(embedder(asked, role), np.float32)
+            parts, asks = [], [texts[k : k + batch] for k in range(0, len(texts), batch)]
+            for asked, (told, failed) in zip(asks, in_order(lambda x: embedder(x, role), asks, window), strict=True):
+                if failed is not None:
+                    raise failed
+                got = np.asarray(told, np.float32)
                 if got.ndim != 2 or len(got) != len(asked):
                     raise ValueError(f"{len(asked)} texts gave vectors of shape {got.shape}")
                 parts.append(got)
@@ -92,7 +94,7 @@ def embed_cached(df: DataFrame, text: str, cache, encoder: Encoder = Encoder(),
     now on all, are in the cache, a ``store.embedding_cache``."""
     texts = df.select(F.coalesce(F.col(text), F.lit("")).alias("_t")).distinct()
     keyed = texts.select("_t", X.digest("_t").alias("text_digest"), F.lit(encoder.model).alias("model"), F.lit(role).alias("role"), F.lit(encoder.dim).alias("dim"))
-    made = embed(cache.misses(keyed), "_t", encoder.model, encoder.embedder, role, encoder.batch)
+    made = embed(cache.misses(keyed), "_t", encoder.model, encoder.embedder, role, encoder.batch, encoder.window)
     wrong = F.raise_error(F.concat(F.lit(f"{encoder.model} gave vectors of another length than {encoder.dim}: "), F.col("dim").cast("string"))).cast("int")
     n = cache.add(made.withColumn("dim", F.when(F.col("dim") == encoder.dim, F.col("dim")).otherwise(wrong)))
     return keyed.join(cache.get(keyed), ["text_digest", "model", "role", "dim"]).select("text_digest", "vec"), n

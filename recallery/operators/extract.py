@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recallery.functions.text import digest, entity_type, entity_value
+from recallery.operators.clients import WINDOW, in_order
 from recallery.schema import ENTITY_TYPES, ITEM
 from recallery.sources.ship import ship
 
@@ -121,26 +122,31 @@ def parsed(answers: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["items", "error"])
 
 
-def model_extractor(make_client: Callable[[], Callable[[str], str]], retries: int = 3, tokens: int = 2500, temperature: float = 0.3) -> Callable[[DataFrame, str], DataFrame]:
+def model_extractor(make_client: Callable[[], Callable[[str], str]], retries: int = 3, tokens: int = 2500, temperature: float = 0.3, window: int = WINDOW, rate: float | None = None) -> Callable[[DataFrame, str], DataFrame]:
     """An extractor over a text model: ``make_client`` is called once for each task and gives a
-    function from prompt (and tokens and temperature, if it takes them) to answer. Distinct texts
-    are asked once; an answer that can't be read is asked for again, and failed texts get null items."""
+    function from prompt (and tokens and temperature, if it takes them) to answer, which up to ``window`` threads call at a time,
+    at most ``rate`` times a second. Distinct texts are asked once; where an answer can't be read or the call fails, the text is
+    asked for again, and failed texts get null items. If all calls of a batch fail, the last failure is raised."""
 
     def run(df: DataFrame, text: str) -> DataFrame:
         def ask(batches):
             client = make_client()
+
+            def one(prompt: str) -> list[dict]:
+                for k in range(retries):
+                    try:
+                        return [{"value": v, "type": t} for v, t in parse_answer(ask_client(client, prompt, tokens=tokens, temperature=temperature))]
+                    except Exception:  # of the model or of its answer
+                        if k + 1 == retries:
+                            raise
+                return []
+
             for pdf in batches:
-                out = []
-                for prompt in pdf["_prompt"]:
-                    found = None
-                    for _ in range(retries):
-                        try:
-                            found = [{"value": v, "type": t} for v, t in parse_answer(ask_client(client, prompt, tokens=tokens, temperature=temperature))]
-                            break
-                        except ValueError:
-                            continue
-                    out.append(found)
-                yield pd.DataFrame({"_text": pdf["_text"], "items": out})
+                told = list(in_order(one, pdf["_prompt"], window, rate))
+                broken = [e for _, e in told if e is not None and not isinstance(e, ValueError)]
+                if told and len(broken) == len(told):
+                    raise broken[-1]
+                yield pd.DataFrame({"_text": pdf["_text"], "items": [items for items, _ in told]})
 
         from recallery.functions.text import extraction_prompt
         from recallery.operators.clients import ask as ask_client

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from recallery.functions import metrics as M
 from recallery.functions import text as X
-from recallery.operators.clients import ask
+from recallery.operators.clients import WINDOW, ask, in_order
 from recallery.schema import KS
 from recallery.sources.ship import ship
 
@@ -39,20 +39,25 @@ def first_line_reader(prompt: str) -> str:
     return prompt.split("\n", 1)[0][:200]
 
 
-def answer(asked: DataFrame, make_reader: Callable[[], Callable[[str], str]] = lambda: first_line_reader, attempts: int = 4, tokens: int = 512, most_tokens: int = 2048) -> DataFrame:
+def answer(asked: DataFrame, make_reader: Callable[[], Callable[[str], str]] = lambda: first_line_reader, attempts: int = 4, tokens: int = 512, most_tokens: int = 2048, window: int = WINDOW) -> DataFrame:
     """With ``prediction``: the first answer that is not blank, of up to ``attempts``, each allowed twice the tokens of the one
-    before. The reader is made once for each task; tokens and temperature go to readers that take them."""
+    before. The reader is made once for each task, and up to ``window`` threads call it; tokens and temperature go to readers that take them."""
 
     def run(pdfs):
         reader = make_reader()
+
+        def one(prompt: str) -> str:
+            for k in range(attempts):
+                said = (ask(reader, prompt, tokens=min(tokens * 2**k, most_tokens), temperature=0.0) or "").strip()
+                if said:
+                    return said
+            return ""
+
         for pdf in pdfs:
             out = []
-            for p in pdf["prompt"]:
-                said = ""
-                for k in range(attempts):
-                    said = (ask(reader, p, tokens=min(tokens * 2**k, most_tokens), temperature=0.0) or "").strip()
-                    if said:
-                        break
+            for said, failed in in_order(one, pdf["prompt"], window):
+                if failed is not None:
+                    raise failed
                 out.append(said)
             yield pd.DataFrame({"sample_id": pdf["sample_id"], "qa": pdf["qa"], "prediction": out})
 

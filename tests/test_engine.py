@@ -307,6 +307,58 @@ def test_clients():
         K.json_trials(lambda p: "no", "x", 2)
 
 
+def test_calls_under_way():
+    import threading
+    import time
+
+    from recallery.operators import clients as K
+
+    busy, most, lock = [0], [0], threading.Lock()
+
+    def call(x):
+        with lock:
+            busy[0] += 1
+            most[0] = max(most[0], busy[0])
+        time.sleep(0.05)
+        with lock:
+            busy[0] -= 1
+        if x % 10 == 3:
+            raise OSError(x)
+        return x * x
+
+    took = {}
+    for window in (1, 8):
+        began = time.time()
+        got = list(K.in_order(call, range(48), window))
+        took[window] = time.time() - began
+        assert [(r, type(e).__name__) for r, e in got] == [(None, "OSError") if x % 10 == 3 else (x * x, "NoneType") for x in range(48)]
+    assert took[1] > 5 * took[8] and most[0] == 8
+    # who stops reading stops the calls
+    for _ in K.in_order(call, iter(range(10**9)), 4):
+        break
+    now, waits = [10.0], []
+    rate = K.Rate(4, lambda: now[0], waits.append)
+    for _ in range(3):
+        rate.wait()
+    assert waits == [0.0, 0.25, 0.5]
+
+
+def test_a_failing_text_leaves_its_batch_alone(spark):
+    def make():
+        def client(prompt):
+            if prompt.endswith("bad"):
+                raise OSError("down")
+            return json.dumps([{"value": prompt[-3:], "type": "What"}])
+
+        return client
+
+    df = spark.createDataFrame([("one",), ("bad",), ("two",)], "t string").coalesce(1)
+    got = {r["t"]: r["items"] and r["items"][0]["value"] for r in extract.model_extractor(make, 2)(df, "t").collect()}
+    assert got == {"one": "one", "bad": None, "two": "two"}
+    with pytest.raises(Exception, match="down"):
+        extract.model_extractor(make, 2)(df.where("t = 'bad'"), "t").collect()
+
+
 def test_encoders(spark, tmp_path):
     import numpy as np
 
