@@ -99,6 +99,24 @@ WITH lines AS (
 )
 SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
 FROM documents d LEFT JOIN kept k USING (doc_id)
+""",
+    "op2_lines_whole": """
+WITH lines AS (
+  SELECT doc_id, string_split(text, chr(10)) AS ls FROM (SELECT DISTINCT doc_id, text FROM documents) WHERE text IS NOT NULL
+), windows AS (
+  SELECT doc_id, i, ls[i] || chr(10) || ls[i + 1] AS body FROM lines, LATERAL (SELECT unnest(range(1, len(ls))) AS i)
+), marked AS (
+  SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, i) > 1 AS again FROM windows WHERE regexp_matches(body, '[^\\s]')
+), gone AS (
+  SELECT DISTINCT doc_id, unnest([i, i + 1]) AS i FROM marked WHERE again
+), each AS (
+  SELECT doc_id, i, ls[i] AS line FROM lines, LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i)
+), kept AS (
+  SELECT e.doc_id, count(*) AS n_lines, count(g.i) AS n_removed, string_agg(line, chr(10) ORDER BY e.i) FILTER (WHERE g.i IS NULL) AS text
+  FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY e.doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k USING (doc_id)
 """,
     "op3_sharding": """
 WITH crc_table AS (
