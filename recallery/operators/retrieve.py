@@ -121,7 +121,7 @@ def rank(pool: DataFrame, k: int) -> DataFrame:
 
 def seeded(graph: Graph, keys: DataFrame, profile: str = "plain") -> DataFrame:
     """The seeds of all questions, kept for the steps and variants that read them again."""
-    return settle(seeds(graph, settle(entity_strength(graph, settle(matches(graph, keys, profile=profile))))))
+    return settle(seeds(graph, entity_strength(graph, settle(matches(graph, keys, profile=profile)))))
 
 
 def retrieve(graph: Graph, questions: DataFrame, keys: DataFrame, vectors: DataFrame, k: int = 8, variant: Variant = VARIANTS[1], profile: str = "plain", seed: DataFrame | None = None) -> DataFrame:

@@ -19,8 +19,9 @@ from recallery.operators import dense, extract, lexical, nearest, units
 from recallery.operators import graph as G
 from recallery.operators import retrieve as R
 from recallery.plans import evaluate as E
+from recallery.plans import jobs
 from recallery.schema import KS
-from recallery.sources.scratch import settle
+from recallery.sources.scratch import settle, spread
 from recallery.sources.ship import ship
 from recallery.sources.store import exists
 
@@ -38,7 +39,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def dialog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = load(spark, sf_dir, "conversations")
+    t = spread(load(spark, sf_dir, "conversations"))
     none = F.lit("")
     return t.select(F.col("conv_id").cast("string").alias("sample_id"), F.lit(1).alias("session_num"), F.lit(TIME).alias("date_time"), F.col("turn").cast("int").alias("pos"), F.concat(F.lit("D1:"), F.col("turn").cast("string")).alias("dia_id"), F.col("role").alias("speaker"), F.coalesce("text", none).alias("text"), none.alias("query"), none.alias("img_url"), none.alias("blip_caption"))
 
@@ -78,11 +79,31 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(spark, sf_dir, "found", lambda: G.extracted(spoken(spark, sf_dir)))
 
 
-def graph(spark: SparkSession, sf_dir: str) -> G.Graph:
-    memory = kept(spark, sf_dir, "memory", lambda: G.memories(spoken(spark, sf_dir)))
-    entity = kept(spark, sf_dir, "entity", lambda: G.entities(found(spark, sf_dir)))
-    mention = kept(spark, sf_dir, "mention", lambda: G.mentions(found(spark, sf_dir)))
-    return G.Graph(memory, entity, mention, kept(spark, sf_dir, "edge", lambda: G.sequence_edges(memory)))
+class Kept:
+    """The tables of the graph of all conversations, each made when it is first read."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @property
+    def memory(self) -> DataFrame:
+        return kept(self.spark, self.sf_dir, "memory", lambda: G.memories(spoken(self.spark, self.sf_dir)))
+
+    @property
+    def entity(self) -> DataFrame:
+        return kept(self.spark, self.sf_dir, "entity", lambda: G.entities(found(self.spark, self.sf_dir)))
+
+    @property
+    def mention(self) -> DataFrame:
+        return kept(self.spark, self.sf_dir, "mention", lambda: G.mentions(found(self.spark, self.sf_dir)))
+
+    @property
+    def memory_edge(self) -> DataFrame:
+        return kept(self.spark, self.sf_dir, "edge", lambda: G.sequence_edges(self.memory))
+
+
+def graph(spark: SparkSession, sf_dir: str) -> Kept:
+    return Kept(spark, sf_dir)
 
 
 def _vector(df: DataFrame, spark: SparkSession, sf_dir: str, number, name: str) -> DataFrame:
@@ -312,6 +333,17 @@ def eval_rollup(spark, sf_dir):
     return E.rollup(E.at_cutoffs(q, E.retrieved(ranked)).join(_predicted(q, ranked), Q, "left"))
 
 
+#: What the reader of ``ablation_rollup`` says to everything.
+SAID = "the assistant said so and the user thanked the assistant"
+
+
+def ablation_rollup(spark, sf_dir):
+    """The ablation as a job, every variant retrieved, answered and scored on its own."""
+    g, q, k, v = _parts(spark, sf_dir)
+    rolled = jobs.ablation(g, q, k, v, make_reader=lambda: lambda prompt: SAID)
+    return rolled.where("category is null").select("variant", "k", "n", "recall_acc", "hit_rate", "token_f1_pct")
+
+
 def publish_gate(spark, sf_dir):
     return E.compare(_rolled(spark, sf_dir))
 
@@ -514,6 +546,7 @@ SQL = {
     "retrieve_ungated": _with(FUSED, "SELECT sample_id, qa, rank, dia_id, round(score, 6) AS score FROM (" + _ranked("pool", 8) + ")", nothing=NONE, pool=_pool("nothing", 0.3, 0.7, True)),
     "retrieve_audit": _with(FUSED, "SELECT q.sample_id, q.qa, (SELECT count(*) FROM qk WHERE qk.sample_id = q.sample_id AND qk.qa = q.qa)::INT AS n_keys, (SELECT count(*) FROM strength s WHERE s.sample_id = q.sample_id AND s.qa = q.qa)::INT AS n_entities, coalesce(p.gated, false) AS gated, coalesce(p.n, 0)::BIGINT AS pool, ranked, via_sequence::INT AS via_sequence, round(total, 4) AS total FROM q LEFT JOIN (SELECT sample_id, qa, bool_or(gated) AS gated, count(*) AS n FROM pool GROUP BY ALL) p USING (sample_id, qa) LEFT JOIN (SELECT sample_id, qa, string_agg(dia_id, ',' ORDER BY rank) AS ranked, count(*) FILTER (WHERE seed <= 0 AND e > 0) AS via_sequence, sum(round(score, 6)) AS total FROM top GROUP BY ALL) r USING (sample_id, qa)", **FUSED_POOL, top=_ranked("pool", 8)),
     "variant_ablation": _with(FUSED, f"SELECT variant, k, {_ROLL} FROM scored GROUP BY variant, k", **_variant_ctes()),
+    "ablation_rollup": _with(FUSED, f"SELECT variant, k, {_ROLL} FROM scored GROUP BY variant, k", **(_variant_ctes() | {"pairs": f"SELECT cut.*, list_distinct(regexp_extract_all(lower(question), '[a-z0-9]+')) AS g, list_distinct(regexp_extract_all({_quoted(SAID)}, '[a-z0-9]+')) AS p FROM cut JOIN q USING (sample_id, qa)"})),
     "token_f1": "WITH a AS (SELECT * FROM " + _values([(v,) for v in ANSWERS], "x") + "), pairs AS (SELECT a.x AS gold, b.x AS predicted FROM a CROSS JOIN a b UNION ALL SELECT * FROM (SELECT coalesce(text, '') AS gold, lead(coalesce(text, '')) OVER (PARTITION BY conv_id ORDER BY turn) AS predicted FROM conversations) WHERE predicted IS NOT NULL), s AS (SELECT *, list_distinct(regexp_extract_all(lower(gold), '[a-z0-9]+')) AS g, list_distinct(regexp_extract_all(lower(predicted), '[a-z0-9]+')) AS p FROM pairs) SELECT substr(sha256(gold), 1, 32) AS gold, substr(sha256(predicted), 1, 32) AS predicted, round(" + _F1 + ", 6) AS f1 FROM s",
     "recall_hit_at_k": _with(FUSED, "SELECT q.sample_id, q.qa, q.category, k, coalesce(bool_or(dia_id = gold AND rank <= k), false)::INT::DOUBLE AS recall_acc, coalesce(bool_or(dia_id = gold AND rank <= k), false) AS hit FROM q CROSS JOIN (SELECT unnest([1, 2, 3, 5]) AS k) LEFT JOIN top USING (sample_id, qa) GROUP BY q.sample_id, q.qa, q.category, k", **FUSED_POOL, top=_ranked("pool", 50)),
     "eval_rollup": _with(FUSED, f"SELECT k, category, {_ROLL5} FROM scored WHERE variant = 'B' GROUP BY GROUPING SETS ((k), (k, category))", **_variant_ctes()),

@@ -17,5 +17,4 @@ ENTITY = "sample_id string, entity_id string, key string, value string, type str
 MENTION = "sample_id string, edge_id string, entity_id string, memory_id string, edge_type string, weight double, metadata map<string,string>"
 MEMORY_EDGE = "sample_id string, edge_id string, src_memory_id string, dst_memory_id string, edge_type string, weight double, metadata map<string,string>"
 QUESTION = "sample_id string, qa int, question string, answer string, evidence array<string>, category int"
-EMBEDDING = "sample_id string, memory_id string, model string, text_digest string, vec array<float>"
 ITEM = "array<struct<value:string,type:string>>"
