@@ -37,7 +37,7 @@ BLOCK, RATIO, FIRST = 256, 1.5, 2
 #: Keys that one product of matrices scores, and that one group takes.
 KERNEL, KEYS = 256, 20_000
 #: Postings of the asked terms, all keys together, up to which they are joined as they are: bounds would cost more than they save.
-DIRECT = 20_000_000
+DIRECT = 1_000_000
 #: What scores that tie after rounding may differ by.
 SLACK = 1e-8
 
