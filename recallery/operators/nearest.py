@@ -106,19 +106,22 @@ def _asking(k: int, first: bool, clip: bool) -> Callable:
 
 
 def _scoring(k: int, clip: bool) -> Callable:
-    """The k best of a group for each question that asks it."""
+    """The k best of a group for each question that asks it, as far as they reach ``need``."""
 
     def run(key: tuple, members: pa.Table, asked: pa.Table) -> pa.Table:
         q, v = _matrix(asked.column("qvec")), _matrix(members.column("vec"))
         ids = np.array(members.column("id").to_pylist(), dtype=object)
         by_id = np.argsort(ids, kind="stable")  # as text: Python compares code points
         ids, v, out = ids[by_id], v[by_id], []
+        need = np.nan_to_num(asked.column("need").to_numpy(zero_copy_only=False).astype(np.float64), nan=-np.inf)
         for a in range(0, len(q) if len(v) else 0, KERNEL):
             s = np.round(q[a : a + KERNEL] @ v.T, 9)
             s = np.maximum(s, 0.0) + 0.0 if clip else s + 0.0
             # a stable order keeps equal scores in the order of their ids
             best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            out.append((np.repeat(np.arange(a, a + len(s)), best.shape[1]), best.ravel(), np.take_along_axis(s, best, 1).ravel()))
+            found = np.take_along_axis(s, best, 1)
+            i, j = np.nonzero(found >= need[a : a + KERNEL, None])
+            out.append((a + i, best[i, j], found[i, j]))
         row, at, s = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.Table.from_arrays([asked.column("sample_id").take(pa.array(row)), asked.column("qa").take(pa.array(row)), pa.array(ids[at].tolist(), pa.string()), pa.array(s)], names=["sample_id", "qa", "id", "s"])
 
@@ -186,19 +189,26 @@ def _guarded(run: Callable, schema: str) -> Callable:
 
 
 def group_scores(groups: Groups, questions: DataFrame, asked: DataFrame, k: int, clip: bool) -> DataFrame:
-    """(sample_id, qa, id, s): the k best members of each asked group, for each question; large groups, and groups that many questions ask, in parts."""
+    """(sample_id, qa, id, s): the k best members of each asked group, for each question (sample_id, qa, qvec and maybe need, the score from
+    which they count); large groups, and groups that many questions ask, in parts."""
+    need = F.col("need") if "need" in questions.columns else F.lit(None).cast("double")
     counted = asked.groupBy("sample_id", "pivot").agg(_parts(F.count("*")).alias("nq"))
     both = settle(counted.join(groups.around.select("sample_id", "pivot", _parts(F.col("n")).alias("nv")), ["sample_id", "pivot"]))
     by = ["sample_id", "pivot", "i", "j"]
     members = _every(_dealt(groups.members.join(both, ["sample_id", "pivot"]), "id", "nv", "i"), "nq", "j").select(*by, "id", "vec")
-    sent = _every(_dealt(asked.join(both, ["sample_id", "pivot"]), "qa", "nq", "j"), "nv", "i").join(questions.select("sample_id", "qa", "qvec"), ["sample_id", "qa"]).select(*by, "qa", "qvec")
+    sent = _every(_dealt(asked.join(both, ["sample_id", "pivot"]), "qa", "nq", "j"), "nv", "i").join(questions.select("sample_id", "qa", "qvec", need.alias("need")), ["sample_id", "qa"]).select(*by, "qa", "qvec", "need")
     return _cogrouped(members, sent, by, _guarded(_scoring(k, clip), _SCORED), _SCORED)
 
 
-def behind(questions: DataFrame, groups: Groups, nearest: DataFrame, first: DataFrame, k: int, clip: bool) -> DataFrame:
-    """(sample_id, pivot, qa): the groups beside the ``nearest`` that may hold better vectors than the k best of ``first``."""
+def needing(questions: DataFrame, first: DataFrame, k: int) -> DataFrame:
+    """Questions with ``need``, the k-th best score of ``first``; null where there are fewer."""
     need = _ranked(first, k).groupBy("sample_id", "qa").agg(F.max(F.when(F.col("rank") == k, F.col("s"))).alias("need"))
-    return asked_groups(questions.join(need, ["sample_id", "qa"], "left"), groups, k, clip, False).join(nearest, ["sample_id", "pivot", "qa"], "left_anti")
+    return questions.join(need, ["sample_id", "qa"], "left")
+
+
+def behind(questions: DataFrame, groups: Groups, nearest: DataFrame, k: int, clip: bool) -> DataFrame:
+    """(sample_id, pivot, qa): the groups beside the ``nearest`` that may hold better vectors than questions ``need``."""
+    return asked_groups(questions, groups, k, clip, False).join(nearest, ["sample_id", "pivot", "qa"], "left_anti")
 
 
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -235,6 +245,6 @@ def top_k(questions: DataFrame, vectors: DataFrame, k: int, clip: bool = True) -
     groups = Groups(vectors.join(names, "sample_id", "left_semi").select("sample_id", "id", F.col("vec").cast("array<double>").alias("vec")), large)
     nearest = settle(asked_groups(asking, groups, k, clip, True))
     first = settle(group_scores(groups, asking, nearest, k, clip))
-    rest = settle(behind(asking, groups, nearest, first, k, clip))
-    rest = group_scores(groups, asking, rest, k, clip)
+    asking = settle(needing(asking, first, k))
+    rest = group_scores(groups, asking, settle(behind(asking, groups, nearest, k, clip)), k, clip)
     return _ranked(small.unionByName(first).unionByName(rest), k)

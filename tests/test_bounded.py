@@ -151,7 +151,11 @@ def test_nearest_passes_groups_over(spark, monkeypatch):
     groups = nearest.Groups(vectors, sizes)
     near = nearest.settle(nearest.asked_groups(questions, groups, 5, True, True))
     first = nearest.settle(nearest.group_scores(groups, questions, near, 5, True))
-    seen = near.unionByName(nearest.behind(questions, groups, near, first, 5, True)).count()
+    asking = nearest.settle(nearest.needing(questions, first, 5))
+    rest = nearest.settle(nearest.behind(asking, groups, near, 5, True))
+    seen = near.unionByName(rest).count()
+    # of what is looked at, only what reaches the k-th best goes on
+    assert nearest.group_scores(groups, asking, rest, 5, True).count() < rest.count()
     n = groups.around.count()
     assert 40 <= n <= 90 and groups.members.count() == 4000
     assert seen < 0.35 * n * questions.count()
