@@ -28,6 +28,8 @@ from recallery.sources import scratch, store
 from recallery.streaming import incremental
 
 Q = C.Q
+#: Turns whose state one part of a stream's state store holds, about.
+TURNS_OF_A_STORE = 100_000
 #: Samples of a file with an array.
 SAMPLES_OF_A_FILE = 200
 
@@ -102,9 +104,10 @@ def graph_store_roundtrip(spark, sf_dir):
 def graph_streamed(spark, sf_dir):
     """The graph of all conversations, fed as a stream in two parts that cut each of them in the middle."""
     source, out, d = _place(spark), _place(spark), C.dialog(spark, sf_dir)
+    partitions = d.count() // TURNS_OF_A_STORE + 8
     for part in (d.where("pos < 4"), d.where("pos >= 3")):  # one turn comes twice
         part.write.mode("append").parquet(source)
-        incremental.feed(spark.readStream.schema(DIALOG).parquet(source), out)
+        incremental.feed(spark.readStream.schema(DIALOG).parquet(source), out, partitions=partitions)
     g, none = incremental.load(spark, out), F.lit("").alias("detail")
     rows = g.memory.select("sample_id", F.col("memory_id").alias("id"), F.lit("memory").alias("kind"), none).unionByName(g.memory_edge.select("sample_id", F.col("edge_id").alias("id"), F.col("edge_type").alias("kind"), none))
     rows = rows.unionByName(g.mention.select("sample_id", F.col("edge_id").alias("id"), F.lit("mention").alias("kind"), none))

@@ -117,12 +117,15 @@ def _run(stream: DataFrame, path: str, name: str, each: Callable | None = None)
     done.awaitTermination()
 
 
-def feed(dialog: DataFrame, path: str, extractor: Callable[[DataFrame, str], DataFrame] = rule_extractor) -> None:
-    """Add the turns of a stream (``schema.DIALOG``) to the graph in ``path``; those that it has stay as they are."""
+def feed(dialog: DataFrame, path: str, extractor: Callable[[DataFrame, str], DataFrame] = rule_extractor, partitions: int | None = None) -> None:
+    """Add the turns of a stream (``schema.DIALOG``) to the graph in ``path``; those that it has stay as they are. State lies in
+    ``partitions`` parts, each a store of some hundred KB at least, from the first feed on; as many as the session shuffles to if not given."""
     spark = dialog.sparkSession
     ship(spark)
-    before = spark.conf.get(_ROCKS[0], None)
-    spark.conf.set(*_ROCKS)
+    wanted = dict([_ROCKS, ("spark.sql.shuffle.partitions", str(partitions))] if partitions else [_ROCKS])
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         session, turn, _ = X.memory_order("dia_id", F.col("session_num"))
         named = dialog.where(~X.blank("dia_id")).withColumn("dia_id", X.trimmed("dia_id")).withColumns({"s": session.cast("long"), "t": turn.cast("long")})
@@ -137,7 +140,8 @@ def feed(dialog: DataFrame, path: str, extractor: Callable[[DataFrame, str], Dat
             rows = spark.readStream.schema(_FOUND).parquet(f"{path}/found/batch=*")
             _run(rows.groupBy("sample_id", "key").transformWithStateInPandas(Entities(), _ENTITY, "Append", "None"), path, "entities")
     finally:
-        spark.conf.set(_ROCKS[0], before) if before else spark.conf.unset(_ROCKS[0])
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
 
 
 def _spoken(turns: DataFrame) -> DataFrame:
