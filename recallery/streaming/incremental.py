@@ -5,8 +5,8 @@ Three steps, each a streaming query of its own with its checkpoint, run one afte
 1. ``turns``: keyed by sample, the last speaker of each session and the last memory are state, so a turn gets its previous
    speaker and a memory the one before it from earlier batches too.
 2. ``found``: the entities of the new turns, by any extractor; a batch that is played again replaces its own files.
-3. ``entities``: keyed by sample and key, the first type, the longest value, all values in their order and the memories that
-   mention the entity are state; each batch appends a row for each entity that it touches.
+3. ``entities``: keyed by sample and key, the first type, the longest value and all values in their order are state; each batch
+   appends a row for each entity that it touches, with the memories that mention it.
 
 State lies in RocksDB beside the checkpoints. Turns of a sample come in order of session and place, those of a session that
 are not behind its last one are repeats and change nothing; a memory that belongs before an earlier one stops the stream, since its edges
@@ -79,11 +79,11 @@ class Turns(StatefulProcessor):
 
 
 class Entities(StatefulProcessor):
-    """Entities of a key, merged with what came before, and the memories that mention them now for the first time."""
+    """Entities of a key, merged with what came before, and the memories that mention them now; a turn that repeats the id of an
+    earlier one may name a memory again, which ``load`` passes over."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.entity = handle.getValueState("entity", "body string")
-        self.memories = handle.getMapState("memories", "dia_id string", "n int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         state = json.loads(self.entity.get()[0]) if self.entity.exists() else {"n": 0, "type": None, "value": None, "values": {}}
@@ -99,12 +99,10 @@ class Entities(StatefulProcessor):
                     state["value"] = [-len(r["value"]), order, r["value"]]
                 if r["value"] not in state["values"] or order < state["values"][r["value"]]:
                     state["values"][r["value"]] = order
-                if not self.memories.containsKey((r["dia_id"],)):
-                    self.memories.updateValue((r["dia_id"],), (state["n"],))
-                    fresh.append(r["dia_id"])
+                fresh.append(r["dia_id"])
         self.entity.update((json.dumps(state),))
         merged = sorted(state["values"], key=lambda v: (state["values"][v], v))
-        yield pd.DataFrame([{"sample_id": key[0], "key": key[1], "n": state["n"], "type": state["type"] and state["type"][1], "value": state["value"][2], "merged_from": merged, "dia_ids": fresh}])
+        yield pd.DataFrame([{"sample_id": key[0], "key": key[1], "n": state["n"], "type": state["type"] and state["type"][1], "value": state["value"][2], "merged_from": merged, "dia_ids": list(dict.fromkeys(fresh))}])
 
     def close(self) -> None:
         pass
