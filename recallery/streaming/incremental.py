@@ -1,12 +1,12 @@
 """Incremental graphs: turns come in a stream, in any split into batches, and the tables are those of one build.
 
-Three steps, each a streaming query of its own with its checkpoint, run one after another over what is there:
+Two steps, each a streaming query of its own with its checkpoint, run one after another over what is there:
 
-1. ``turns``: keyed by sample, the last speaker of each session and the last memory are state, so a turn gets its previous
-   speaker and a memory the one before it from earlier batches too.
-2. ``found``: the entities of the new turns, by any extractor; a batch that is played again replaces its own files.
-3. ``entities``: keyed by sample and key, the first type, the longest value and all values in their order are state; each batch
-   appends a row for each entity that it touches, with the memories that mention it.
+1. ``turns``: keyed by sample, the last turn of each session and the last memory are state, so a turn gets its previous
+   speaker and a memory the one before it from earlier batches too. State goes to Python and back with the rows, a value a sample.
+2. ``found``: the entities of the new turns, by any extractor; a batch that is played again replaces its own files. What an
+   entity is made of (first type, longest value, values in order) merges in any order, so ``load`` merges all batches as one build does,
+   and no state is held for entities.
 
 State lies in RocksDB beside the checkpoints. Turns of a sample come in order of session and place, those of a session that
 are not behind its last one are repeats and change nothing; a memory that belongs before an earlier one stops the stream, since its edges
@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from recallery.functions import text as X
 from recallery.operators import graph as G
@@ -33,79 +33,27 @@ from recallery.sources.store import exists
 _ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 _TURN = f"{DIALOG}, previous_speaker string, fresh boolean, before string"
 _FOUND = "sample_id string, dia_id string, s bigint, t bigint, pos int, i int, key string, value string, type string"
-_ENTITY = "sample_id string, key string, n int, type string, value string, merged_from array<string>, dia_ids array<string>"
-
-
-class Turns(StatefulProcessor):
-    """Turns of a sample with the speaker before, whether they make a memory, and the memory before that."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sessions = handle.getMapState("sessions", "session_num int", "pos int, speaker string")
-        self.seen = handle.getMapState("seen", "dia_id string", "pos int")
-        self.last = handle.getValueState("last", "s bigint, t bigint, dia_id string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        turns = pd.concat(list(rows)).sort_values(["session_num", "pos"], kind="stable")
-        last = tuple(self.last.get()) if self.last.exists() else None
-        held: dict[int, tuple[int, str | None]] = {}
-        out = []
-        for turn in turns.to_dict("records"):
-            number = int(turn["session_num"])
-            if number not in held:
-                held[number] = tuple(self.sessions.getValue((number,))) if self.sessions.containsKey((number,)) else (-1, None)
-            pos, previous = held[number]
-            if turn["pos"] <= pos:
-                continue
-            held[number] = int(turn["pos"]), (turn["speaker"] or "").strip() or previous
-            order = (int(turn["s"]), int(turn["t"]), turn["dia_id"])
-            fresh = last is None or order > last
-            if not fresh and not self.seen.containsKey((turn["dia_id"],)):
-                raise ValueError(f"{turn['dia_id']} of {key[0]} comes after {last[2]}, whose edges are out already")
-            before = last[2] if fresh and last else None
-            if fresh:
-                self.seen.updateValue((turn["dia_id"],), (int(turn["pos"]),))
-                last = order
-            del turn["s"], turn["t"]
-            out.append({**turn, "previous_speaker": previous, "fresh": fresh, "before": before})
-        for number, state in held.items():
-            self.sessions.updateValue((number,), state)
-        if last:
-            self.last.update(last)
-        if out:
-            yield pd.DataFrame(out)
-
-    def close(self) -> None:
-        pass
-
-
-class Entities(StatefulProcessor):
-    """Entities of a key, merged with what came before, and the memories that mention them now; a turn that repeats the id of an
-    earlier one may name a memory again, which ``load`` passes over."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.entity = handle.getValueState("entity", "body string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        state = json.loads(self.entity.get()[0]) if self.entity.exists() else {"n": 0, "type": None, "value": None, "values": {}}
-        state["n"] += 1
-        fresh = []
-        for part in rows:
-            for r in part.to_dict("records"):
-                order = [int(r["s"]), int(r["t"]), r["dia_id"], int(r["pos"]), int(r["i"])]
-                if r["type"] and (state["type"] is None or order < state["type"][0]):
-                    state["type"] = [order, r["type"]]
-                # the longest, then the first
-                if state["value"] is None or [-len(r["value"]), order] < state["value"][:2]:
-                    state["value"] = [-len(r["value"]), order, r["value"]]
-                if r["value"] not in state["values"] or order < state["values"][r["value"]]:
-                    state["values"][r["value"]] = order
-                fresh.append(r["dia_id"])
-        self.entity.update((json.dumps(state),))
-        merged = sorted(state["values"], key=lambda v: (state["values"][v], v))
-        yield pd.DataFrame([{"sample_id": key[0], "key": key[1], "n": state["n"], "type": state["type"] and state["type"][1], "value": state["value"][2], "merged_from": merged, "dia_ids": list(dict.fromkeys(fresh))}])
-
-    def close(self) -> None:
-        pass
+
+
+def _placed(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Turns of a sample, as JSON, with the speaker before, whether they come behind the last memory, and the memory before that. State:
+    the last place and speaker of each session, and the last memory. One column each way, as every group pays for each of them."""
+    turns = [json.loads(turn) for part in rows for turn in part["turn"]]
+    held, last = json.loads(state.get[0]) if state.exists else ({}, None)
+    out = []
+    for turn in sorted(turns, key=lambda t: (t["session_num"], t["pos"])):
+        number = str(turn["session_num"])
+        pos, previous = held.get(number, (-1, None))
+        if turn["pos"] <= pos:
+            continue
+        held[number] = turn["pos"], (turn.get("speaker") or "").strip() or previous
+        order = [turn.pop("s"), turn.pop("t"), turn["dia_id"]]
+        fresh = last is None or order > last
+        out.append(json.dumps({**turn, "previous_speaker": previous, "fresh": fresh, "before": last[2] if fresh and last else None}))
+        last = order if fresh else last
+    state.update((json.dumps([held, last]),))
+    if out:
+        yield pd.DataFrame({"turn": out})
 
 
 def _run(stream: DataFrame, path: str, name: str, each: Callable | None = None) -> None:
@@ -127,16 +75,21 @@ def feed(dialog: DataFrame, path: str, extractor: Callable[[DataFrame, str], Dat
     try:
         session, turn, _ = X.memory_order("dia_id", F.col("session_num"))
         named = dialog.where(~X.blank("dia_id")).withColumn("dia_id", X.trimmed("dia_id")).withColumns({"s": session.cast("long"), "t": turn.cast("long")})
-        _run(named.groupBy("sample_id").transformWithStateInPandas(Turns(), _TURN, "Append", "None"), path, "turns")
+        said = named.select("sample_id", F.to_json(F.struct(*named.columns)).alias("turn"))
+        placed = said.groupBy("sample_id").applyInPandasWithState(_placed, "turn string", "body string", "Append", GroupStateTimeout.NoTimeout)
+        _run(placed.select(F.from_json("turn", _TURN).alias("turn")).select("turn.*"), path, "turns")
 
         def found(batch: DataFrame, number: int) -> None:
+            odd = batch.where("not fresh")  # repeated ids, or memories that come too late
+            if not odd.isEmpty():
+                known = batch.sparkSession.read.schema(_TURN).parquet(f"{path}/turns").where("fresh").select("sample_id", "dia_id")
+                late = odd.join(known, ["sample_id", "dia_id"], "left_anti").first()
+                if late is not None:
+                    raise ValueError(f"{late['dia_id']} of {late['sample_id']} comes after a later memory, whose edges are out already")
             rows = G.extracted(_spoken(batch), extractor)
             rows.select("sample_id", "dia_id", F.col("ord._s").alias("s"), F.col("ord._t").alias("t"), "ord.pos", F.col("ord._i").alias("i"), "key", "value", "type").write.mode("overwrite").parquet(f"{path}/found/batch={number}")
 
         _run(spark.readStream.schema(_TURN).parquet(f"{path}/turns"), path, "found", found)
-        if exists(spark, f"{path}/found"):
-            rows = spark.readStream.schema(_FOUND).parquet(f"{path}/found/batch=*")
-            _run(rows.groupBy("sample_id", "key").transformWithStateInPandas(Entities(), _ENTITY, "Append", "None"), path, "entities")
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v else spark.conf.unset(k)
@@ -153,8 +106,9 @@ def load(spark: SparkSession, path: str) -> G.Graph:
     turns = _spoken(spark.read.schema(_TURN).parquet(f"{path}/turns").where("fresh"))
     memory = turns.select("sample_id", X.memory_id("dia_id").alias("memory_id"), "dia_id", "session_num", "date_time", "speaker", "text", "text_normalized", "query", "img_url", "blip_caption", F.create_map().cast("map<string,string>").alias("metadata"))
     edges = G.paired_edges(turns.where("before is not null").select("sample_id", X.memory_id("before").alias("memory_id"), F.col("before").alias("dia_id"), X.memory_id("dia_id").alias("m2"), F.col("dia_id").alias("d2")))
-    rows = spark.read.schema(_ENTITY).parquet(f"{path}/entities") if exists(spark, f"{path}/entities") else spark.createDataFrame([], _ENTITY)
-    now = rows.groupBy("sample_id", "key").agg(F.max_by(F.struct("value", "type", "merged_from"), "n").alias("e"))
-    entity = now.select("sample_id", X.entity_id("key").alias("entity_id"), "key", "e.value", "e.type", "e.merged_from", F.create_map().cast("map<string,string>").alias("metadata"))
-    mention = G.mentions(rows.select("sample_id", "key", F.explode("dia_ids").alias("dia_id")).withColumn("memory_id", X.memory_id("dia_id")))
-    return G.Graph(memory, entity, mention, edges)
+    if exists(spark, f"{path}/found"):
+        rows = spark.read.schema(_FOUND).parquet(f"{path}/found/batch=*")
+    else:
+        rows = spark.createDataFrame([], _FOUND)
+    found = rows.select("sample_id", X.memory_id("dia_id").alias("memory_id"), "dia_id", F.struct(F.col("s").alias("_s"), F.col("t").alias("_t"), "dia_id", "pos", F.col("i").alias("_i")).alias("ord"), "key", "value", "type")
+    return G.Graph(memory, G.entities(found), G.mentions(found), edges)

@@ -58,3 +58,12 @@ def test_a_memory_that_comes_too_late_stops_the_stream(spark, tmp_path):
             with pytest.raises(Exception, match="edges are out already"):
                 incremental.feed(stream, out)
     assert [r["dia_id"] for r in incremental.load(spark, out).memory.collect()] == ["D2:1"]
+
+
+def test_state_is_a_value_a_sample_and_none_for_entities(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame(turns(), schema.DIALOG).write.parquet(source)
+    incremental.feed(spark.readStream.schema(schema.DIALOG).parquet(source), out, partitions=2)
+    assert sorted(p.name for p in (tmp_path / "out" / "checkpoint").iterdir()) == ["found", "turns"]
+    state = spark.read.format("statestore").load(f"{out}/checkpoint/turns")
+    assert state.count() == 3 and not (tmp_path / "out" / "checkpoint" / "found" / "state" / "0").exists()
