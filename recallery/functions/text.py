@@ -94,9 +94,14 @@ def _swap(text: Column, pattern: str, by: Column) -> Column:
     return F.regexp_replace(text, F.lit(pattern), by)
 
 
+def _where_found(text: Column, flags: str, words: list[str], swapped: Column) -> Column:
+    """The swapped text where any of the words stands, else the text as it is: one search instead of one for each word."""
+    return F.when(text.rlike(rf"{flags}\b(?:{'|'.join(words)})\b"), swapped).otherwise(text)
+
+
 def speak_as(text, speaker, previous) -> Column:
     """First-person words become the speaker, second-person words the previous speaker, whole words in any case."""
-    out = _col(text)
+    out, words = _col(text), []
     for who, plain, owned, itself in ((speaker, ("I", "me"), ("my", "mine"), "myself"), (previous, ("you",), ("your", "yours"), "yourself")):
         by = literal(trimmed(who))
         # a match that is not to change is put back as it stands
@@ -104,7 +109,8 @@ def speak_as(text, speaker, previous) -> Column:
         own = F.when(blank(who), "$0").otherwise(F.concat(by, F.lit("'s")))
         for word, put in [(w, name) for w in plain] + [(w, own) for w in owned] + [(itself, name)]:
             out = _swap(out, rf"(?iU)\b{word}\b", put)
-    return out
+            words.append(word)
+    return _where_found(_col(text), "(?iU)", words, out)
 
 
 def dialog_date(c) -> Column:
@@ -152,13 +158,14 @@ def time_word_date(word, anchor: Column) -> Column:
 
 def date_words(text, anchor: Column, words=TIME_PHRASES, loose: bool = False) -> Column:
     """The text with every phrase, longest first, replaced by the day it names where it names one."""
-    out = _col(text)
+    out, patterns = _col(text), []
     for phrase in sorted({w.strip() for w in words if w.strip()}, key=lambda p: (-len(p), p)):
         named = _phrase_date(" ".join(phrase.lower().split()), anchor)
         if named is not None:
             pattern = (r"\s+" if loose else " ").join(map(_quoted, phrase.split()))
             out = _swap(out, rf"(?i)\b{pattern}\b", F.coalesce(shown_date(named), F.lit("$0")))
-    return out
+            patterns.append(pattern)
+    return _where_found(_col(text), "(?i)", patterns, out) if patterns else out
 
 
 def time_words(text) -> Column:

@@ -53,7 +53,8 @@ def extracted(spoken: DataFrame, extractor: Callable[[DataFrame, str], DataFrame
         found = found.withColumn("items", F.when(fresh, F.concat("items", F.array(who))).otherwise(F.col("items")))
     session, turn, _ = X.memory_order("dia_id", F.col("session_num"))
     found = found.withColumns({"_s": session, "_t": turn})
-    return found.select("sample_id", X.memory_id("dia_id").alias("memory_id"), "dia_id", "_s", "_t", "pos", F.posexplode("items").alias("_i", "_x")).select("sample_id", "memory_id", "dia_id", F.struct("_s", "_t", "dia_id", "pos", "_i").alias("ord"), "_x.key", "_x.value", "_x.type").where("key <> ''")
+    # outer, since of an inner one the optimizer makes a filter that computes the items again, several times; its null rows have no key
+    return found.select("sample_id", X.memory_id("dia_id").alias("memory_id"), "dia_id", "_s", "_t", "pos", F.posexplode_outer("items").alias("_i", "_x")).select("sample_id", "memory_id", "dia_id", F.struct("_s", "_t", "dia_id", "pos", "_i").alias("ord"), "_x.key", "_x.value", "_x.type").where("key <> ''")
 
 
 def entities(found: DataFrame) -> DataFrame:

@@ -459,3 +459,12 @@ def test_stop_word_profiles(spark):
     assert "those" in terms("plain") and "those" not in terms("english") and terms("porter_english") == {"run", "dog", "cat", "bird"}
     with pytest.raises(ValueError):
         lexical.tokens(F.col("text"), "other")
+
+
+def test_items_are_computed_once_for_each_turn(spark):
+    """A filter that the optimizer makes of an exploded list must not repeat the extraction."""
+    rows = [("s", 1, "8 May 2023", 0, "D1:1", "Ann", "I saw you yesterday", "", "", ""), ("s", 1, "8 May 2023", 1, "D1:2", " ", "fine", "", "", "")]
+    found = G.extracted(G.turns(spark.createDataFrame(rows, schema.DIALOG)))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    assert sorted((r["dia_id"], r["key"]) for r in found.collect()) == [("D1:1", "2023"), ("D1:1", "ann")]
