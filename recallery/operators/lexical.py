@@ -36,8 +36,9 @@ def tokens(c: Column, profile: str = "plain") -> Column:
 BLOCK, RATIO, FIRST = 256, 1.5, 2
 #: Keys that one product of matrices scores, and that one group takes.
 KERNEL, KEYS = 256, 20_000
-#: Postings of the asked terms, all keys together, up to which they are joined as they are: bounds would cost more than they save.
-DIRECT = 1_000_000
+#: Postings of the asked terms, all keys together, up to which they are joined as they are, and those of one sample up to which this
+#: sample's are: bounds would cost more than they save.
+DIRECT, DIRECT_SAMPLE = 1_000_000, 100_000
 #: What scores that tie after rounding may differ by.
 SLACK = 1e-8
 
@@ -192,11 +193,17 @@ def _relative(found: Index, numbered: DataFrame, profile: str, min_rel: float |
     where = [c for c in ("sample_id",) if c in numbered.columns]
     terms = numbered.select(*where, "kid", F.explode(tokens(F.col("qkey"), profile)).alias("term")).groupBy(*where, "kid", "term").agg(F.count("*").alias("times"))
     weighed = settle(terms.join(found.terms, [*where, "term"]).select("sample_id", "kid", "term", (F.col("times") * F.col("idf")).alias("w"), "avgdl", "df"))
-    if min_rel is not None and min_rel > 0 and (weighed.agg(F.sum("df")).first()[0] or 0) > DIRECT:
-        scored = bounded_scores(found, weighed.select("sample_id", "kid", "term", "w"), min_rel, max(top_k, 1) if top_k is not None else None)
-    else:
-        hits = _impact(found.postings.join(weighed, ["sample_id", "term"]))
-        scored = settle(hits.groupBy("sample_id", "kid", "doc").agg(F.sum(F.col("w") * F.col("imp")).alias("score")))
+    small, scored = weighed, None
+    if min_rel is not None and min_rel > 0:
+        asks = settle(weighed.groupBy("sample_id").agg(F.sum("df").alias("hits")))
+        large = asks.where(F.col("hits") > min(DIRECT, DIRECT_SAMPLE)).select("sample_id")
+        if (asks.agg(F.sum("hits")).first()[0] or 0) > DIRECT and not large.isEmpty():
+            small = weighed.join(large, "sample_id", "left_anti")
+            held = Index(found.postings.join(large, "sample_id", "left_semi"), found.terms, found.keys, found.lengths)
+            scored = bounded_scores(held, weighed.join(large, "sample_id", "left_semi").select("sample_id", "kid", "term", "w"), min_rel, max(top_k, 1) if top_k is not None else None)
+    hits = _impact(found.postings.join(small, ["sample_id", "term"]))
+    direct = hits.groupBy("sample_id", "kid", "doc").agg(F.sum(F.col("w") * F.col("imp")).alias("score"))
+    scored = settle(direct if scored is None else direct.unionByName(scored))
     best = scored.groupBy("sample_id", "kid").agg(F.max("score").alias("best")).where("best > 0")
     scored = scored.join(best, ["sample_id", "kid"]).select("sample_id", "kid", "doc", F.round(F.col("score") / F.col("best"), 9).alias("rel"))
     return scored if min_rel is None else scored.where(F.col("rel") >= min_rel)

@@ -173,3 +173,25 @@ def test_nearest_with_odd_vectors(spark, monkeypatch):
         assert [r["id"] for r in got] == ["m19", "m18", "m17", "m16"]
         assert nearest.top_k(questions, vectors, 30).where(F.col("id") == extra[0]).count() == 2
     assert nearest.top_k(questions.limit(0), vectors, 3).count() == 0 and nearest.top_k(questions, vectors.limit(0), 3).count() == 0
+
+
+def test_bounds_are_for_large_samples_only(spark, monkeypatch):
+    """Where all samples together have many postings, those of a small sample are joined as they are; results are the same."""
+    docs, keys = corpus(n=300)
+    docs += [(f"s{i}", str(k), text, "") for i in range(20) for k, text in enumerate(("w1 w2 small", "one other", "more words"))]
+    monkeypatch.setattr(lexical, "DIRECT", 250)
+    monkeypatch.setattr(lexical, "DIRECT_SAMPLE", 200)
+    seen, plain = [], lexical.bounded_scores
+
+    def watched(found, weighed, *how):
+        seen.extend(r["sample_id"] for r in weighed.select("sample_id").distinct().collect())
+        return plain(found, weighed, *how)
+
+    monkeypatch.setattr(lexical, "bounded_scores", watched)
+    table = spark.createDataFrame(docs, "sample_id string, doc string, text string, key string")
+    asked = spark.createDataFrame([(k,) for k in dict.fromkeys(keys)], "qkey string")
+    rows = lambda: sorted((r["sample_id"], r["qkey"], r["doc"], round(r["score"], 6)) for r in lexical.match_keys(lexical.index(table, asked=asked), asked).collect())
+    got = rows()
+    assert sorted(seen) == ["a", "b"] and any(r[0] == "s7" for r in got)
+    monkeypatch.setattr(lexical, "DIRECT", 10**9)
+    assert rows() == got
