@@ -39,6 +39,8 @@ KERNEL, KEYS = 256, 20_000
 #: Postings of the asked terms, all keys together, up to which they are joined as they are, and those of one sample up to which this
 #: sample's are: bounds would cost more than they save.
 DIRECT, DIRECT_SAMPLE = 1_000_000, 100_000
+#: Tokens with their stems that are broadcast at most; more are joined by a shuffle.
+SENT = 400_000
 #: What scores that tie after rounding may differ by.
 SLACK = 1e-8
 
@@ -51,12 +53,27 @@ class Index:
         self.postings, self.terms, self.keys, self.lengths = postings, terms, keys, lengths
 
 
-def _stemmed(rows: DataFrame) -> DataFrame:
-    """The same rows with stems as terms; each different token is stemmed once."""
-    words = rows.select("term").distinct()
+def _stems(words: DataFrame) -> DataFrame:
+    """(term, stem, alone) of different tokens, each stemmed once; ``alone``: no other token has that stem."""
     stem = F.when(F.col("term") == "_empty", F.col("term")).otherwise(F.get(stemmed(F.array("term")), 0))
+    each = settle(words.select("term", stem.alias("stem")))
     # settled, so its size is known: small tables are broadcast, others shuffled
-    return rows.join(settle(words.select("term", stem.alias("stem"))), "term").drop("term").withColumnRenamed("stem", "term")
+    return settle(each.join(each.groupBy("stem").agg((F.count("*") == 1).alias("alone")), "stem").select("term", "stem", "alone"))
+
+
+def _sent(words: DataFrame) -> DataFrame:
+    """A table of tokens, sent to all tasks if it has few rows, so that the rows it is joined with stay where they are."""
+    words = settle(words)
+    return F.broadcast(words) if words.count() <= SENT else words
+
+
+def _stem_counts(split: DataFrame, counted: DataFrame, stems: DataFrame) -> DataFrame:
+    """(sample_id, term, df) of stems. The documents of a stem that one token alone has are that token's; only those of the
+    others' tokens are told apart, by number. ``counted``: the df of tokens."""
+    alone = counted.join(stems.where("alone"), "term").select("sample_id", F.col("stem").alias("term"), "df")
+    words = split.select("sample_id", "number", F.explode(F.array_distinct("t")).alias("term"))
+    several = words.join(_sent(stems.where("not alone").select("term", "stem")), "term").select("sample_id", "number", F.col("stem").alias("term")).distinct()
+    return alone.unionByName(several.groupBy("sample_id", "term").agg(F.count("*").alias("df")))
 
 
 def index(docs: DataFrame, profile: str = "plain", asked: DataFrame | None = None) -> Index:
@@ -65,17 +82,22 @@ def index(docs: DataFrame, profile: str = "plain", asked: DataFrame | None = Non
     stems, stopwords = _profile(profile)
     split = spread(docs).select("sample_id", "doc", X.search_tokens("text", stopwords).alias("t")).withColumn("t", F.when(F.size("t") > 0, F.col("t")).otherwise(F.array(F.lit("_empty"))))
     if asked is not None or stems:
-        split = settle(split)  # read several times
+        split = settle(split.withColumn("number", F.monotonically_increasing_id()))  # read several times
     known = None if asked is None else settle(asked.select(F.explode(tokens(F.col("qkey"), profile)).alias("term")).distinct())
     rows = split.select("sample_id", "doc", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    if known is None or stems:
-        # the postings of all terms, read several times
-        each = settle((_stemmed(rows) if stems else rows).groupBy("sample_id", "doc", "term", "dl").agg(F.count("*").alias("tf")))
+    df = split.select("sample_id", F.explode(F.array_distinct("t")).alias("term")).groupBy("sample_id", "term").agg(F.count("*").alias("df"))
+    if stems:
+        df = settle(df)
+        stem = _stems(df.select("term").distinct())
+        df = _stem_counts(split, df, stem)
+        # with ``asked``, of the tokens only those with an asked stem
+        wanted = stem if known is None else stem.join(known.withColumnRenamed("term", "stem"), "stem", "left_semi")
+        rows = rows.join(_sent(wanted.select("term", "stem")), "term").drop("term").withColumnRenamed("stem", "term")
+    elif known is not None:
+        rows = rows.join(known, "term")
+    each = settle(rows.groupBy("sample_id", "doc", "term", "dl").agg(F.count("*").alias("tf")))
+    if known is None and not stems:
         df = each.groupBy("sample_id", "term").agg(F.count("*").alias("df"))
-        each = each if known is None else each.join(known, "term")
-    else:
-        each = settle(rows.join(known, "term").groupBy("sample_id", "doc", "term", "dl").agg(F.count("*").alias("tf")))
-        df = split.select("sample_id", F.explode(F.array_distinct("t")).alias("term")).groupBy("sample_id", "term").agg(F.count("*").alias("df"))
     lengths = split.groupBy("sample_id", F.size("t").alias("dl")).agg(F.count("*").alias("docs"))
     sizes = lengths.groupBy("sample_id").agg(F.sum("docs").alias("n"), (F.sum(F.col("docs") * F.col("dl")) / F.sum("docs")).alias("avgdl"))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
@@ -105,7 +127,8 @@ def blocked(found: Index) -> DataFrame:
     counted = found.lengths.withColumn("avgdl", F.sum(F.col("docs") * F.col("dl")).over(size) / F.sum("docs").over(size)).withColumn("c", level)
     # where there are more documents of a length there are more blocks
     sized = counted.withColumn("parts", F.ceil(F.sum("docs").over(W.partitionBy("sample_id", "c")) / BLOCK)).select("sample_id", "dl", "c", "parts", "avgdl")
-    placed = _impact(found.postings.join(sized, ["sample_id", "dl"]))
+    # settled, so its size is known and the postings need not move to meet it; it is read several times
+    placed = _impact(found.postings.join(settle(sized), ["sample_id", "dl"]))
     return placed.select("sample_id", (F.col("c") * F.lit(1 << 32) + F.pmod(F.xxhash64("doc"), F.col("parts"))).alias("block"), "doc", "term", "imp")
 
 

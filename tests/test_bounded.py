@@ -195,3 +195,13 @@ def test_bounds_are_for_large_samples_only(spark, monkeypatch):
     assert sorted(seen) == ["a", "b"] and any(r[0] == "s7" for r in got)
     monkeypatch.setattr(lexical, "DIRECT", 10**9)
     assert rows() == got
+
+
+def test_stemmed_postings_are_kept(spark):
+    """Postings of asked stems are made once, and a document with two tokens of a stem counts once."""
+    docs = [("s", "0", "jumps jumping tree", ""), ("s", "1", "jumping cats", ""), ("s", "2", "trees", ""), ("s", "3", "", "")]
+    table = spark.createDataFrame(docs, "sample_id string, doc string, text string, key string")
+    made = lexical.index(table, "porter", spark.createDataFrame([("jump cat",)], "qkey string"))
+    assert "Join" not in made.postings._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["term"]: r["df"] for r in made.terms.collect()} == {"jump": 2, "tree": 2, "cat": 1, "_empty": 1}
+    assert sorted((r["doc"], r["term"], r["tf"]) for r in made.postings.collect()) == [("0", "jump", 2), ("1", "cat", 1), ("1", "jump", 1)]
