@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -18,6 +18,8 @@ from recallery.schema import ENTITY_WEIGHT, MIN_REL_SCORE, NEIGHBOUR_SCALE, SEMA
 from recallery.sources.scratch import settle
 
 Q = ["sample_id", "qa"]
+#: Memories of a block, about.
+BLOCK = 64
 
 
 @dataclass(frozen=True)
@@ -93,25 +95,56 @@ def expand(graph: Graph, seed: DataFrame, scale: float = NEIGHBOUR_SCALE) -> Dat
     known = graph.memory.select("sample_id", "memory_id")
     edge = graph.memory_edge.select("sample_id", F.col("src_memory_id").alias("memory_id"), F.col("dst_memory_id").alias("dst"))
     edge = edge.join(known, ["sample_id", "memory_id"], "left_semi").join(known.withColumnRenamed("memory_id", "dst"), ["sample_id", "dst"], "left_semi")
-    given = seed.where("seed > 0").join(edge, ["sample_id", "memory_id"]).select(*Q, F.col("dst").alias("memory_id"), F.lit(None).cast("double").alias("seed"), (F.col("seed") * scale).alias("e"))
-    return own.unionByName(given).groupBy(*Q, "memory_id").agg(F.max("seed").alias("seed"), F.round(F.max("e"), 9).alias("e"))
+    near = edge.groupBy("sample_id", "memory_id").agg(F.collect_list("dst").alias("near"))
+    # a seed moves to its question with the memories beside it in one row; they are taken apart there
+    sent = seed.join(near, ["sample_id", "memory_id"], "left").repartition(*Q)
+    given = F.transform(F.when(F.col("seed") > 0, F.col("near")), lambda d: F.struct(d.alias("memory_id"), F.lit(None).cast("double").alias("seed"), (F.col("seed") * scale).alias("e")))
+    both = F.concat(F.array(F.struct("memory_id", "seed", F.col("seed").alias("e"))), F.coalesce(given, F.array()))
+    return sent.select(*Q, F.explode_outer(both).alias("_x")).select(*Q, "_x.*").groupBy(*Q, "memory_id").agg(F.max("seed").alias("seed"), F.round(F.max("e"), 9).alias("e"))
+
+
+def fused(graph: Graph, questions: DataFrame, scores: DataFrame, vectors: DataFrame, we: float, ws: float, gate: bool = True) -> DataFrame:
+    """(sample_id, qa, gated, rows): the pool of each question, scored, in as many rows as its sample has blocks. ``rows`` are structs of
+    memory_id, dia_id, seed, e, s, score. A vector moves once for each block, not once for each pair of a question and a memory."""
+    count = graph.memory.groupBy("sample_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    # settled, so its size is known: it has few rows, and where those are many they are shuffled
+    large = settle(count.where("parts > 1"))
+    parted = lambda df: df.join(large, "sample_id", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    part = F.pmod(F.xxhash64("memory_id"), F.col("parts")).cast("int").alias("part")
+    member = F.struct("memory_id", "dia_id", "vec")
+    held = graph.memory.select("sample_id", "memory_id", "dia_id").join(vectors.select("sample_id", "memory_id", "vec"), ["sample_id", "memory_id"], "left")
+    held = parted(held).select("sample_id", part, member.alias("m")).groupBy("sample_id", "part").agg(F.collect_list("m").alias("m"))
+    held = held.select("sample_id", "part", F.transform("m", lambda m: F.struct(m["memory_id"].alias("memory_id"), m["dia_id"].alias("dia_id"), M.unit(m["vec"]).alias("v"))).alias("m"))
+    candidate = F.struct("memory_id", F.struct("seed", "e"))
+    given = parted(scores).select(*Q, part, candidate.alias("c")).repartition(*Q).groupBy(*Q, "part").agg(F.map_from_entries(F.collect_list("c")).alias("given"))
+    ids = questions.select(*Q)
+    full = ids.join(scores.select(*Q).distinct(), Q, "left_anti") if gate else ids
+    full = parted(full).select(*Q, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    if gate:
+        full = full.withColumn("given", F.lit(None).cast(given.schema["given"].dataType))
+        asked = given.withColumn("gated", F.lit(True)).unionByName(full.withColumn("gated", F.lit(False)))
+    else:
+        asked = full.join(given, [*Q, "part"], "left").withColumn("gated", F.lit(False))
+    asked = asked.join(questions.select(*Q, "qvec"), Q, "left")
+
+    def scored(q: Column) -> Column:
+        zero = F.lit(0.0)
+        found = F.filter(F.transform("m", lambda m: F.struct(m.alias("m"), F.col("given")[m["memory_id"]].alias("g"))), lambda x: ~F.col("gated") | x["g"].isNotNull())
+        s = lambda x: F.round(M.clipped(M.dot(q, x["m"]["v"])), 9)
+        each = F.transform(found, lambda x: F.struct(x["m"]["memory_id"].alias("memory_id"), x["m"]["dia_id"].alias("dia_id"), F.coalesce(x["g"]["seed"], zero).alias("seed"), F.coalesce(x["g"]["e"], zero).alias("e"), F.coalesce(s(x), zero).alias("s")))
+        kept = F.filter(each, lambda x: ~((x["e"] <= 0) & (x["s"] <= 0)))
+        return F.transform(kept, lambda x: F.struct(*(x[c].alias(c) for c in ("memory_id", "dia_id", "seed", "e", "s")), F.round(M.fused(x["e"], x["s"], we, ws), 9).alias("score")))
+
+    # an array of one, so that the question's vector is scaled once and not for each memory
+    rows = F.get(F.transform(F.array(M.unit(F.col("qvec"))), scored), F.lit(0))
+    return asked.join(held, ["sample_id", "part"]).select(*Q, "gated", rows.alias("rows"))
 
 
 def fuse(graph: Graph, questions: DataFrame, scores: DataFrame, vectors: DataFrame, we: float, ws: float, gate: bool = True) -> DataFrame:
     """(sample_id, qa, memory_id, dia_id, seed, e, s, score, gated): the pool of each question, scored. The pool
     is the candidates of a question that has any (unless ``gate`` is off), else all memories of its sample."""
-    ids = questions.select(*Q, "qvec")
-    gated = scores.select(*Q).distinct()
-    full = ids.join(gated, Q, "left_anti") if gate else ids
-    everything = full.select(*Q).join(graph.memory.select("sample_id", "memory_id"), "sample_id").withColumn("gated", F.lit(False))
-    pool = everything
-    if gate:
-        pool = scores.select(*Q, "memory_id").withColumn("gated", F.lit(True)).unionByName(everything)
-    semantic = dense.cosine(ids, vectors, pool)
-    out = pool.join(scores, [*Q, "memory_id"], "left").join(semantic, [*Q, "memory_id"], "left").join(graph.memory.select("sample_id", "memory_id", "dia_id"), ["sample_id", "memory_id"])
-    out = out.select(*Q, "memory_id", "dia_id", F.coalesce("seed", F.lit(0.0)).alias("seed"), F.coalesce("e", F.lit(0.0)).alias("e"), F.coalesce("s", F.lit(0.0)).alias("s"), "gated")
-    out = out.where(~((F.col("e") <= 0) & (F.col("s") <= 0)))
-    return out.withColumn("score", F.round(M.fused(F.col("e"), F.col("s"), we, ws), 9))
+    each = fused(graph, questions, scores, vectors, we, ws, gate)
+    return each.select(*Q, "gated", F.explode_outer("rows").alias("_r")).where("_r is not null").select(*Q, "_r.*", "gated")
 
 
 def rank(pool: DataFrame, k: int) -> DataFrame:
@@ -169,9 +202,14 @@ def audit(graph: Graph, questions: DataFrame, keys: DataFrame, vectors: DataFram
     entities = listed.select(*Q, F.transform("m", lambda x: F.struct(x["entity_id"].alias("entity_id"), (-x["order"]).alias("match"), x["degree"].alias("degree"), x["weight"].alias("weight"), x["who_like"].alias("who_like"))).alias("entities"))
     seed = settle(seeds(graph, strength))
     scores = settle(expand(graph, seed) if variant.expand else seed.withColumn("e", F.col("seed")))
-    scored = settle(fuse(graph, questions, scores, vectors, variant.we, variant.ws, variant.gate))
-    size = scored.groupBy(*Q).agg(F.count("*").alias("pool"), F.max("gated").alias("gated"))
-    rows = rank(scored, k).withColumn("via_sequence_only", (F.col("seed") <= 0) & (F.col("e") > 0))
+    scored = fused(graph, questions, scores, vectors, variant.we, variant.ws, variant.gate)
+    # of each block the number of rows and the k best, ordered as by rank: not a number is above all others
+    order = lambda r: F.struct(~F.isnan(r["score"]), -r["score"], r["dia_id"], r.alias("r"))
+    best = F.slice(F.array_sort(F.transform("rows", order)), 1, max(k, 0))
+    # blocks without rows go after that: a filter before would score all rows once more
+    kept = settle(scored.select(*Q, "gated", F.size("rows").alias("n"), F.transform(best, lambda x: x["r"]).alias("best"))).where("n > 0")
+    size = kept.groupBy(*Q).agg(F.sum("n").alias("pool"), F.max("gated").alias("gated"))
+    rows = rank(kept.select(*Q, F.explode("best").alias("_r")).select(*Q, "_r.*"), k).withColumn("via_sequence_only", (F.col("seed") <= 0) & (F.col("e") > 0))
     ranked = rows.groupBy(*Q).agg(F.array_sort(F.collect_list(F.struct("rank", "dia_id", F.round("score", 6).alias("score"), F.round("seed", 6).alias("seed"), F.round("e", 6).alias("expanded"), F.round("s", 6).alias("embedding"), "via_sequence_only"))).alias("rows"))
     out = questions.select(*Q)
     for part in (asked, entities, size, ranked):

@@ -87,7 +87,8 @@ class Kept:
 
     @property
     def memory(self) -> DataFrame:
-        return kept(self.spark, self.sf_dir, "memory", lambda: G.memories(spoken(self.spark, self.sf_dir)))
+        # not kept: most steps read its ids only, which move alone
+        return G.memories(spoken(self.spark, self.sf_dir))
 
     @property
     def entity(self) -> DataFrame:

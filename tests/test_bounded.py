@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recallery.operators import lexical, nearest
+from recallery.operators import dense, lexical, nearest
+from recallery.operators import graph as G
+from recallery.operators import retrieve as R
 
 
 def corpus(seed=3, n=900):
@@ -205,3 +207,51 @@ def test_stemmed_postings_are_kept(spark):
     assert "Join" not in made.postings._jdf.queryExecution().optimizedPlan().toString()
     assert {r["term"]: r["df"] for r in made.terms.collect()} == {"jump": 2, "tree": 2, "cat": 1, "_empty": 1}
     assert sorted((r["doc"], r["term"], r["tf"]) for r in made.postings.collect()) == [("0", "jump", 2), ("1", "cat", 1), ("1", "jump", 1)]
+
+
+def conversations(n=150, seed=4):
+    """A graph of a long sample and a short one, with their vectors (some missing or null), questions and scores of pairs."""
+    rng = np.random.default_rng(seed)
+    sizes = {"long": n, "short": 3}
+    vec = {(s, f"memory:{i}"): rng.integers(-3, 4, 4).astype(float).tolist() for s, k in sizes.items() for i in range(k)}
+    ids = list(vec)
+    vec[ids[7]] = None
+    asked = {(s, qa): rng.integers(-3, 4, 4).astype(float).tolist() for s in sizes for qa in range(6)}
+    asked["long", 4] = None
+    seeds = {(*q, f"memory:{i}"): (0.125 * (i % 5) if i % 3 else None, 0.125 * (i % 7)) for q in asked if q[1] % 2 == 0 for i in range(0, sizes[q[0]], 2)}
+    return ids, vec, asked, seeds
+
+
+@pytest.mark.parametrize("gate", [True, False])
+def test_fused_by_blocks(spark, monkeypatch, gate):
+    """Vectors meet in blocks, each once for a question: no vector goes with a pair of a question and a memory."""
+    ids, vec, asked, seeds = conversations()
+    memory = spark.createDataFrame([(s, m, f"D{m[7:]}") for s, m in ids], "sample_id string, memory_id string, dia_id string")
+    vectors = spark.createDataFrame([(*k, v) for k, v in vec.items() if k != ids[11]], "sample_id string, memory_id string, vec array<double>")
+    questions = spark.createDataFrame([(*k, v) for k, v in asked.items()], "sample_id string, qa int, qvec array<double>")
+    scores = spark.createDataFrame([(*k, *v) for k, v in seeds.items()], "sample_id string, qa int, memory_id string, seed double, e double")
+    g = G.Graph(memory, None, None, None)
+    monkeypatch.setattr(R, "BLOCK", 16)
+    monkeypatch.setattr(dense, "cosine", None)  # a join for each pair
+
+    def cosine(a, b):
+        a, b = (x if x is None else np.array(x) / max(np.linalg.norm(x), 1e-12) for x in (a, b))
+        return 0.0 if a is None or b is None else round(max(float(a @ b), 0.0), 9)
+
+    want = {}
+    for (s, qa), q in asked.items():
+        mine = {k[2]: v for k, v in seeds.items() if k[:2] == (s, qa)}
+        for sample, m in ids:
+            if sample == s and (m in mine or not mine or not gate):
+                seed, e = mine.get(m, (None, 0.0))
+                c = cosine(q, None if (s, m) == ids[11] else vec[s, m])
+                if e > 0 or c > 0:
+                    want[s, qa, m] = (f"D{m[7:]}", seed or 0.0, e, c, gate and bool(mine))
+    pool = R.fuse(g, questions, scores, vectors, 0.25, 0.75, gate).collect()
+    got = {(r["sample_id"], r["qa"], r["memory_id"]): r for r in pool}
+    assert len(pool) == len(got) and got.keys() == want.keys()
+    for k, (dia, seed, e, c, gated) in want.items():
+        r = got[k]
+        assert (r["dia_id"], r["seed"], r["e"], r["gated"]) == (dia, seed, e, gated) and abs(r["s"] - c) < 2e-9 and abs(r["score"] - (0.25 * e + 0.75 * c)) < 3e-9
+    blocks = R.fused(g, questions, scores, vectors, 0.25, 0.75, gate)
+    assert blocks.count() <= 6 * (math.ceil(150 / 16) + 1) and blocks.groupBy("sample_id", "qa").count().count() == 12
